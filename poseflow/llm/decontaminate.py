@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALPHANUMERIC, LOWER, Hasher, per_document, text_blocks, words
-from .shared import Scratch
+from ..tables import Scratch
 
 #: Words of a window, and of the shingles that a window is a sequence of.
 WINDOW, SHINGLE = 10, 3
