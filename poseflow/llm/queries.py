@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, similarity
+from . import decontaminate, language, neighbours, packing, similarity, warc
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,15 +61,35 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS o FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN o < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN o < page_id THEN o END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op9_learned_partitions": op9_learned_partitions,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_warc_revisits": OP7_SQL,
 }
