@@ -1,3 +1,66 @@
-STAGES: list = []
+"""From raw documents to packed sequences: four stages, each written as Parquet and reread by the next.
+
+A stage is (spark, docs, sf_dir) -> DataFrame. The first three return the columns of documents they were given:
+
+1. language ID drops documents in which no language can be determined: null texts and texts without a letter.
+2. n-gram Jaccard join keeps one document of each group of near duplicates, that with the smallest doc_id.
+3. benchmark decontamination drops documents that hold a window of a benchmark item.
+4. best-fit packing returns the pieces of the documents left and their places in sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from poseflow.llm import decontaminate, language, packing, similarity
+from poseflow.tables import Scratch
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents with a language, as learned from those that are not held out."""
+    found = language.learn_and_identify(docs)
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document whose doc_id its group is named by. Of rows that repeat this id, all with the same doc_id and
+    text stay one: the copies go."""
+    classes = similarity.similar_classes(docs)
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Language sets by expectation-maximisation and token ids have no SQL form.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, f"stage{k}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neighbours, packing, similarity, warc
+from . import attribution, decontaminate, language, licenses, neighbours, packing, preferences, similarity, urls, warc
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -61,6 +65,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -74,17 +82,73 @@ FROM p LEFT JOIN f USING (d)
 """
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return preferences.format_preferences(turns, preferences.shortened_answers(turns)).withColumns({"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")})
+
+
+OP8_SQL = r"""
+WITH a AS (SELECT conv_id, list(turn ORDER BY turn) AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+cut AS (SELECT conv_id, l[conv_id % len(l) + 1] AS cut FROM a),
+c AS (SELECT t.conv_id, turn, role, text FROM conversations t SEMI JOIN cut USING (conv_id)),
+r AS (SELECT t.conv_id, turn, role, CASE WHEN turn = cut THEN left(text, CAST(floor(length(text) / 2) AS BIGINT)) ELSE text END AS text
+  FROM conversations t JOIN cut USING (conv_id) WHERE turn <= cut),
+both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn,
+  coalesce(c.role = r.role AND c.text = r.text, false) AS same FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
+n AS (SELECT conv_id, coalesce(min(CASE WHEN NOT same THEN turn END), max(turn) + 1) AS n FROM both_ GROUP BY conv_id),
+rows_ AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r' AS side, * FROM r),
+shown AS (SELECT side, conv_id, turn, role, n, turn < n AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM rows_ JOIN n USING (conv_id)),
+placed AS (SELECT *, sum(length(s)) OVER (PARTITION BY side, conv_id, shared ORDER BY turn) AS stop FROM shown),
+parts AS (SELECT side, conv_id, shared, string_agg(s, '' ORDER BY turn) AS s,
+  string_agg(CASE WHEN role = 'assistant' THEN CAST(stop - length(s) + length(role) + 5 AS VARCHAR) || '-' || CAST(stop - 1 AS VARCHAR) END, ',' ORDER BY turn) AS spans
+  FROM placed GROUP BY ALL)
+SELECT n.conv_id, CAST(n.n AS INTEGER) AS prompt_turns, coalesce(p.s, '') AS prompt, coalesce(x.s, '') AS chosen, coalesce(y.s, '') AS rejected,
+  coalesce(x.spans, '') AS chosen_spans, coalesce(y.spans, '') AS rejected_spans
+FROM n LEFT JOIN parts p ON p.conv_id = n.conv_id AND p.side = 'c' AND p.shared
+LEFT JOIN parts x ON x.conv_id = n.conv_id AND x.side = 'c' AND NOT x.shared
+LEFT JOIN parts y ON y.conv_id = n.conv_id AND y.side = 'r' AND NOT y.shared
+"""
+
+
 def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    captures = pages.withColumn("fetched", urls.fetched(F.col("page_id")))
+    return urls.filter_captures(captures, urls.derived_list(pages)).select("page_id", "fetched", "host", "blocked", "matched_entry", "active_since")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched,
+  nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '') AS host FROM pages),
+s AS (SELECT page_id, fetched, array_to_string(string_split(host, '.')[k:], '.') AS entry FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p)),
+e AS (SELECT entry, count(*) * 31 + length(entry) * 17 AS k FROM s WHERE contains(entry, '.') GROUP BY entry),
+events_ AS (SELECT entry, DATE '2024-01-01' + CAST(k % 200 AS INTEGER) AS day, true AS active FROM e WHERE k % 3 <> 0
+  UNION ALL SELECT entry, DATE '2024-01-01' + CAST(k % 200 + 20 + k % 60 AS INTEGER), false FROM e WHERE k % 3 <> 0 AND k % 4 <> 0
+  UNION ALL SELECT entry, DATE '2024-01-01' + CAST(k % 200 + 100 AS INTEGER), true FROM e WHERE k % 3 <> 0 AND k % 5 = 0),
+days AS (SELECT entry, day, bool_or(active) AS active FROM events_ GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY entry ORDER BY day), false) AS was FROM days) WHERE active <> was),
+v AS (SELECT * FROM (SELECT entry, active, day AS since, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM changes) WHERE active),
+m AS (SELECT page_id, arg_max(entry, length(entry)) AS matched_entry, arg_max(since, length(entry)) AS active_since
+  FROM s JOIN v USING (entry) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY page_id)
+SELECT page_id, fetched, host, matched_entry IS NOT NULL AS blocked, matched_entry, active_since FROM p LEFT JOIN m USING (page_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_token_attribution": op6_token_attribution,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_preference_format": op8_preference_format,
     "op9_learned_partitions": op9_learned_partitions,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force or held-out accuracy.
@@ -92,4 +156,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": OP3_SQL,
     "op5_decontamination": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
+    "op8_preference_format": OP8_SQL,
+    "op10_url_filter": OP10_SQL,
 }
