@@ -21,8 +21,10 @@ SKETCH_BITS, SKETCH_PARTS = 21, 64
 LIST_ROWS = 512
 #: Classes that the numbers of sets are hashed to when a later scan picks the sets it must give.
 PICK_BITS = 22
-#: Relative width of a block of sizes in an index list.
+#: Relative width of a block of positions in an index list.
 BLOCK_STEP = 1.05
+#: Of a set of n, the prefix holds n // EXTRA shingles more than one shared one would need.
+EXTRA = 10
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -95,7 +97,9 @@ def sketch(parts: DataFrame, partitions: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text_col: str, width: int, salt: int, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """Index rows (token, salt, shards, sid, size, pos) of the rarest shingles that a partner must share one of."""
+    """Index rows (token, salt, sid, meta) of the rarest shingles of each set; meta packs size, position and the logarithm of the
+    number of parts of the list. A token is 48 bits of the hash: two shingles under one token make a longer list, no wrong link.
+    A further row per set, with salt -1, has the place of its last shingle in the order of all."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     mean = float(np.mean(2 ** (levels / 8.0) - 1)) if len(levels) else 0.0
     shift = np.uint64(64 - SKETCH_BITS)
@@ -103,25 +107,36 @@ def prefixes(docs: DataFrame, text_col: str, width: int, salt: int, levels: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         rows = 2 ** (np.arange(256) / 8.0) - 1 - mean
-        shards = (1 << np.ceil(np.log2(np.maximum(rows / LIST_ROWS, 1))).astype(np.int64)).astype(np.int32)
+        log_parts = np.ceil(np.log2(np.maximum(rows / LIST_ROWS, 1))).astype(np.int64)
         seen: set[int] = set()  # of this task: copies of a set give the same rows
         for _, sets in shingle_sets(batches, width):
-            token, sid, size, pos, level_of = [], [], [], [], []
+            token, sid, meta, level_of, ends = [], [], [], [], []
             for own in sets:
                 n = len(own)
                 if not n or (of := number(fingerprint(own, salt))) in seen:
                     continue
                 seen.add(of)
-                keep = n - -(-num * n // den) + 1
+                keep = prefix_length(n, num, den)
                 level = levels[(own >> shift).astype(np.int64)]
-                first = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8)), kind="stable")[:keep]
-                token.append(own[first]), level_of.append(level[first])
-                sid.append(np.full(keep, of, np.int64)), size.append(np.full(keep, n, np.int32)), pos.append(np.arange(keep, dtype=np.int32))
+                order = (level.astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
+                first = np.argsort(order, kind="stable")[:keep]
+                token.append(own[first] >> np.uint64(16)), level_of.append(level[first]), sid.append(np.full(keep, of, np.int64))
+                meta.append((n << 32) + (np.arange(keep, dtype=np.int64) << 8))
+                ends.append((order[first[-1]] ^ np.uint64(1 << 63), of, n << 32))
             if token:
-                sid, parts = np.concatenate(sid), shards[np.concatenate(level_of)]
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(token).view(np.int64), "salt": (sid & (parts - 1)).astype(np.int32), "shards": parts, "sid": sid, "size": np.concatenate(size), "pos": np.concatenate(pos)})
+                sid, parts = np.concatenate(sid), log_parts[np.concatenate(level_of)]
+                last, of, n = (np.array(x, t) for x, t in zip(zip(*ends), (np.uint64, np.int64, np.int64)))
+                yield pa.RecordBatch.from_pydict({
+                    "token": np.concatenate([*token, last]).view(np.int64), "salt": np.concatenate([sid & ((1 << parts) - 1), np.full(len(of), -1)]).astype(np.int32),
+                    "sid": np.concatenate([sid, of]), "meta": np.concatenate([np.concatenate(meta) + parts, n]),
+                })
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, salt int, shards int, sid long, size int, pos int")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, salt int, sid long, meta long")
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Linked sets have at least n // EXTRA + 1 of this many first shingles of each, n being the smaller set's, in common."""
+    return n - -(-num * n // den) + n // EXTRA + 1
 
 
 def sets_of(docs: DataFrame, text_col: str, width: int, salt: int, wanted: DataFrame) -> DataFrame:
@@ -177,16 +192,27 @@ class Rule:
         return f"(least({x}, {y}) * {self.den} >= greatest({x}, {y}) * {self.num})"
 
     def positions(self, x: str, px: str, y: str, py: str) -> str:
-        """Can sets whose first shared token is at these positions share enough of what follows? Linked sets hold at the
-        first token they share, which is one row of their lists; that other rows fail loses nothing."""
-        return f"(least({x} - {px}, {y} - {py}) >= {self.needed(x, y)})"
+        """Can sets with a shared token at these positions reach the intersection with what they share before and after it?"""
+        return f"(least({px}, {py}) + least({x} - {px}, {y} - {py}) >= {self.needed(x, y)})"
+
+    def prefix(self, x: str) -> str:
+        return f"({x} - (({self.num} * {x} + {self.den - 1}) div {self.den}) + {x} div {EXTRA} + 1)"
+
+    def common(self, x: str) -> str:
+        """The least number of prefix tokens that a set has in common with a linked one, which may be smaller."""
+        return f"((({self.num} * {x} + {self.den - 1}) div {self.den}) div {EXTRA} + 1)"
+
+    def alone(self, x: str, ax: str, ex: str, y: str, ay: str, ey: str) -> str:
+        """Can sets reach the intersection, given how many tokens of each prefix no other prefix has, and where the prefixes end in the order of all?
+        The prefix that ends first has nothing there that the other set could hold beyond its own prefix."""
+        return f"(case when {ex} <= {ey} then {x} - {ax} else {y} - {ay} end >= {self.needed(x, y)})"
 
     def linked(self, inter: str, x: str, y: str) -> str:
         return f"({inter} * {self.den} >= ({x} + {y} - {inter}) * {self.num})"
 
 
-def block(size: Column) -> Column:
-    return F.floor(F.log(size) / float(np.log(BLOCK_STEP))).cast("int")
+def block(places: Column) -> Column:
+    return F.floor(F.log(places) / float(np.log(BLOCK_STEP))).cast("int")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -202,13 +228,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     be distinct. Steps, each a scan or a join over all rows:
 
     1. Equal sets become one. A sketch counts all shingles, and orders them by rarity.
-    2. The first |s| - ceil(0.8 |s|) + 1 shingles of each set go to index lists. A list expected to be long is cut
-       by set number. Lists with one set end here.
-    3. Each set is compared with the smallest set of its lists (that with which it shares most lists), its pivot.
-    4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks
-       of sizes; the position of the shared shingle bounds the partner's size, so a set skips whole blocks.
-       Of two sets with the same pivot, their intersections with it, computed in step 3, bound their own intersection from
-       both sides, which mostly answers the pair without reading it. The others are compared exactly.
+    2. The first |s| - ceil(0.8 |s|) + |s| div 10 + 1 shingles of each set go to index lists; a list expected to be long is cut by set
+       number. Linked sets share at least ceil(0.8 |s|) div 10 + 1 of these, so a set with fewer in lists of two or
+       more is linked with none and leaves. Of those that stay, the shingles of the shortest lists suffice, all but that number less one.
+    3. Each set is compared with one other, its pivot: of each of its lists the set with the fewest shingles of its own, which for copies is what they were
+       copied from, and of these the one met most often.
+    4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks by how many shingles
+       follow the position; a partner's position lies within bounds, so a set skips all other blocks. A set's prefix shingles that no other
+       prefix has count against it. Of two sets with the same pivot, their intersections with it, computed in step 3, bound their own from both sides, which answers
+       many pairs without reading them. The others are compared exactly.
     5. Connected components over the links.
 
     Sets of large groups of near copies are thus compared with a pivot, not with each other, and no pair is skipped
@@ -228,20 +256,29 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.select("sid", "rep")
     levels = sketch(table.where("part is not null").select("part", "counts"), partitions)
 
-    # 2. Index lists with at least two sets, each row with the list's smallest.
-    whole = Window.partitionBy("token", "salt")
-    indexed = prefixes(docs, text_col, width, salt, levels, num, den).repartition("token", "salt")
-    lists = indexed.select("*", F.min(F.struct("size", "sid", "pos")).over(whole).alias("p"), F.min("sid").over(whole).alias("least"), F.max("sid").over(whole).alias("most"))
-    lists = scratch.save(lists.where("least <> most or shards > 1").select("token", "shards", "sid", "size", "pos", F.col("p.sid").alias("psid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos")), "lists")
-
-    # 3. One pivot each; the pivots of the parts of a list go to the list's smallest.
-    own = lists.where("sid <> psid").where(rule.sizes("size", "psize")).where(rule.positions("size", "pos", "psize", "ppos")).groupBy("sid", "psid").agg(F.count("*").alias("n"))
-    own = own.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid"))
-    parts = lists.where("shards > 1").select("token", "psid", "psize", "ppos").distinct()
-    heads = parts.groupBy("token").agg(F.min(F.struct("psize", "psid", "ppos")).alias("h"))
-    across = parts.join(heads, "token").where("psid <> h.psid").where(rule.sizes("psize", "h.psize")).where(rule.positions("psize", "ppos", "h.psize", "h.ppos"))
-    pairs = own.union(across.select(F.col("psid").alias("sid"), F.col("h.psid").alias("psid")))
+    # 2. Rows of lists with at least two sets, of the sets with enough of them.
+    by = Window.partitionBy("token", "salt").orderBy("sid")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    indexed = prefixes(docs, text_col, width, salt, levels, num, den).select("*", F.first("sid").over(every).alias("least"), F.last("sid").over(every).alias("most"), F.lag("sid").over(by).alias("before"))
+    shared = indexed.where("(least <> most or meta & 255 > 0 or salt = -1) and (before is null or before <> sid)").select("token", "salt", "sid", F.expr("cast(shiftright(meta, 32) as int) size"), F.expr("cast(shiftright(meta, 8) & 16777215 as int) pos"))
+    shared = scratch.save(shared, "shared")
+    own = Window.partitionBy("sid")
+    counted = shared.withColumns({"n": F.count_if(F.col("salt") >= 0).over(own), "end": F.max(F.when(F.col("salt") < 0, F.col("token"))).over(own)})
+    enough = counted.where(F.col("n") >= F.expr(rule.common("size"))).where("salt >= 0").withColumn("alone", F.expr(f"{rule.prefix('size')} - n")).drop("n", "salt")
+    enough = scratch.save(enough, "enough")
+    scratch.drop("shared")
+    heads = enough.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("alone", "size", "sid", "pos")).alias("p")).where("df > 1")
+    heads = scratch.save(heads.select("token", "df", F.col("p.sid").alias("psid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos")), "heads")
+    lists = enough.join(heads, "token").withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.expr(rule.common("size")))
+    lists = lists.withColumns({"rarest": F.row_number().over(own.orderBy("df", "token")) <= F.col("n") - F.expr(rule.common("size")) + 1, "alone": F.expr(f"{rule.prefix('size')} - n")}).drop("n", "df")
+    lists = scratch.save(lists, "lists")
+    scratch.drop("enough", "heads")
+
+    # 3. One pivot each.
+    met = lists.where("sid <> psid").where(rule.sizes("size", "psize")).where(rule.positions("size", "pos", "psize", "ppos")).groupBy("sid", "psid").agg(F.count("*").alias("n"))
+    pairs = met.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid"))
     pairs = scratch.save(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "pairs")
+    lists = lists.where("rarest")
     sets = scratch.save(sets_of(docs, text_col, width, salt, lists.select("sid")), "sets")
     known = scratch.save(overlap(pairs, sets), "known")
     linked = known.where(rule.linked("inter", "na", "nb"))
@@ -250,24 +287,28 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # 4. The rest, in lists whose sets are not all connected yet.
     answers = known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "inter", F.col("nb").alias("psize")).union(known.select(F.col("b").alias("sid"), F.col("a").alias("pivot"), "inter", F.col("na").alias("psize")))
     anchors = answers.groupBy("sid").agg(F.max_by(F.struct("pivot", "inter", "psize"), F.struct("inter", "pivot")).alias("k"))
+    ends = scratch.save(lists.select("sid", F.col("end").alias("pend")).distinct(), "ends")
     anchors = scratch.save(anchors.select("sid", "k.pivot", "k.inter", "k.psize"), "anchors")
-    placed = lists.select("token", "sid", "size", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
+    anchors = scratch.save(anchors.join(ends.withColumnRenamed("sid", "pivot"), "pivot", "left").select("sid", "pivot", "inter", "psize", "pend"), "anchors-ends")
+    placed = lists.select("token", "sid", "size", "pos", "alone", "end").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
     placed = scratch.save(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
     counted = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
     main = scratch.save(counted.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "main")
-    open_ = scratch.save(placed.join(main, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main").withColumn("block", block(F.col("size"))), "open")
-    low = F.ceil(F.col("size") * num / den)
-    # By its position, a set can only reach the intersection with partners up to this size.
-    high = F.least(F.floor(F.col("size") * den / num), F.floor((F.col("size") - F.col("pos")) * (num + den) / num) - F.col("size"))
+    open_ = scratch.save(placed.join(main, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main").withColumn("block", block(F.col("size") - F.col("pos"))), "open")
+    # By its position, a set can only reach the intersection with partners that have so many shingles from theirs on.
+    low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
+    high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
     reach = open_.where("minor").withColumn("block", F.explode(F.sequence(block(low) - 1, block(high) + 1)))
-    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "root", "pivot", "inter", "psize")])
-    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "root", "pivot", "inter")])
+    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "alone", "end", "root", "pivot", "inter", "psize", "pend")])
+    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "alone", "end", "root", "pivot", "inter")])
     met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
-    met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y"))
-    # |x & y| from |x & p| and |y & p|: at most what both can share inside p and outside, at least what p has no room for.
+    met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y")).where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
+    # |x & y| from |x & p| and |y & p|: at most what both can share inside p and outside, where exclusive shingles don't count;
+    # at least what p has no room for.
     needed = rule.needed("size_x", "size_y")
     same = "coalesce(pivot_x = pivot_y, false)"
-    met = met.where(f"not {same} or least(inter_x, inter_y) + least(size_x - inter_x, size_y - inter_y) >= {needed}")
+    outside = lambda x, y: f"(size_{x} - inter_{x} - if(end_{x} <= end_{y} and end_{x} <= pend_x, alone_{x}, 0))"
+    met = met.where(f"not {same} or least(inter_x, inter_y) + least({outside('x', 'y')}, {outside('y', 'x')}) >= {needed}")
     derived = F.expr(f"{same} and inter_x + inter_y - psize_x >= {needed}")
     rest = met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"), derived.alias("derived"))
     rest = rest.groupBy("a", "b").agg(F.bool_or("derived").alias("derived")).join(pairs, ["a", "b"], "left_anti")
