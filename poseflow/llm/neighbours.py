@@ -15,9 +15,9 @@ from ..tables import Scratch
 
 #: The partitioner is fitted on at most this many vectors, those with the smallest hashes of their ids.
 SAMPLE = 16_384
-MAX_PARTS, ROWS_PER_PART = 256, 500
-#: Vectors that are scored together.
-BLOCK = 1_024
+PARTS = 32
+#: Vectors that are scored together, and of which a part's rows are dealt to tasks at a time.
+BLOCK, DEALT = 1_024, 256
 
 
 def usable(vector: Column) -> Column:
@@ -112,11 +112,11 @@ class Partitioner:
         return self.router.probabilities(vectors / self.scale)
 
     @staticmethod
-    def fit(sample: np.ndarray, rows: int, k: int, seed: int = 0) -> Partitioner:
+    def fit(sample: np.ndarray, k: int, seed: int = 0) -> Partitioner:
         """The neighbour graph of the sample, its balanced parts, and the classifier that learns where neighbours are."""
         n = len(sample)
         scale = float(np.sqrt((sample**2).sum(1).mean())) / np.sqrt(sample.shape[1])
-        parts = int(np.clip(rows // ROWS_PER_PART, 1, min(MAX_PARTS, max(1, n // 64))))
+        parts = int(np.clip(n // 64, 1, PARTS))
         if parts == 1:
             return Partitioner(Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), scale, 1)
         graph = graph_of(sample, min(k, n - 1))
@@ -165,18 +165,30 @@ def _rows(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 _BLOCK_SCHEMA = "part int, ids binary, vectors binary"
 
 
+def assigned(rows: DataFrame, partitioner) -> DataFrame:
+    """rows (id, v) with part, the most probable one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                part = partitioner.value.probabilities(_matrix(batch)).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
+
+    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, part int")
+
+
 def blocks_by_part(rows: DataFrame, partitioner, size: int, route=None) -> DataFrame:
-    """Blocks of the rows (id, v): each row in its most probable part, or with `route` in all parts that this gives for its
-    probabilities. A task holds at most 64 blocks' worth of rows."""
+    """Blocks of the rows (id, v): each row in its column part, or with `route` in all parts that this gives for its probabilities. A
+    task holds at most 64 blocks' worth of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, held = partitioner.value, _Blocks(size)
+        held = _Blocks(size)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch)
-                p = fitted.probabilities(vectors)
-                row, part = (np.arange(len(p)), p.argmax(1)) if route is None else route(p)
+                row, part = (np.arange(len(ids)), batch.column("part").to_numpy()) if route is None else route(partitioner.value.probabilities(vectors))
                 for k in np.unique(part).tolist():
                     some = row[part == k]
                     if full := list(held.add(k, ids[some], vectors[some])):
@@ -189,40 +201,45 @@ def blocks_by_part(rows: DataFrame, partitioner, size: int, route=None) -> DataF
     return rows.mapInArrow(run, _BLOCK_SCHEMA)
 
 
-def _nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id, in order."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _best_of_block(qi: np.ndarray, qv: np.ndarray, ci: np.ndarray, cv: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query places, ids and exact scores of each query's k nearest candidates of a block."""
+    rough = qv @ cv.T
+    rough[qi[:, None] == ci[None, :]] = -np.inf
+    # Sums in another order may differ in the last bits, and equal vectors must tie: what is near the k-th is scored anew.
+    least = np.partition(rough, len(ci) - k, axis=1)[:, len(ci) - k] if len(ci) > k else np.full(len(qi), -np.inf)
+    row, place = np.nonzero((rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None]) & (rough > -np.inf))
+    return row, ci[place], (qv[row] * cv[place]).sum(1)
 
 
 def search_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): for each query of each pair of blocks, its k nearest there but itself."""
+    """(query_id, vec_id, score): for each block of queries and part, each query's k nearest there but itself. Pairs of one
+    block of queries follow each other, and are merged before they leave the task."""
+
+    def first(row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        start = np.searchsorted(row, row, "left")
+        keep = np.arange(len(row)) - start < k
+        return row[keep], ids[keep], scores[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best = None, None
+
+        def out() -> pa.RecordBatch:
+            row, ids, scores = best
+            return pa.RecordBatch.from_pydict({"query_id": held[row], "vec_id": ids, "score": scores})
+
         for batch in batches:
             for j in range(batch.num_rows):
                 qi, qv, ci, cv = (np.frombuffer(batch.column(c)[j].as_buffer(), t) for c, t in (("qi", "<i8"), ("qv", "<f8"), ("ci", "<i8"), ("cv", "<f8")))
-                qv, cv = qv.reshape(len(qi), -1), cv.reshape(len(ci), -1)
-                rough = qv @ cv.T
-                rough[qi[:, None] == ci[None, :]] = -np.inf
-                out = [], [], []
-                for row, (query, vector) in enumerate(zip(qi, qv)):
-                    scores = rough[row]
-                    n = min(k, int(np.count_nonzero(scores > -np.inf)))
-                    if not n:
-                        continue
-                    # Sums in another order may differ in the last bits; equal vectors must tie.
-                    least = np.partition(scores, len(scores) - n)[len(scores) - n]
-                    near = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
-                    exact = (vector[None, :] * cv[near]).sum(1)
-                    best = _nearest(exact, ci[near], n)
-                    out[0].append(np.full(len(best), query)), out[1].append(ci[near][best]), out[2].append(exact[best])
-                if out[0]:
-                    yield pa.RecordBatch.from_pydict({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+                found = _best_of_block(qi, qv.reshape(len(qi), -1), ci, cv.reshape(len(ci), -1), k)
+                if held is None or not np.array_equal(held, qi):
+                    if held is not None:
+                        yield out()
+                    held, best = qi.copy(), tuple(x[:0] for x in found)
+                best = first(*[np.concatenate(x) for x in zip(best, found)])
+        if held is not None:
+            yield out()
 
     return pairs.select("qi", "qv", "ci", "cv").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -238,7 +255,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     goes to its most probable parts until these hold `mass` of the probability, and k + 1 rows at least; there all
     rows are scored. The recall is about `mass`; 1.0 searches all.
 
-    Rows are scored in blocks against blocks of queries of the same part, a join whose hot parts adaptive execution can split.
+    A part's rows are dealt to tasks by hash, so none gathers a large part, and gathered into blocks. These are scored against blocks of queries of the same part, a join whose hot parts adaptive execution can split.
     Unusable vectors (null, zero, with null or non-finite components) and null ids take no part, nor do vectors of
     another length than the most frequent one (the longest of equally frequent). Repeated rows are found each.
     """
@@ -253,11 +270,14 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     rows = rows.where(F.size("v") == lengths["d"])
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     sample = drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, lengths["d"])
-    fitted = spark.sparkContext.broadcast(Partitioner.fit(sample, lengths["n"], k))
-    index = scratch.save(blocks_by_part(rows.select("id", "v"), fitted, BLOCK), "index")
+    fitted = spark.sparkContext.broadcast(Partitioner.fit(sample, k))
+    placed = scratch.save(assigned(rows, fitted), "placed")
     sizes = np.zeros(fitted.value.parts, np.int64)
-    for part, n in index.groupBy("part").agg(F.sum(F.octet_length("ids") / 8).cast("long")).collect():
+    for part, n in placed.groupBy("part").agg(F.count("*")).collect():
         sizes[part] = n
+    deals = F.element_at(F.array(*[F.lit(int(n) // DEALT + 1) for n in sizes]), F.col("part") + 1)
+    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", F.pmod(F.xxhash64("id"), deals))
+    index = scratch.save(blocks_by_part(dealt, fitted, BLOCK), "index")
 
     def route(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-p, axis=1, kind="stable")
