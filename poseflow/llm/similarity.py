@@ -159,23 +159,41 @@ def sets_of(docs: DataFrame, text_col: str, width: int, salt: int, wanted: DataF
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "sid long, tokens binary").dropDuplicates(["sid"])
 
 
+#: Words of 64 bits to which the shingles of one of two compared sets alone are hashed.
+MASK = 4
+MASKS = [f"{side}{k}" for side in ("only_a", "only_b") for k in range(MASK)]
+
+
 def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with na, nb and inter, the exact size of the intersection."""
+    """pairs (a, b) with na, nb, inter, the exact size of the intersection, and the masks of what only a and only b have."""
+
+    def mask(own: np.ndarray) -> np.ndarray:
+        bits = np.zeros(64 * MASK, np.uint8)
+        bits[(own >> np.uint64(8)) % np.uint64(64 * MASK)] = 1
+        return np.packbits(bits).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                na, nb, inter = [], [], []
+                na, nb, inter, masks = [], [], [], []
                 for x, y in zip(some.column("ta"), some.column("tb")):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    na.append(len(x)), nb.append(len(y)), inter.append(int(np.count_nonzero(both[1:] == both[:-1])))
-                yield pa.RecordBatch.from_pydict({"a": some.column("a"), "b": some.column("b"), "na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "inter": pa.array(inter, pa.int64())})
+                    order = np.argsort(both, kind="stable")
+                    twice = both[order][1:] == both[order][:-1]
+                    once = np.ones(len(both), bool)
+                    once[order[1:][twice]] = False
+                    once[order[:-1][twice]] = False
+                    na.append(len(x)), nb.append(len(y)), inter.append(int(np.count_nonzero(twice)))
+                    masks.append(np.concatenate([mask(x[once[: len(x)]]), mask(y[once[len(x) :]])]))
+                masks = np.array(masks)
+                out = {"a": some.column("a"), "b": some.column("b"), "na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "inter": pa.array(inter, pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | {c: pa.array(masks[:, k]) for k, c in enumerate(MASKS)})
 
     with_b = pairs.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-    return with_b.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, inter long")
+    both = with_b.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
+    return both.mapInArrow(run, "a long, b long, na long, nb long, inter long, " + ", ".join(f"{c} long" for c in MASKS))
 
 
 class Rule:
@@ -231,8 +249,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. The first |s| - ceil(0.8 |s|) + |s| div 10 + 1 shingles of each set go to index lists; a list expected to be long is cut by set
        number. Linked sets share at least ceil(0.8 |s|) div 10 + 1 of these, so a set with fewer in lists of two or
        more is linked with none and leaves. Of those that stay, the shingles of the shortest lists suffice, all but that number less one.
-    3. Each set is compared with one other, its pivot: of each of its lists the set with the fewest shingles of its own, which for copies is what they were
-       copied from, and of these the one met most often.
+    3. Each set is compared with one other, its pivot, and with the pivot's pivot: of each of its lists the set with the fewest shingles
+       of its own, which for copies is what they were copied from, and of these the one met most often.
     4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks by how many shingles
        follow the position; a partner's position lies within bounds, so a set skips all other blocks. A set's prefix shingles that no other
        prefix has count against it. Of two sets with the same pivot, their intersections with it, computed in step 3, bound their own from both sides, which answers
@@ -276,7 +294,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 3. One pivot each.
     met = lists.where("sid <> psid").where(rule.sizes("size", "psize")).where(rule.positions("size", "pos", "psize", "ppos")).groupBy("sid", "psid").agg(F.count("*").alias("n"))
-    pairs = met.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid"))
+    pivots = scratch.save(met.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid")), "pivots")
+    further = pivots.join(pivots.select(F.col("sid").alias("psid"), F.col("psid").alias("next")), "psid").select("sid", F.col("next").alias("psid"))
+    pairs = pivots.union(further).where("sid <> psid")
     pairs = scratch.save(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "pairs")
     lists = lists.where("rarest")
     sets = scratch.save(sets_of(docs, text_col, width, salt, lists.select("sid")), "sets")
@@ -285,11 +305,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = scratch.save(connected_components(linked), "roots")
 
     # 4. The rest, in lists whose sets are not all connected yet.
-    answers = known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "inter", F.col("nb").alias("psize")).union(known.select(F.col("b").alias("sid"), F.col("a").alias("pivot"), "inter", F.col("na").alias("psize")))
-    anchors = answers.groupBy("sid").agg(F.max_by(F.struct("pivot", "inter", "psize"), F.struct("inter", "pivot")).alias("k"))
-    ends = scratch.save(lists.select("sid", F.col("end").alias("pend")).distinct(), "ends")
-    anchors = scratch.save(anchors.select("sid", "k.pivot", "k.inter", "k.psize"), "anchors")
-    anchors = scratch.save(anchors.join(ends.withColumnRenamed("sid", "pivot"), "pivot", "left").select("sid", "pivot", "inter", "psize", "pend"), "anchors-ends")
+    def side(own: str, other: str) -> DataFrame:
+        masks = [F.col(f"only_{x}{k}").alias(f"{n}{k}") for n, x in (("own", own), ("lacks", other)) for k in range(MASK)]
+        return known.select(F.col(own).alias("sid"), F.col(other).alias("pivot"), "inter", F.col(f"n{other}").alias("psize"), *masks)
+
+    kept = ["pivot", "inter", "psize", *[f"{n}{k}" for n in ("own", "lacks") for k in range(MASK)]]
+    answers = scratch.save(side("a", "b").union(side("b", "a")), "answers")
+    answers = answers.join(scratch.save(answers.groupBy("pivot").agg(F.count("*").alias("met")), "popular"), "pivot")
+    anchors = answers.groupBy("sid").agg(F.max_by(F.struct(*kept), F.struct("met", "inter", "pivot")).alias("k"))
+    anchors = scratch.save(anchors.select("sid", "k.*"), "anchors")
     placed = lists.select("token", "sid", "size", "pos", "alone", "end").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
     placed = scratch.save(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
     counted = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
@@ -299,16 +323,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
     high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
     reach = open_.where("minor").withColumn("block", F.explode(F.sequence(block(low) - 1, block(high) + 1)))
-    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "alone", "end", "root", "pivot", "inter", "psize", "pend")])
-    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "alone", "end", "root", "pivot", "inter")])
+    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "alone", "end", "root", *kept)])
+    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "alone", "end", "root", *kept)])
     met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
     met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y")).where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
-    # |x & y| from |x & p| and |y & p|: at most what both can share inside p and outside, where exclusive shingles don't count;
+    # |x & y| from |x & p| and |y & p|: inside p at most what neither lacks, outside at most what isn't seen to be one's own;
     # at least what p has no room for.
     needed = rule.needed("size_x", "size_y")
     same = "coalesce(pivot_x = pivot_y, false)"
-    outside = lambda x, y: f"(size_{x} - inter_{x} - if(end_{x} <= end_{y} and end_{x} <= pend_x, alone_{x}, 0))"
-    met = met.where(f"not {same} or least(inter_x, inter_y) + least({outside('x', 'y')}, {outside('y', 'x')}) >= {needed}")
+    bits = lambda f: "(" + " + ".join(f"bit_count({f.format(k=k)})" for k in range(MASK)) + ")"
+    inside = f"least(inter_x, inter_y, psize_x - {bits('lacks{k}_x | lacks{k}_y')})"
+    outside = f"least(size_x - inter_x - {bits('own{k}_x & ~own{k}_y')}, size_y - inter_y - {bits('own{k}_y & ~own{k}_x')})"
+    met = met.where(f"not {same} or {inside} + {outside} >= {needed}")
     derived = F.expr(f"{same} and inter_x + inter_y - psize_x >= {needed}")
     rest = met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"), derived.alias("derived"))
     rest = rest.groupBy("a", "b").agg(F.bool_or("derived").alias("derived")).join(pairs, ["a", "b"], "left_anti")
