@@ -1,2 +1,8 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+"""Queries over the given tables for the operators, each with its SQL for DuckDB."""
+
+from __future__ import annotations
+
+from . import evaluation, geometry, pipeline_tables, tables
+
+QUERIES = {**evaluation.REGISTRY.queries, **geometry.REGISTRY.queries, **tables.REGISTRY.queries, **pipeline_tables.REGISTRY.queries}
+ORACLE_SQL = {**evaluation.REGISTRY.sql, **geometry.REGISTRY.sql, **tables.REGISTRY.sql, **pipeline_tables.REGISTRY.sql}

@@ -1,0 +1 @@
+"""No operator here is a stream; work that can be resumed is a batch anti join, `operators.joins.pending`."""
