@@ -220,6 +220,12 @@ class Rule:
         """The least number of prefix tokens that a set has in common with a linked one, which may be smaller."""
         return f"((({self.num} * {x} + {self.den - 1}) div {self.den}) div {EXTRA} + 1)"
 
+    def ranks(self, x: str, rx: str, y: str, ry: str) -> str:
+        """Is a token among the rarest of both prefixes that one of the pair's common tokens must be among? Of x's prefix at most x - needed tokens
+        are not in y, so the prefixes have so many in common that the rarest one is not further back."""
+        common = f"least({self.prefix(x)} - {x}, {self.prefix(y)} - {y}) + {self.needed(x, y)}"
+        return f"({rx} <= {self.prefix(x)} - ({common}) + 1 and {ry} <= {self.prefix(y)} - ({common}) + 1)"
+
     def alone(self, x: str, ax: str, ex: str, y: str, ay: str, ey: str) -> str:
         """Can sets reach the intersection, given how many tokens of each prefix no other prefix has, and where the prefixes end in the order of all?
         The prefix that ends first has nothing there that the other set could hold beyond its own prefix."""
@@ -248,7 +254,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Equal sets become one. A sketch counts all shingles, and orders them by rarity.
     2. The first |s| - ceil(0.8 |s|) + |s| div 10 + 1 shingles of each set go to index lists; a list expected to be long is cut by set
        number. Linked sets share at least ceil(0.8 |s|) div 10 + 1 of these, so a set with fewer in lists of two or
-       more is linked with none and leaves. Of those that stay, the shingles of the shortest lists suffice, all but that number less one.
+       more is linked with none and leaves. Of those that stay, the shingles of the shortest lists suffice, the fewer the more two sizes
+       demand in common.
     3. Each set is compared with one other, its pivot, and with the pivot's pivot: of each of its lists the set with the fewest shingles
        of its own, which for copies is what they were copied from, and of these the one met most often.
     4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks by how many shingles
@@ -288,7 +295,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = enough.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("alone", "size", "sid", "pos")).alias("p")).where("df > 1")
     heads = scratch.save(heads.select("token", "df", F.col("p.sid").alias("psid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos")), "heads")
     lists = enough.join(heads, "token").withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.expr(rule.common("size")))
-    lists = lists.withColumns({"rarest": F.row_number().over(own.orderBy("df", "token")) <= F.col("n") - F.expr(rule.common("size")) + 1, "alone": F.expr(f"{rule.prefix('size')} - n")}).drop("n", "df")
+    lists = lists.withColumn("alone", F.expr(f"{rule.prefix('size')} - n")).withColumn("rank", F.col("alone") + F.row_number().over(own.orderBy("df", "token")))
+    lists = lists.withColumn("rarest", F.expr(f"rank <= {rule.prefix('size')} - {rule.common('size')} + 1")).drop("n", "df")
     lists = scratch.save(lists, "lists")
     scratch.drop("enough", "heads")
 
@@ -314,7 +322,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = answers.join(scratch.save(answers.groupBy("pivot").agg(F.count("*").alias("met")), "popular"), "pivot")
     anchors = answers.groupBy("sid").agg(F.max_by(F.struct(*kept), F.struct("met", "inter", "pivot")).alias("k"))
     anchors = scratch.save(anchors.select("sid", "k.*"), "anchors")
-    placed = lists.select("token", "sid", "size", "pos", "alone", "end").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
+    placed = lists.select("token", "sid", "size", "pos", "rank", "alone", "end").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
     placed = scratch.save(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
     counted = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
     main = scratch.save(counted.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "main")
@@ -323,10 +331,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
     high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
     reach = open_.where("minor").withColumn("block", F.explode(F.sequence(block(low) - 1, block(high) + 1)))
-    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "alone", "end", "root", *kept)])
-    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "alone", "end", "root", *kept)])
+    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *kept)])
+    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *kept)])
     met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
-    met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y")).where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
+    met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y")).where(rule.ranks("size_x", "rank_x", "size_y", "rank_y")).where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
     # |x & y| from |x & p| and |y & p|: inside p at most what neither lacks, outside at most what isn't seen to be one's own;
     # at least what p has no room for.
     needed = rule.needed("size_x", "size_y")
