@@ -42,8 +42,8 @@ def prune_pairs(pairs: DataFrame, pair_chains: DataFrame, criteria: DataFrame |
         missing = pair_chains.join(known, [c for c in ("code", "pair_id", "chain") if c in known.columns], "left_anti")
         kept = kept.join(missing.select("code", "pair_id").distinct(), ["code", "pair_id"], "left_anti")
     if always is not None:
-        kept = kept.unionByName(pairs.join(always.select("code").distinct(), "code", "left_semi")).distinct()
-    return kept
+        kept = kept.unionByName(pairs.join(always.select("code").distinct(), "code", "left_semi").select(*kept.columns)).distinct()
+    return kept.select(*pairs.columns)
 
 
 def attach_features(atoms: DataFrame, features: DataFrame, keys: list[str], defaults: dict, only_ca: bool = True) -> DataFrame:

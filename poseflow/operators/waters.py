@@ -93,7 +93,7 @@ def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, met
     clustered = cluster_waters(waters, distance, method)
     single = clustered.groupBy("cluster", "protein").agg(F.count("*").alias("n"), F.min("water_id").alias("water_id")).where("n = 1").drop("n")
     n_all = waters.select("protein").distinct().agg(F.count("*").alias("__all"), F.collect_set("protein").alias("__names"))
-    share = single.groupBy("cluster").agg(F.count("*").alias("n_proteins"), F.max(F.when(F.col("protein") == query, F.col("water_id"))).alias("water_id"), F.collect_list(F.struct("protein", "water_id")).alias("own"))
+    share = single.groupBy("cluster").agg(F.count("*").alias("n_proteins"), F.max(F.when(F.col("protein") == query, F.col("water_id"))).alias("water_id"), F.collect_list(F.struct("protein", F.col("water_id").cast("string").alias("water_id"))).alias("own"))
     kept = share.where("water_id is not null").crossJoin(F.broadcast(n_all)).withColumn("conservation", F.col("n_proteins") / F.col("__all")).where(F.col("conservation") >= probability)
     missing = F.transform(F.array_except("__names", F.transform("own", lambda x: x["protein"])), lambda p: F.struct(p.alias("protein"), F.lit("NoWater").alias("water_id")))
     return kept.select("cluster", "n_proteins", "conservation", "water_id", F.sort_array(F.concat("own", missing)).alias("proteins"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def whole_lines(spark: SparkSession, path: str, skip: int = 0, skip_end: int = 0) -> DataFrame:
     """(path, line, value): numbered lines from 0 of small files read whole, without the first and last so many."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
     lines = files.select("path", F.size("l").alias("n"), F.posexplode("l").alias("line", "value"))
     return lines.where((F.col("line") >= skip) & (F.col("line") < F.col("n") - skip_end)).drop("n")
 
@@ -73,7 +73,7 @@ def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
 def read_mol2_atoms(spark: SparkSession, path: str) -> DataFrame:
     """pdb_name, model, x, y, z, element, atom_name, aid, error: the ATOM blocks of mol2 files; a file without one is a row with an error
     alone (A4, J5)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("pdb_name"), F.regexp_extract("value", r"@<TRIPOS>ATOM\r?\n([^@]*)", 1).alias("block"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("pdb_name"), F.regexp_extract("value", r"@<TRIPOS>ATOM\r?\n([^@]*)", 1).alias("block"))
     lines = files.select("pdb_name", F.explode(F.split("block", r"\r?\n")).alias("value"), (F.col("block") == "").alias("bad"))
     p = fields(F.col("value"), r"\s+")
     number = lambda k: F.get(p, k).try_cast("double")
