@@ -26,11 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document whose doc_id its group is named by. Of rows that repeat this id, all with the same doc_id and
-    text stay one: the copies go."""
+    """Keeps the document whose doc_id its group is named by, the smallest. Rows that repeat a doc_id and text stay once. A document
+    without a doc_id can't be named, and stays."""
     classes = similarity.similar_classes(docs)
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def prober(index: Broadcast, item_type: pa.DataType):
 
 def merged(spans: Column, more: Column) -> Column:
     """The union of two lists of disjoint spans, in JVM expressions."""
-    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) / 2 - 1), lambda k: F.struct(F.get(c, (2 * k).cast("int")).alias("a"), F.get(c, (2 * k + 1).cast("int")).alias("b")))
+    pairs = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda k: F.struct(F.get(c, (2 * k).cast("int")).alias("a"), F.get(c, (2 * k + 1).cast("int")).alias("b")))
     listed = lambda c: F.when(F.size(c) > 0, pairs(c)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
     start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
 
