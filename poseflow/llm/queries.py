@@ -118,7 +118,7 @@ def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     captures = pages.withColumn("fetched", urls.fetched(F.col("page_id")))
-    return urls.filter_captures(captures, urls.derived_list(pages)).select("page_id", "fetched", "host", "blocked", "matched_entry", "active_since")
+    return urls.filter_captures(captures, urls.derived_list(pages)).select("page_id", F.col("fetched").cast("string").alias("fetched"), "host", "blocked", "matched_entry", F.col("active_since").cast("string").alias("active_since"))
 
 
 OP10_SQL = r"""
@@ -134,7 +134,7 @@ changes AS (SELECT * FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY ent
 v AS (SELECT * FROM (SELECT entry, active, day AS since, lead(day) OVER (PARTITION BY entry ORDER BY day) AS until FROM changes) WHERE active),
 m AS (SELECT page_id, arg_max(entry, length(entry)) AS matched_entry, arg_max(since, length(entry)) AS active_since
   FROM s JOIN v USING (entry) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY page_id)
-SELECT page_id, fetched, host, matched_entry IS NOT NULL AS blocked, matched_entry, active_since FROM p LEFT JOIN m USING (page_id)
+SELECT page_id, CAST(fetched AS VARCHAR) AS fetched, host, matched_entry IS NOT NULL AS blocked, matched_entry, CAST(active_since AS VARCHAR) AS active_since FROM p LEFT JOIN m USING (page_id)
 """
 
 
