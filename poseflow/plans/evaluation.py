@@ -37,8 +37,10 @@ def joined_poses(spark, d):
 
 
 @query("""
-WITH d AS (SELECT covar_pop(logKa, score) / (stddev_pop(logKa) * stddev_pop(score)) AS r, count(*) AS n, covar_pop(score, logKa) / var_pop(score) AS b,
-  avg(logKa) AS my, avg(score) AS mx, var_pop(logKa) AS v FROM v_core)
+WITH f AS (SELECT code, logKa FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY target, logKa) AS k FROM v_core) WHERE k = 1),
+j AS (SELECT f.logKa, s.score FROM f JOIN v_core s USING (code)),
+d AS (SELECT covar_pop(logKa, score) / (stddev_pop(logKa) * stddev_pop(score)) AS r, count(*) AS n, covar_pop(score, logKa) / var_pop(score) AS b,
+  avg(logKa) AS my, avg(score) AS mx, var_pop(logKa) AS v FROM j)
 SELECT n, r AS pearson, b AS slope, my - b * mx AS intercept, sqrt(v * n * (1 - r * r) / (n - 1)) AS sd FROM d""")
 def scoring_power(spark, d):
     core = view(spark, d, "v_core")

@@ -33,7 +33,7 @@ def to_nanomolar(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.to_nm(unit, F.col("p_retailprice")).alias("nm"))
 
 
-@query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END AS category, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 0.0 ELSE 1.0 END AS is_misc FROM part")
+@query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END AS category, CAST(CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 0 ELSE 1 END AS DOUBLE) AS is_misc FROM part")
 def categories(spark, d):
     words = ["ECONOMY", "STANDARD", "misc"]
     return table(spark, d, "part").select("p_partkey", scalars.category_index(F.col("p_type"), words).alias("category"), scalars.one_hot(F.col("p_type"), words)[2].alias("is_misc"))
@@ -272,7 +272,7 @@ def water_conservation(spark, d):
     return waters.water_conservation(w, "0", 0.04, probability=0.4).select("cluster", "n_proteins", "conservation", "water_id")
 
 
-@query("SELECT c_custkey AS ligand, (1 + c_custkey % 9) * 12.011 + (c_custkey % 4 + 1) * 1.008 + 15.999 AS mass, CAST(1 + c_custkey % 9 + c_custkey % 4 + 1 + 1 AS BIGINT) AS n_atoms, CAST(1 + c_custkey % 9 + 1 AS BIGINT) AS n_heavy FROM customer")
+@query("SELECT c_custkey AS ligand, (1 + c_custkey % 9) * 12.011::DOUBLE + (c_custkey % 4 + 1) * 1.008::DOUBLE + 15.999::DOUBLE AS mass, CAST(1 + c_custkey % 9 + c_custkey % 4 + 1 + 1 AS BIGINT) AS n_atoms, CAST(1 + c_custkey % 9 + 1 AS BIGINT) AS n_heavy FROM customer")
 def formula_features(spark, d):
     f = table(spark, d, "customer").select(F.col("c_custkey").alias("ligand"), F.concat(F.lit("C"), (1 + F.col("c_custkey") % 9).cast("string"), F.lit("H"), (F.col("c_custkey") % 4 + 1).cast("string"), F.lit("O")).alias("formula"))
     return residues.formula_features(f).select("ligand", "mass", F.col("n_atoms").cast("long").alias("n_atoms"), F.col("n_heavy").cast("long").alias("n_heavy"))
@@ -303,7 +303,7 @@ def first_ligand(spark, d):
 
 
 @query("""WITH b AS (SELECT s_suppkey, s_suppkey % 4 AS p, s_nationkey % 3 AS c, sum((s_suppkey % 4) * (s_nationkey % 3)) OVER (ORDER BY s_suppkey) AS stop FROM supplier), v AS (SELECT o_orderkey AS position, o_totalprice AS value FROM orders)
-SELECT s_suppkey, (position - (stop - p * c)) // c AS i, (position - (stop - p * c)) % c AS j, value FROM b JOIN v ON position >= stop - p * c AND position < stop""")
+SELECT s_suppkey, CAST((position - (stop - p * c)) // c AS BIGINT) AS i, CAST((position - (stop - p * c)) % c AS BIGINT) AS j, value FROM b JOIN v ON position >= stop - p * c AND position < stop""")
 def sliced_vector(spark, d):
     b = table(spark, d, "supplier").selectExpr("s_suppkey", "cast(s_suppkey % 4 as long) p", "cast(s_nationkey % 3 as long) c")
     return ranks.slice_flat(b, table(spark, d, "orders").selectExpr("o_orderkey as position", "o_totalprice as value"), "s_suppkey")

@@ -23,7 +23,7 @@ def con():
 
 def shown(x):
     if isinstance(x, float):
-        return "None" if math.isnan(x) else f"{x + 0.0:.6g}".replace("-0", "0") if abs(x) < 1e-9 else f"{x:.6g}"
+        return "None" if math.isnan(x) else "0" if abs(x) < 1e-9 else f"{x:.6g}"
     return str(x)
 
 
