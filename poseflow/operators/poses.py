@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, orientation
@@ -39,7 +40,9 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) ->
 def pose_spearman(poses: DataFrame, favorable: str = "positive", limits: tuple[int, ...] = tuple(range(2, 11)), least: int = 5) -> DataFrame:
     """(s, n_complexes, spearman): the mean over complexes of the rank correlation of rmsd and score of the poses with rmsd at most s,
     where there are `least`; the sign makes a good score positive (D2)."""
-    near = poses.withColumn("s", F.explode(F.array(*[F.lit(s) for s in limits]))).where(F.col("rmsd") <= F.col("s"))
+    # Complexes with too few poses leave before the rows multiply; all that follows keeps the partitioning by complex.
+    enough = poses.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("complex"))).where(F.col("__n") >= least)
+    near = enough.drop("__n").withColumn("s", F.explode(F.array(*[F.lit(s) for s in limits]))).where(F.col("rmsd") <= F.col("s"))
     each = spearman(near, ["s", "complex"], "rmsd", "score", least).where("spearman is not null")
     return each.groupBy("s").agg(F.count("*").alias("n_complexes"), (F.avg("spearman") * -orientation(favorable)).alias("spearman"))
 
@@ -130,8 +133,6 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
     AUROC comes from counts per distinct score, so no sort of a whole key is needed where scores repeat: each score's
     negatives below it and half of its own. The counts are grouped before the window.
     """
-    from pyspark.sql import Window
-
     keys = keys or []
     y, hit = F.col(label) == 1, F.col(score) >= threshold
     flag = lambda c: F.sum(c.cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import orientation
@@ -28,7 +29,7 @@ def scoring_power(df: DataFrame, x: str = "score", y: str = "logKa") -> DataFram
 
 def of_size(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Rows of keys that have exactly `size` rows."""
-    return df.join(df.groupBy(*keys).count().where(F.col("count") == size).drop("count"), keys)
+    return df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("__n") == size).drop("__n")
 
 
 def pairs_within(df: DataFrame, keys: list[str], id_col: str, columns: list[str]) -> DataFrame:
