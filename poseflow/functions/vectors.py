@@ -43,10 +43,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, so that nested vector expressions do not multiply."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
-    n = norm(a)
-    return _each(lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)), a)
+    scaled = lambda v, n: _each(lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)), v)
+    return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -72,8 +77,8 @@ def dihedral(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
 
 def sidechain_direction(n: Column, ca: Column, c: Column) -> Column:
     """Minus the bisector of CA-C and CA-N by sqrt(1/3) and minus their normal by sqrt(2/3)."""
-    to_c, to_n = unit(sub(c, ca)), unit(sub(n, ca))
-    return sub(scale(unit(add(to_c, to_n)), -math.sqrt(1 / 3)), scale(unit(cross(to_c, to_n)), math.sqrt(2 / 3)))
+    turned = lambda a, b: sub(scale(unit(add(a, b)), -math.sqrt(1 / 3)), scale(unit(cross(a, b)), math.sqrt(2 / 3)))
+    return let(unit(sub(c, ca)), lambda to_c: let(unit(sub(n, ca)), lambda to_n: turned(to_c, to_n)))
 
 
 def amide_normal(ca: Column, cb: Column, n: Column) -> Column:
@@ -83,9 +88,8 @@ def amide_normal(ca: Column, cb: Column, n: Column) -> Column:
 
 def local_frame(n: Column, ca: Column, c: Column) -> Column:
     """STRUCT of three axes of a residue: u towards N, n normal to u and CA-C, and v = n x u (H9)."""
-    u = unit(sub(n, ca))
-    normal = unit(cross(u, unit(sub(c, ca))))
-    return F.struct(normal.alias("n"), u.alias("u"), cross(normal, u).alias("v"))
+    axes = lambda u, w: F.struct(w.alias("n"), u.alias("u"), cross(w, u).alias("v"))
+    return let(unit(sub(n, ca)), lambda u: let(unit(cross(u, unit(sub(c, ca)))), lambda w: axes(u, w)))
 
 
 def in_frame(frame: Column, a: Column) -> Column:
