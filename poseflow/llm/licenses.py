@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,33 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(text: list[int], template: list[int]) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence (a bit per template word, one integer per text word)."""
+    every = (1 << len(template)) - 1
+    where: dict[int, int] = {}
+    for k, w in enumerate(template):
+        where[w] = where.get(w, 0) | 1 << k
+    rows, bits = [], every
+    for w in text:
+        some = bits & where.get(w, 0)
+        bits = ((bits + some) | (bits - some)) & every
+        rows.append(bits)
+    out, i, j = [], len(text), len(template)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     """Matched places of two word sequences. Words that occur once in each are anchors, of which a longest increasing
-    run is kept; the gaps between these are aligned alike. A gap without anchors matches equal words from its start and from its end.
+    run is kept; the gaps between these are aligned alike. A gap without anchors matches equal words from its start and from its end,
+    and a longest common subsequence of the rest.
     """
     out: list[tuple[int, int]] = []
     work = [(0, len(text), 0, len(template))]
@@ -64,6 +89,7 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
             while a < b and c < d and text[b - 1] == template[d - 1]:
                 b, d = b - 1, d - 1
                 out.append((b, d))
+            out += [(a + i, c + j) for i, j in common(text[a:b], template[c:d])]
             continue
         out += anchors
         for (i, j), (x, y) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
@@ -71,24 +97,79 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def candidates(places: list[int], length: int) -> list[tuple[int, int]]:
-    """Disjoint stretches [a, b) of template words, cut where the next is more than a template's length away."""
-    out, a = [], 0
-    for k in range(1, len(places) + 1):
-        if k == len(places) or places[k] - places[k - 1] > length:
-            out.append((a, k))
-            a = k
+#: So many words between the matched ones cost as much as one matched word is worth.
+FOREIGN = 4
+
+
+def candidates(places: list[int], text: list[int], template: list[int], least: int, reach: int) -> list[tuple[int, int]]:
+    """Disjoint stretches [a, b) of template words: all windows of `reach` words that hold `least` of the template's words, each
+    counted as often as the template has it at most."""
+    counts = Counter(template)
+    held = dict.fromkeys(counts, 0)
+    out: list[tuple[int, int]] = []
+    a = shared = 0
+    for k, (place, word) in enumerate(zip(places, text)):
+        held[word] += 1
+        shared += held[word] <= counts[word]
+        while place - places[a] >= reach:
+            shared -= held[text[a]] <= counts[text[a]]
+            held[text[a]] -= 1
+            a += 1
+        if shared >= least:
+            if out and a <= out[-1][1]:
+                out[-1] = out[-1][0], k + 1
+            else:
+                out.append((a, k + 1))
+    return out
+
+
+def occurrences(places: list[int], text: list[int], template: list[int], needed: int, reach: int) -> list[tuple[int, int]]:
+    """Disjoint spans [start, end) of words that score `needed` at least: FOREIGN for each matched word, less one for each other word
+    of the span. A local alignment finds the best span first met; the search goes on behind it.
+    """
+    where: dict[int, list[int]] = {}
+    for k, w in enumerate(template):
+        where.setdefault(w, []).append(k)
+    at_word = {w: np.array(x) for w, x in where.items()}
+    one = 1 << 32
+    out: list[tuple[int, int]] = []
+    first = 0
+    while first < len(places):
+        # By number of template words passed: the best score (high half) and where its span starts (low half).
+        state = np.full(len(template) + 1, places[first], np.int64)
+        last, best = places[first] - 1, None
+        for k in range(first, len(places)):
+            place, at = places[k], at_word[text[k]]
+            if best and place > best[2] + reach:
+                break
+            np.maximum(state - (place - last - 1) * one, place, out=state)
+            gained = state[at] + FOREIGN * one
+            np.maximum(state - one, place + 1, out=state)
+            state[at + 1] = np.maximum(state[at + 1], gained)
+            np.maximum.accumulate(state, out=state)
+            last = place
+            score, start = divmod(int(state[-1]), one)
+            if score < needed:
+                continue
+            if best and start >= best[2]:
+                out.append(best[1:])
+                best = score, start, place + 1
+            elif best is None or score > best[0]:
+                best = score, start, place + 1
+        if best is None:
+            break
+        out.append(best[1:])
+        first = bisect.bisect_left(places, best[2])
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """The id, license, coverage, matched, template_words, start_word and end_word of each document and template of which
-    at least `least` of the template's words are matched.
+    at least `least` of the template's words are matched, less one for every FOREIGN other words between them.
 
-    Words are runs of letters, digits and characters from U+0080 on, A-Z counting as a-z. Only words of a template can match it, so
-    a document's stretches of them are aligned (see `align`), cut where more than a template's length of other
-    words lies between two; a document's coverage is that of its best stretch (the first of equal ones). A stretch that holds too few of the
-    template's words, counted with repeats, to reach `least` is not aligned.
+    Words are runs of letters, digits and characters from U+0080 on, A-Z counting as a-z. Windows that hold too few of the template's words
+    to reach `least` are passed over (see `candidates`); in the others every span that reaches it is found (see `occurrences`), and its words are
+    aligned with the template (see `align`). A document's coverage is that of its best span (the first of equal ones).
 
     Null and empty texts match nothing, nor do templates without words. Repeated rows give rows each. Other columns
     are not read.
@@ -105,28 +186,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        own = [(name, x.tolist(), np.unique(x)) for (name, _), x in zip(given, hashed([t for _, t in given], hasher)) if len(x)]
+        own = [(name, x) for (name, _), x in zip(given, hashed([t for _, t in given], hasher)) if len(x)]
+        vocabulary = np.unique(np.concatenate([x for _, x in own])) if own else np.zeros(0, np.uint64)
+        own = [(name, np.searchsorted(vocabulary, x).tolist(), np.isin(vocabulary, x)) for name, x in own]
         for some, data, offsets in text_blocks(batches, "text"):
             data = LOWER[data]
             starts, ends, marks = words(data, offsets, ALPHANUMERIC)
             hashes = hasher.spans(data, starts, ends)
             of = per_document(marks)
+            found = np.searchsorted(vocabulary, hashes)
+            known = np.flatnonzero(found < len(vocabulary))
+            known = known[vocabulary[found[known]] == hashes[known]]
+            found = found[known]
             out: list[tuple] = []
-            for name, template, vocabulary in own:
-                needed = int(np.ceil(least * len(template) - 1e-9))
-                at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                hit = np.flatnonzero(vocabulary[at] == hashes)
+            for name, template, member in own:
+                needed = int(np.ceil(FOREIGN * least * len(template) - 1e-9))
+                enough, reach = max(-(-needed // FOREIGN), 1), (FOREIGN + 1) * len(template) - needed
+                mine = member[found]
+                hit, word = known[mine], found[mine]
                 room = np.bincount(of[hit], minlength=len(marks) - 1)
-                for k in np.flatnonzero(room >= max(needed, 1)).tolist():
+                for k in np.flatnonzero(room >= enough).tolist():
                     lo, hi = np.searchsorted(hit, marks[k : k + 2])
-                    places, text = (hit[lo:hi] - marks[k]).tolist(), hashes[hit[lo:hi]].tolist()
+                    at = hit[lo:hi] - marks[k]
+                    if (at[enough - 1 :] - at[: len(at) - enough + 1]).min() >= reach:
+                        continue
+                    places, text = at.tolist(), word[lo:hi].tolist()
                     best = None
-                    for a, b in candidates(places, len(template)):
-                        if b - a < needed:
-                            continue
-                        matched = align(text[a:b], template)
-                        if matched and len(matched) >= needed and (best is None or len(matched) > best[0]):
-                            best = len(matched), places[a + matched[0][0]], places[a + matched[-1][0]] + 1
+                    for a, b in candidates(places, text, template, enough, reach):
+                        for start, end in occurrences(places[a:b], text[a:b], template, max(needed, 1), reach):
+                            x, y = bisect.bisect_left(places, start), bisect.bisect_left(places, end)
+                            matched = align(text[x:y], template)
+                            if FOREIGN * len(matched) - (end - start - len(matched)) < needed:
+                                matched = common(text[x:y], template)
+                            if best is None or len(matched) > best[0]:
+                                best = len(matched), start, end
                     if best:
                         out.append((k, name, best[0] / len(template), best[0], len(template), best[1], best[2]))
             row, *rest = zip(*out) if out else [()] * 7

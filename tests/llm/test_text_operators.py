@@ -174,6 +174,33 @@ def test_patience_alignment():
         assert all(a[i] == b[j] for i, j in out) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:]))
 
 
+def test_common_is_longest():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = [rng.randrange(4) for _ in range(rng.randrange(12))], [rng.randrange(4) for _ in range(rng.randrange(12))]
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        out = licenses.common(a, b)
+        assert len(out) == d[-1][-1] and all(a[i] == b[j] for i, j in out) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(out, out[1:]))
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_license_scan_repeated_notice(spark, copies):
+    """Equal notices amid words of their own vocabulary: none of these is unique in the document."""
+    gpl = licenses.TEMPLATES[2][1]
+    text = "The code is here, under the version. " + f" {gpl} It is the best of the work under the public. " * copies + " The end is the end."
+    rows = [r for r in licenses.scan(docs(spark, [text])).collect() if r.license == "GPL-3.0"]
+    assert [(r.coverage, r.start_word, r.end_word) for r in rows] == [(1.0, 7, 19)]
+    word = {w: k for k, w in enumerate(dict.fromkeys(text.lower().replace(".", " ").replace(",", " ").split()))}
+    own = [word[w] for w in gpl.lower().replace(".", " ").replace(",", " ").split()]
+    every = [word[w] for w in text.lower().replace(".", " ").replace(",", " ").split()]
+    places = [k for k, w in enumerate(every) if w in own]
+    spans = licenses.occurrences(places, [every[k] for k in places], own, 39, 21)
+    assert spans == [(7 + 22 * k, 19 + 22 * k) for k in range(copies)]
+
+
 @pytest.mark.parametrize("sections", ["lines", "paragraphs"])
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_brute_force(spark, sections, rule):
