@@ -200,6 +200,22 @@ def occurrences(places: list[int], text: list[int], template: list[int], needed:
     return out
 
 
+#: Templates of at most so many words count only with the words of the license's name that they hold (such as `mit`, `nc` or a version).
+SHORT = 60
+
+
+def strongest(found: list[tuple[int, int, str, list[int]]]) -> list[tuple[int, int, str, list[int]]]:
+    """Of (score, template words, license, matched places), from the highest score on (the shorter template, then the first place of equal ones), those of which
+    stronger ones match at most half of the places."""
+    taken: set[int] = set()
+    out = []
+    for one in sorted(found, key=lambda x: (-x[0], x[1], x[3][0], x[2])):
+        if 2 * len(taken.intersection(one[3])) <= len(one[3]):
+            taken.update(one[3])
+            out.append(one)
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """The id, license, coverage, matched, template_words, start_word and end_word of each document and license with a template of which
     at least `least` of the template's words are matched, less one for every FOREIGN other words between them.
@@ -207,6 +223,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     Words are runs of letters, digits and characters from U+0080 on, A-Z counting as a-z. Windows that hold too few of the template's words
     to reach `least` are passed over (see `candidates`); in the others every span that reaches it is found (see `occurrences`), and its words are
     aligned with the template (see `align`). A document's coverage is that of its best span (of most matched words, the first of equal ones).
+    Of spans whose matched words
+    are mostly the same, only that which explains most of its words counts (see `strongest`), and short templates need the license's name (see SHORT).
     `templates` are (license, text) pairs, several of a license if need be; without any, those of `production`.
 
     Null and empty texts match nothing, nor do templates without words. Repeated rows give rows each. Other columns
@@ -224,9 +242,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        own = [(name, x) for (name, _), x in zip(given, hashed([t for _, t in given], hasher)) if len(x)]
-        vocabulary = np.unique(np.concatenate([x for _, x in own])) if own else np.zeros(0, np.uint64)
-        own = [(name, np.searchsorted(vocabulary, x).tolist(), np.isin(vocabulary, x)) for name, x in own]
+        texts, names = (hashed([x[k] for x in given], hasher) for k in (1, 0))
+        own = [(name, x, np.intersect1d(x, of_name) if len(x) <= SHORT else x[:0]) for (name, _), x, of_name in zip(given, texts, names) if len(x)]
+        vocabulary = np.unique(np.concatenate([x for _, x, _ in own])) if own else np.zeros(0, np.uint64)
+        own = [(name, np.searchsorted(vocabulary, x).tolist(), np.isin(vocabulary, x), set(np.searchsorted(vocabulary, y).tolist())) for name, x, y in own]
         for some, data, offsets in text_blocks(batches, "text"):
             data = LOWER[data]
             starts, ends, marks = words(data, offsets, ALPHANUMERIC)
@@ -236,8 +255,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             known = np.flatnonzero(found < len(vocabulary))
             known = known[vocabulary[found[known]] == hashes[known]]
             found = found[known]
-            best: dict[tuple[int, str], tuple] = {}
-            for name, template, member in own:
+            spans: dict[int, list[tuple[int, int, str, list[int]]]] = {}
+            for name, template, member, named in own:
                 needed = int(np.ceil(FOREIGN * least * len(template) - 1e-9))
                 enough, reach = max(-(-needed // FOREIGN), 1), (FOREIGN + 1) * len(template) - needed
                 mine = member[found]
@@ -255,9 +274,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                             matched = align(text[x:y], template)
                             if FOREIGN * len(matched) - (end - start - len(matched)) < needed:
                                 matched = common(text[x:y], template)
-                            one = len(matched), -len(template), -start, end
-                            best[k, name] = max(best.get((k, name), one), one)
-            out = [(k, name, -n / size, n, -size, -start, end) for (k, name), (n, size, start, end) in sorted(best.items())]
+                            if named <= {template[j] for _, j in matched}:
+                                at_words = [places[x + i] for i, _ in matched]
+                                score = (FOREIGN + 1) * len(matched) - (at_words[-1] + 1 - at_words[0])
+                                spans.setdefault(k, []).append((score, len(template), name, at_words))
+            out: list[tuple] = []
+            for k, found_here in sorted(spans.items()):
+                best: dict[str, tuple] = {}
+                for _, size, name, at_words in strongest(found_here):
+                    one = len(at_words), -size, -at_words[0], at_words[-1] + 1
+                    best[name] = max(best.get(name, one), one)
+                out += [(k, name, -n / size, n, -size, -start, end) for name, (n, size, start, end) in sorted(best.items())]
             row, *rest = zip(*out) if out else [()] * 7
             kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds))], names=["id", "license", "coverage", "matched", "template_words", "start_word", "end_word"])

@@ -211,6 +211,22 @@ def test_license_scan_full_texts(spark):
     assert {"MIT", "Apache-2.0", "GPL-2.0", "BSD-3-Clause", "LGPL-2.1", "MPL-2.0"} <= {name for _, name in rows}
 
 
+def test_license_scan_other_licenses(spark):
+    """One license for one notice, and none for a text that only resembles one."""
+    full = dict(licenses.production())
+    cases = {
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"}, "Licensed under CC BY 4.0.": {"CC-BY-4.0"}, "Licensed under CC BY-SA 4.0": {"CC-BY-SA-4.0"},
+        "Licensed under CC BY 2.0": set(), "Released under the GPL License": set(), "Released under the License": set(), "released by them under the license of the sun": set(),
+        "Licensed under the MIT License": {"MIT"}, "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "Licensed under CC BY-NC 4.0. Code: Licensed under CC BY 4.0.": {"CC-BY-NC-4.0", "CC-BY-4.0"},
+        full["GPL-3.0"]: {"GPL-3.0"}, full["AGPL-3.0"]: {"AGPL-3.0"}, full["BSD-3-Clause"]: {"BSD-3-Clause"}, full["BSD-2-Clause"]: {"BSD-2-Clause"},
+    }
+    cases["Released " + "far away " * 20 + " under the MIT License"] = {"MIT"}  # four words of five
+    found = licenses.scan(docs(spark, list(cases))).collect()
+    for k, want in enumerate(cases.values()):
+        assert {r.license for r in found if r.doc_id == k} == want, list(cases)[k][:80]
+
+
 @pytest.mark.parametrize("sections", ["lines", "paragraphs"])
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_attribution_brute_force(spark, sections, rule):
