@@ -118,31 +118,43 @@ def estimate(scores: np.ndarray, marks: np.ndarray, active: np.ndarray, rounds:
     return shares, np.add.reduceat(np.log(np.maximum(total, 1e-300)) + top[:, 0], marks[:-1])
 
 
-def select_languages(scores: np.ndarray, marks: np.ndarray, candidates: int = 6, penalty: float = 3.0) -> np.ndarray:
-    """Proportions over the set of languages with the best penalised likelihood, found by dropping from the best
-    `candidates` languages the rarest one while that pays: each further language must raise the log-likelihood
+def select_languages(scores: np.ndarray, marks: np.ndarray, penalty: float = 3.0) -> np.ndarray:
+    """Proportions over the set of languages with the best penalised likelihood, found by dropping from all
+    languages the rarest one while that pays: each further language must raise the log-likelihood
     by `penalty` plus half the logarithm of the number of windows.
+
+    The rarest languages that have less than half a window together go at once, if all of them are worth no more than a single one must be.
     """
     n, languages = len(marks) - 1, scores.shape[1]
-    whole = np.add.reduceat(scores, marks[:-1], axis=0)
-    best = np.maximum.reduceat(scores - scores.max(1, keepdims=True), marks[:-1], axis=0)
-    order = np.argsort(-(best * 1e-3 + whole / np.diff(marks)[:, None]), axis=1, kind="stable")
-    active = np.zeros((n, languages), bool)
-    np.put_along_axis(active, order[:, :candidates], True, axis=1)
-    cost = penalty + 0.5 * np.log(np.diff(marks))
+    counts = np.diff(marks)
+    active = np.ones((n, languages), bool)
+    cost = penalty + 0.5 * np.log(counts)
     shares, likelihood = estimate(scores, marks, active)
     rest = np.flatnonzero(active.sum(1) > 1)
+    several = np.ones(n, bool)
     while len(rest):
-        rarest = np.where(active[rest], shares[rest], 2).argmin(1)
+        sizes = counts[rest]
+        held = np.where(active[rest], shares[rest], 2)
+        order = np.argsort(held, axis=1, kind="stable")
+        slight = np.cumsum(np.take_along_axis(held, order, 1), axis=1) * sizes[:, None] < 0.5
+        slight &= several[rest][:, None]
+        slight[:, 0] = True
         fewer = active[rest].copy()
-        fewer[np.arange(len(rest)), rarest] = False
-        sizes = np.diff(marks)[rest]
+        np.put_along_axis(fewer, order, np.take_along_axis(fewer, order, 1) & ~slight, axis=1)
+        # The languages left, side by side: these are few soon.
+        columns = np.argsort(~fewer, axis=1, kind="stable")[:, : fewer.sum(1).max()]
+        of = np.repeat(np.arange(len(rest)), sizes)
         own = np.repeat(marks[:-1][rest] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        new, value = estimate(scores[own], np.append(0, np.cumsum(sizes)), fewer)
+        found, value = estimate(scores[own[:, None], columns[of]], np.append(0, np.cumsum(sizes)), np.take_along_axis(fewer, columns, 1))
+        new = np.zeros((len(rest), languages))
+        np.put_along_axis(new, columns, found, axis=1)
         pays = value + cost[rest] >= likelihood[rest]
         took = rest[pays]
         shares[took], likelihood[took], active[took] = new[pays], value[pays], fewer[pays]
-        rest = took[active[took].sum(1) > 1]
+        again = rest[~pays & (slight.sum(1) > 1)]
+        several[again] = False
+        several[took] = True
+        rest = np.sort(np.append(took[active[took].sum(1) > 1], again))
     return shares
 
 

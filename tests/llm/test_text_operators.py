@@ -76,6 +76,22 @@ def test_em_finds_shares():
     assert np.abs(shares[0] - np.bincount(which, minlength=3) / 400).max() < 0.02 and shares[0, 2] == 0
 
 
+@pytest.mark.parametrize("relatives", [3, 8, 150])
+def test_em_finds_distant_language_among_relatives(relatives):
+    """Nine tenths of one language with near relatives and a tenth of a distant one, in documents of several sizes."""
+    rng = np.random.default_rng(relatives)
+    sizes = [10, 60, 200]
+    scores = rng.normal(-200, 3, (sum(sizes), relatives + 2))
+    marks = np.append(0, np.cumsum(sizes))
+    for a, n in zip(marks, sizes):
+        scores[a : a + n - n // 10, : relatives + 1] += 60
+        scores[a : a + n - n // 10, 0] += 20
+        scores[a + n - n // 10 : a + n, -1] += 60
+    shares = language.select_languages(scores, marks)
+    for row in shares:
+        assert np.flatnonzero(row > 1e-6).tolist() == [0, relatives + 1] and abs(row[-1] - 0.1) < 0.01
+
+
 def test_encoder_equals_tokenizer():
     encoder = tokens.Encoder(tokens.default_path())
     rng = random.Random(3)
