@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, pipeline_tables, structures, tables
+from . import evaluation, geometry, pipeline_tables, structures, tables, whole
 
-QUERIES = {**evaluation.REGISTRY.queries, **geometry.REGISTRY.queries, **tables.REGISTRY.queries, **structures.REGISTRY.queries, **pipeline_tables.REGISTRY.queries}
+QUERIES = {**evaluation.REGISTRY.queries, **geometry.REGISTRY.queries, **tables.REGISTRY.queries, **structures.REGISTRY.queries, **pipeline_tables.REGISTRY.queries, **whole.REGISTRY.queries}
 ORACLE_SQL = {**evaluation.REGISTRY.sql, **geometry.REGISTRY.sql, **tables.REGISTRY.sql, **structures.REGISTRY.sql, **pipeline_tables.REGISTRY.sql}

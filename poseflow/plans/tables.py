@@ -211,18 +211,18 @@ def time_split(spark, d):
 i AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM f a JOIN f b USING (bit) WHERE a.id < b.id GROUP BY ALL)
 SELECT a, b, i / (x.n + y.n - i) AS similarity FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.6""")
 def similar_fingerprints(spark, d):
-    return splits.similar_pairs(_fingerprints(spark, d), "id", "words", 0.6)
+    return splits.similar_pairs(fingerprints(table(spark, d, "part").where("p_partkey < 800")), "id", "words", 0.6)
 
 
-def _fingerprints(spark, d):
+def fingerprints(part):
     bits = F.array_distinct(F.transform(F.array(F.expr("p_size % 64"), F.expr("p_size * 7 % 64"), F.expr("p_partkey % 8"), F.expr("p_partkey % 512 div 8"), F.expr("63 - p_size % 5")), lambda x: x.cast("int")))
     word = F.aggregate(F.transform(bits, lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return table(spark, d, "part").where("p_partkey < 800").select(F.col("p_partkey").alias("id"), F.array(word).alias("words"))
+    return part.select(F.col("p_partkey").alias("id"), F.array(word).alias("words"))
 
 
 @query()
 def similarity_split(spark, d):
-    return splits.similarity_split(_fingerprints(spark, d), "id", "words", 0.9)
+    return splits.similarity_split(fingerprints(table(spark, d, "part")), "id", "words", 0.9)
 
 
 @query("SELECT count(*) AS n, min(o_orderkey) >= 0 AS ok FROM (SELECT o_orderkey FROM orders LIMIT 100)")

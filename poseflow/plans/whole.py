@@ -1,0 +1,61 @@
+"""Queries over whole tables whose namesakes, which keep their SQL, read a part of the rows. They have no SQL: DuckDB is too slow there at larger sizes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graphs, joins, splits
+from .registry import Registry
+from .tables import fingerprints
+from .views import table
+
+REGISTRY = query = Registry()
+
+
+def _bonds(spark, d):
+    """Each embedding bonded to the next of its label, and rings of six in a row: (k, src, dst) and (k, ring, atom)."""
+    e = table(spark, d, "embeddings").selectExpr("label as k", "vec_id")
+    by = Window.partitionBy("k").orderBy("vec_id")
+    bonds = e.withColumn("dst", F.lead("vec_id").over(by)).where("dst is not null").selectExpr("k", "vec_id as src", "dst")
+    return bonds, e.withColumn("n", F.row_number().over(by)).selectExpr("k", "(n - 1) div 6 as ring", "vec_id as atom")
+
+
+@query()
+def bond_neighbours_whole(spark, d):
+    return graphs.bond_neighbours(_bonds(spark, d)[0], ["k"])
+
+
+@query()
+def flex_mask_whole(spark, d):
+    return graphs.flex_mask(*_bonds(spark, d), ["k"]).distinct()
+
+
+@query()
+def similar_fingerprints_whole(spark, d):
+    return splits.similar_pairs(fingerprints(table(spark, d, "part")), "id", "words", 0.6)
+
+
+@query()
+def candidates_whole(spark, d):
+    s = table(spark, d, "supplier").selectExpr("s_name as protein_name", "s_acctbal as x", "s_acctbal as y", "s_acctbal as z")
+    pockets = s.withColumn("rank", F.explode(F.array(F.lit(5), F.lit(9))))
+    compounds = table(spark, d, "part").selectExpr("p_name as compound_name", "p_name as smiles").distinct()
+    return joins.candidates(s, compounds, pockets).select("protein_name", "compound_name", "pocket_name")
+
+
+def _sides(spark, d):
+    """The lines of each order as residues of both sides, and the pairs in contact."""
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as complex", "cast(l_linenumber as bigint) as i").distinct()
+    a, b = lines, lines.withColumnRenamed("i", "j")
+    return a, b, a.join(b, "complex").where("(complex + i * j) % 4 = 0")
+
+
+@query()
+def label_matrix_whole(spark, d):
+    return joins.label_matrix(*_sides(spark, d), ["complex"])
+
+
+@query()
+def negatives_whole(spark, d):
+    return joins.negatives(*_sides(spark, d), ["complex"], full=True)

@@ -1,0 +1,55 @@
+"""Queries over whole tables against brute force: the SQL of their namesakes without its filters, or plain loops."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from poseflow.plans import queries
+from poseflow.plans.views import table
+
+from test_oracle import SF, con, shown  # noqa: F401
+
+OPENED = {
+    "similar_fingerprints": [("p_partkey < 800", "true")],
+    "candidates": [("s_suppkey < 20", "true"), ("p_size < 10", "true")],
+}
+
+
+@pytest.mark.parametrize("name", OPENED)
+def test_whole_table(spark, con, name):  # noqa: F811
+    sql = queries.ORACLE_SQL[name]
+    for old, new in OPENED[name]:
+        assert old in sql
+        sql = sql.replace(old, new)
+    want = con.execute(sql)
+    names = [c[0] for c in want.description]
+    df = queries.QUERIES[name + "_whole"](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    number = lambda v: float(v) if isinstance(v, int) and not isinstance(v, bool) else v
+    rows = lambda rs: sorted(tuple(shown(number(x)) for x in r) for r in rs)
+    assert rows(df.select(*names).collect()) == rows(want.fetchall())
+
+
+def test_whole_bonds(spark):
+    by = {}
+    for r in table(spark, SF, "embeddings").orderBy("vec_id").collect():
+        by.setdefault(r.label, []).append(r.vec_id)
+    near = {(k, a[i], a[j]) for k, a in by.items() for i in range(len(a)) for j in range(max(i - 2, 0), min(i + 3, len(a))) if i != j}
+    assert {(r.k, r.src, r.dst) for r in queries.QUERIES["bond_neighbours_whole"](spark, SF).collect()} == near
+    rings = {(k, x, y) for k, a in by.items() for s in range(0, len(a), 6) for x in a[s : s + 6] for y in a[s : s + 6]}
+    mask = {(r.k, r.src, r.dst) for r in queries.QUERIES["flex_mask_whole"](spark, SF).collect()}
+    assert mask == near | rings | {(k, x, x) for k, a in by.items() for x in a if len(a) > 1}
+
+
+def test_whole_labels(spark):
+    by = {}
+    for r in table(spark, SF, "lineitem").collect():
+        by.setdefault(r.l_orderkey, set()).add(r.l_linenumber)
+    every = {(c, i, j, int((c + i * j) % 4 == 0)) for c, own in by.items() for i in own for j in own}
+    assert {(r.complex, r.i, r.j, r.label) for r in queries.QUERIES["label_matrix_whole"](spark, SF).collect()} == every
+    assert {(r.complex, r.i, r.j) for r in queries.QUERIES["negatives_whole"](spark, SF).collect()} == {x[:3] for x in every if not x[3]}
+
+
+def test_similarity_split_takes_every_part(spark):
+    parts = table(spark, "/root/testdata/sf0.01", "part")
+    n = parts.count()
+    assert n > 800 and queries.QUERIES["similarity_split"](spark, "/root/testdata/sf0.01").count() == n == parts.select(F.col("p_partkey")).distinct().count()
