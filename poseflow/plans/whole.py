@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graphs, joins, splits
+from ..operators import graphs, joins, spatial, splits
+from ..sources import files, text
+from ..tables import Scratch
 from .registry import Registry
 from .tables import fingerprints
-from .views import table
+from .views import table, view
 
 REGISTRY = query = Registry()
 
@@ -59,3 +61,66 @@ def label_matrix_whole(spark, d):
 @query()
 def negatives_whole(spark, d):
     return joins.negatives(*_sides(spark, d), ["complex"], full=True)
+
+
+@query()
+def delimited_scores_whole(spark, d):
+    path = Scratch(spark, "scores").path("table")
+    view(spark, d, "v_pose").select(F.format_string("%d,\t%s  %s", "complex", "code", F.col("score").cast("string")).alias("value")).write.text(path)
+    return text.read_delimited(spark, path, {"complex": "bigint", "code": "string", "score": "double"}).drop("path")
+
+
+@query()
+def stored_pairs_whole(spark, d):
+    path = Scratch(spark, "pairs").path("table")
+    # Codes of at least four digits: lpad to four would cut longer ones.
+    key = F.col("o_custkey").cast("string")
+    pairs = table(spark, d, "orders").select(F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key).alias("code"), "o_orderkey")
+    files.write_pairs(pairs, path)
+    return files.load_pairs(spark, path, pairs.select("code")).select(F.col("code").cast("string").alias("code"), "o_orderkey")
+
+
+@query()
+def missing_sources_whole(spark, d):
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("complex"), F.col("l_partkey").cast("string").alias("src0"))
+    return joins.missing_sources(pairs, table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").cast("string").alias("path")), ["src0"])
+
+
+@query()
+def bound_to_unbound_whole(spark, d):
+    p = table(spark, d, "lineitem")
+    pairs = p.selectExpr("l_orderkey pdb_name_0", "0 model_0", "'A' chain_0", "l_linenumber residue_0", "l_orderkey pdb_name_1", "0 model_1", "'B' chain_1", "l_linenumber + 1 residue_1")
+    names = p.selectExpr("l_orderkey bound", "l_orderkey + 1000000 unbound").distinct()
+    atoms = names.selectExpr("unbound pdb_name", "0 model", "explode(array('A', 'B')) chain").withColumn("residue", F.explode(F.sequence(F.lit(1), F.lit(7)))).where("residue % 5 > 0")
+    return joins.bound_to_unbound(pairs, names, atoms).groupBy("pdb_name_0", "residue_0", "residue_1").agg(F.count("*").alias("n"))
+
+
+def _roles(spark, d):
+    """A fifth of the points, and all others."""
+    p = view(spark, d, "v_points")
+    return p.where("id % 5 = 0"), p.where("id % 5 > 0")
+
+
+@query()
+def contact_map_whole(spark, d):
+    return spatial.contact_map(*_roles(spark, d), ["k"], contact=0.1, clamp=0.2)
+
+
+@query()
+def clash_score_whole(spark, d):
+    return spatial.clash_score(*_roles(spark, d), ["k"])
+
+
+@query()
+def surface_clash_whole(spark, d):
+    return spatial.surface_clash(*_roles(spark, d), ["k"])
+
+
+@query()
+def pocket_points_whole(spark, d):
+    return spatial.pocket_points(*_roles(spark, d), ["k"], 0.06, "match_atoms")
+
+
+@query()
+def pocket_points_by_radius_whole(spark, d):
+    return spatial.pocket_points(*_roles(spark, d), ["k"], 0.001, "radius_based")

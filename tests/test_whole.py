@@ -8,9 +8,16 @@ from poseflow.plans.views import table
 
 from test_oracle import SF, con, shown  # noqa: F401
 
+ROLES = [("b.id % 5 = 1", "b.id % 5 > 0")]
 OPENED = {
     "similar_fingerprints": [("p_partkey < 800", "true")],
     "candidates": [("s_suppkey < 20", "true"), ("p_size < 10", "true")],
+    "delimited_scores": [("complex % 2 = 0", "true")],
+    "stored_pairs": [("o_custkey % 100 < 20", "true")],
+    "missing_sources": [("l_partkey % 3 = 0", "true")],
+    "bound_to_unbound": [("l_orderkey % 4 = 0", "true")],
+    "contact_map": ROLES, "clash_score": ROLES, "surface_clash": ROLES, "pocket_points": ROLES,
+    "pocket_points_by_radius": [("b.id % 50 = 1", "b.id % 5 > 0")],
 }
 
 
