@@ -257,7 +257,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
 
     A part's rows are dealt to tasks by hash, so none gathers a large part, and gathered into blocks. These are scored against blocks of queries of the same part, a join whose hot parts adaptive execution can split.
     Unusable vectors (null, zero, with null or non-finite components) and null ids take no part, nor do vectors of
-    another length than the most frequent one (the longest of equally frequent). Repeated rows are found each.
+    another length than the most frequent one (the longest of equally frequent). Repeated rows are found each; a query row that is repeated is asked
+    once.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -287,7 +288,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
         row, place = np.nonzero(go)
         return row, order[row, place]
 
-    asked = scratch.save(blocks_by_part(rows.where("q").select("id", "v"), fitted, 256, route), "asked")
+    asked = scratch.save(blocks_by_part(rows.where("q").select("id", "v").dropDuplicates(), fitted, 256, route), "asked")
     pairs = asked.select("part", F.col("ids").alias("qi"), F.col("vectors").alias("qv")).join(index.select("part", F.col("ids").alias("ci"), F.col("vectors").alias("cv")), "part")
     found = search_blocks(pairs, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

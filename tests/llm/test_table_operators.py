@@ -123,6 +123,14 @@ def test_preferences(spark):
     assert preferences.format_preferences(chosen.where("false"), rejected).collect() == []
 
 
+def test_neighbours_of_repeated_query(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(200)], "vec_id long, embedding array<double>")
+    search = lambda d: sorted(tuple(r) for r in neighbours.search(d, F.col("vec_id").isin(0, 20), k=10, mass=1.0).collect())
+    once = search(df)
+    assert len(once) == 20 and search(df.unionByName(df.where("vec_id = 0")).unionByName(df.where("vec_id = 0"))) == once
+
+
 def test_neighbours_exact_and_recall(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)).astype(np.float32)
