@@ -233,23 +233,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     id_type = docs.schema[id_col].dataType.simpleString()
     given = templates or production()
 
-    def hashed(texts: list[str], hasher: Hasher) -> list[np.ndarray]:
+    def hashed(texts: list[str]) -> list[np.ndarray]:
         data = [np.frombuffer(x.encode(), np.uint8) for x in texts]
         offsets = np.append(0, np.cumsum([len(x) for x in data]))
         data = LOWER[np.concatenate(data)] if data else np.zeros(0, np.uint8)
         starts, ends, marks = words(data, offsets, ALPHANUMERIC)
-        return np.split(hasher.spans(data, starts, ends), marks[1:-1])
+        return np.split(Hasher.spans(data, starts, ends), marks[1:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        texts, names = (hashed([x[k] for x in given], hasher) for k in (1, 0))
+        texts, names = (hashed([x[k] for x in given]) for k in (1, 0))
         own = [(name, x, np.intersect1d(x, of_name) if len(x) <= SHORT else x[:0]) for (name, _), x, of_name in zip(given, texts, names) if len(x)]
         vocabulary = np.unique(np.concatenate([x for _, x, _ in own])) if own else np.zeros(0, np.uint64)
         own = [(name, np.searchsorted(vocabulary, x).tolist(), np.isin(vocabulary, x), set(np.searchsorted(vocabulary, y).tolist())) for name, x, y in own]
         for some, data, offsets in text_blocks(batches, "text"):
             data = LOWER[data]
             starts, ends, marks = words(data, offsets, ALPHANUMERIC)
-            hashes = hasher.spans(data, starts, ends)
+            hashes = Hasher.spans(data, starts, ends)
             of = per_document(marks)
             found = np.searchsorted(vocabulary, hashes)
             known = np.flatnonzero(found < len(vocabulary))

@@ -29,11 +29,10 @@ EXTRA = 10
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """The sets of each block's documents, as sorted arrays of distinct 64-bit hashes."""
-    hasher = Hasher()
     for some, data, offsets in text_blocks(batches, "text"):
         data = LOWER[data]
         starts, ends, marks = words(data, offsets, SPACED)
-        hashes = hasher.spans(data, starts, ends)
+        hashes = Hasher.spans(data, starts, ends)
         runs = Hasher.runs(hashes, width)
         sets = []
         for a, b in zip(marks[:-1].tolist(), marks[1:].tolist()):
@@ -45,15 +44,20 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tupl
         yield some, sets
 
 
-def fingerprint(own: np.ndarray, salt: int) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+def fingerprint(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def number(print_: bytes) -> int:
-    return int.from_bytes(print_[:8], "little", signed=True)
+def number(print_: bytes, moved: frozenset[int]) -> int:
+    """64 bits of a set's fingerprint; the numbers in `moved`, which several sets had, give way to others."""
+    out = int.from_bytes(print_[:8], "little", signed=True)
+    while out in moved:
+        print_ = hashlib.blake2b(print_, digest_size=16).digest()
+        out = int.from_bytes(print_[:8], "little", signed=True)
+    return out
 
 
-def summaries(docs: DataFrame, id_col: str, text_col: str, width: int, salt: int) -> DataFrame:
+def summaries(docs: DataFrame, id_col: str, text_col: str, width: int, moved: frozenset[int]) -> DataFrame:
     """A row per document: id, n_shingles, set number, fingerprint; and from each task the parts of its sketch."""
     id_type = docs.schema[id_col].dataType.simpleString()
     counters, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
@@ -64,9 +68,9 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, width: int, salt: int
         for some, sets in shingle_sets(batches, width):
             flat = np.concatenate(sets)
             counts += np.bincount((flat >> shift).astype(np.int64), minlength=counters).astype(np.int32)
-            prints = [fingerprint(x, salt) if len(x) else None for x in sets]
+            prints = [fingerprint(x) if len(x) else None for x in sets]
             none = pa.nulls(len(sets), pa.int32())
-            out = pa.RecordBatch.from_pydict({"id": some.column(0), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "sid": pa.array([x and number(x) for x in prints], pa.int64()), "print": pa.array(prints, pa.binary()), "part": none, "counts": pa.nulls(len(sets), pa.binary())})
+            out = pa.RecordBatch.from_pydict({"id": some.column(0), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "sid": pa.array([x and number(x, moved) for x in prints], pa.int64()), "print": pa.array(prints, pa.binary()), "part": none, "counts": pa.nulls(len(sets), pa.binary())})
             schema = out.schema
             yield out
         if schema is not None:
@@ -96,9 +100,9 @@ def sketch(parts: DataFrame, partitions: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefixes(docs: DataFrame, text_col: str, width: int, salt: int, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """Index rows (token, salt, sid, meta) of the rarest shingles of each set; meta packs size, position and the logarithm of the
-    number of parts of the list. A token is 48 bits of the hash: two shingles under one token make a longer list, no wrong link.
+def prefixes(docs: DataFrame, text_col: str, width: int, moved: frozenset[int], levels: np.ndarray, num: int, den: int) -> DataFrame:
+    """Index rows (token, salt, sid, meta) of the rarest shingles of each set; meta packs size (30 bits: a text has fewer words), position
+    (29 bits, more is an error) and the logarithm of the number of parts of the list (5 bits). A token is 48 bits of the hash: two shingles under one token make a longer list, no wrong link.
     A further row per set, with salt -1, has the place of its last shingle in the order of all."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     mean = float(np.mean(2 ** (levels / 8.0) - 1)) if len(levels) else 0.0
@@ -113,22 +117,24 @@ def prefixes(docs: DataFrame, text_col: str, width: int, salt: int, levels: np.n
             token, sid, meta, level_of, ends = [], [], [], [], []
             for own in sets:
                 n = len(own)
-                if not n or (of := number(fingerprint(own, salt))) in seen:
+                if not n or (of := number(fingerprint(own), moved)) in seen:
                     continue
                 seen.add(of)
                 keep = prefix_length(n, num, den)
+                if n >> 30 or keep >> 29:
+                    raise ValueError(f"a set of {n} shingles, {keep} of them to index: at most 2**30 and 2**29 have room")
                 level = levels[(own >> shift).astype(np.int64)]
                 order = (level.astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                 first = np.argsort(order, kind="stable")[:keep]
                 token.append(own[first] >> np.uint64(16)), level_of.append(level[first]), sid.append(np.full(keep, of, np.int64))
-                meta.append((n << 32) + (np.arange(keep, dtype=np.int64) << 8))
-                ends.append((order[first[-1]] ^ np.uint64(1 << 63), of, n << 32))
+                meta.append(np.uint64(n << 34) + (np.arange(keep, dtype=np.uint64) << np.uint64(5)))
+                ends.append((order[first[-1]] ^ np.uint64(1 << 63), of, n << 34))
             if token:
                 sid, parts = np.concatenate(sid), log_parts[np.concatenate(level_of)]
-                last, of, n = (np.array(x, t) for x, t in zip(zip(*ends), (np.uint64, np.int64, np.int64)))
+                last, of, n = (np.array(x, t) for x, t in zip(zip(*ends), (np.uint64, np.int64, np.uint64)))
                 yield pa.RecordBatch.from_pydict({
                     "token": np.concatenate([*token, last]).view(np.int64), "salt": np.concatenate([sid & ((1 << parts) - 1), np.full(len(of), -1)]).astype(np.int32),
-                    "sid": np.concatenate([sid, of]), "meta": np.concatenate([np.concatenate(meta) + parts, n]),
+                    "sid": np.concatenate([sid, of]), "meta": np.concatenate([np.concatenate(meta) + parts.astype(np.uint64), n]).view(np.int64),
                 })
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, salt int, sid long, meta long")
@@ -139,7 +145,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + n // EXTRA + 1
 
 
-def sets_of(docs: DataFrame, text_col: str, width: int, salt: int, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, text_col: str, width: int, moved: frozenset[int], wanted: DataFrame) -> DataFrame:
     """(sid, tokens): the sets of the wanted numbers, and some others, each once."""
     picked = np.zeros(1 << PICK_BITS, bool)
     pick = F.shiftrightunsigned("sid", 64 - PICK_BITS).cast("int").alias("k")
@@ -151,7 +157,7 @@ def sets_of(docs: DataFrame, text_col: str, width: int, salt: int, wanted: DataF
         for _, sets in shingle_sets(batches, width):
             out = {}
             for own in sets:
-                if len(own) and (of := number(fingerprint(own, salt))) not in seen and picked[(of % (1 << 64)) >> (64 - PICK_BITS)]:
+                if len(own) and (of := number(fingerprint(own), moved)) not in seen and picked[(of % (1 << 64)) >> (64 - PICK_BITS)]:
                     seen.add(of)
                     out[of] = own.tobytes()
             yield pa.RecordBatch.from_pydict({"sid": pa.array(out, pa.int64()), "tokens": pa.array(out.values(), pa.binary())})
@@ -271,21 +277,27 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "similarity")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rule = Rule(num, den)
-    for salt in range(8):
-        table = scratch.save(summaries(docs, id_col, text_col, width, salt), f"summaries{salt}")
+    moved: frozenset[int] = frozenset()
+    for k in range(8):
+        table = scratch.save(summaries(docs, id_col, text_col, width, moved), f"summaries{k}")
         rows = table.where("part is null")
         grouped = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.min("print").alias("p"), F.max("print").alias("q"))
-        classes = scratch.save(grouped, f"classes{salt}")
-        if classes.where("p <> q").isEmpty():
+        classes = scratch.save(grouped, f"classes{k}")
+        # Different sets of one number: about n**2 / 2**65 of n sets.
+        shared = {x[0] for x in classes.where("p <> q").select("sid").collect()}
+        if not shared:
             break
+        moved |= shared
+    else:
+        raise RuntimeError("the numbers of sets did not become distinct")
     classes = classes.select("sid", "rep")
     levels = sketch(table.where("part is not null").select("part", "counts"), partitions)
 
     # 2. Rows of lists with at least two sets, of the sets with enough of them.
     by = Window.partitionBy("token", "salt").orderBy("sid")
     every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    indexed = prefixes(docs, text_col, width, salt, levels, num, den).select("*", F.first("sid").over(every).alias("least"), F.last("sid").over(every).alias("most"), F.lag("sid").over(by).alias("before"))
-    shared = indexed.where("(least <> most or meta & 255 > 0 or salt = -1) and (before is null or before <> sid)").select("token", "salt", "sid", F.expr("cast(shiftright(meta, 32) as int) size"), F.expr("cast(shiftright(meta, 8) & 16777215 as int) pos"))
+    indexed = prefixes(docs, text_col, width, moved, levels, num, den).select("*", F.first("sid").over(every).alias("least"), F.last("sid").over(every).alias("most"), F.lag("sid").over(by).alias("before"))
+    shared = indexed.where("(least <> most or meta & 31 > 0 or salt = -1) and (before is null or before <> sid)").select("token", "salt", "sid", F.expr("shiftrightunsigned(meta, 34) size"), F.expr("shiftrightunsigned(meta, 5) & 536870911 pos"))
     shared = scratch.save(shared, "shared")
     own = Window.partitionBy("sid")
     counted = shared.withColumns({"n": F.count_if(F.col("salt") >= 0).over(own), "end": F.max(F.when(F.col("salt") < 0, F.col("token"))).over(own)})
@@ -307,7 +319,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pivots.union(further).where("sid <> psid")
     pairs = scratch.save(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "pairs")
     lists = lists.where("rarest")
-    sets = scratch.save(sets_of(docs, text_col, width, salt, lists.select("sid")), "sets")
+    sets = scratch.save(sets_of(docs, text_col, width, moved, lists.select("sid")), "sets")
     known = scratch.save(overlap(pairs, sets), "known")
     linked = known.where(rule.linked("inter", "na", "nb"))
     roots = scratch.save(connected_components(linked), "roots")

@@ -7,9 +7,9 @@ import os
 
 import numpy as np
 
-from .blocks import Hasher
+from .blocks import Chunks, Hasher
 
-#: Words that a worker remembers, at about 40 bytes each; at this many it starts anew.
+#: Words that a worker remembers, at about 60 bytes each; at this many it starts anew.
 REMEMBERED = 2_000_000
 
 _BLANK = np.zeros(256, bool)
@@ -42,8 +42,8 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Byte-level BPE ids of texts. The strings of special tokens in a text are ordinary text.
 
-    Words recur, so the ids of each are kept under its 64-bit hash: a wrong id would take two different words of
-    one worker with equal hashes (under 1e-5 for 10 million words met by a worker that remembers 2 million).
+    Words recur, so the ids of each are kept under its 64-bit hash together with its bytes; a word whose bytes differ from those kept
+    under its hash is encoded anew, so no id rests on a hash.
     """
 
     def __init__(self, path: str):
@@ -51,14 +51,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.hasher = Hasher()
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.int64)  # of each known word
+        self.at = np.zeros(0, np.int64)  # of each known word: its first chunk
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.chunks, self.chunked = np.zeros(1 << 16, np.uint64), 0
 
     @functools.cached_property
     def byte_lengths(self) -> np.ndarray:
@@ -69,8 +71,9 @@ class Encoder:
             out[k] = len(token)
         return out
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encodes new words: those that start with white space and don't end with it as one text."""
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one word after the other, and n+1 offsets: words that start with white space and don't end with it are
+        encoded as one text."""
         joined = _BLANK[data[starts]] & (data[ends - 1] < 0x80) & ~_BLANK[data[ends - 1]]
         got, sizes, order = [], [], []
         together = np.flatnonzero(joined)
@@ -84,22 +87,24 @@ class Encoder:
             order.append(some)
         apart = np.flatnonzero(~joined)
         if len(apart):
-            found = self.tokenizer.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(starts[apart].tolist(), ends[apart].tolist())], add_special_tokens=False)
+            texts = [data[a:b].tobytes().decode() for a, b in zip(starts[apart].tolist(), ends[apart].tolist())]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             got.append(np.array([x for e in found for x in e.ids], np.uint32))
             sizes.append(np.array([len(e.ids) for e in found]))
             order.append(apart)
         ids, sizes, order = np.concatenate(got), np.concatenate(sizes).astype(np.int64), np.concatenate(order)
-        if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(self.filled + 2 * len(ids), np.uint32)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        firsts = self.filled + np.cumsum(sizes) - sizes
-        self.filled += len(ids)
-        fresh, firsts, sizes = hashes[order], firsts, sizes
-        by = np.argsort(fresh)
-        places = np.searchsorted(self.known, fresh[by])
-        self.known = np.insert(self.known, places, fresh[by])
-        self.first = np.insert(self.first, places, firsts[by])
-        self.size = np.insert(self.size, places, sizes[by])
+        back = np.argsort(order)
+        return _taken(ids, (np.cumsum(sizes) - sizes)[back], sizes[back]), np.append(0, np.cumsum(sizes[back]))
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps new words of distinct hashes: their ids, bytes and chunks."""
+        ids, marks = self._encode(data, starts, ends)
+        self.pool, self.filled, first = _kept(self.pool, self.filled, ids, marks[:-1])
+        self.chunks, self.chunked, at = _kept(self.chunks, self.chunked, values, np.cumsum(counts) - counts)
+        by = np.argsort(hashes)
+        places = np.searchsorted(self.known, hashes[by])
+        for name, more in (("known", hashes), ("first", first), ("size", np.diff(marks)), ("bytes", ends - starts), ("at", at)):
+            setattr(self, name, np.insert(getattr(self, name), places, more[by]))
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's texts, and n+1 offsets of the texts into these."""
@@ -109,16 +114,42 @@ class Encoder:
             self._forget()
         bounds = parts(data, offsets)
         starts, ends = bounds[:-1], bounds[1:]
-        hashes, example, which = np.unique(self.hasher.spans(data, starts, ends), return_index=True, return_inverse=True)
+        chunks = Chunks.of(data, starts, ends)
+        hashes, example, which = np.unique(Hasher.of_chunks(chunks, ends - starts), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, hashes)
         new = np.ones(len(hashes), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != hashes
         if new.any():
-            self._learn(hashes[new], data, starts[example[new]], ends[example[new]])
+            some = example[new]
+            self._learn(hashes[new], data, starts[some], ends[some], chunks.take(some), chunks.counts[some])
             at = np.searchsorted(self.known, hashes)
-        first, size = self.first[at][which], self.size[at][which]
+        word = at[which]
+        same = self.bytes[word] == ends - starts
+        kept = _taken(self.chunks, self.at[word], np.where(same, chunks.counts, 0))
+        equal = kept == chunks.take(np.flatnonzero(same))
+        if not equal.all():
+            same[np.flatnonzero(same)[np.repeat(np.arange(same.sum()), chunks.counts[same])[~equal]]] = False
+        first, size, pool = self.first[word], self.size[word], self.pool
+        other = np.flatnonzero(~same)
+        if len(other):
+            ids, marks = self._encode(data, starts[other], ends[other])
+            first[other], size[other] = self.filled + marks[:-1], np.diff(marks)
+            pool = np.concatenate([pool[: self.filled], ids])
         stops = np.cumsum(size)
-        ids = self.pool[np.repeat(first - (stops - size), size) + np.arange(int(stops[-1]))]
-        return ids, np.append(0, stops)[np.searchsorted(starts, offsets)]
+        return _taken(pool, first, size), np.append(0, stops)[np.searchsorted(starts, offsets)]
+
+
+def _taken(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of so many values of the pool, one after the other."""
+    stops = np.cumsum(sizes)
+    return pool[np.repeat(first - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
+def _kept(pool: np.ndarray, filled: int, more: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The pool with more values behind the filled part, the new filled size, and where runs that start at `first` of the new values now are."""
+    if filled + len(more) > len(pool):
+        pool = np.concatenate([pool[:filled], np.zeros(filled + 2 * len(more), pool.dtype)])
+    pool[filled : filled + len(more)] = more
+    return pool, filled + len(more), filled + first
 
 
 @functools.lru_cache(maxsize=2)
