@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,40 +21,39 @@ from ..tables import Scratch
 WINDOW, SHINGLE = 10, 3
 #: Windows that a task holds at once, at about 200 bytes each; a larger benchmark is joined in blocks of this many.
 BLOCK_WINDOWS = 500_000
+#: Shingles that are counted in one scan of the documents, at 16 bytes each.
+COUNTED = 8_000_000
 #: Bits of the table that is asked first whether a shingle can be a prefix.
 FILTER_BITS = 22
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lower = LOWER[data]
     starts, ends, marks = words(lower, offsets, ALPHANUMERIC)
-    return hasher.spans(lower, starts, ends), marks
+    return Hasher.spans(lower, starts, ends), marks
 
 
 def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words): every run of WINDOW words of an item, the whole item where it has fewer; no row for none.
+    """(item, words, shingles): every run of WINDOW words of an item, the whole item where it has fewer; no row for none.
 
-    words are 64-bit hashes of the words, as longs. An item without an id or text has no windows.
+    words are 64-bit hashes of the words, as longs; shingles those of the runs of SHINGLE words, or of all of fewer.
     """
     item_type = benchmark.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for some, data, offsets in text_blocks(batches, "text"):
-            hashes, marks = word_hashes(data, offsets, hasher)
-            hashes = hashes.view(np.int64)
-            row, out = [], []
+            hashes, marks = word_hashes(data, offsets)
+            row, out, grams = [], [], []
             for k in range(len(marks) - 1):
                 own = hashes[marks[k] : marks[k + 1]]
+                runs = Hasher.runs(own, min(SHINGLE, len(own))).view(np.int64) if len(own) else own
                 for at in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
-                    row.append(k), out.append(own[at : at + WINDOW])
-            yield pa.RecordBatch.from_pydict({"item": some.column(0).take(pa.array(row, pa.int64())), "words": pa.array(out, pa.list_(pa.int64()))})
+                    row.append(k), out.append(own[at : at + WINDOW].view(np.int64)), grams.append(runs[at : at + WINDOW - SHINGLE + 1])
+            lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"item": some.column(0).take(pa.array(row, pa.int64())), "words": lists(out), "shingles": lists(grams)})
 
-    return benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"item {item_type}, words array<long>")
-
-
-def shingles(window: np.ndarray) -> np.ndarray:
-    return Hasher.runs(window, min(SHINGLE, len(window)))
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"item {item_type}, words array<long>, shingles array<long>")
 
 
 class Lookup:
@@ -73,25 +74,40 @@ class Lookup:
         return at[same], key[same]
 
 
-def shingle_counts(docs: DataFrame, keys: np.ndarray, widths: list[int], text_col: str) -> dict[int, int]:
-    """How often each of the given shingles occurs in all documents, counted within tasks first."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(keys)
+def shingle_counts(docs: DataFrame, keys: np.ndarray, text_col: str) -> DataFrame:
+    """(shingle, n): how often each of the given shingles occurs in all documents, counted within tasks first."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, lookup = Hasher(), Lookup(shared.value)
+        lookup = Lookup(shared.value)
         counts = np.zeros(len(lookup.keys), np.int64)
         for _, data, offsets in text_blocks(batches, "text"):
-            hashes, marks = word_hashes(data, offsets, hasher)
-            for width in widths:
+            hashes, marks = word_hashes(data, offsets)
+            for width in range(1, SHINGLE + 1):
                 at, key = lookup.find(Hasher.runs(hashes, width))
                 inside = np.searchsorted(marks, at, "right") == np.searchsorted(marks, at + width - 1, "right")
                 counts += np.bincount(key[inside], minlength=len(counts))
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"shingle": pa.array(lookup.keys[found].view(np.int64)), "n": pa.array(counts[found])})
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(rows.column("shingle").to_numpy().view(np.uint64).tolist(), rows.column("n").to_pylist()))
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+def indexed(docs: DataFrame, distinct: DataFrame, text_col: str, scratch: Scratch, counted: int = COUNTED) -> DataFrame:
+    """The distinct windows (words, shingles, items) with prefix and shift: their rarest shingle and its place in the window.
+
+    A shingle's rarity is its count in all documents; of equally rare ones the smaller hash is taken, and of equal ones the first place.
+    Shingles are counted in one scan of the documents, or, where the benchmark has more than `counted`, in as few as hold them.
+    """
+    keys = distinct.select(F.explode("shingles").alias("shingle")).distinct()
+    scans = max(1, math.ceil(keys.count() / counted))
+    counts = []
+    for k in range(scans):
+        own = keys.where(F.pmod(F.xxhash64("shingle"), F.lit(scans)) == k).toArrow().column(0).to_numpy()
+        counts.append(scratch.save(shingle_counts(docs, np.sort(own.view(np.uint64)), text_col), f"counts{k}"))
+    rows = distinct.select("words", F.posexplode("shingles").alias("shift", "shingle")).join(functools.reduce(DataFrame.union, counts), "shingle", "left")
+    rarest = rows.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shift")).alias("k"))
+    return distinct.join(rarest, "words").select("words", "items", F.col("k.shingle").alias("prefix"), F.col("k.shift").alias("shift"))
 
 
 @dataclass
@@ -110,26 +126,21 @@ class Index:
     widths: list[int]  # of the prefixes
 
     @staticmethod
-    def build(table: pa.Table, docs: DataFrame, text_col: str) -> Index:
-        """From rows (words, items); the rarity of a shingle is its count in all documents, ties go to the smaller hash."""
-        lists = table.column("words").to_pylist()
-        own = [np.array(x, np.int64).view(np.uint64) for x in lists]
-        grams = [shingles(x) for x in own]
-        widths = sorted({min(SHINGLE, len(x)) for x in own})
-        keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        counts = shingle_counts(docs, keys, widths, text_col) if len(keys) else {}
-        rarest = [min(range(len(g)), key=lambda k, g=g: (counts.get(int(g[k]), 0), int(g[k]))) for g in grams]
-        prefix = np.array([g[k] for g, k in zip(grams, rarest)], np.uint64)
+    def build(table: pa.Table) -> Index:
+        """From rows (words, items, prefix, shift)."""
+        lists = table.column("words").combine_chunks()
+        length = np.diff(lists.offsets.to_numpy())
+        filled = np.zeros((len(length), WINDOW), np.uint64)
+        filled[np.arange(WINDOW) < length[:, None]] = lists.flatten().to_numpy().view(np.uint64)
+        prefix = table.column("prefix").to_numpy().view(np.uint64)
         order = np.argsort(prefix, kind="stable")
         unique, first = np.unique(prefix[order], return_index=True)
-        filled = np.zeros((len(own), WINDOW), np.uint64)
-        for row, k in enumerate(order):
-            filled[row, : len(own[k])] = own[k]
-        items = table.column("items").combine_chunks()
-        items = items.take(pa.array(order, pa.int64())) if len(items) else items
-        flat = items.flatten().dictionary_encode() if len(items) else pa.array([], pa.int64()).dictionary_encode()
-        sizes = np.array([len(x) for x in items], np.int64)
-        return Index(Lookup(unique), np.append(first, len(order)), np.array(rarest, np.int64)[order], np.array([len(x) for x in own], np.int64)[order], filled, np.asarray(flat.indices, np.int64), np.append(0, np.cumsum(sizes)), flat.dictionary, widths)
+        items = table.column("items").combine_chunks().take(pa.array(order))
+        flat = items.flatten().dictionary_encode()
+        return Index(
+            Lookup(unique), np.append(first, len(order)), table.column("shift").to_numpy()[order].astype(np.int64), length[order].astype(np.int64), filled[order],
+            np.asarray(flat.indices, np.int64), np.append(0, np.cumsum(pc.list_value_length(items).to_numpy())), flat.dictionary, sorted(set(np.minimum(length, SHINGLE).tolist())),
+        )
 
     def occurrences(self, hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts, as word places, and windows of all occurrences in a block's documents."""
@@ -160,9 +171,9 @@ def prober(index: Broadcast, item_type: pa.DataType):
     hit, and the ids of the items with an occurring window."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(item_type))])
 
-    def of_block(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> pa.StructArray:
+    def of_block(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
         table: Index = index.value
-        hashes, marks = word_hashes(data, offsets, hasher)
+        hashes, marks = word_hashes(data, offsets)
         n = len(marks) - 1
         spans, span_marks, items, item_marks = np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if len(hashes):
@@ -189,29 +200,33 @@ def prober(index: Broadcast, item_type: pa.DataType):
         ], fields=list(kind))
 
     def probe(texts: pa.Array) -> pa.Array:
-        hasher = Hasher()
         blocks = text_blocks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text")
-        return pa.concat_arrays([of_block(data, offsets, hasher) for _, data, offsets in blocks]) if len(texts) else pa.array([], kind)
+        return pa.concat_arrays([of_block(data, offsets) for _, data, offsets in blocks]) if len(texts) else pa.array([], kind)
 
     return probe
 
 
-def merged(spans: Column, more: Column) -> Column:
-    """The union of two lists of disjoint spans, in JVM expressions."""
-    pairs = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda k: F.struct(F.get(c, (2 * k).cast("int")).alias("a"), F.get(c, (2 * k + 1).cast("int")).alias("b")))
-    listed = lambda c: F.when(F.size(c) > 0, pairs(c)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+def merged(lists: Column) -> Column:
+    """The union of lists [start, end, start, end ...] of disjoint spans, in JVM expressions."""
+
+    def pairs(c: Column) -> Column:
+        at = F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int"))
+        listed = F.transform(at, lambda k: F.struct(F.get(c, (2 * k).cast("int")).alias("a"), F.get(c, (2 * k + 1).cast("int")).alias("b")))
+        return F.when(F.size(c) > 0, listed).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
+
     start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
+    closed = lambda acc: F.when(acc["a"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["a"], acc["b"])))
 
     def step(acc: Column, x: Column) -> Column:
-        joins = x["a"] <= acc["b"]
-        closed = F.when(acc["a"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["a"], acc["b"])))
-        return F.when(joins, F.struct(acc["out"].alias("out"), acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b"))).otherwise(F.struct(closed.alias("out"), x["a"].alias("a"), x["b"].alias("b")))
+        longer = F.struct(acc["out"].alias("out"), acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b"))
+        return F.when(x["a"] <= acc["b"], longer).otherwise(F.struct(closed(acc).alias("out"), x["a"].alias("a"), x["b"].alias("b")))
 
-    last = lambda acc: F.when(acc["a"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["a"], acc["b"])))
-    return F.aggregate(F.array_sort(F.concat(listed(spans), listed(more))), start, step, last)
+    return F.aggregate(F.array_sort(F.flatten(F.transform(lists, pairs))), start, step, closed)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
     """docs with n_words, n_hit, spans, items and contaminated.
 
     A document word is hit if it lies in an occurrence of a window (see `windows`); spans are the hit words as
@@ -219,34 +234,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The shingles of all windows are counted in all documents; each window is indexed under its rarest one. Documents
     are joined to that index within the scan: prefix, then length and position, then all words. The index of at most
-    `block_windows` windows is broadcast; a benchmark with more is joined block by block, each block's finds written
-    to the shared folder.
+    `block_windows` windows is broadcast. A benchmark with more is joined block by block: the documents are written once
+    with a row number, each block's finds (of the documents that have any) are saved, merged by row and joined to the documents.
 
-    Null and empty texts have no words. Items that repeat an id count once. Repeated documents are rows of their own. An
-    empty benchmark hits nothing. Columns of docs with the five names are replaced.
+    Null and empty texts have no words. Items that repeat an id count once; the windows of an item without an id hit words, but such
+    an item cannot be listed. Repeated documents are rows of their own. An empty benchmark hits nothing. Columns of docs with the five
+    names are replaced.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
+    scratch = Scratch(docs.sparkSession, "decontaminate")
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    distinct = scratch.save(windows(benchmark, item_col, item_text_col).groupBy("words").agg(F.collect_set("item").alias("items")), "windows")
-    blocks = max(1, math.ceil(distinct.count() / block_windows))
-    out = docs
-    for k in range(blocks):
-        table = distinct.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
-        index = Index.build(table, docs, text_col)
+    grouped = windows(benchmark, item_col, item_text_col).groupBy("words").agg(F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
+    distinct = scratch.save(grouped, "windows")
+    index = scratch.save(indexed(docs, distinct, text_col, scratch), "index")
+    blocks = max(1, math.ceil(index.count() / block_windows))
+    text = F.col(text_col).cast("string")
+
+    def found(k: int) -> Column:
+        table = index.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
         arrow_item = table.schema.field("items").type.value_type
-        found = F.arrow_udf(prober(spark.sparkContext.broadcast(index), arrow_item), _FOUND.format(item=item_type))(F.col(text_col).cast("string"))
-        out = out.withColumn("__block", found)
-        if k == 0:
-            out = out.withColumn("__all", F.col("__block"))
-        else:
-            out = out.withColumn("__all", F.struct(F.col("__all.n_words").alias("n_words"), merged(F.col("__all.spans"), F.col("__block.spans")).alias("spans"), F.array_union("__all.items", "__block.items").alias("items")))
-        out = out.drop("__block")
-        if blocks > 1:
-            out = scratch.save(out, f"block{k}")
-    odd = F.transform("__all.spans", lambda x, k: F.when(k % 2 == 0, -x).otherwise(x))
-    out = out.withColumns({"n_words": F.col("__all.n_words"), "n_hit": F.aggregate(odd, F.lit(0).cast("long"), lambda a, x: a + x), "spans": F.col("__all.spans"), "items": F.array_sort("__all.items")})
-    return out.drop("__all").withColumn("contaminated", F.col("n_hit") > 0)
+        return F.arrow_udf(prober(docs.sparkSession.sparkContext.broadcast(Index.build(table)), arrow_item), _FOUND.format(item=item_type))(text)
+
+    if blocks == 1:
+        out = docs.withColumn("__found", found(0))
+    else:
+        rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        finds = [scratch.save(rows.select("__row", found(k).alias("k")).where(F.lit(k == 0) | (F.size("k.spans") > 0)), f"block{k}") for k in range(blocks)]
+        by_row = functools.reduce(DataFrame.union, finds).groupBy("__row").agg(F.max("k.n_words").alias("n_words"), F.collect_list("k.spans").alias("spans"), F.collect_list("k.items").alias("items"))
+        joined = by_row.select("__row", F.struct("n_words", merged(F.col("spans")).alias("spans"), F.array_distinct(F.flatten("items")).alias("items")).alias("__found"))
+        out = rows.join(joined, "__row").drop("__row")
+    odd = F.transform("__found.spans", lambda x, k: F.when(k % 2 == 0, -x).otherwise(x))
+    n_hit = F.aggregate(odd, F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumns({"n_words": F.col("__found.n_words"), "n_hit": n_hit, "spans": F.col("__found.spans"), "items": F.array_sort("__found.items")})
+    return out.drop("__found").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def digest(items: Column) -> Column:
