@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,12 +19,13 @@ class BestFit:
     """Bounded-space online best fit: at most `open_bins` bins are open, kept by free space in a bitset.
 
     An item goes to the open bin with the least free space that holds it. When none does and all places are taken,
-    the fullest open bin closes and a new one opens.
+    the fullest open bin closes (as `closed` counts) and a new one opens. A full bin closes by itself. Without places
+    (`open_bins` 0) every item gets a bin of its own.
     """
 
     def __init__(self, capacity: int, open_bins: int, first_id: int = 0):
         self.capacity, self.open_bins = capacity, open_bins
-        self.bits, self.open = 0, 0
+        self.bits, self.open, self.closed = 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.next_id = first_id
 
@@ -44,8 +44,9 @@ class BestFit:
             free = length + (fits & -fits).bit_length() - 1
             to = self._take(free)
         else:
-            if self.open == self.open_bins:
+            if self.bits and self.open >= self.open_bins:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, to = self.capacity, self.next_id
             self.next_id += 1
         left = free - length
@@ -82,7 +83,10 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
                     row.append(k), piece.append(j), start.append(a), length.append(n), crc.append(zlib.crc32(part))
                     if keep_ids:
                         kept.append(np.frombuffer(part, "<u4"))
-            out = {"id": some.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            out = {
+                "id": some.column(0).take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+                "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+            }
             if keep_ids:
                 out["ids"] = pa.array(kept, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
@@ -91,13 +95,33 @@ def tokenize_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, open_bins: int = 4096, lookahead: int = 4096, tokenizer: str | None = None, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def runs_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of `size` (the last one may be shorter), however they come."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < size:
+            continue
+        whole = pa.concat_batches(held)
+        for at in range(0, rows - size + 1, size):
+            yield whole.slice(at, size)
+        held, rows = [whole.slice(rows - rows % size)], rows % size
+    if rows:
+        yield pa.concat_batches(held)
+
+
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, open_bins: int = 64, lookahead: int = 256,
+    tokenizer: str | None = None, end_id: int = 0, keep_ids: bool = False,
+) -> DataFrame:
     """Packs every document's token ids into sequences of at most `capacity`.
 
     Each text is encoded once; the pieces, a few dozen bytes each (with `keep_ids`, their ids too), are dealt
-    evenly to a quarter as many tasks as read the documents. A task packs its pieces online in the order of a hash,
-    in runs of `lookahead` that place their longest first, in the memory of `open_bins` bins; a recomputed task
-    gives the same sequences. Only the bins still open when a task ends stay short. Sequence ids are the task's number times 2**40 plus a count.
+    evenly to tasks, of which adaptive execution chooses the number. A task packs its pieces online in the order of a hash, by best fit
+    into at most `open_bins` open bins: what fits none of these closes the fullest. Of each `lookahead` pieces the longest are placed first
+    (1: strictly online). A recomputed task gives the same sequences. The bins still open when a task ends, `open_bins` at most, stay short.
+    Sequence ids are the task's number times 2**40 plus a count.
 
     Null text is an empty document, of the end id alone. Repeated rows, also those with the same id, are packed
     each. A null id is kept. An empty table gives no rows. Other columns are not read.
@@ -105,19 +129,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Returns the id column, piece, start, length, ids_crc32, sequence_id, offset (and ids).
     """
     pieces = tokenize_pieces(docs, id_col, text_col, capacity, tokenizer or tokens.default_path(), end_id, keep_ids)
-    tasks = math.ceil(docs.rdd.getNumPartitions() / 4)
-    dealt = pieces.repartition(max(1, tasks)).sortWithinPartitions(F.xxhash64("id", "piece"), "id", "piece", "ids_crc32")
+    dealt = pieces.hint("rebalance").sortWithinPartitions(F.xxhash64("id", "piece"), "id", "piece", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        for whole in batches:
-            for at in range(0, whole.num_rows, lookahead):
-                batch = whole.slice(at, lookahead)
-                lengths = batch.column("length").to_numpy()
-                to, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-                for k in np.argsort(-lengths, kind="stable").tolist():
-                    to[k], offset[k] = bins.place(int(lengths[k]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
+        for batch in runs_of(batches, lookahead):
+            lengths = batch.column("length").to_numpy()
+            to, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for k in np.argsort(-lengths, kind="stable").tolist():
+                to[k], offset[k] = bins.place(int(lengths[k]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
     return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
