@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, per_document, text_blocks
 
-#: N-grams are 4 bytes wide and hashed to so many classes; a model has this many numbers per language.
-GRAM, CLASSES = 4, 1 << 16
+#: N-grams are 4 bytes wide and hashed to 2**BITS classes. A model has a number per class and language, MODEL_NUMBERS at most: where
+#: languages are more than MODEL_NUMBERS >> BITS, each doubling of them halves the classes.
+GRAM, BITS, MODEL_NUMBERS = 4, 16, 1 << 24
 #: N-grams of a window, the unit whose language the mixture leaves open.
 WINDOW = 48
-MAX_LANGUAGES = 200
+#: Numbers of the model that are looked up at once.
+GATHERED = 1 << 23
 UNDETERMINED = "und"
 
 _LETTERS = LOWER.copy()
 _LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 
-def gram_classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gram_classes(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of a block's n-grams in order, and n+1 offsets of the texts into these.
 
     A-Z count as a-z and other ASCII characters that are no letters as blanks, of which two stand before and after
@@ -50,51 +52,58 @@ def gram_classes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         ends = offsets[1:-1] - k
         keep[ends[(ends >= 0) & (ends < n)]] = False
     at = np.flatnonzero(keep)
-    classes = (code[at] * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    classes = (code[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     return classes.astype(np.int64), np.searchsorted(at, offsets).astype(np.int64)
 
 
-def count_grams(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the columns text and lang: counts within tasks first, then over all."""
+def count_grams(labelled: DataFrame, languages: list[str], bits: int) -> DataFrame:
+    """(lang, gram, n) over the columns text and lang, lang as its place in `languages`: counts within tasks first, then over all."""
+    number = {x: k for k, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
         for some, data, offsets in text_blocks(batches, "text"):
-            classes, marks = gram_classes(data, offsets)
+            classes, marks = gram_classes(data, offsets, bits)
             labels = some.column("lang").dictionary_encode()
             of = np.asarray(labels.indices)[per_document(marks)]
             names = labels.dictionary.to_pylist()
-            found = np.bincount(of * CLASSES + classes, minlength=len(names) * CLASSES).reshape(len(names), CLASSES)
+            found = np.bincount((of << bits) + classes, minlength=len(names) << bits).reshape(len(names), -1)
             for name, row in zip(names, found):
-                counts[name] = counts[name] + row if name in counts else row
-        for name, row in counts.items():
+                k = number[name]
+                counts[k] = counts[k] + row if k in counts else row
+        for k, row in counts.items():
             some = np.flatnonzero(row)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(some), pa.string()), "gram": pa.array(some, pa.int32()), "n": pa.array(row[some], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(some), k, np.int32)), "gram": pa.array(some, pa.int32()), "n": pa.array(row[some], pa.int64())})
 
-    return labelled.select("text", "lang").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "lang").mapInArrow(run, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Model:
-    """Languages and the log-probability of each n-gram class in each, of at most MAX_LANGUAGES x CLASSES numbers."""
+    """Languages and the log-probability of each n-gram class (row) in each (column), MODEL_NUMBERS at most."""
 
     languages: list[str]
     log_p: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.log_p).bit_length() - 1
+
     @staticmethod
     def fit(labelled: DataFrame, smoothing: float = 0.5) -> Model:
-        """Add-constant estimates from every row whose lang is not null.
+        """Add-constant estimates from every row whose lang is not null, for each lang with an n-gram.
 
-        The driver gets the sums alone, of a size that CLASSES and MAX_LANGUAGES bound; more languages are an error.
+        The driver gets the names of the languages and the sums alone, of which there are MODEL_NUMBERS at most.
         """
-        counts = count_grams(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())).toArrow()
-        languages = sorted(set(counts.column("lang").to_pylist()))
-        if len(languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} can be learned")
-        number = {x: k for k, x in enumerate(languages)}
-        table = np.full((len(languages), CLASSES), smoothing)
-        table[[number[x] for x in counts.column("lang").to_pylist()], counts.column("gram").to_numpy()] += counts.column("n").to_numpy()
-        return Model(languages, np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32).copy() if languages else np.zeros((CLASSES, 0), np.float32))
+        labelled = labelled.where(F.col("lang").isNotNull())
+        every = sorted(x[0] for x in labelled.select("lang").distinct().collect())
+        bits = max(1, min(BITS, (MODEL_NUMBERS // max(len(every), 1)).bit_length() - 1))
+        counts = count_grams(labelled.where(F.col("text").isNotNull()), every, bits).toArrow()
+        table = np.zeros((len(every), 1 << bits))
+        table[counts.column("lang").to_numpy(), counts.column("gram").to_numpy()] = counts.column("n").to_numpy()
+        learned = np.flatnonzero(table.any(1))
+        table = table[learned] + smoothing
+        return Model([every[k] for k in learned], np.log(table / table.sum(1, keepdims=True)).T.astype(np.float32).copy())
 
 
 def estimate(scores: np.ndarray, marks: np.ndarray, active: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +171,21 @@ def predictor(model: Model):
     """An Arrow function from texts to (lang, score, languages, shares); null where nothing can be said."""
     names = np.array(model.languages, object)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
-    log_p = model.log_p
+    log_p, bits = model.log_p, model.bits
+
+    def window_scores(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of the windows in each language; only so many n-grams are looked up at once."""
+        out = np.empty((len(starts), len(names)))
+        ends = np.append(starts[1:], len(classes))
+        some = max(1, GATHERED // (WINDOW * len(names)))
+        for a in range(0, len(starts), some):
+            b = min(a + some, len(starts))
+            out[a:b] = np.add.reduceat(log_p[classes[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
+        return out
 
     def of_block(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
         n = len(offsets) - 1
-        classes, marks = gram_classes(data, offsets)
+        classes, marks = gram_classes(data, offsets, bits)
         full = np.flatnonzero(np.diff(marks))
         shares = np.zeros((n, len(names)))
         if len(full):
@@ -176,8 +195,7 @@ def predictor(model: Model):
             within = np.arange(ends[-1]) - np.repeat(ends - windows, windows)
             starts = np.repeat(marks[:-1][full], windows) + within * WINDOW
             # Documents without n-grams hold none between these, so reduceat sees windows alone.
-            scores = np.add.reduceat(log_p[classes], starts, axis=0).astype(np.float64)
-            shares[full] = select_languages(scores, np.append(0, ends))
+            shares[full] = select_languages(window_scores(classes, starts), np.append(0, ends))
         empty = np.setdiff1d(np.arange(n), full)
         shares[empty, :] = 1 / len(names)
         best = shares.argmax(1)
@@ -205,7 +223,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     windows that each language has, and the language set is that of the best penalised likelihood. lang_pred is the
     language with the largest share (the first by name of equal ones), score that share. A null text, or one without a letter, is `und` with
     score 0 and no languages; so is every text if no language was learned. Columns of docs with the four names are
-    replaced.
+    replaced. Repeated rows are predicted alike. A task holds the scores of a block's windows, a number per language and WINDOW n-grams.
     """
     predict = F.arrow_udf(predictor(model), "struct<lang: string, score: double, languages: array<string>, shares: array<double>>") if model.languages else None
     text = F.col(text_col).cast("string")
