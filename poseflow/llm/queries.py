@@ -49,7 +49,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = rf"""
-WITH item_words AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH item_words AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 item_windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k + 1 : k + 10], ' ') AS win
   FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM item_words WHERE len(w) > 0)),
 doc_words AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -59,7 +59,7 @@ doc_windows AS (SELECT doc_id, size, k, array_to_string(w[k + 1 : k + size], ' '
 found AS (SELECT doc_id, item_id, size, k FROM doc_windows JOIN item_windows USING (size, win)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS sha
-  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
@@ -90,14 +90,15 @@ def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH a AS (SELECT conv_id, list(turn ORDER BY turn) AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-cut AS (SELECT conv_id, l[conv_id % len(l) + 1] AS cut FROM a),
+cut AS (SELECT conv_id, l[CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % len(l) + 1] AS cut FROM a),
 c AS (SELECT t.conv_id, turn, role, text FROM conversations t SEMI JOIN cut USING (conv_id)),
 r AS (SELECT t.conv_id, turn, role, CASE WHEN turn = cut THEN left(text, CAST(floor(length(text) / 2) AS BIGINT)) ELSE text END AS text
   FROM conversations t JOIN cut USING (conv_id) WHERE turn <= cut),
 both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn,
   coalesce(c.role = r.role AND c.text = r.text, false) AS same FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
 n AS (SELECT conv_id, coalesce(min(CASE WHEN NOT same THEN turn END), max(turn) + 1) AS n FROM both_ GROUP BY conv_id),
-rows_ AS (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r' AS side, * FROM r),
+rows_ AS (SELECT side, conv_id, turn, regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text
+  FROM (SELECT 'c' AS side, * FROM c UNION ALL SELECT 'r' AS side, * FROM r)),
 shown AS (SELECT side, conv_id, turn, role, n, turn < n AS shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM rows_ JOIN n USING (conv_id)),
 placed AS (SELECT *, sum(length(s)) OVER (PARTITION BY side, conv_id, shared ORDER BY turn) AS stop FROM shown),
 parts AS (SELECT side, conv_id, shared, string_agg(s, '' ORDER BY turn) AS s,
@@ -123,8 +124,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH p AS (SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS fetched,
-  nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '') AS host FROM pages),
-s AS (SELECT page_id, fetched, array_to_string(string_split(host, '.')[k:], '.') AS entry FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p)),
+  nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)', 1), '^[\s.]+|[\s.]+$', '', 'g'), '') AS host FROM pages),
+s AS (SELECT page_id, fetched, array_to_string(string_split(host, '.')[k:], '.') AS entry FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p)
+  WHERE k = 1 OR NOT regexp_matches(host, '^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$')),
 e AS (SELECT entry, count(*) * 31 + length(entry) * 17 AS k FROM s WHERE contains(entry, '.') GROUP BY entry),
 events_ AS (SELECT entry, DATE '2024-01-01' + CAST(k % 200 AS INTEGER) AS day, true AS active FROM e WHERE k % 3 <> 0
   UNION ALL SELECT entry, DATE '2024-01-01' + CAST(k % 200 + 20 + k % 60 AS INTEGER), false FROM e WHERE k % 3 <> 0 AND k % 4 <> 0

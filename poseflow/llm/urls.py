@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 
 from ..tables import Scratch
 
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: Scheme, user information (up to the last @), then a host in brackets or one that ends at a port or path.
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]*)"
+#: Hosts that have no domains above them: IPv6 in brackets, and IPv4.
+ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
+
+
+def normal_name(name: Column) -> Column:
+    """A host or entry in lower case without white space around it and without dots before and after it; null where nothing is left."""
+    out = F.regexp_replace(F.lower(name), r"^[\s.]+|[\s.]+$", "")
+    return F.when(out != "", out)
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL; null where it has none."""
-    found = F.regexp_extract(F.lower(url), HOST, 1)
-    return F.when(found != "", found)
+    """The host of a URL as `normal_name`; null where it has none."""
+    return normal_name(F.regexp_extract(F.lower(F.trim(url)), HOST, 1))
 
 
 def suffixes(host: Column) -> Column:
-    """The host and the domains above it, down to the last label."""
+    """The host and the domains above it, down to the last label; an address alone."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(every)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(entry, since, until): from each addition to the next removal; until is null while the entry stands.
 
     entries: entry, day (date), active (true: added, false: removed). An addition of an active entry and a removal of an inactive one change nothing. Of
-    several events of one day the addition counts last. Rows with a null entry, day or action are ignored.
+    several events of one day the addition counts last. Entries are compared as `normal_name` gives them, so `B.com.` is `b.com`. Rows with a null
+    or empty entry, or a null day or action, are ignored. Repeated rows count once; other columns are not read.
     """
-    rows = entries.where("entry is not null and day is not null and active is not null").groupBy("entry", "day").agg(F.max("active").alias("active"))
+    named = entries.select(normal_name(F.col("entry").cast("string")).alias("entry"), F.col("day").cast("date").alias("day"), "active")
+    rows = named.where("entry is not null and day is not null and active is not null").groupBy("entry", "day").agg(F.max("active").alias("active"))
     by = Window.partitionBy("entry").orderBy("day")
     changes = rows.withColumn("before", F.coalesce(F.lag("active").over(by), F.lit(False))).where("active <> before")
     return changes.withColumn("until", F.lead("day").over(by)).where("active").select("entry", F.col("day").alias("since"), "until")
@@ -38,7 +49,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched") -> DataFrame:
     """captures with host, blocked, matched_entry and active_since: an entry matches a host that it equals or is a domain of,
     and blocks a capture fetched from the day it was added until the day before its removal; of several, the
-    longest is given.
+    longest is given. Hosts and entries are compared in lower case, without dots at their ends; addresses match as a whole.
 
     Each distinct host and day is judged once: its host and domains join the entries' validity intervals, which are laid
     out by month so that a capture meets only the intervals of its own month. The verdicts are a saved table, which
@@ -49,13 +60,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url_col: str = "url
     scratch = Scratch(captures.sparkSession, "url-filter")
     own = captures.withColumn("host", host_of(F.col(url_col).cast("string"))).withColumn("__day", F.col(day_col).cast("date"))
     keys = scratch.save(own.where("host is not null and __day is not null").select("host", F.col("__day").alias("day")).distinct(), "keys")
-    last = keys.agg(F.max("day")).first()[0]
+    early, last = keys.agg(F.min("day"), F.max("day")).first()
     intervals = validity_intervals(entries)
     if last is None:
-        intervals, last = intervals.where("false"), "1970-01-01"
+        intervals, early, last = intervals.where("false"), "1970-01-01", "1970-01-01"
     month = lambda c: F.trunc(c, "month")
     final = F.least(F.coalesce(F.date_sub("until", 1), F.lit(last).cast("date")), F.lit(last).cast("date"))
-    laid = intervals.where(F.col("since") <= final).withColumn("month", F.explode(F.sequence(month(F.col("since")), month(final), F.expr("interval 1 month"))))
+    begin = F.greatest(F.col("since"), F.lit(early).cast("date"))
+    laid = intervals.where(begin <= final).withColumn("month", F.explode(F.sequence(month(begin), month(final), F.expr("interval 1 month"))))
     laid = scratch.save(laid.select(F.col("entry").alias("suffix"), "month", "since", "until"), "intervals")
     asked = keys.select("host", "day", month(F.col("day")).alias("month"), F.explode(suffixes(F.col("host"))).alias("suffix"))
     met = asked.join(laid, ["suffix", "month"]).where("day >= since and (until is null or day < until)")
