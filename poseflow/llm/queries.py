@@ -70,7 +70,8 @@ def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("fetched", urls.fetched(F.col("page_id")))
+    return warc.round_trip(pages, date_col="fetched").drop("date")
 
 
 OP7_SQL = """

@@ -104,10 +104,45 @@ def test_warc_round_trip(spark):
 def test_warc_payloads_return(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://h/{k}", t) for k, t in enumerate(HTML)], "page_id long, url string, html string")
     warc.write_archives(warc.resolve_revisits(pages, least_bytes=10**9), str(tmp_path / "w"))
-    got = {int(r.record_id): bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    got = {int(r.page_id): bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
     assert got == {k: (t or "").encode() for k, t in enumerate(HTML)}
 
 
+def test_warc_archives_by_member(spark, tmp_path):
+    """Archives as a public reader takes them: a record per gzip member, ids of their own, references that exist."""
+    import glob
+    import zlib
+
+    date = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    rows = [(k % 9 if k > 20 else k, f"http://h/{k}\r\nX: y", t, date) for k, t in enumerate(HTML * 3)] + [(None, None, "n" * 300, None)] * 3 + [(90, "http://big", "b" * (17 << 20), date)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, fetched timestamp")
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.resolve_revisits(pages.repartition(3), date_col="fetched"), path)
+    ids, refers, kinds = [], [], []
+    files = glob.glob(path + "/*.warc.gz")
+    assert files and not glob.glob(path + "/*.txt*")
+    for file in files:
+        data, first = open(file, "rb").read(), True
+        while data:
+            unpack = zlib.decompressobj(31)
+            text = unpack.decompress(data)
+            data = unpack.unused_data
+            assert unpack.eof
+            if not text:
+                continue  # after a record of 16 MiB or more
+            head, _, block = text.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert head.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(block) - 4
+            assert (fields["WARC-Type"] == "warcinfo") == first and "X" not in fields
+            ids.append(fields["WARC-Record-ID"]), refers.append(fields.get("WARC-Refers-To")), kinds.append(fields["WARC-Type"])
+            assert fields["WARC-Date"] == ("2024-05-06T07:08:09Z" if "X-Page-ID" in fields else "1970-01-01T00:00:00Z")
+            first = False
+    assert len(set(ids)) == len(ids) == len(rows) + len(files) and {x for x in refers if x} <= set(ids) and any(refers)
+    assert all(k == "revisit" for k, x in zip(kinds, refers) if x)
+    back = warc.read_archives(spark, path)
+    assert back.count() == len(rows) and back.where("length(payload) > 1000000").first().page_id == "90"
+
+
 def test_preferences(spark):
     schema = "conv_id long, turn long, role string, text string, n int, key string"
     turns = lambda rows: spark.createDataFrame([(*r, 1, "k") for r in rows], schema)
