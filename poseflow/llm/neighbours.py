@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..tables import Scratch
 
-#: The partitioner is fitted on at most this many vectors, those with the smallest hashes of their ids.
-SAMPLE = 16_384
-PARTS = 32
-#: Vectors that are scored together, and of which a part's rows are dealt to tasks at a time.
-BLOCK, DEALT = 1_024, 256
+#: A partitioner is fitted on at most this many vectors, those with the smallest hashes of their ids, with at least FEW of them to a part.
+SAMPLE, FEW = 16_384, 64
+#: Parts are as many as hold about PART_ROWS rows each, LEAST_PARTS at least; a partitioner has FAN at most, and parts its own partitioner beyond.
+PART_ROWS, LEAST_PARTS, FAN = 4_096, 32, SAMPLE // FEW
+#: Vectors that are scored together, and of a part's rows those that are gathered into blocks by one task, and searched by one task.
+BLOCK, DEALT, SEARCHED = 1_024, 256, 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -112,11 +115,12 @@ class Partitioner:
         return self.router.probabilities(vectors / self.scale)
 
     @staticmethod
-    def fit(sample: np.ndarray, k: int, seed: int = 0) -> Partitioner:
-        """The neighbour graph of the sample, its balanced parts, and the classifier that learns where neighbours are."""
+    def fit(sample: np.ndarray, k: int, wanted: int, seed: int = 0) -> Partitioner:
+        """The neighbour graph of the sample, its balanced parts, and the classifier that learns where neighbours are. There are `wanted` parts,
+        or fewer so that FEW vectors of the sample go to each: fewer than twice FEW are one part, and a search of it is exact."""
         n = len(sample)
         scale = float(np.sqrt((sample**2).sum(1).mean())) / np.sqrt(sample.shape[1])
-        parts = int(np.clip(n // 64, 1, PARTS))
+        parts = int(np.clip(n // FEW, 1, wanted))
         if parts == 1:
             return Partitioner(Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), scale, 1)
         graph = graph_of(sample, min(k, n - 1))
@@ -126,6 +130,77 @@ class Partitioner:
         return Partitioner(Router.fit(sample / scale, targets, seed=seed), scale, parts)
 
 
+class Hierarchy:
+    """A partitioner, and one for each of its parts, whose parts are the leaves."""
+
+    def __init__(self, top: Partitioner, below: dict[int, Partitioner] | None = None):
+        self.top, self.below = top, below or {}
+        sizes = [self.below[p].parts if p in self.below else 1 for p in range(top.parts)]
+        self.first = np.append(0, np.cumsum(sizes))
+        self.leaves = int(self.first[-1])
+
+    def leaf(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector: the most probable part's most probable part."""
+        part = self.top.probabilities(vectors).argmax(1)
+        out = self.first[part]
+        for p in np.intersect1d(part, list(self.below)):
+            own = np.flatnonzero(part == p)
+            out[own] += self.below[p].probabilities(vectors[own]).argmax(1)
+        return out
+
+    def route(self, vectors: np.ndarray, sizes: np.ndarray, mass: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, leaf) places: each vector's most probable leaves until they hold `mass` of the probability and `least` rows, given the
+        leaves' sizes; of the parts above, those until half of what is left out has gone, and `least` rows."""
+        p = self.top.probabilities(vectors)
+        row, part = np.nonzero(_until(p, np.add.reduceat(sizes, self.first[:-1]), (1 + mass) / 2, least))
+        rows, leaves, odds = [], [], []
+        for k in np.unique(part).tolist():
+            own = row[part == k]
+            inner = self.below[k].probabilities(vectors[own]) if k in self.below else np.ones((len(own), 1))
+            n = inner.shape[1]
+            rows.append(np.repeat(own, n)), leaves.append(np.tile(self.first[k] + np.arange(n), len(own))), odds.append((inner * p[own, k][:, None]).reshape(-1))
+        rows, leaves, odds = (np.concatenate(x) for x in (rows, leaves, odds))
+        order = np.lexsort((leaves, -odds, rows))
+        rows, leaves, odds = rows[order], leaves[order], odds[order]
+        start = np.searchsorted(rows, rows, "left")
+        so_far = lambda x: (np.cumsum(x) - x) - (np.cumsum(x) - x)[start]
+        go = (so_far(odds) < mass) | (so_far(sizes[leaves]) < least) | (mass >= 1)
+        return rows[go], leaves[go]
+
+
+def _until(p: np.ndarray, sizes: np.ndarray, mass: float, least: int) -> np.ndarray:
+    """Of each row, the most probable places until these hold `mass` and `least` rows."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    ranked = np.take_along_axis(p, order, 1)
+    go = (np.cumsum(ranked, axis=1) - ranked < mass) | (np.cumsum(sizes[order], axis=1) - sizes[order] < least) | (mass >= 1)
+    out = np.zeros(p.shape, bool)
+    np.put_along_axis(out, order, go, axis=1)
+    return out
+
+
+def fitted(rows: DataFrame, dimension: int, n: int, k: int, part_rows: int, fan: int) -> Hierarchy:
+    """Partitioners for n rows (id, v): on the driver that of a sample of all rows; where more than `fan` parts are wanted, in one task
+    each that of a sample of each part's rows. A sample has SAMPLE vectors at most."""
+    wanted = max(LEAST_PARTS, -(-n // part_rows))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    top = Partitioner.fit(drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dimension), k, wanted if wanted <= fan else int(np.ceil(np.sqrt(wanted))))
+    if wanted <= fan:
+        return Hierarchy(top)
+    each = min(fan, -(-wanted // top.parts))
+    # The share of each part's rows that makes its sample, by hash; a part's task then cuts what chance has put over SAMPLE.
+    shared = rows.sparkSession.sparkContext.broadcast(Hierarchy(top))
+    placed = assigned(rows, shared)
+    rate = min(1.0, SAMPLE * top.parts / n)
+    some = placed.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+    def of_part(key: tuple, table: pa.Table) -> pa.Table:
+        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dimension)[:SAMPLE]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(Partitioner.fit(vectors, k, each))], pa.binary())})
+
+    models = some.groupBy("part").applyInArrow(of_part, "part int, model binary").collect()
+    return Hierarchy(top, {r.part: pickle.loads(r.model) for r in models})
+
+
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
@@ -165,21 +240,21 @@ def _rows(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 _BLOCK_SCHEMA = "part int, ids binary, vectors binary"
 
 
-def assigned(rows: DataFrame, partitioner) -> DataFrame:
-    """rows (id, v) with part, the most probable one."""
+def assigned(rows: DataFrame, hierarchy: Broadcast) -> DataFrame:
+    """rows (id, v) with part, their leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                part = partitioner.value.probabilities(_matrix(batch)).argmax(1)
+                part = hierarchy.value.leaf(_matrix(batch))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(part.astype(np.int32))], names=["id", "v", "part"])
 
     return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, part int")
 
 
-def blocks_by_part(rows: DataFrame, partitioner, size: int, route=None) -> DataFrame:
-    """Blocks of the rows (id, v): each row in its column part, or with `route` in all parts that this gives for its probabilities. A
+def blocks_by_part(rows: DataFrame, size: int, route=None) -> DataFrame:
+    """Blocks of the rows (id, v): each row in its column part, or with `route` in all parts that this gives for the vectors. A
     task holds at most 64 blocks' worth of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +263,7 @@ def blocks_by_part(rows: DataFrame, partitioner, size: int, route=None) -> DataF
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch)
-                row, part = (np.arange(len(ids)), batch.column("part").to_numpy()) if route is None else route(partitioner.value.probabilities(vectors))
+                row, part = (np.arange(len(ids)), batch.column("part").to_numpy()) if route is None else route(vectors)
                 for k in np.unique(part).tolist():
                     some = row[part == k]
                     if full := list(held.add(k, ids[some], vectors[some])):
@@ -244,52 +319,52 @@ def search_blocks(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("qi", "qv", "ci", "cv").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, mass: float = 0.95) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, mass: float = 0.95,
+    part_rows: int = PART_ROWS, fan: int = FAN,
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows found nearest to each row for which `queries` holds.
 
     Nearness is the largest inner product in double precision, computed on the original vectors; ties go to the smaller id. A
     query is no neighbour of its own id.
 
-    The partitioner is fitted on a bounded sample (SAMPLE): a balanced partition of the sample's neighbour graph,
-    and a classifier of where a vector's neighbours lie. Every row is indexed in its most probable part. A query
+    A partitioner is fitted on a bounded sample (SAMPLE): a balanced partition of the sample's neighbour graph, and a classifier of where a
+    vector's neighbours lie. Parts grow in number with the rows, to about `part_rows` rows each; beyond `fan` parts, each part has its own
+    partitioner below (see `fitted`). Every row is indexed in its most probable part. A query
     goes to its most probable parts until these hold `mass` of the probability, and k + 1 rows at least; there all
     rows are scored. The recall is about `mass`; 1.0 searches all.
 
-    A part's rows are dealt to tasks by hash, so none gathers a large part, and gathered into blocks. These are scored against blocks of queries of the same part, a join whose hot parts adaptive execution can split.
+    A part's rows are dealt to tasks by hash, so none gathers a large part, and gathered into blocks. These are scored against blocks of
+    queries of the same part: a join by part and deal, of which a part has one for SEARCHED rows, and to each of which its query blocks are copied.
     Unusable vectors (null, zero, with null or non-finite components) and null ids take no part, nor do vectors of
     another length than the most frequent one (the longest of equally frequent). Repeated rows are found each; a query row that is repeated is asked
-    once.
+    once. An empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == lengths["d"])
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    sample = drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, lengths["d"])
-    fitted = spark.sparkContext.broadcast(Partitioner.fit(sample, k))
-    placed = scratch.save(assigned(rows, fitted), "placed")
-    sizes = np.zeros(fitted.value.parts, np.int64)
-    for part, n in placed.groupBy("part").agg(F.count("*")).collect():
+    shared = spark.sparkContext.broadcast(fitted(rows, lengths["d"], lengths["n"], k, part_rows, fan))
+    placed = scratch.save(assigned(rows, shared), "placed")
+    counts = scratch.save(placed.groupBy("part").agg(F.count("*").alias("n")), "counts")
+    sizes = np.zeros(shared.value.leaves, np.int64)
+    for part, n in counts.collect():
         sizes[part] = n
-    deals = F.element_at(F.array(*[F.lit(int(n) // DEALT + 1) for n in sizes]), F.col("part") + 1)
-    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", F.pmod(F.xxhash64("id"), deals))
-    index = scratch.save(blocks_by_part(dealt, fitted, BLOCK), "index")
-
-    def route(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(-p, axis=1, kind="stable")
-        before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
-        held = np.cumsum(sizes[order], axis=1) - sizes[order]
-        go = (before < mass) | (held < k + 1)
-        row, place = np.nonzero(go)
-        return row, order[row, place]
-
-    asked = scratch.save(blocks_by_part(rows.where("q").select("id", "v").dropDuplicates(), fitted, 256, route), "asked")
-    pairs = asked.select("part", F.col("ids").alias("qi"), F.col("vectors").alias("qv")).join(index.select("part", F.col("ids").alias("ci"), F.col("vectors").alias("cv")), "part")
-    found = search_blocks(pairs, k)
+    dealt = placed.join(counts, "part").withColumn("deal", F.pmod(F.xxhash64("id"), F.expr(f"n div {DEALT} + 1")))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "deal")
+    index = scratch.save(blocks_by_part(dealt.select("id", "v", "part"), BLOCK), "index")
+
+    def route(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return shared.value.route(v, sizes, mass, k + 1)
+
+    asked = scratch.save(blocks_by_part(rows.where("q").select("id", "v").dropDuplicates(), 256, route), "asked")
+    deals = F.expr(f"n div {SEARCHED} + 1")
+    index = index.join(counts, "part").select("part", F.pmod(F.xxhash64("ids"), deals).alias("deal"), F.col("ids").alias("ci"), F.col("vectors").alias("cv"))
+    asked = asked.join(counts, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    found = search_blocks(asked.join(index, ["part", "deal"]), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

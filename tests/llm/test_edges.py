@@ -278,3 +278,44 @@ def test_blocks_of_empty_words():
     chunks = blocks.Chunks.of(np.frombuffer(b"abcdefghij", np.uint8), np.array([0, 3, 0]), np.array([10, 3, 8]))
     assert chunks.counts.tolist() == [2, 1, 1] and chunks.values.tolist()[2:] == [0, int.from_bytes(b"abcdefgh", "little")]
     assert chunks.take(np.array([2, 0])).tolist() == [int.from_bytes(b"abcdefgh", "little"), int.from_bytes(b"abcdefgh", "little"), int.from_bytes(b"ij", "little")]
+
+
+def clustered(n, seed=1, clusters=40, d=16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, d))
+    return centres[rng.integers(clusters, size=n)] + 0.2 * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("mass", [1.0, 0.95])
+def test_neighbours_of_two_levels(spark, mass):
+    """More parts than one partitioner may have: each part has its own below, and a hot part of equal vectors is searched in deals."""
+    from poseflow.llm import neighbours
+
+    x = clustered(3000)
+    x[1000:1700] = x[1000]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 3000, 100))
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, k=10, mass=mass, part_rows=50, fan=12).collect():
+        got.setdefault(r.query_id, []).append(r)
+    right = 0
+    for q in asked:
+        scores = [(x[q] * x[k]).sum() for k in range(3000)]
+        want = sorted((k for k in range(3000) if k != q), key=lambda k: (-scores[k], k))[:10]
+        own = sorted(got[q], key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, 11)) and all(abs(r.score - scores[r.vec_id]) < 1e-9 for r in own)
+        right += len(set(want) & {r.vec_id for r in own})
+        if mass == 1.0:
+            assert [r.vec_id for r in own] == want
+    assert right >= 0.9 * 10 * len(asked)
+
+
+def test_neighbour_parts_grow_with_rows(spark):
+    from poseflow.llm import neighbours
+
+    def leaves(n):
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(clustered(n))], "id long, v array<double>")
+        return neighbours.fitted(rows, 16, n, 10, part_rows=50, fan=12).leaves
+
+    small, large = leaves(500), leaves(4000)
+    assert small <= 12 and large >= 40
