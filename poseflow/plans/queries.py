@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, pipeline_tables, structures, tables, whole
+from . import evaluation, geometry, pipeline_tables, readers, structures, tables, whole
 
-QUERIES = {**evaluation.REGISTRY.queries, **geometry.REGISTRY.queries, **tables.REGISTRY.queries, **structures.REGISTRY.queries, **pipeline_tables.REGISTRY.queries, **whole.REGISTRY.queries}
-ORACLE_SQL = {**evaluation.REGISTRY.sql, **geometry.REGISTRY.sql, **tables.REGISTRY.sql, **structures.REGISTRY.sql, **pipeline_tables.REGISTRY.sql}
+_ALL = (evaluation, geometry, tables, structures, pipeline_tables, readers, whole)
+QUERIES = {name: fn for module in _ALL for name, fn in module.REGISTRY.queries.items()}
+ORACLE_SQL = {name: sql for module in _ALL for name, sql in module.REGISTRY.sql.items()}

@@ -34,10 +34,11 @@ def read_delimited(spark: SparkSession, path: str, columns: dict[str, str], skip
     return lines.select(*[F.get(parts, k).try_cast(t).alias(c) for k, (c, t) in enumerate(columns.items())], "path")
 
 
-def read_score_dir(spark: SparkSession, path: str, suffix: str, value: str) -> DataFrame:
-    """(complex, code, value) of a directory of <complex>_<suffix>.dat files (A2)."""
-    df = read_delimited(spark, f"{path.rstrip('/')}/*_{suffix}.dat", {"code": "string", value: "double"})
-    return df.select(F.regexp_extract("path", rf"([^/]+)_{suffix}\.dat$", 1).alias("complex"), F.regexp_replace("code", "%20", " ").alias("code"), value)
+def read_score_dir(spark: SparkSession, path: str, suffix: str, value: str, files: str | None = None, name: str | None = None) -> DataFrame:
+    """(complex, code, value) of a directory of <complex>_<suffix>.dat files (A2), or of those that the glob `files` gives, whose complex is the
+    first group of `name` in the path."""
+    df = read_delimited(spark, f"{path.rstrip('/')}/{files or f'*_{suffix}.dat'}", {"code": "string", value: "double"})
+    return df.select(F.regexp_extract("path", name or rf"([^/]+)_{suffix}\.dat$", 1).alias("complex"), F.regexp_replace("code", "%20", " ").alias("code"), value)
 
 
 def read_target_info(spark: SparkSession, path: str, ligands: int = 10, skip: int = 8) -> DataFrame:
@@ -52,14 +53,18 @@ def _cut(start: int, end: int) -> Column:
     return F.trim(F.substring("value", start, end - start + 1))
 
 
-def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
+#: The file's name, without .gz, as a structure's name; another pattern can name a structure by its folder.
+FILE_NAME = r"([^/]+?)(\.gz)?$"
+
+
+def read_pdb_atoms(spark: SparkSession, path: str, name: str = FILE_NAME) -> DataFrame:
     """pdb_name, model, chain, residue, resname, x, y, z, element, atom_name, aid of the ATOM lines of PDB files, plain or gzip (A3).
 
     Hydrogens (lines that end in H) and residues without a CA go. A blank chain is the file name's 5th character in upper case. Models
     count from the MODEL lines before an atom, 0 without any, so a file is read whole.
     """
     lines = whole_lines(spark, path)
-    name = F.regexp_extract("path", r"([^/]+?)(\.gz)?$", 1)
+    name = F.regexp_extract("path", name, 1)
     model = F.last(F.when(F.col("value").startswith("MODEL "), F.trim(F.substring("value", 7, 10))), ignorenulls=True).over(Window.partitionBy("path").orderBy("line"))
     rows = lines.where("startswith(value, 'ATOM') or startswith(value, 'MODEL ')").withColumn("model", F.coalesce(model, F.lit("0")))
     rows = rows.where("startswith(value, 'ATOM') and not endswith(rtrim(value), 'H')")
@@ -70,10 +75,10 @@ def read_pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
     return atoms.withColumn("__ca", ca).where("__ca and x is not null and y is not null and z is not null").drop("__ca")
 
 
-def read_mol2_atoms(spark: SparkSession, path: str) -> DataFrame:
+def read_mol2_atoms(spark: SparkSession, path: str, name: str = r"([^/]+)$") -> DataFrame:
     """pdb_name, model, x, y, z, element, atom_name, aid, error: the ATOM blocks of mol2 files; a file without one is a row with an error
     alone (A4, J5)."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("pdb_name"), F.regexp_extract("value", r"@<TRIPOS>ATOM\r?\n([^@]*)", 1).alias("block"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("pdb_name"), F.regexp_extract("value", r"@<TRIPOS>ATOM\r?\n([^@]*)", 1).alias("block"))
     lines = files.select("pdb_name", F.explode(F.split("block", r"\r?\n")).alias("value"), (F.col("block") == "").alias("bad"))
     p = fields(F.col("value"), r"\s+")
     number = lambda k: F.get(p, k).try_cast("double")
@@ -158,9 +163,9 @@ def attach_al2co(pssm: DataFrame, al2co: DataFrame) -> DataFrame:
     return pssm.join(al2co, ["path", "position"], "left")
 
 
-def read_waters(spark: SparkSession, path: str) -> DataFrame:
+def read_waters(spark: SparkSession, path: str, name: str = r"([^/]+?)(\.[^/]*)?$") -> DataFrame:
     """(protein, water_id, x, y, z, occupancy, bfactor) of the HETATM HOH lines."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/]*)?$", 1).alias("protein"), "value")
+    lines = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("protein"), "value")
     rows = lines.where((F.col("value").startswith("HETATM")) & (F.substring("value", 18, 3) == "HOH"))
     number = lambda a, b: _cut(a, b).try_cast("double")
     return rows.select("protein", _cut(23, 30).alias("water_id"), number(31, 38).alias("x"), number(39, 46).alias("y"), number(47, 54).alias("z"), number(55, 60).alias("occupancy"), number(61, 66).alias("bfactor"))
