@@ -103,9 +103,11 @@ def edge_orientation(src: Column, dst: Column, src_frame: Column, dst_frame: Col
 
 
 def hash_uniform(seed: int, *keys) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed alone, not on partitioning."""
+    """A number in [0, 1) that depends on the keys and the seed alone, not on partitioning: the first 52 bits of an MD5 of the keys as text, which
+    other engines have too."""
     parts = [k if isinstance(k, Column) else F.col(k) for k in keys]
-    return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def rotation(seed: int, *keys) -> Column:

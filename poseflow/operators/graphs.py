@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
+from ..tables import Scratch
 from .spatial import AXES, all_pairs, grid_join
 
 
@@ -20,12 +23,29 @@ def radius_graph(nodes: DataFrame, keys: list[str], radius: float = 4.5, id_col:
     return _edges(grid_join(points, points, radius, keys), keys, id_col)
 
 
-def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id") -> DataFrame:
-    """The k nearest others of each node, ties to the smaller id (C35): structure by structure; `radius_knn_graph` bounds
-    the work of large structures by a radius."""
+def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id", doublings: int = 3) -> DataFrame:
+    """The k nearest others of each node, ties to the smaller id.
+
+    Each structure gets a radius within which its mean density puts about 2 k nodes. A grid join by that radius answers the nodes that have k others
+    within it; the rest try twice the radius, and so on; those that `doublings` leave meet their whole structure.
+    """
     points = nodes.select(*keys, id_col, *AXES)
     near = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
-    return _edges(all_pairs(points, points, keys), keys, id_col).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= k).drop("__k")
+    first = lambda edges: edges.withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= k).drop("__k")
+    span = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1e-12))
+    volume = span("x") * span("y") * span("z")
+    radius = points.groupBy(*keys).agg(F.pow(volume * (2 * k) / (F.count("*") * 4.19), F.lit(1 / 3)).alias("__r"))
+    sized = points.join(radius, keys)
+    scratch = Scratch(nodes.sparkSession, "knn")
+    found, left = [], scratch.save(sized, "left")
+    for n in range(doublings + 1):
+        wide = lambda df: df.withColumn("__r", F.col("__r") * (1 << n))  # noqa: B023, E731
+        close = first(_edges(grid_join(wide(left), wide(sized), "__r", keys), keys, id_col))
+        full = scratch.save(close.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "src"))).where(F.col("__n") == k).drop("__n"), f"found{n}")
+        found.append(full)
+        left = scratch.save(left.join(full.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti"), f"left{n}")
+    rest = first(_edges(all_pairs(left.select(*points.columns), points, keys), keys, id_col))
+    return functools.reduce(DataFrame.unionByName, [*found, rest])
 
 
 def radius_knn_graph(nodes: DataFrame, keys: list[str], radius: float, max_neighbours: int, id_col: str = "id") -> DataFrame:
@@ -68,8 +88,8 @@ def hierarchical_edges(surface: DataFrame, residues: DataFrame, keys: list[str],
     """(keys, kind, src, dst, dist): each surface atom with its residue's CA (membership), and the graphs of surface atoms
     (surface) and of CA atoms (residue) (C39). residues: keys, residue, x, y, z."""
     atoms, ca = surface.select(*keys, residue, id_col, *AXES), residues.select(*keys, residue, *AXES)
-    joined = all_pairs(ca, atoms, keys).where(F.col(f"a_{residue}") == F.col(f"b_{residue}"))
-    member = joined.select(*keys, F.lit("membership").alias("kind"), F.col(f"a_{residue}").cast("string").alias("src"), F.col(f"b_{id_col}").cast("string").alias("dst"), "dist")
+    joined = all_pairs(ca, atoms, [*keys, residue])
+    member = joined.select(*keys, F.lit("membership").alias("kind"), F.col(residue).cast("string").alias("src"), F.col(f"b_{id_col}").cast("string").alias("dst"), "dist")
     typed = lambda edges, kind: edges.select(*keys, F.lit(kind).alias("kind"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "dist")
     return member.unionByName(typed(radius_knn_graph(atoms, keys, surface_radius, max_neighbours, id_col), "surface")).unionByName(typed(radius_knn_graph(ca, keys, residue_radius, max_neighbours, residue), "residue"))
 

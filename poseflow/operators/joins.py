@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.vectors import hash_uniform
 from .ranks import place
 
 
@@ -21,7 +22,7 @@ def criteria_join(lists: list[DataFrame]) -> DataFrame | None:
 
     def join(a: DataFrame, b: DataFrame) -> DataFrame:
         shared = [c for c in a.columns if c in b.columns]
-        return a.join(b, shared) if shared else a.crossJoin(F.broadcast(b) if b.count() < 10_000 else b)
+        return a.join(b, shared) if shared else a.crossJoin(b)
 
     return functools.reduce(join, tables) if tables else None
 
@@ -157,7 +158,7 @@ def negatives(residues_0: DataFrame, residues_1: DataFrame, positives: DataFrame
     if full:
         return rest
     n = positives.select(*keys, "i", "j").distinct().groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranked = rest.withColumn("__k", place(keys, F.xxhash64("i", "j", F.lit(seed)), "i", "j"))
+    ranked = rest.withColumn("__k", place(keys, hash_uniform(seed, "i", "j"), "i", "j"))
     return ranked.join(n, keys).where("__k <= __n").drop("__k", "__n")
 
 

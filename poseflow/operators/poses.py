@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, orientation
+from .ordered import quantiles, sums_before
 from .ranks import avg_rank, best_row, place
 
 
@@ -54,12 +55,12 @@ def rmsd(poses: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rmsd_summary(rmsds: DataFrame, value: str = "rmsd", below: tuple[float, ...] = (2, 5, 10, 20, 50)) -> DataFrame:
-    """One row: mean, std (population), median, its lower form, quartiles, and the share below each limit."""
+    """One row: mean, std (population), median, its lower form, quartiles, and the share below each limit (D12). Quantiles come from positions in a range-partitioned
+    order, so no task gathers all values."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rmsds.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("median_lower"), q.alias("__q"), *[F.avg((v < b).cast("double")).alias(f"below_{b:g}") for b in below]).select(
-        "mean", "std", "median_lower", F.col("__q")[0].alias("q25"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q75"), *[f"below_{b:g}" for b in below]
-    )
+    moments = rmsds.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), *[F.avg((v < b).cast("double")).alias(f"below_{b:g}") for b in below])
+    middle = quantiles(rmsds, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, {"median_lower": 0.5})
+    return moments.crossJoin(middle).select("mean", "std", "median_lower", "q25", "median", "q75", *[f"below_{b:g}" for b in below])
 
 
 def kabsch_rmsd(poses: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,8 +131,8 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
     """Per key: n, bce, accuracy, auroc, and precision, recall and f1 of class 1 and 0, null where undefined (D16, D17). label is 0 or 1;
     scores in (0, 1) for bce.
 
-    AUROC comes from counts per distinct score, so no sort of a whole key is needed where scores repeat: each score's
-    negatives below it and half of its own. The counts are grouped before the window.
+    AUROC comes from counts per distinct score: each score's negatives below it and half of its own. The negatives below are sums over range partitions with
+    offsets, so neither a key nor the whole table is sorted in one task.
     """
     keys = keys or []
     y, hit = F.col(label) == 1, F.col(score) >= threshold
@@ -139,8 +140,8 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
     bce = -F.avg(F.when(y, F.ln(F.col(score))).otherwise(F.ln(1 - F.col(score))))
     base = df.groupBy(*keys).agg(F.count("*").alias("n"), bce.alias("bce"), flag(y & hit).alias("tp"), flag(~y & hit).alias("fp"), flag(y & ~hit).alias("fn"), flag(~y & ~hit).alias("tn"))
     counts = df.groupBy(*keys, F.col(score).alias("__s")).agg(flag(y).alias("p"), flag(~y).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    area = counts.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy(*keys).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("auroc"))
+    summed = sums_before(counts, keys, ["__s"], "q", "below")
+    area = summed.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy(*keys).agg(F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("auroc"))
     joined = base.join(area, keys) if keys else base.crossJoin(area)
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(a) + F.col(b))
     f1 = lambda a, b, c: F.try_divide(2.0 * F.col(a), 2 * F.col(a) + F.col(b) + F.col(c))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
+from .ordered import sums_before
 
 
 def place(keys: list[str], *order: Column | str) -> Column:
@@ -95,12 +96,11 @@ def slice_flat(lengths: DataFrame, values: DataFrame, order: str, keys: list[str
     """Cuts a flat vector into blocks (E11). lengths: order, p, c; values: position from 0, value. Each row of lengths gets the p * c values
     after those of the rows before, as (order, i, j, value).
 
-    The offsets are sums within the keys given, or over all: then of the table of blocks alone, which is small
-    beside the values; these are joined by range, block by block of 2^16 positions.
+    The offsets are sums within the keys given, or over all, of range partitions; the values are joined by range, block by block of 2^16 positions.
     """
     keys = keys or []
-    ends = F.sum(F.col("p") * F.col("c")).over(Window.partitionBy(*keys).orderBy(order))
-    spans = lengths.select(*keys, order, "c", (ends - F.col("p") * F.col("c")).alias("start"), ends.alias("stop")).where("stop > start")
+    size = F.col("p").cast("long") * F.col("c")
+    spans = sums_before(lengths, keys, [order], size, "start").select(*keys, order, "c", "start", (F.col("start") + size).alias("stop")).where("stop > start")
     step = 1 << 16
     spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("stop") - 1) / step))))
     joined = values.withColumn("__b", F.floor(F.col("position") / step)).join(spans, [*keys, "__b"]).where("position >= start and position < stop")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..tables import Scratch
 from .components import connected_components
 
 AXES = ("x", "y", "z")
@@ -24,19 +25,21 @@ def _squared() -> Column:
     return sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in AXES[1:]), (F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")))
 
 
-def grid_join(a: DataFrame, b: DataFrame, cutoff: float, keys: list[str], inclusive: bool = False) -> DataFrame:
-    """All pairs of a row of a and a row of b with equal keys and a distance below the cutoff (up to it, if inclusive).
+def grid_join(a: DataFrame, b: DataFrame, cutoff: float | str, keys: list[str], inclusive: bool = False) -> DataFrame:
+    """All pairs of a row of a and a row of b with equal keys and a distance below the cutoff (up to it, if inclusive). The cutoff may be a
+    column of both, the same within the keys.
 
     Returns the keys, the other columns as a_* and b_*, and dist. Both sides get a cell of side `cutoff`; b goes to its own and the 26 cells
     around, an equi join on keys and cell brings each pair together once, and the distance decides. The work follows
     the number of close pairs, and a large structure is spread over tasks by its cells.
     """
-    cell = lambda side, c: F.floor(F.col(f"{side}_{c}") / cutoff).cast("long")
+    wide = lambda side: F.col(f"{side}_{cutoff}") if isinstance(cutoff, str) else F.lit(cutoff)
+    cell = lambda side, c: F.floor(F.col(f"{side}_{c}") / wide(side)).cast("long")
     left = _sided(a, keys, "a").withColumn("__cell", F.struct(*[cell("a", c).alias(c) for c in AXES]))
     steps = F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for c, s in zip(AXES, (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
     right = _sided(b, keys, "b").withColumn("__step", F.explode(steps))
     right = right.withColumn("__cell", F.struct(*[(cell("b", c) + F.col(f"__step.{c}")).alias(c) for c in AXES])).drop("__step")
-    near = _squared() <= cutoff * cutoff if inclusive else _squared() < cutoff * cutoff
+    near = _squared() <= wide("a") * wide("a") if inclusive else _squared() < wide("a") * wide("a")
     return left.join(right, [*keys, "__cell"]).where(near).withColumn("dist", F.sqrt(_squared())).drop("__cell")
 
 
@@ -111,12 +114,17 @@ def pocket_residues(receptor: DataFrame, ligand: DataFrame, keys: list[str], res
 
 def chains_near_ligand(receptor: DataFrame, ligand: DataFrame, keys: list[str], cutoff: float, chain: str = "chain", water: str = "is_water", fallback: bool = True) -> DataFrame:
     """(keys, chain, min_dist): chains with an atom closer to the ligand than the cutoff, and where there are none the closest
-    one (ties to the smaller name), unless not `fallback`; water chains never (C30)."""
-    atoms = receptor.where(~F.coalesce(F.col(water), F.lit(False)))
-    dist = all_pairs(atoms.select(*keys, chain, *AXES), ligand.select(*keys, *AXES), keys).groupBy(*keys, F.col(f"a_{chain}").alias(chain)).agg(F.min("dist").alias("min_dist"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("min_dist", chain))
-    keep = F.col("min_dist") < cutoff
-    return dist.withColumn("__k", place).where(keep | (F.col("__k") == 1) if fallback else keep).drop("__k")
+    one (ties to the smaller name), unless not `fallback`; water chains never (C30). A grid join finds the chains; only structures without any meet as a whole."""
+    atoms = receptor.where(~F.coalesce(F.col(water), F.lit(False))).select(*keys, chain, *AXES)
+    lig = ligand.select(*keys, *AXES)
+    least = lambda pairs: pairs.groupBy(*keys, F.col(f"a_{chain}").alias(chain)).agg(F.min("dist").alias("min_dist"))
+    near = least(grid_join(atoms, lig, cutoff, keys))
+    if not fallback:
+        return near
+    near = Scratch(receptor.sparkSession, "chains").save(near, "near")
+    rest = least(all_pairs(atoms.join(near.select(*keys).distinct(), keys, "left_anti"), lig, keys))
+    first = rest.groupBy(*keys).agg(F.min(F.struct("min_dist", chain)).alias("m")).select(*keys, F.col(f"m.{chain}").alias(chain), F.col("m.min_dist").alias("min_dist"))
+    return near.unionByName(first)
 
 
 def nodes_in_pocket(nodes: DataFrame, centres: DataFrame, keys: list[str], radius: float = 20.0, least: int = 5, first: int = 100, id_col: str = "id") -> DataFrame:

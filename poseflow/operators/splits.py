@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,20 +13,10 @@ from ..functions import vectors as V
 from ..functions.scalars import tanimoto
 from ..tables import Scratch
 from .components import connected_components
+from .ordered import global_position
 from .ranks import place
 
 
-def global_position(df: DataFrame, *order: str) -> DataFrame:
-    """df with position from 0 in the order given: rows are dealt by range, numbered within their part, and moved on by the counts of the parts before. No task
-    holds more than its part. A key should be unique, or its rows share their order."""
-    scratch = Scratch(df.sparkSession, "position")
-    ranged = scratch.save(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("__before", F.sum("n").over(Window.orderBy("__part")) - F.col("n")).drop("n")
-    numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__k") - 1).drop("__part", "__before", "__k")
-
-
 def ratio_split(df: DataFrame, order: list[str], ratio: tuple[int, int, int] = (6, 2, 2)) -> DataFrame:
     """df with split: train up to int(n r1 / r), valid up to int(n (r1 + r2) / r), test after that, by position."""
     total = sum(ratio)
@@ -58,12 +47,12 @@ def overlap_free(train: DataFrame, test: DataFrame, columns: list[str]) -> DataF
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """The n rows with the smallest hashes of key and seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(V.hash_uniform(seed, key), key).limit(n)
 
 
 def balanced_labels(df: DataFrame, keys: list[str], id_col: str, label: str = "label", num_pos: int = 10, ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """Per key up to num_pos positives, and ratio times as many negatives, chosen by a hash."""
-    ranked = df.withColumn("__k", place([*keys, label], F.xxhash64(id_col, F.lit(seed)), id_col))
+    ranked = df.withColumn("__k", place([*keys, label], V.hash_uniform(seed, id_col), id_col))
     n = df.groupBy(*keys).agg(F.least(F.count_if(F.col(label) == 1), F.lit(num_pos)).alias("__n"))
     keep = F.when(F.col(label) == 1, F.col("__k") <= F.col("__n")).otherwise(F.col("__k") <= F.floor(F.col("__n") * ratio))
     return ranked.join(n, keys).where(keep).drop("__k", "__n")
@@ -79,11 +68,12 @@ def shell_subset(nodes: DataFrame, centres: DataFrame, keys: list[str], shell: f
     return rows.where(F.col("__d") < radius).drop("__d", "__lo", "__hi", "__x", "__y", "__z")
 
 
-def pack_batches(items: DataFrame, id_col: str, size_col: str, max_nodes: int = 3000, shards: int = 64) -> DataFrame:
+def pack_batches(items: DataFrame, id_col: str, size_col: str, max_nodes: int = 3000, shards: int = 64, seed: int = 0) -> DataFrame:
     """(id, size, batch): items of at most max_nodes, in the order of a hash within each shard, filled greedily up to max_nodes (I8). Larger ones go. A shard's last
     batch may be short; batch is shard-number. Sizes stream through a task; only a running sum is held."""
     kept = items.where((F.col(size_col) <= max_nodes) & (F.col(size_col) > 0)).select(id_col, size_col)
-    dealt = kept.withColumn("__s", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int")).repartition(shards, "__s").sortWithinPartitions("__s", F.xxhash64(id_col), id_col)
+    dealt = kept.withColumns({"__s": F.floor(V.hash_uniform(seed, id_col) * shards).cast("int"), "__u": V.hash_uniform(seed + 1, id_col)})
+    dealt = dealt.repartition(shards, "__s").sortWithinPartitions("__s", "__u", id_col)
     id_type = items.schema[id_col].dataType.simpleString()
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,21 +95,32 @@ def pack_batches(items: DataFrame, id_col: str, size_col: str, max_nodes: int =
 def similar_pairs(fingerprints: DataFrame, id_col: str, words: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of bitsets (arrays of 64-bit words) with Tanimoto similarity at or above the threshold, without loss.
 
-    Bits are ordered by rarity; two such sets share one of the first n - ceil(threshold n) + 1 bits of each, and their sizes differ by the threshold at most.
-    The bits' counts are as many as the fingerprint has bits, so they are broadcast.
+    Bits are ordered by rarity. Two such sets of n and m bits have max(ceil(threshold n), ceil(threshold m)) in common. Where that is two or more, both
+    have two common ones among their first n - ceil(threshold n) + 2, and meet under that pair of bits; else both have their one common bit
+    among the first n, and meet under it. Their sizes bound each other, and what their bits, folded to 64, show to be
+    in one of them alone counts against the intersection: both tests precede the removal of repeated pairs, and the exact count follows it.
+    The bits' counts are as many as the fingerprint has bits, so they are broadcast. A pair of bits that many sets share is a skewed join of saved tables, which
+    adaptive execution splits.
     """
     scratch = Scratch(fingerprints.sparkSession, "fingerprints")
     bit = F.explode(F.sequence(F.lit(0), F.size(words) * 64 - 1))
     is_set = F.expr(f"getbit(get({words}, cast(bit div 64 as int)), cast(bit % 64 as int)) = 1")
-    bits = scratch.save(fingerprints.select(id_col, words, bit.alias("bit")).where(is_set).select(F.col(id_col).alias("id"), "bit"), "bits")
+    folded = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    bits = scratch.save(fingerprints.select(id_col, words, folded.alias("fold"), bit.alias("bit")).where(is_set).select(F.col(id_col).alias("id"), "fold", "bit"), "bits")
     rare = bits.groupBy("bit").agg(F.count("*").alias("df"))
-    by = Window.partitionBy("id")
-    placed = bits.join(F.broadcast(rare), "bit").withColumns({"n": F.count("*").over(by), "k": F.row_number().over(by.orderBy("df", "bit"))})
-    prefix = scratch.save(placed.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "bit", "n"), "prefix")
-    a, b = prefix.select(F.col("id").alias("a"), "bit", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "bit", F.col("n").alias("nb"))
-    close = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = a.join(b, "bit").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    fp = lambda side: fingerprints.select(F.col(id_col).alias(side), F.col(words).alias(f"w{side}"))
+    sets = bits.join(F.broadcast(rare), "bit").groupBy("id", "fold").agg(F.sort_array(F.collect_list(F.struct("df", "bit"))).alias("s"))
+    sets = sets.select("id", "fold", F.size("s").alias("n"), F.transform("s", lambda x: x["bit"]).alias("s"))
+    needed = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    first = F.slice("s", 1, F.least(F.col("n"), F.col("n") - F.greatest(needed, F.lit(2)) + 2))
+    two = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    one = F.when(needed < 2, F.transform("s", lambda x: F.struct(x.alias("x"), F.lit(-1).alias("y")))).otherwise(F.array().cast("array<struct<x: int, y: int>>"))
+    keys = scratch.save(sets.select("id", "n", "fold", F.explode(F.concat(F.when(F.col("n") > 1, two).otherwise(F.array().cast("array<struct<x: int, y: int>>")), one)).alias("key")).select("id", "n", "fold", "key.x", "key.y"), "keys")
+    side = lambda c: keys.select("x", "y", *[F.col(k).alias(f"{k}_{c}") for k in ("id", "n", "fold")])
+    alone = lambda p, q: F.bit_count(F.col(f"fold_{p}").bitwiseAND(F.bitwise_not(f"fold_{q}")))
+    most = F.least(F.col("n_a") - alone("a", "b"), F.col("n_b") - alone("b", "a"))
+    close = (most >= (F.col("n_a") + F.col("n_b") - most) * threshold - 1e-9) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9)
+    pairs = side("a").join(side("b"), ["x", "y"]).where((F.col("id_a") < F.col("id_b")) & close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    fp = lambda c: fingerprints.select(F.col(id_col).alias(c), F.col(words).alias(f"w{c}"))
     scored = pairs.join(fp("a"), "a").join(fp("b"), "b").select("a", "b", tanimoto(F.col("wa"), F.col("wb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
 
@@ -161,8 +162,3 @@ def active_pairs(scores: DataFrame, key: str = "ligand", label: str = "active")
     """(key, active, inactive): the two structures of each key by label."""
     pick = lambda v: F.min(F.when(F.col(label) == v, F.col("structure")))
     return scores.groupBy(key).agg(pick(1).alias("active"), pick(0).alias("inactive")).where("active is not null and inactive is not null")
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """Bits of a set of n of which a set at the threshold shares one."""
-    return n - math.ceil(n * threshold) + 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -37,53 +37,51 @@ def bfactor_filter(waters: DataFrame, cutoff: float = 1.0, query: str | None = N
     return _filtered(waters, F.try_divide(F.col("bfactor") - F.avg("bfactor").over(by), F.stddev_pop("bfactor").over(by)) >= cutoff, query)
 
 
-def linkage(points: np.ndarray, distance: float, method: str = "complete") -> np.ndarray:
-    """Cluster numbers after merging the closest two clusters (largest distance of their members for complete, mean for average) while that is at most `distance`."""
-    n = len(points)
-    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if not d[i, j] <= distance:
-            break
-        i, j = min(i, j), max(i, j)
-        row = np.maximum(d[i], d[j]) if method == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return label
-
-
-def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "complete", max_component: int = 5_000) -> DataFrame:
-    """waters with cluster (C50). Waters are linked within the distance; components of links are single-linkage clusters, and complete and average linkage, cut at
-    the same distance, merge nothing across them, so each component is refined alone. A component above max_component is an error, not a cut."""
+def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "complete") -> DataFrame:
+    """waters with cluster, the smallest name (protein/water_id) of its members.
+
+    Clusters grow by rounds from single waters: two clusters merge when each is the other's nearest and their distance is at most `distance`. The distance is
+    the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third than the nearer of the two was, so these
+    rounds reach what merging the closest two at a time reaches; ties go to the smaller names. Pairs of clusters come from the links of the waters within the
+    distance alone: under complete linkage a pair is as far apart as its longest link if all its members are linked, and else too far for ever. single: components
+    of the links. All steps are joins and groups over the links, whatever a component's size. Rows that repeat a water, or without coordinates, are in clusters of their
+    water's name.
+    """
+    if method not in ("complete", "average", "single"):
+        raise ValueError("method is complete, average or single")
     scratch = Scratch(waters.sparkSession, "waters")
     rows = scratch.save(waters.withColumn("wid", F.concat_ws("/", "protein", "water_id")), "rows")
-    points = rows.select(F.lit(0).alias("k"), "wid", *AXES)
-    links = grid_join(points, points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
-    roots = connected_components(links.select(F.col("a_wid").alias("a"), F.col("b_wid").alias("b")))
-    placed = rows.join(roots.withColumnRenamed("node", "wid"), "wid", "left").withColumn("component", F.coalesce("root", "wid")).drop("root")
+    points = rows.where(" and ".join(f"{c} is not null" for c in AXES)).groupBy("wid").agg(*[F.min(c).alias(c) for c in AXES]).withColumn("k", F.lit(0))
+    near = grid_join(points, points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
+    links = scratch.save(near.select(F.col("a_wid").alias("c"), F.col("b_wid").alias("o"), "dist"), "links")
     if method == "single":
-        return placed.withColumn("cluster", F.col("component")).drop("component", "wid")
-    placed = scratch.save(placed, "placed")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > max_component:
-        raise ValueError(f"a component of {largest} waters; at most {max_component} are refined at once")
-    alone = sizes.where("n = 1").select("component")
-
-    def refine(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("wid")
-        found = linkage(frame[list(AXES)].to_numpy(float), distance, method)
-        names = frame["wid"].to_numpy()
-        return pd.DataFrame({"wid": names, "cluster": [names[k] for k in found]})
-
-    many = placed.join(alone, "component", "left_anti").select("component", "wid", *AXES)
-    refined = many.groupBy("component").applyInPandas(refine, "wid string, cluster string")
-    return placed.join(refined, "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("component", "wid")
+        roots = connected_components(links.select(F.col("c").alias("a"), F.col("o").alias("b"))).withColumnRenamed("root", "cluster")
+        return rows.join(roots.withColumnRenamed("node", "wid"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
+    members = scratch.save(points.select("wid", F.col("wid").alias("cluster"), *AXES), "members0")
+    pairs = links.withColumn("n", F.lit(1).cast("long"))
+    for k in itertools.count(1):
+        if method == "complete":
+            size = members.groupBy("cluster").agg(F.count("*").alias("s"))
+            sized = pairs.join(size.select(F.col("cluster").alias("c"), F.col("s").alias("sc")), "c").join(size.select(F.col("cluster").alias("o"), F.col("s").alias("so")), "o")
+            pairs = scratch.save(sized.where("n = sc * so").select("c", "o", "dist", "n"), f"pairs{k}")
+            measured = pairs
+        else:
+            end = lambda c: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{c}{x}") for x in AXES])  # noqa: B023, E731
+            apart = F.sqrt(sum(((F.col(f"c{x}") - F.col(f"o{x}")) * (F.col(f"c{x}") - F.col(f"o{x}")) for x in AXES), F.lit(0.0)))
+            pairs = scratch.save(pairs.select("c", "o", "n"), f"pairs{k}")
+            measured = pairs.join(end("c"), "c").join(end("o"), "o").groupBy("c", "o").agg(F.avg(apart).alias("dist")).where(F.col("dist") <= distance)
+        pair = F.struct("dist", "c", "o").alias("p")
+        best = measured.select(F.col("c").alias("x"), pair).unionByName(measured.select(F.col("o").alias("x"), pair)).groupBy("x").agg(F.min("p").alias("p"))
+        merged = scratch.save(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.c").alias("into"), F.col("p.o").alias("cluster")), f"merged{k}")
+        if merged.isEmpty():
+            break
+        renamed = members.join(merged, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).select("wid", "cluster", *AXES)
+        members = scratch.save(renamed, f"members{k}")
+        now = lambda c: merged.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into"))  # noqa: B023, E731
+        moved = pairs.join(now("c"), "c", "left").join(now("o"), "o", "left").withColumns({"c": F.coalesce("c_into", "c"), "o": F.coalesce("o_into", "o")}).where("c <> o")
+        ends = moved.withColumns({"l": F.least("c", "o"), "g": F.greatest("c", "o")})
+        pairs = ends.groupBy(F.col("l").alias("c"), F.col("g").alias("o")).agg(F.sum("n").alias("n"), *([F.max("dist").alias("dist")] if method == "complete" else []))
+    return rows.join(members.select("wid", "cluster"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
 
 
 def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, method: str = "complete", probability: float = 0.7) -> DataFrame:

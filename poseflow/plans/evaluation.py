@@ -29,11 +29,10 @@ def pose_spearman(spark, d):
     return poses.pose_spearman(view(spark, d, "v_pose"))
 
 
-@query("SELECT a.complex, count(*) AS n, sum(a.rmsd) AS rmsd, max(b.score) AS score FROM v_pose a JOIN v_pose b USING (complex, code) GROUP BY a.complex")
+@query("SELECT a.complex, a.code, a.rmsd, b.score FROM v_pose a JOIN v_pose b ON a.complex = b.complex AND a.code = b.code")
 def joined_poses(spark, d):
     p = view(spark, d, "v_pose")
-    joined = poses.join_pose(p.select("complex", "code", "rmsd"), p.select("complex", "code", "score"))
-    return joined.groupBy("complex").agg(F.count("*").alias("n"), F.sum("rmsd").alias("rmsd"), F.max("score").alias("score"))
+    return poses.join_pose(p.select("complex", "code", "rmsd"), p.select("complex", "code", "score")).select("complex", "code", "rmsd", "score")
 
 
 @query("""
@@ -74,9 +73,9 @@ def best_per_ligand(spark, d):
     return scoring.best_per_ligand(view(spark, d, "v_screen"), "negative")
 
 
-@query("SELECT target, count(*) AS n FROM v_screen WHERE ligand IN (SELECT ligand FROM v_actives) GROUP BY target")
+@query("SELECT target, ligand, score FROM v_screen WHERE ligand IN (SELECT ligand FROM v_actives)")
 def decoy_semi(spark, d):
-    return scoring.decoy_semi(view(spark, d, "v_screen"), view(spark, d, "v_actives")).groupBy("target").agg(F.count("*").alias("n"))
+    return scoring.decoy_semi(view(spark, d, "v_screen"), view(spark, d, "v_actives")).select("target", "ligand", "score")
 
 
 @query("""
@@ -236,14 +235,26 @@ def native_equivalent(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), poses.native_equivalent(F.col("o_totalprice"), native, F.col("o_custkey") % 16).alias("native"))
 
 
-@query("SELECT pdb, count(*) AS n FROM (SELECT l_orderkey AS pdb, l_linenumber * 30 AS c_length, l_quantity AS q FROM lineitem) WHERE c_length < 100 AND q > 5 GROUP BY pdb")
+@query("SELECT l_orderkey AS pdb, l_partkey AS index, l_linenumber * 30 AS c_length, l_quantity AS native_num_contact FROM lineitem WHERE l_linenumber * 30 < 100 AND l_quantity > 5")
 def training_filter(spark, d):
     from .views import table
 
-    rows = table(spark, d, "lineitem").selectExpr("l_orderkey as pdb", "l_linenumber * 30 as c_length", "l_quantity as native_num_contact")
-    return poses.training_filter(rows).groupBy("pdb").agg(F.count("*").alias("n"))
+    return poses.training_filter(table(spark, d, "lineitem").selectExpr("l_orderkey as pdb", "l_partkey as index", "l_linenumber * 30 as c_length", "l_quantity as native_num_contact"))
+
+
+_MEANS = "t AS (SELECT target, avg(score) AS v FROM v_screen GROUP BY target)"
+
+
+@query(f"""WITH {_MEANS}, h AS (SELECT CAST('0x' || substr(md5(CAST(target AS VARCHAR)), 1, 7) AS BIGINT) AS h, v FROM t), x AS (SELECT r, v, (h + 69621 * r + 40503 * 3) % 2147483647 AS x FROM h, (SELECT unnest(range(1, 10001)) AS r)),
+u AS (SELECT r, v, x, x * x % 2147483647 AS q FROM x), d AS (SELECT r, v, (q * q % 2147483647 * x % 2147483647) / CAST(2147483647 AS DOUBLE) AS u FROM u),
+w AS (SELECT r, v, {' + '.join(f'CAST(u >= {p!r} AS INT)' for p in scoring.POISSON)} AS w FROM d)
+SELECT r, sum(v * w) / nullif(sum(w), 0) AS m FROM w GROUP BY r""")
+def bootstrap_means(spark, d):
+    rows = view(spark, d, "v_screen").groupBy("target").agg(F.avg("score").alias("v"))
+    return scoring.bootstrap_means(rows, "v", "target", replicates=10_000, seed=3)
 
 
 @query()
 def bootstrap_interval(spark, d):
-    return scoring.bootstrap(view(spark, d, "v_core"), "logKa", "code", replicates=200)
+    rows = view(spark, d, "v_screen").groupBy("target").agg(F.avg("score").alias("v"))
+    return scoring.bootstrap(rows, "v", "target", replicates=10_000, seed=3)

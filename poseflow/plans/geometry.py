@@ -108,24 +108,24 @@ def finished_graph(spark, d):
     return graphs.finish_graph(p, graphs.radius_graph(p, ["k"], 0.03).where("src < dst"), ["k"])
 
 
-@query(f"SELECT a.k, a.id AS a_id, b.id AS b_id, least({_D}, 0.2) AS dist, {_D} < 0.1 AS label FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 = 1")
+@query(f"SELECT a.k, a.id AS a_id, b.id AS b_id, least({_D}, 0.2) AS dist, {_D} < 0.1 AS label FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 > 0")
 def contact_map(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.contact_map(p.where("id % 5 = 0"), p.where("id % 5 = 1"), ["k"], contact=0.1, clamp=0.2)
+    return spatial.contact_map(p.where("id % 5 = 0"), p.where("id % 5 > 0"), ["k"], contact=0.1, clamp=0.2)
 
 
-@query(f"SELECT a.k, sum(exp(-0.2 * ({_D} * {_D}) * greatest(4 * ({_D} * {_D}) - 8, 1.0))) AS clash FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 = 1 GROUP BY a.k")
+@query(f"SELECT a.k, sum(exp(-0.2 * ({_D} * {_D}) * greatest(4 * ({_D} * {_D}) - 8, 1.0))) AS clash FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 > 0 GROUP BY a.k")
 def clash_score(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.clash_score(p.where("id % 5 = 0"), p.where("id % 5 = 1"), ["k"])
+    return spatial.clash_score(p.where("id % 5 = 0"), p.where("id % 5 > 0"), ["k"])
 
 
-@query(f"""WITH p AS (SELECT a.k, a.id AS i, b.id AS j, {_D} AS dist FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 = 1),
+@query(f"""WITH p AS (SELECT a.k, a.id AS i, b.id AS j, {_D} AS dist FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 > 0),
 g AS (SELECT k, i, -25.0 * ln(1e-3 + sum(exp(-dist * dist / 25.0))) AS g FROM p GROUP BY k, i), h AS (SELECT k, j, -25.0 * ln(1e-3 + sum(exp(-dist * dist / 25.0))) AS g FROM p GROUP BY k, j)
 SELECT k, a + b AS clash FROM (SELECT k, avg(greatest(10.0 - g, 0)) AS a FROM g GROUP BY k) JOIN (SELECT k, avg(greatest(10.0 - g, 0)) AS b FROM h GROUP BY k) USING (k)""")
 def surface_clash(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.surface_clash(p.where("id % 5 = 0"), p.where("id % 5 = 1"), ["k"])
+    return spatial.surface_clash(p.where("id % 5 = 0"), p.where("id % 5 > 0"), ["k"])
 
 
 @query(f"""WITH s AS (SELECT a.pdb_name, a.residue AS i, b.residue AS j, min({_D}) AS d FROM v_atoms a JOIN v_atoms b ON a.pdb_name = b.pdb_name WHERE {_D} < 0.02 * sqrt(-2 * ln(1e-3)) GROUP BY ALL)
@@ -144,13 +144,13 @@ def connected_structures(spark, d):
     return spatial.connected_structures(view(spark, d, "v_atoms"), cutoff=0.02)
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 997 AS b FROM part WHERE p_size < 25), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - p_partkey % 41 + p_partkey * 5 % 41 AS b FROM part), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT DISTINCT a AS node, a AS o FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.o = s.a)
 SELECT node, min(o) AS root FROM r GROUP BY node""")
 def connected_components_query(spark, d):
     from .views import table
 
-    return connected_components(table(spark, d, "part").where("p_size < 25").selectExpr("p_partkey as a", "(p_partkey * 7 + 3) % 997 as b"))
+    return connected_components(table(spark, d, "part").selectExpr("p_partkey as a", "p_partkey - p_partkey % 41 + p_partkey * 5 % 41 as b"))
 
 
 @query(f"SELECT DISTINCT a.k, a.id FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 3 > 0 AND b.id % 30 = 0 AND {_D} < {R}")
@@ -165,19 +165,19 @@ def ball(spark, d):
     return spatial.ball(p, p.where("id % 40 = 0"), ["k"], R).select("k", "a_id", "b_id", "dist")
 
 
-@query(f"""WITH p AS (SELECT a.k, a.id AS id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z, {_D} AS dist, b.id AS o FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 = 1)
+@query(f"""WITH p AS (SELECT a.k, a.id AS id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z, {_D} AS dist, b.id AS o FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 > 0)
 SELECT k, id, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY dist, o) AS n FROM p) WHERE n = 1 AND dist < {R}""")
 def pocket_points(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.pocket_points(p.where("id % 5 = 0"), p.where("id % 5 = 1"), ["k"], R, "match_atoms")
+    return spatial.pocket_points(p.where("id % 5 = 0"), p.where("id % 5 > 0"), ["k"], R, "match_atoms")
 
 
-@query(f"""WITH p AS (SELECT a.k, a.id AS id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z, {_D} AS dist, b.id AS o FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 50 = 1),
+@query(f"""WITH p AS (SELECT a.k, a.id AS id, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z, {_D} AS dist, b.id AS o FROM v_points a JOIN v_points b ON a.k = b.k WHERE a.id % 5 = 0 AND b.id % 5 > 0),
 f AS (SELECT k, dist AS d4 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dist, id, o) AS n FROM p) WHERE n = 4)
 SELECT p.k, id, x, y, z FROM p LEFT JOIN f ON p.k = f.k WHERE d4 IS NULL OR dist < 0.001 + 0.5 * greatest(floor((d4 - 0.001) / 0.5) + 1, 0)""")
 def pocket_points_by_radius(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.pocket_points(p.where("id % 5 = 0"), p.where("id % 50 = 1"), ["k"], 0.001, "radius_based")
+    return spatial.pocket_points(p.where("id % 5 = 0"), p.where("id % 5 > 0"), ["k"], 0.001, "radius_based")
 
 
 @query(f"""WITH {_PAIRS}, e AS (SELECT p.*, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM p JOIN v_points a ON a.k = p.k AND a.id = src JOIN v_points b ON b.k = p.k AND b.id = dst WHERE dist < {R} AND src <> dst),
@@ -188,24 +188,30 @@ def mean_vector_ratio(spark, d):
     return graphs.mean_vector_ratio(graphs.radius_graph(p, ["k"], R), p, ["k"], (1.0,))
 
 
-@query("""WITH b AS (SELECT vec_id AS src, (vec_id * 3 + 1) % 500 AS dst FROM embeddings WHERE vec_id < 500 AND vec_id <> (vec_id * 3 + 1) % 500), o AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b)
-SELECT 0 AS k, src, dst FROM (SELECT src, dst FROM o UNION SELECT a.src, b.dst FROM o a JOIN o b ON a.dst = b.src) WHERE src <> dst""")
-def bond_neighbours(spark, d):
-    from .views import table
+#: Each embedding bonded to the next of its label, and rings of six in a row.
+_BONDS = """e AS (SELECT label AS k, vec_id, lead(vec_id) OVER w AS dst, (row_number() OVER w - 1) // 6 AS ring FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+o AS (SELECT k, vec_id AS src, dst FROM e WHERE dst IS NOT NULL UNION SELECT k, dst, vec_id FROM e WHERE dst IS NOT NULL)"""
 
-    bonds = table(spark, d, "embeddings").where("vec_id < 500").selectExpr("0 as k", "vec_id as src", "(vec_id * 3 + 1) % 500 as dst").where("src <> dst")
-    return graphs.bond_neighbours(bonds, ["k"])
 
+def _bonds(spark, d):
+    from pyspark.sql import Window
 
-@query("""WITH b AS (SELECT vec_id AS src, (vec_id * 3 + 1) % 500 AS dst FROM embeddings WHERE vec_id < 500 AND vec_id <> (vec_id * 3 + 1) % 500), o AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b),
-g AS (SELECT vec_id % 100 AS ring, vec_id AS atom FROM embeddings WHERE vec_id < 500)
-SELECT 0 AS k, src, dst FROM (SELECT src, dst FROM o UNION SELECT a.src, b.dst FROM o a JOIN o b ON a.dst = b.src UNION SELECT a.atom, b.atom FROM g a JOIN g b USING (ring) UNION SELECT src, src FROM o)""")
-def flex_mask(spark, d):
     from .views import table
 
-    e = table(spark, d, "embeddings").where("vec_id < 500")
-    bonds = e.selectExpr("0 as k", "vec_id as src", "(vec_id * 3 + 1) % 500 as dst").where("src <> dst")
-    return graphs.flex_mask(bonds, e.selectExpr("0 as k", "vec_id % 100 as ring", "vec_id as atom"), ["k"]).distinct()
+    e = table(spark, d, "embeddings").selectExpr("label as k", "vec_id")
+    by = Window.partitionBy("k").orderBy("vec_id")
+    bonds = e.withColumn("dst", F.lead("vec_id").over(by)).where("dst is not null").selectExpr("k", "vec_id as src", "dst")
+    return bonds, e.withColumn("n", F.row_number().over(by)).selectExpr("k", "(n - 1) div 6 as ring", "vec_id as atom")
+
+
+@query(f"WITH {_BONDS} SELECT k, src, dst FROM (SELECT * FROM o UNION SELECT a.k, a.src, b.dst FROM o a JOIN o b ON a.k = b.k AND a.dst = b.src) WHERE src <> dst")
+def bond_neighbours(spark, d):
+    return graphs.bond_neighbours(_bonds(spark, d)[0], ["k"])
+
+
+@query(f"""WITH {_BONDS} SELECT * FROM o UNION SELECT a.k, a.src, b.dst FROM o a JOIN o b ON a.k = b.k AND a.dst = b.src UNION SELECT a.k, a.vec_id, b.vec_id FROM e a JOIN e b ON a.k = b.k AND a.ring = b.ring WHERE a.vec_id <> b.vec_id UNION SELECT k, src, src FROM o""")
+def flex_mask(spark, d):
+    return graphs.flex_mask(*_bonds(spark, d), ["k"]).distinct()
 
 
 @query("SELECT p_partkey, exp(-pow((p_retailprice / 100 - 3 * (20.0 / 15)) / 1.25, 2)) AS rbf_3, exp(-pow(p_retailprice / 100 / 2.0, 2) / pow(1.5, 7)) AS basis_7, CAST(floor(least(p_retailprice / 100, 15.0) + 0.5) AS INT) AS bin, cos(p_size * exp(2 * 2 * (-ln(10000.0) / 16))) AS pos_2 FROM part")

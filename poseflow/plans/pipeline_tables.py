@@ -13,10 +13,10 @@ from .views import table, view
 REGISTRY = query = Registry()
 
 
-@query("SELECT complex, code, score FROM v_pose WHERE complex % 2 = 0")
+@query("SELECT complex, code, score FROM v_pose")
 def delimited_scores(spark, d):
     path = Scratch(spark, "scores").path("table")
-    view(spark, d, "v_pose").where("complex % 2 = 0").select(F.format_string("%d,\t%s  %s", "complex", "code", F.col("score").cast("string")).alias("value")).write.text(path)
+    view(spark, d, "v_pose").select(F.format_string("%d,\t%s  %s", "complex", "code", F.col("score").cast("string")).alias("value")).write.text(path)
     return text.read_delimited(spark, path, {"complex": "bigint", "code": "string", "score": "double"}).drop("path")
 
 
@@ -29,13 +29,14 @@ def written_report(spark, d):
     return spark.read.option("sep", "\t").option("header", True).schema("k int, n_complexes long, n_success long, rate double").csv(path).select("k", "rate")
 
 
-@query("SELECT lpad(o_custkey::VARCHAR, 4, '0') AS code, o_orderkey FROM orders WHERE o_custkey % 100 < 20")
+@query("SELECT CASE WHEN length(o_custkey::VARCHAR) < 4 THEN lpad(o_custkey::VARCHAR, 4, '0') ELSE o_custkey::VARCHAR END AS code, o_orderkey FROM orders")
 def stored_pairs(spark, d):
     path = Scratch(spark, "pairs").path("table")
-    pairs = table(spark, d, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 4, "0").alias("code"), "o_orderkey", "o_custkey")
-    files.write_pairs(pairs.select("code", "o_orderkey"), path)
-    spark_pairs = files.load_pairs(spark, path, pairs.where("o_custkey % 100 < 20").select("code"))
-    return spark_pairs.select(F.col("code").cast("string").alias("code"), "o_orderkey")
+    # Codes of at least four digits: lpad to four would cut longer ones.
+    key = F.col("o_custkey").cast("string")
+    pairs = table(spark, d, "orders").select(F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key).alias("code"), "o_orderkey")
+    files.write_pairs(pairs, path)
+    return files.load_pairs(spark, path, pairs.select("code")).select(F.col("code").cast("string").alias("code"), "o_orderkey")
 
 
 @query("SELECT lower(c_name) AS id FROM customer UNION ALL SELECT lower(c_mktsegment) FROM customer")
@@ -45,11 +46,11 @@ def id_lists(spark, d):
     return text.read_id_dir(spark, path)
 
 
-@query("SELECT o_custkey::VARCHAR AS key, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey::VARCHAR AS key, string_agg(k, ' ' ORDER BY k) AS rows FROM (SELECT o_custkey, o_orderkey || '-' || o_orderstatus AS k FROM orders) GROUP BY o_custkey")
 def multimaps(spark, d):
     path = Scratch(spark, "multimap").path("table")
     table(spark, d, "orders").select(F.concat_ws(";", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus").alias("value")).write.text(path)
-    return text.read_multimap(spark, path, ";", 1, [0, 2]).select("key", F.size("rows").cast("long").alias("n"))
+    return text.read_multimap(spark, path, ";", 1, [0, 2]).select("key", F.array_join(F.array_sort(F.transform("rows", lambda r: F.array_join(r, "-"))), " ").alias("rows"))
 
 
 @query("SELECT '>' || c_name || '-0-A' || chr(10) || upper(c_mktsegment) AS value FROM customer")

@@ -69,10 +69,10 @@ def cross_references(spark, d):
     return found.select("pdb", F.array_join("uniprot", ",").alias("uniprot"))
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 4 = 0)
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey + 1000000 AS pdb_name_0, l_linenumber AS residue_0, l_linenumber + 1 AS residue_1, count(*) AS n FROM p WHERE l_linenumber % 5 > 0 AND (l_linenumber + 1) % 5 > 0 AND l_linenumber + 1 < 8 GROUP BY ALL""")
 def bound_to_unbound(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey % 4 = 0")
+    p = table(spark, d, "lineitem")
     pairs = p.selectExpr("l_orderkey pdb_name_0", "0 model_0", "'A' chain_0", "l_linenumber residue_0", "l_orderkey pdb_name_1", "0 model_1", "'B' chain_1", "l_linenumber + 1 residue_1")
     names = p.selectExpr("l_orderkey bound", "l_orderkey + 1000000 unbound").distinct()
     atoms = names.selectExpr("unbound pdb_name", "0 model", "explode(array('A', 'B')) chain").withColumn("residue", F.explode(F.sequence(F.lit(1), F.lit(7)))).where("residue % 5 > 0")

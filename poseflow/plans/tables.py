@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import batch, features, joins, keys, ranks, residues, splits, waters
 from ..sources import files
 from .registry import Registry
-from .views import table, view
+from .views import drawn, table, view
 
 REGISTRY = query = Registry()
 
@@ -65,9 +65,9 @@ def dates(spark, d):
     return ts.select("event_id", F.when(F.col("event_id") % 2 == 0, scalars.compact_date(iso)).otherwise(scalars.compact_date(F.date_format("ts", "yyyyMMdd"))).cast("string").alias("day"))
 
 
-@query("SELECT c_custkey, c.c_nationkey FROM customer c WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c.c_nationkey FROM customer c WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def pending(spark, d):
-    return joins.pending(table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return joins.pending(table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey AS key, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) <> 1")
@@ -83,9 +83,9 @@ def assembled_complexes(spark, d):
     return joins.file_pair(joins.assemble_complexes(f))
 
 
-@query("SELECT l_orderkey AS complex, l_partkey::VARCHAR AS path FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY ALL")
+@query("SELECT l_orderkey AS complex, l_partkey::VARCHAR AS path FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) GROUP BY ALL")
 def missing_sources(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("complex"), F.col("l_partkey").cast("string").alias("src0"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("complex"), F.col("l_partkey").cast("string").alias("src0"))
     return joins.missing_sources(pairs, table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").cast("string").alias("path")), ["src0"])
 
 
@@ -107,19 +107,30 @@ def attached_features(spark, d):
     return joins.attach_features(atoms, f, ["l_partkey"], {"price": -1.0}).drop("atom_name")
 
 
-@query("""WITH c AS (SELECT n_nationkey AS complex, i, j FROM nation, (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 5)) AS j)), p AS (SELECT complex, i, j FROM c WHERE (complex + i * j) % 4 = 0)
-SELECT complex, i, j, CAST((complex + i * j) % 4 = 0 AS INT) AS label FROM c""")
+#: The lines of each order as residues of both sides, and the pairs in contact.
+_SIDES = "i AS (SELECT DISTINCT l_orderkey AS complex, CAST(l_linenumber AS BIGINT) AS i FROM lineitem), c AS (SELECT a.complex, a.i, b.i AS j, (a.complex + a.i * b.i) % 4 = 0 AS near FROM i a JOIN i b ON a.complex = b.complex)"
+
+
+def _sides(spark, d):
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as complex", "cast(l_linenumber as bigint) as i").distinct()
+    a, b = lines, lines.withColumnRenamed("i", "j")
+    return a, b, a.join(b, "complex").where("(complex + i * j) % 4 = 0")
+
+
+@query(f"WITH {_SIDES} SELECT complex, i, j, CAST(near AS INT) AS label FROM c")
 def label_matrix(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("complex"))
-    a, b = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))), n.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    return joins.label_matrix(a, b, a.join(b, "complex").where("(complex + i * j) % 4 = 0"), ["complex"])
+    return joins.label_matrix(*_sides(spark, d), ["complex"])
 
 
-@query("SELECT n_nationkey AS complex, i, j FROM nation, (SELECT unnest(range(0, 6)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE (n_nationkey + i * j) % 4 <> 0")
+@query(f"WITH {_SIDES} SELECT complex, i, j FROM c WHERE NOT near")
 def negatives(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("complex"))
-    a, b = n.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))), n.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    return joins.negatives(a, b, a.join(b, "complex").where("(complex + i * j) % 4 = 0"), ["complex"], full=True)
+    return joins.negatives(*_sides(spark, d), ["complex"], full=True)
+
+
+@query(f"""WITH {_SIDES}, n AS (SELECT complex, count(*) AS n FROM c WHERE near GROUP BY complex), r AS (SELECT complex, i, j, row_number() OVER (PARTITION BY complex ORDER BY {drawn(7, 'i', 'j')}, i, j) AS k FROM c WHERE NOT near)
+SELECT r.complex, i, j FROM r JOIN n ON r.complex = n.complex WHERE k <= n""")
+def sampled_negatives(spark, d):
+    return joins.negatives(*_sides(spark, d), ["complex"], seed=7)
 
 
 @query("""WITH b AS (SELECT *, max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)
@@ -149,24 +160,23 @@ def set_operations(spark, d):
     return joins.except_ids(joins.intersect_ids(ids, o.where("o_orderstatus = 'O'"), "c_custkey"), o.where("o_orderstatus = 'F'"), "c_custkey")
 
 
-@query("SELECT l_partkey AS value, count(*) AS n, min(l_orderkey) AS first FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_partkey")
+@query("SELECT l_partkey AS value, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS keys FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_partkey")
 def inverted_multimap(spark, d):
     m = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
-    return joins.invert_multimap(m, "l_orderkey", "parts").select("value", F.size("keys").cast("long").alias("n"), F.col("keys")[0].alias("first"))
+    return joins.invert_multimap(m, "l_orderkey", "parts").select("value", F.array_join("keys", ",").alias("keys"))
 
 
-@query("SELECT 'a' AS part, count(*) AS n FROM supplier UNION ALL SELECT 'b', count(*) FROM customer")
+@query("SELECT 'a' AS part, s_name AS name, NULL AS c_acctbal FROM supplier UNION ALL SELECT 'b', c_name, c_acctbal FROM customer")
 def concat_tables(spark, d):
-    both = joins.concat_tables({"a": table(spark, d, "supplier").select(F.col("s_name").alias("name")), "b": table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_acctbal")})
-    return both.groupBy("part").agg(F.count("*").alias("n"))
+    return joins.concat_tables({"a": table(spark, d, "supplier").select(F.col("s_name").alias("name")), "b": table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_acctbal")})
 
 
-@query("""WITH c AS (SELECT s_name AS protein_name, avg(s_acctbal) AS x FROM supplier WHERE s_suppkey < 20 GROUP BY s_name), k AS (SELECT s_name AS protein_name, 'pocket_' || k AS pocket_name FROM supplier, (SELECT unnest([1, 2]) AS k) WHERE s_suppkey < 20)
-SELECT protein_name, p_name AS compound_name, pocket_name FROM (SELECT protein_name, 'protein_center' AS pocket_name FROM c UNION ALL SELECT * FROM k), (SELECT DISTINCT p_name FROM part WHERE p_size < 10)""")
+@query("""WITH c AS (SELECT s_name AS protein_name, avg(s_acctbal) AS x FROM supplier GROUP BY s_name), k AS (SELECT s_name AS protein_name, 'pocket_' || k AS pocket_name FROM supplier, (SELECT unnest([1, 2]) AS k))
+SELECT protein_name, p_name AS compound_name, pocket_name FROM (SELECT protein_name, 'protein_center' AS pocket_name FROM c UNION ALL SELECT * FROM k), (SELECT DISTINCT p_name FROM part)""")
 def candidates(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 20").selectExpr("s_name as protein_name", "s_acctbal as x", "s_acctbal as y", "s_acctbal as z")
+    s = table(spark, d, "supplier").selectExpr("s_name as protein_name", "s_acctbal as x", "s_acctbal as y", "s_acctbal as z")
     pockets = s.withColumn("rank", F.explode(F.array(F.lit(5), F.lit(9))))
-    compounds = table(spark, d, "part").where("p_size < 10").selectExpr("p_name as compound_name", "p_name as smiles").distinct()
+    compounds = table(spark, d, "part").selectExpr("p_name as compound_name", "p_name as smiles").distinct()
     return joins.candidates(s, compounds, pockets).select("protein_name", "compound_name", "pocket_name")
 
 
@@ -207,11 +217,14 @@ def time_split(spark, d):
     return s.groupBy("split").agg(F.count("*").alias("n")).join(free, "split", "left").na.fill(0, ["free"])
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, unnest(list_distinct([p_size % 64, p_size * 7 % 64, p_partkey % 8, p_partkey % 512 // 8, 63 - p_size % 5])) AS bit FROM part WHERE p_partkey < 800), n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
-i AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM f a JOIN f b USING (bit) WHERE a.id < b.id GROUP BY ALL)
-SELECT a, b, i / (x.n + y.n - i) AS similarity FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.6""")
+#: Bits of the parts' fingerprints, their number, and of two parts those in common.
+_BITS = """f AS (SELECT p_partkey AS id, unnest(list_distinct([p_size % 64, p_size * 7 % 64, p_partkey % 8, p_partkey % 512 // 8, 63 - p_size % 5])) AS bit FROM part), n AS (SELECT id, count(*) AS n FROM f GROUP BY id),
+i AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM f a JOIN f b USING (bit) WHERE a.id < b.id GROUP BY ALL)"""
+
+
+@query(f"WITH {_BITS} SELECT a, b, i / (x.n + y.n - i) AS similarity FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.6")
 def similar_fingerprints(spark, d):
-    return splits.similar_pairs(fingerprints(table(spark, d, "part").where("p_partkey < 800")), "id", "words", 0.6)
+    return splits.similar_pairs(fingerprints(table(spark, d, "part")), "id", "words", 0.6)
 
 
 def fingerprints(part):
@@ -220,28 +233,37 @@ def fingerprints(part):
     return part.select(F.col("p_partkey").alias("id"), F.array(word).alias("words"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BITS}, e AS (SELECT a, b FROM i JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE i / (x.n + y.n - i) >= 0.9), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT id AS node, id AS o FROM (SELECT p_partkey AS id FROM part) UNION SELECT r.node, l.b FROM r JOIN l ON r.o = l.a), g AS (SELECT node AS id, min(o) AS component FROM r GROUP BY node),
+s AS (SELECT component, count(*) AS n FROM g GROUP BY component), t AS (SELECT component, (sum(n) OVER (ORDER BY n DESC, component) - n) / sum(n) OVER () AS share FROM s)
+SELECT id, g.component, CASE WHEN share < 0.6 THEN 'train' WHEN share < 0.6 + 0.2 THEN 'valid' ELSE 'test' END AS split FROM g JOIN t ON g.component = t.component""")
 def similarity_split(spark, d):
     return splits.similarity_split(fingerprints(table(spark, d, "part")), "id", "words", 0.9)
 
 
-@query("SELECT count(*) AS n, min(o_orderkey) >= 0 AS ok FROM (SELECT o_orderkey FROM orders LIMIT 100)")
+@query(f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {drawn(0, 'o_orderkey')}, o_orderkey LIMIT 100")
 def sampled_rows(spark, d):
-    return splits.sample_rows(table(spark, d, "orders"), 100, "o_orderkey").agg(F.count("*").alias("n"), (F.min("o_orderkey") >= 0).alias("ok"))
+    return splits.sample_rows(table(spark, d, "orders"), 100, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT o_custkey, least(count(*) FILTER (WHERE o_orderkey % 4 = 0), 3) + least(count(*) FILTER (WHERE o_orderkey % 4 > 0), least(count(*) FILTER (WHERE o_orderkey % 4 = 0), 3)) AS n FROM orders GROUP BY o_custkey HAVING n > 0")
+@query(f"""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 = 0 AS pos, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 = 0 ORDER BY {drawn(0, 'o_orderkey')}, o_orderkey) AS k, least(count(*) FILTER (WHERE o_orderkey % 4 = 0) OVER (PARTITION BY o_custkey), 3) AS n FROM orders)
+SELECT o_custkey, o_orderkey, CAST(pos AS INT) AS label FROM r WHERE k <= n""")
 def balanced_labels(spark, d):
     o = table(spark, d, "orders").withColumn("label", (F.col("o_orderkey") % 4 == 0).cast("int"))
-    return splits.balanced_labels(o, ["o_custkey"], "o_orderkey", num_pos=3).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return splits.balanced_labels(o, ["o_custkey"], "o_orderkey", num_pos=3).select("o_custkey", "o_orderkey", "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE i AS (SELECT p_partkey, p_size, CAST(floor({drawn(0, 'p_partkey')} * 8) AS INT) AS s, {drawn(1, 'p_partkey')} AS u FROM part WHERE p_size <= 100 AND p_size > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY u, p_partkey) AS k FROM i),
+f AS (SELECT p_partkey, p_size, s, k, CAST(0 AS BIGINT) AS number, CAST(p_size AS BIGINT) AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.p_partkey, o.p_size, o.s, o.k, CASE WHEN used + o.p_size > 100 THEN number + 1 ELSE number END, CASE WHEN used + o.p_size > 100 THEN o.p_size ELSE used + o.p_size END FROM f JOIN o ON o.s = f.s AND o.k = f.k + 1)
+SELECT p_partkey, p_size, s || '-' || number AS batch FROM f""")
 def packed_batches(spark, d):
     return splits.pack_batches(table(spark, d, "part"), "p_partkey", "p_size", 100, shards=8)
 
 
-@query()
+@query(f"""WITH c AS (SELECT k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM v_points GROUP BY k), p AS (SELECT v.k, id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d FROM v_points v JOIN c ON v.k = c.k),
+r AS (SELECT *, min(d) OVER (PARTITION BY k) + 0.05 AS lo, max(d) OVER (PARTITION BY k) AS hi, {drawn(0, 'k')} AS u FROM p) SELECT k, id FROM r WHERE d < lo + u * greatest(hi - lo, 0)""")
 def shell_subset(spark, d):
     p = view(spark, d, "v_points")
     return splits.shell_subset(p, p.groupBy("k").agg(*[F.avg(c).alias(c) for c in "xyz"]), ["k"], 0.05).select("k", "id")
@@ -266,6 +288,19 @@ def _waters(spark, d):
     return table(spark, d, "customer").selectExpr("cast(c_nationkey as string) protein", "c_custkey water_id", "c_acctbal + 1001 bfactor", "1.0D + c_custkey % 3 occupancy")
 
 
+_CONSERVED = """w AS (SELECT CAST(id % 5 AS VARCHAR) AS protein, id AS water_id, concat_ws('/', CAST(id % 5 AS VARCHAR), id) AS wid, x, y, z FROM v_points)"""
+
+
+@query(f"""WITH RECURSIVE {_CONSERVED}, l AS (SELECT a.wid AS a, b.wid AS b FROM w a JOIN w b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.02),
+r AS (SELECT wid AS node, wid AS o FROM w UNION SELECT r.node, l.b FROM r JOIN l ON r.o = l.a), g AS (SELECT node AS wid, min(o) AS cluster FROM r GROUP BY node),
+o AS (SELECT cluster, protein, min(water_id) AS water_id FROM w JOIN g ON w.wid = g.wid GROUP BY cluster, protein HAVING count(*) = 1),
+s AS (SELECT cluster, count(*) AS n_proteins, max(water_id) FILTER (WHERE protein = '0') AS water_id FROM o GROUP BY cluster)
+SELECT cluster, n_proteins, n_proteins / (SELECT count(DISTINCT protein) FROM w) AS conservation, water_id FROM s WHERE water_id IS NOT NULL AND n_proteins / (SELECT count(DISTINCT protein) FROM w) >= 0.2""")
+def water_conservation_single(spark, d):
+    w = view(spark, d, "v_points").select((F.col("id") % 5).cast("string").alias("protein"), F.col("id").alias("water_id"), "x", "y", "z")
+    return waters.water_conservation(w, "0", 0.02, "single", probability=0.2).select("cluster", "n_proteins", "conservation", "water_id")
+
+
 @query()
 def water_conservation(spark, d):
     w = view(spark, d, "v_points").select((F.col("id") % 5).cast("string").alias("protein"), F.col("id").alias("water_id"), "x", "y", "z")

@@ -18,10 +18,15 @@ VIEWS: dict[str, str] = {
     "v_pred": "SELECT label AS complex, vec_id AS atom_idx, CAST(embedding[{0}] AS DOUBLE) AS px, CAST(embedding[{1}] AS DOUBLE) AS py, CAST(embedding[{2}] AS DOUBLE) AS pz, CAST(embedding[{3}] AS DOUBLE) AS tx, CAST(embedding[{4}] AS DOUBLE) AS ty, CAST(embedding[{5}] AS DOUBLE) AS tz FROM embeddings",
     "v_binary": "SELECT d.doc_id, lang, n_chars / (n_chars + 2000.0D0) AS score, quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "v_feat": "SELECT o_orderkey AS id, o_custkey AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS value FROM orders",
-    "v_cand": "SELECT s_name AS protein_name, p_name AS smiles, concat(p_partkey, '-', s_suppkey) AS pocket_name, s_acctbal / 1000 + p_retailprice / 1000 AS affinity FROM supplier CROSS JOIN part WHERE p_size < 5",
+    "v_cand": "SELECT s_name AS protein_name, p_name AS smiles, concat(p_partkey, '-', s_suppkey) AS pocket_name, s_acctbal / 1000 + p_retailprice / 1000 AS affinity FROM supplier CROSS JOIN part",
     "v_chain": "SELECT user_id AS k, event_id AS id, ts, CAST(value AS DOUBLE) AS x, value * value * (event_id % 7) / 100 AS y, CAST(event_id % 10 AS DOUBLE) AS z FROM events",
 }
 
+def drawn(seed: int, *keys: str) -> str:
+    """DuckDB's SQL for `hash_uniform`."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -1,126 +1,19 @@
-"""Queries over whole tables whose namesakes, which keep their SQL, read a part of the rows. They have no SQL: DuckDB is too slow there at larger sizes."""
+"""Second names of queries that were once registered beside ones over a part of the rows; all work on whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-from ..operators import graphs, joins, spatial, splits
-from ..sources import files, text
-from ..tables import Scratch
+from . import geometry, pipeline_tables, structures, tables
 from .registry import Registry
-from .tables import fingerprints
-from .views import table, view
-
-REGISTRY = query = Registry()
-
-
-def _bonds(spark, d):
-    """Each embedding bonded to the next of its label, and rings of six in a row: (k, src, dst) and (k, ring, atom)."""
-    e = table(spark, d, "embeddings").selectExpr("label as k", "vec_id")
-    by = Window.partitionBy("k").orderBy("vec_id")
-    bonds = e.withColumn("dst", F.lead("vec_id").over(by)).where("dst is not null").selectExpr("k", "vec_id as src", "dst")
-    return bonds, e.withColumn("n", F.row_number().over(by)).selectExpr("k", "(n - 1) div 6 as ring", "vec_id as atom")
-
-
-@query()
-def bond_neighbours_whole(spark, d):
-    return graphs.bond_neighbours(_bonds(spark, d)[0], ["k"])
-
-
-@query()
-def flex_mask_whole(spark, d):
-    return graphs.flex_mask(*_bonds(spark, d), ["k"]).distinct()
-
-
-@query()
-def similar_fingerprints_whole(spark, d):
-    return splits.similar_pairs(fingerprints(table(spark, d, "part")), "id", "words", 0.6)
-
-
-@query()
-def candidates_whole(spark, d):
-    s = table(spark, d, "supplier").selectExpr("s_name as protein_name", "s_acctbal as x", "s_acctbal as y", "s_acctbal as z")
-    pockets = s.withColumn("rank", F.explode(F.array(F.lit(5), F.lit(9))))
-    compounds = table(spark, d, "part").selectExpr("p_name as compound_name", "p_name as smiles").distinct()
-    return joins.candidates(s, compounds, pockets).select("protein_name", "compound_name", "pocket_name")
-
-
-def _sides(spark, d):
-    """The lines of each order as residues of both sides, and the pairs in contact."""
-    lines = table(spark, d, "lineitem").selectExpr("l_orderkey as complex", "cast(l_linenumber as bigint) as i").distinct()
-    a, b = lines, lines.withColumnRenamed("i", "j")
-    return a, b, a.join(b, "complex").where("(complex + i * j) % 4 = 0")
-
-
-@query()
-def label_matrix_whole(spark, d):
-    return joins.label_matrix(*_sides(spark, d), ["complex"])
-
-
-@query()
-def negatives_whole(spark, d):
-    return joins.negatives(*_sides(spark, d), ["complex"], full=True)
-
-
-@query()
-def delimited_scores_whole(spark, d):
-    path = Scratch(spark, "scores").path("table")
-    view(spark, d, "v_pose").select(F.format_string("%d,\t%s  %s", "complex", "code", F.col("score").cast("string")).alias("value")).write.text(path)
-    return text.read_delimited(spark, path, {"complex": "bigint", "code": "string", "score": "double"}).drop("path")
-
-
-@query()
-def stored_pairs_whole(spark, d):
-    path = Scratch(spark, "pairs").path("table")
-    # Codes of at least four digits: lpad to four would cut longer ones.
-    key = F.col("o_custkey").cast("string")
-    pairs = table(spark, d, "orders").select(F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key).alias("code"), "o_orderkey")
-    files.write_pairs(pairs, path)
-    return files.load_pairs(spark, path, pairs.select("code")).select(F.col("code").cast("string").alias("code"), "o_orderkey")
-
-
-@query()
-def missing_sources_whole(spark, d):
-    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("complex"), F.col("l_partkey").cast("string").alias("src0"))
-    return joins.missing_sources(pairs, table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").cast("string").alias("path")), ["src0"])
-
-
-@query()
-def bound_to_unbound_whole(spark, d):
-    p = table(spark, d, "lineitem")
-    pairs = p.selectExpr("l_orderkey pdb_name_0", "0 model_0", "'A' chain_0", "l_linenumber residue_0", "l_orderkey pdb_name_1", "0 model_1", "'B' chain_1", "l_linenumber + 1 residue_1")
-    names = p.selectExpr("l_orderkey bound", "l_orderkey + 1000000 unbound").distinct()
-    atoms = names.selectExpr("unbound pdb_name", "0 model", "explode(array('A', 'B')) chain").withColumn("residue", F.explode(F.sequence(F.lit(1), F.lit(7)))).where("residue % 5 > 0")
-    return joins.bound_to_unbound(pairs, names, atoms).groupBy("pdb_name_0", "residue_0", "residue_1").agg(F.count("*").alias("n"))
-
-
-def _roles(spark, d):
-    """A fifth of the points, and all others."""
-    p = view(spark, d, "v_points")
-    return p.where("id % 5 = 0"), p.where("id % 5 > 0")
-
-
-@query()
-def contact_map_whole(spark, d):
-    return spatial.contact_map(*_roles(spark, d), ["k"], contact=0.1, clamp=0.2)
-
-
-@query()
-def clash_score_whole(spark, d):
-    return spatial.clash_score(*_roles(spark, d), ["k"])
-
-
-@query()
-def surface_clash_whole(spark, d):
-    return spatial.surface_clash(*_roles(spark, d), ["k"])
-
-
-@query()
-def pocket_points_whole(spark, d):
-    return spatial.pocket_points(*_roles(spark, d), ["k"], 0.06, "match_atoms")
-
 
-@query()
-def pocket_points_by_radius_whole(spark, d):
-    return spatial.pocket_points(*_roles(spark, d), ["k"], 0.001, "radius_based")
+REGISTRY = Registry()
+
+_NAMES = {
+    geometry: "bond_neighbours flex_mask contact_map clash_score surface_clash pocket_points pocket_points_by_radius",
+    pipeline_tables: "delimited_scores stored_pairs",
+    structures: "bound_to_unbound",
+    tables: "similar_fingerprints candidates label_matrix negatives missing_sources",
+}
+for _module, _names in _NAMES.items():
+    for _name in _names.split():
+        REGISTRY.queries[f"{_name}_whole"] = _module.REGISTRY.queries[_name]
+        REGISTRY.sql[f"{_name}_whole"] = _module.REGISTRY.sql[_name]
