@@ -107,10 +107,3 @@ def edge_frames(spark, d):
     at = lambda end: frames.select("k", F.col("id").alias(end), F.col("ca").alias(f"ca_{end}"), F.col("f").alias(f"f_{end}"))
     edges = graphs.radius_graph(p, ["k"], 0.06).join(at("src"), ["k", "src"]).join(at("dst"), ["k", "dst"])
     return edges.select("k", "src", "dst", V.edge_orientation(F.col("ca_src"), F.col("ca_dst"), F.col("f_src"), F.col("f_dst")).alias("orientation"))
-
-
-@query()
-def hierarchical_edges(spark, d):
-    atoms = view(spark, d, "v_atoms")
-    ca = atoms.groupBy("pdb_name", "residue").agg(*[F.min_by(c, "aid").alias(c) for c in "xyz"])
-    return graphs.hierarchical_edges(atoms, ca, ["pdb_name"], "residue", "aid", 0.05, 0.08, 5)
