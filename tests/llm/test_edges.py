@@ -319,3 +319,58 @@ def test_neighbour_parts_grow_with_rows(spark):
 
     small, large = leaves(500), leaves(4000)
     assert small <= 12 and large >= 40
+
+
+def best_local(text, template):
+    """The best score of any span: FOREIGN for each word of a longest common subsequence, less one for each other word of the span."""
+    best = 0
+    for a in range(len(text)):
+        row = [0] * (len(template) + 1)
+        for b in range(a, len(text)):
+            before = row
+            row = [0] * (len(template) + 1)
+            for j, w in enumerate(template):
+                row[j + 1] = before[j] + 1 if w == text[b] else max(before[j + 1], row[j])
+            best = max(best, licenses.FOREIGN * row[-1] - (b - a + 1 - row[-1]))
+    return best
+
+
+def test_license_scan_brute_force(spark):
+    """A template is found just where some span of the text aligns well enough, by dynamic programming over all spans."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(9)]
+    template = [rng.choice(words) for _ in range(10)]
+    needed = int(np.ceil(licenses.FOREIGN * 0.8 * len(template)))
+    texts = []
+    for _ in range(300):
+        own = list(template)
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(own))
+            own[k : k + rng.randrange(2)] = [rng.choice(words + ["far", "away"]) for _ in range(rng.randrange(2))]
+        around = lambda: [rng.choice(words + ["far", "away"] * 3) for _ in range(rng.randrange(8))]
+        texts.append(around() + own + around() + (own if rng.random() < 0.2 else []))
+    rows = {r.doc_id: r for r in licenses.scan(docs(spark, [" ".join(t) for t in texts]), templates=[("name", " ".join(template))]).collect()}
+    want = {k for k, t in enumerate(texts) if best_local(t, template) >= needed}
+    assert set(rows) == want and 20 < len(want) < 280
+    for k, r in rows.items():
+        assert best_local(texts[k][r.start_word : r.end_word], template) >= needed and r.coverage == r.matched / r.template_words
+
+
+def test_license_scan_of_given_documents(spark):
+    """Each notice planted in the documents gives its own license once, and no other license of its family."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {}
+    for r in licenses.scan(d).collect():
+        assert (r.doc_id, r.license) not in found
+        found[r.doc_id, r.license] = r
+    plain = lambda t: " ".join(re.findall("[a-z0-9]+", (t or "").lower()))
+    texts = {r.doc_id: plain(r.text) for r in d.collect()}
+    notices = {name: plain(t) for name, t in licenses.TEMPLATES}
+    for name, notice in notices.items():
+        for k, t in texts.items():
+            if f" {notice} " in f" {t} ":
+                assert (k, name) in found, (k, name)
+    for k, name in found:
+        if name == "CC-BY-4.0":
+            assert notices["CC-BY-NC-4.0"] not in texts[k] or notices["CC-BY-4.0"] in texts[k]
+    assert sum(name == "CC-BY-NC-4.0" for _, name in found) > 0
