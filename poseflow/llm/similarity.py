@@ -245,6 +245,168 @@ def block(places: Column) -> Column:
     return F.floor(F.log(places) / float(np.log(BLOCK_STEP))).cast("int")
 
 
+#: What `Join.anchors` keeps of a set's pivot.
+KEPT = ["pivot", "inter", "psize", *[f"{n}{k}" for n in ("own", "lacks") for k in range(MASK)]]
+
+
+class Join:
+    """One run over a table of documents, by the five steps of `similar_classes`; a method per step."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int):
+        self.docs, self.id_col, self.text_col = docs, id_col, text_col
+        self.width, self.num, self.den = width, num, den
+        self.rule = Rule(num, den)
+        self.scratch = Scratch(docs.sparkSession, "similarity")
+        self.moved: frozenset[int] = frozenset()
+
+    def number_sets(self) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        """Step 1. Rows (id, n_shingles, sid), classes of equal sets (sid, rep: the smallest id), and the levels of the sketch."""
+        for k in range(8):
+            table = summaries(self.docs, self.id_col, self.text_col, self.width, self.moved)
+            table = self.scratch.save(table, f"summaries{k}")
+            rows = table.where("part is null")
+            prints = [F.min("print").alias("p"), F.max("print").alias("q")]
+            grouped = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), *prints)
+            classes = self.scratch.save(grouped, f"classes{k}")
+            # Different sets of one number: about n**2 / 2**65 of n sets.
+            shared = {x[0] for x in classes.where("p <> q").select("sid").collect()}
+            if not shared:
+                break
+            self.moved |= shared
+        else:
+            raise RuntimeError("the numbers of sets did not become distinct")
+        partitions = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        levels = sketch(table.where("part is not null").select("part", "counts"), partitions)
+        return rows.select("id", "n_shingles", "sid"), classes.select("sid", "rep"), levels
+
+    def index_lists(self, levels: np.ndarray) -> DataFrame:
+        """Step 2. (token, sid, size, pos, end, psid, psize, ppos, alone, rank, rarest): the rows of lists with at least two sets, of
+        the sets with enough of them. end: where the set's prefix ends in the order of all; psid, psize, ppos: the list's set with the
+        fewest shingles of its own; alone: prefix shingles that no other prefix has; rank: the row's place among the set's, shortest
+        list first; rarest: is it among those that suffice?"""
+        rule, scratch = self.rule, self.scratch
+        by = Window.partitionBy("token", "salt").orderBy("sid")
+        every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        indexed = prefixes(self.docs, self.text_col, self.width, self.moved, levels, self.num, self.den)
+        indexed = indexed.withColumns({
+            "least": F.first("sid").over(every), "most": F.last("sid").over(every), "before": F.lag("sid").over(by),
+        })
+        # A list that is cut may have its other sets in another part.
+        shared = indexed.where("(least <> most or meta & 31 > 0 or salt = -1) and (before is null or before <> sid)")
+        size, pos = F.expr("shiftrightunsigned(meta, 34) size"), F.expr("shiftrightunsigned(meta, 5) & 536870911 pos")
+        shared = scratch.save(shared.select("token", "salt", "sid", size, pos), "shared")
+
+        own = Window.partitionBy("sid")
+        enough_of = lambda df: df.where(F.col("n") >= F.expr(rule.common("size")))
+        alone = F.expr(f"{rule.prefix('size')} - n")
+        end = F.max(F.when(F.col("salt") < 0, F.col("token"))).over(own)
+        counted = shared.withColumns({"n": F.count_if(F.col("salt") >= 0).over(own), "end": end})
+        enough = enough_of(counted).where("salt >= 0").withColumn("alone", alone).drop("n", "salt")
+        enough = scratch.save(enough, "enough")
+        scratch.drop("shared")
+
+        pivot = F.min(F.struct("alone", "size", "sid", "pos")).alias("p")
+        heads = enough.groupBy("token").agg(F.count("*").alias("df"), pivot).where("df > 1")
+        named = [F.col(f"p.{c}").alias(f"p{c}") for c in ("sid", "size", "pos")]
+        heads = scratch.save(heads.select("token", "df", *named), "heads")
+        lists = enough_of(enough.join(heads, "token").withColumn("n", F.count("*").over(own))).withColumn("alone", alone)
+        lists = lists.withColumn("rank", F.col("alone") + F.row_number().over(own.orderBy("df", "token")))
+        rarest = F.expr(f"rank <= {rule.prefix('size')} - {rule.common('size')} + 1")
+        lists = scratch.save(lists.withColumn("rarest", rarest).drop("n", "df"), "lists")
+        scratch.drop("enough", "heads")
+        return lists
+
+    def compare_pivots(self, lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Step 3. The pairs (a, b) compared, what `overlap` found of them, and the sets (sid, tokens) of the lists."""
+        rule, scratch = self.rule, self.scratch
+        met = lists.where("sid <> psid").where(rule.sizes("size", "psize")).where(rule.positions("size", "pos", "psize", "ppos"))
+        met = met.groupBy("sid", "psid").agg(F.count("*").alias("n"))
+        pivots = scratch.save(met.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid")), "pivots")
+        nexts = pivots.select(F.col("sid").alias("psid"), F.col("psid").alias("next"))
+        further = pivots.join(nexts, "psid").select("sid", F.col("next").alias("psid"))
+        pairs = pivots.union(further).where("sid <> psid")
+        pairs = pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct()
+        pairs = scratch.save(pairs, "pairs")
+        wanted = lists.where("rarest").select("sid")
+        sets = scratch.save(sets_of(self.docs, self.text_col, self.width, self.moved, wanted), "sets")
+        return pairs, scratch.save(overlap(pairs, sets), "known"), sets
+
+    def anchors(self, known: DataFrame) -> DataFrame:
+        """(sid, pivot, inter, psize, own0 ..., lacks0 ...): of the sets that a set was compared with, that which most were; their
+        intersection, its size, and the masks of what only the set and only the pivot have."""
+
+        def side(own: str, other: str) -> DataFrame:
+            masks = [F.col(f"only_{x}{k}").alias(f"{n}{k}") for n, x in (("own", own), ("lacks", other)) for k in range(MASK)]
+            return known.select(F.col(own).alias("sid"), F.col(other).alias("pivot"), "inter", F.col(f"n{other}").alias("psize"), *masks)
+
+        answers = self.scratch.save(side("a", "b").union(side("b", "a")), "answers")
+        popular = self.scratch.save(answers.groupBy("pivot").agg(F.count("*").alias("met")), "popular")
+        best = F.max_by(F.struct(*KEPT), F.struct("met", "inter", "pivot")).alias("k")
+        return self.scratch.save(answers.join(popular, "pivot").groupBy("sid").agg(best).select("sid", "k.*"), "anchors")
+
+    def open_pairs(self, lists: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+        """Step 4. (a, b, derived): pairs that share a list, are not connected yet and may be linked; derived: surely linked, as
+        the answers of their common pivot show."""
+        rule, scratch, num, den = self.rule, self.scratch, self.num, self.den
+        placed = lists.where("rarest").select("token", "sid", "size", "pos", "rank", "alone", "end")
+        placed = placed.join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(self.anchors(known), "sid", "left")
+        placed = scratch.save(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
+        # Of each list with several components, the largest need not meet itself.
+        counted = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
+        largest = F.max_by("root", F.struct("n", "root")).alias("main")
+        main = counted.groupBy("token").agg(largest, F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        open_ = placed.join(scratch.save(main, "main"), "token").withColumn("minor", F.col("root") != F.col("main")).drop("main")
+        open_ = scratch.save(open_.withColumn("block", block(F.col("size") - F.col("pos"))), "open")
+
+        # By its position, a set can only reach the intersection with partners that have so many shingles from theirs on.
+        low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
+        high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
+        reach = F.explode(F.sequence(block(low) - 1, block(high) + 1))
+        sided = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *KEPT)]
+        left = open_.where("minor").withColumn("block", reach).select("token", "block", *sided("x"))
+        right = open_.select("token", "block", "minor", *sided("y"))
+        met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
+        met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y"))
+        met = met.where(rule.ranks("size_x", "rank_x", "size_y", "rank_y"))
+        met = met.where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
+
+        # |x & y| from |x & p| and |y & p|: inside p at most what neither lacks, outside at most what isn't seen to be one's own;
+        # at least what p has no room for.
+        needed = rule.needed("size_x", "size_y")
+        same = "coalesce(pivot_x = pivot_y, false)"
+        bits = lambda f: "(" + " + ".join(f"bit_count({f.format(k=k)})" for k in range(MASK)) + ")"
+        inside = f"least(inter_x, inter_y, psize_x - {bits('lacks{k}_x | lacks{k}_y')})"
+        outside_x = f"size_x - inter_x - {bits('own{k}_x & ~own{k}_y')}"
+        outside_y = f"size_y - inter_y - {bits('own{k}_y & ~own{k}_x')}"
+        met = met.where(f"not {same} or {inside} + least({outside_x}, {outside_y}) >= {needed}")
+        derived = F.expr(f"{same} and inter_x + inter_y - psize_x >= {needed}").alias("derived")
+        pairs = met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"), derived)
+        return pairs.groupBy("a", "b").agg(F.bool_or("derived").alias("derived"))
+
+    def run(self) -> DataFrame:
+        scratch = self.scratch
+        rows, classes, levels = self.number_sets()
+        lists = self.index_lists(levels)
+        pairs, known, sets = self.compare_pivots(lists)
+        linked = known.where(self.rule.linked("inter", "na", "nb")).select("a", "b")
+        roots = scratch.save(connected_components(linked), "roots")
+        rest = scratch.save(self.open_pairs(lists, known, roots).join(pairs, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            more = scratch.save(overlap(rest.where("not derived"), sets), "more").where(self.rule.linked("inter", "na", "nb"))
+            links = linked.union(more.select("a", "b")).union(rest.where("derived").select("a", "b"))
+            roots = scratch.save(connected_components(links), "roots2")
+
+        # Step 5. The smallest id of each component, and of each set.
+        placed = classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        placed = scratch.save(placed, "classes-placed")
+        least = scratch.save(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+        found = scratch.save(placed.join(least, "root").select("sid", "component_id"), "found")
+        scratch.drop("lists", "sets", "open", "placed", "known", "pairs", "rest", "more", "pivots", "answers", "popular", "anchors")
+        scratch.drop("main", "roots", "roots2", "classes-placed", "least")
+        out = rows.join(found, "sid", "left")
+        return out.select(F.col("id").alias(self.id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The id, n_shingles and component_id of every row of docs.
 
@@ -255,7 +417,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is never the smallest unless there is no other. An empty table gives no rows. Other columns are not read.
 
     Shingles are 64-bit hashes; sets have 128-bit fingerprints and, within a run, 64-bit numbers that are checked to
-    be distinct. Steps, each a scan or a join over all rows:
+    be distinct. Steps, each a scan or a join over all rows (see `Join`):
 
     1. Equal sets become one. A sketch counts all shingles, and orders them by rarity.
     2. The first |s| - ceil(0.8 |s|) + |s| div 10 + 1 shingles of each set go to index lists; a list expected to be long is cut by set
@@ -273,101 +435,4 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Sets of large groups of near copies are thus compared with a pivot, not with each other, and no pair is skipped
     that could connect two components.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "similarity")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rule = Rule(num, den)
-    moved: frozenset[int] = frozenset()
-    for k in range(8):
-        table = scratch.save(summaries(docs, id_col, text_col, width, moved), f"summaries{k}")
-        rows = table.where("part is null")
-        grouped = rows.where("sid is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.min("print").alias("p"), F.max("print").alias("q"))
-        classes = scratch.save(grouped, f"classes{k}")
-        # Different sets of one number: about n**2 / 2**65 of n sets.
-        shared = {x[0] for x in classes.where("p <> q").select("sid").collect()}
-        if not shared:
-            break
-        moved |= shared
-    else:
-        raise RuntimeError("the numbers of sets did not become distinct")
-    classes = classes.select("sid", "rep")
-    levels = sketch(table.where("part is not null").select("part", "counts"), partitions)
-
-    # 2. Rows of lists with at least two sets, of the sets with enough of them.
-    by = Window.partitionBy("token", "salt").orderBy("sid")
-    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    indexed = prefixes(docs, text_col, width, moved, levels, num, den).select("*", F.first("sid").over(every).alias("least"), F.last("sid").over(every).alias("most"), F.lag("sid").over(by).alias("before"))
-    shared = indexed.where("(least <> most or meta & 31 > 0 or salt = -1) and (before is null or before <> sid)").select("token", "salt", "sid", F.expr("shiftrightunsigned(meta, 34) size"), F.expr("shiftrightunsigned(meta, 5) & 536870911 pos"))
-    shared = scratch.save(shared, "shared")
-    own = Window.partitionBy("sid")
-    counted = shared.withColumns({"n": F.count_if(F.col("salt") >= 0).over(own), "end": F.max(F.when(F.col("salt") < 0, F.col("token"))).over(own)})
-    enough = counted.where(F.col("n") >= F.expr(rule.common("size"))).where("salt >= 0").withColumn("alone", F.expr(f"{rule.prefix('size')} - n")).drop("n", "salt")
-    enough = scratch.save(enough, "enough")
-    scratch.drop("shared")
-    heads = enough.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct("alone", "size", "sid", "pos")).alias("p")).where("df > 1")
-    heads = scratch.save(heads.select("token", "df", F.col("p.sid").alias("psid"), F.col("p.size").alias("psize"), F.col("p.pos").alias("ppos")), "heads")
-    lists = enough.join(heads, "token").withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.expr(rule.common("size")))
-    lists = lists.withColumn("alone", F.expr(f"{rule.prefix('size')} - n")).withColumn("rank", F.col("alone") + F.row_number().over(own.orderBy("df", "token")))
-    lists = lists.withColumn("rarest", F.expr(f"rank <= {rule.prefix('size')} - {rule.common('size')} + 1")).drop("n", "df")
-    lists = scratch.save(lists, "lists")
-    scratch.drop("enough", "heads")
-
-    # 3. One pivot each.
-    met = lists.where("sid <> psid").where(rule.sizes("size", "psize")).where(rule.positions("size", "pos", "psize", "ppos")).groupBy("sid", "psid").agg(F.count("*").alias("n"))
-    pivots = scratch.save(met.groupBy("sid").agg(F.max_by("psid", F.struct("n", "psid")).alias("psid")), "pivots")
-    further = pivots.join(pivots.select(F.col("sid").alias("psid"), F.col("psid").alias("next")), "psid").select("sid", F.col("next").alias("psid"))
-    pairs = pivots.union(further).where("sid <> psid")
-    pairs = scratch.save(pairs.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct(), "pairs")
-    lists = lists.where("rarest")
-    sets = scratch.save(sets_of(docs, text_col, width, moved, lists.select("sid")), "sets")
-    known = scratch.save(overlap(pairs, sets), "known")
-    linked = known.where(rule.linked("inter", "na", "nb"))
-    roots = scratch.save(connected_components(linked), "roots")
-
-    # 4. The rest, in lists whose sets are not all connected yet.
-    def side(own: str, other: str) -> DataFrame:
-        masks = [F.col(f"only_{x}{k}").alias(f"{n}{k}") for n, x in (("own", own), ("lacks", other)) for k in range(MASK)]
-        return known.select(F.col(own).alias("sid"), F.col(other).alias("pivot"), "inter", F.col(f"n{other}").alias("psize"), *masks)
-
-    kept = ["pivot", "inter", "psize", *[f"{n}{k}" for n in ("own", "lacks") for k in range(MASK)]]
-    answers = scratch.save(side("a", "b").union(side("b", "a")), "answers")
-    answers = answers.join(scratch.save(answers.groupBy("pivot").agg(F.count("*").alias("met")), "popular"), "pivot")
-    anchors = answers.groupBy("sid").agg(F.max_by(F.struct(*kept), F.struct("met", "inter", "pivot")).alias("k"))
-    anchors = scratch.save(anchors.select("sid", "k.*"), "anchors")
-    placed = lists.select("token", "sid", "size", "pos", "rank", "alone", "end").join(roots.withColumnRenamed("node", "sid"), "sid", "left").join(anchors, "sid", "left")
-    placed = scratch.save(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
-    counted = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
-    main = scratch.save(counted.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots"), "main")
-    open_ = scratch.save(placed.join(main, "token").withColumn("minor", F.col("root") != F.col("main")).drop("main").withColumn("block", block(F.col("size") - F.col("pos"))), "open")
-    # By its position, a set can only reach the intersection with partners that have so many shingles from theirs on.
-    low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
-    high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
-    reach = open_.where("minor").withColumn("block", F.explode(F.sequence(block(low) - 1, block(high) + 1)))
-    left = reach.select("token", "block", *[F.col(c).alias(f"{c}_x") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *kept)])
-    right = open_.select("token", "block", "minor", *[F.col(c).alias(f"{c}_y") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *kept)])
-    met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
-    met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y")).where(rule.ranks("size_x", "rank_x", "size_y", "rank_y")).where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
-    # |x & y| from |x & p| and |y & p|: inside p at most what neither lacks, outside at most what isn't seen to be one's own;
-    # at least what p has no room for.
-    needed = rule.needed("size_x", "size_y")
-    same = "coalesce(pivot_x = pivot_y, false)"
-    bits = lambda f: "(" + " + ".join(f"bit_count({f.format(k=k)})" for k in range(MASK)) + ")"
-    inside = f"least(inter_x, inter_y, psize_x - {bits('lacks{k}_x | lacks{k}_y')})"
-    outside = f"least(size_x - inter_x - {bits('own{k}_x & ~own{k}_y')}, size_y - inter_y - {bits('own{k}_y & ~own{k}_x')})"
-    met = met.where(f"not {same} or {inside} + {outside} >= {needed}")
-    derived = F.expr(f"{same} and inter_x + inter_y - psize_x >= {needed}")
-    rest = met.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b"), derived.alias("derived"))
-    rest = rest.groupBy("a", "b").agg(F.bool_or("derived").alias("derived")).join(pairs, ["a", "b"], "left_anti")
-    rest = scratch.save(rest, "rest")
-    if not rest.isEmpty():
-        more = scratch.save(overlap(rest.where("not derived"), sets), "more").where(rule.linked("inter", "na", "nb"))
-        links = linked.select("a", "b").union(more.select("a", "b")).union(rest.where("derived").select("a", "b"))
-        roots = scratch.save(connected_components(links), "roots2")
-
-    # 5. The smallest id of each component, and of each set.
-    placed = scratch.save(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes-placed")
-    least = scratch.save(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    found = scratch.save(placed.join(least, "root").select("sid", "component_id"), "found")
-    scratch.drop("lists", "sets", "open", "placed", "known", "pairs", "rest", "more")
-    out = rows.select("id", "n_shingles", "sid").join(found, "sid", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return Join(docs, id_col, text_col, width, num, den).run()
