@@ -75,7 +75,7 @@ def quarantined_atoms(spark, d):
     return counted(good, "good").join(counted(failed, "failed"), "pdb_name", "full").na.fill(0, ["good", "failed"])
 
 
-@query(f"WITH {_ATOMS} SELECT grp AS protein, CAST(residue AS VARCHAR) AS water_id, x, y, z, 1.0 AS occupancy, residue + 0.5 AS bfactor FROM a WHERE vec_id % 2 = 0")
+@query(f"WITH {_ATOMS} SELECT grp AS protein, CAST(residue AS VARCHAR) AS water_id, x, y, z, CAST(1 AS DOUBLE) AS occupancy, CAST(residue + 0.5 AS DOUBLE) AS bfactor FROM a WHERE vec_id % 2 = 0")
 def water_atoms(spark, d):
     odd = F.col("vec_id") % 2 == 1
     rows = _atoms(spark, d).withColumns({"resname": F.when(odd, "LIG").otherwise("HOH"), "atom_name": F.lit("O"), "element": F.lit("O")})
@@ -195,7 +195,7 @@ def structures_json(spark, d):
     return s.select("name", "seq", "position", F.col("n.x").alias("n_x"), F.col("ca.y").alias("ca_y"), F.col("c.z").alias("c_z"), F.col("o.x").alias("o_x"))
 
 
-@query("""SELECT 'x' || o_orderkey AS pdb, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey / 100 END AS resolution, CASE WHEN o_orderkey % 5 = 1 THEN 0.1 WHEN o_orderkey % 5 = 2 THEN 0.2 WHEN o_orderkey % 5 = 3 THEN 0.3 END AS r_factor,
+@query("""SELECT 'x' || o_orderkey AS pdb, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey / 100 END AS resolution, CAST(CASE WHEN o_orderkey % 5 = 1 THEN 0.1 WHEN o_orderkey % 5 = 2 THEN 0.2 WHEN o_orderkey % 5 = 3 THEN 0.3 END AS DOUBLE) AS r_factor,
 CASE WHEN o_orderkey % 2 = 0 THEN '1.2.' || (o_custkey % 9) || '.4' END AS ec, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS release_date FROM orders""")
 def entry_attributes(spark, d):
     path = Scratch(spark, "files").path("entries")

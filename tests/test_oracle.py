@@ -27,7 +27,7 @@ def shown(x):
     return str(x)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(n for n in queries.ORACLE_SQL if not n.endswith("_whole")))
 def test_matches_sql(spark, con, name):
     want = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
