@@ -230,13 +230,6 @@ def chain_orientations(spark, d):
     return df.select("k", "id", "number", F.col("forward.x").alias("fx"), F.col("forward.y").alias("fy"), F.col("forward.z").alias("fz"))
 
 
-@query()
-def backbone_dihedrals(spark, d):
-    p = view(spark, d, "v_chain")
-    shift = lambda k: V.vec(F.col("x") + k, F.col("y") * (1 + k), F.col("z") + k * k)
-    return ranks.backbone_dihedrals(p.select("k", "id", shift(0).alias("n"), shift(1).alias("ca"), shift(2).alias("c")), ["k"], "id").select("k", "id", "dihedrals")
-
-
 @query("""WITH p AS (SELECT id, k, x, y, z, lead(x) OVER w AS bx, lead(y) OVER w AS bz, lead(z) OVER w AS bq FROM v_points WINDOW w AS (PARTITION BY k ORDER BY id))
 SELECT id, y * bq - z * bz AS cx, x * bx + y * bz + z * bq AS d, acos(greatest(-1, least(1, (x * bx + y * bz + z * bq) / (sqrt(x * x + y * y + z * z) * sqrt(bx * bx + bz * bz + bq * bq))))) AS angle FROM p WHERE bx IS NOT NULL""")
 def vector_functions(spark, d):

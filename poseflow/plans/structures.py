@@ -1,11 +1,11 @@
-"""Residues, frames and look-ups over the points: B4-B9, C8-C10, C39, D25-D27, D30, H9-H12, I10."""
+"""Residues and look-ups over the points: B4-B9, C8-C10, D27, I10."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import features, graphs, joins, residues, spatial, splits
+from ..operators import graphs, joins, residues, splits
 from .registry import Registry
 from .views import table, view
 
@@ -84,26 +84,3 @@ def mutated_residues(spark, d):
     atoms = view(spark, d, "v_atoms").withColumn("residue", F.col("residue").cast("string"))
     mutations = atoms.where("pdb_name % 2 = 0").select("pdb_name", F.lit("W113Y").alias("mutation")).distinct()
     return splits.mutated_residues(atoms, mutations, "pdb_name").select("pdb_name", "aid", "mutated")
-
-
-@query()
-def half_sphere_composition(spark, d):
-    atoms = _named(spark, d).withColumn("resname", F.when(F.col("residue") % 2 == 0, "GLY").otherwise("ALA"))
-    similar = spatial.residue_similarity(atoms, ["pdb_name"], "residue", sigma=0.02)
-    return features.half_sphere_composition(similar, features.sidechain_vectors(atoms, ["pdb_name", "residue"]), ["pdb_name"], "residue")
-
-
-@query()
-def torsion_angles(spark, d):
-    p = view(spark, d, "v_points")
-    bonds = p.selectExpr("k", "id as src", "id + 1 as dst", "id % 2 = 0 as rotatable")
-    return graphs.torsion_angles(bonds.withColumn("k", F.lit(0)), p.withColumn("k", F.lit(0)), ["k"])
-
-
-@query()
-def edge_frames(spark, d):
-    p = view(spark, d, "v_points")
-    frames = p.select("k", "id", V.vec("x", "y", "z").alias("ca"), V.local_frame(V.vec("x", "y", F.col("z") + 1), V.vec("x", "y", "z"), V.vec(F.col("x") + 1, "y", "z")).alias("f"), V.sidechain_direction(V.vec("x", "y", F.col("z") + 1), V.vec("x", "y", "z"), V.vec(F.col("x") + 1, "y", "z")).alias("side"))
-    at = lambda end: frames.select("k", F.col("id").alias(end), F.col("ca").alias(f"ca_{end}"), F.col("f").alias(f"f_{end}"))
-    edges = graphs.radius_graph(p, ["k"], 0.06).join(at("src"), ["k", "src"]).join(at("dst"), ["k", "dst"])
-    return edges.select("k", "src", "dst", V.edge_orientation(F.col("ca_src"), F.col("ca_dst"), F.col("f_src"), F.col("f_dst")).alias("orientation"))

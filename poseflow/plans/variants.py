@@ -216,12 +216,12 @@ def _inside(x: str, y: str, z: str) -> list[str]:
 _TWELVE = [*_inside("s.bx - t.bx", "s.by_ - t.by_", "s.bz - t.bz"), *[c for p in ("n", "u", "v") for c in _inside(f"s.{p}x", f"s.{p}y", f"s.{p}z")]]
 
 
-@query(f"WITH {_FRAMES} SELECT s.id AS src, t.id AS dst, {', '.join(f'{c} AS o{k}' for k, c in enumerate(_TWELVE))} FROM f s JOIN f t ON s.k = t.k AND t.id = s.id + 10")
-def edge_orientations(spark, d):
+@query(f"WITH {_FRAMES} SELECT s.id AS src, t.id AS dst, {', '.join(f'{c} AS o{k}' for k, c in enumerate(_TWELVE))} FROM f s JOIN f t ON s.k = t.k AND t.id > s.id")
+def edge_frames(spark, d):
     f = _three(spark, d).select("k", "id", F.col("b").alias("ca"), V.local_frame(F.col("a"), F.col("b"), F.col("c")).alias("f"))
-    at = lambda end, shift: f.select("k", (F.col("id") + shift).alias("src"), F.col("ca").alias(f"ca_{end}"), F.col("f").alias(f"f_{end}"))
-    both = at("s", 0).join(at("t", -10), ["k", "src"])
-    o = both.select("src", (F.col("src") + 10).alias("dst"), V.edge_orientation(F.col("ca_s"), F.col("ca_t"), F.col("f_s"), F.col("f_t")).alias("o"))
+    at = lambda end, name: f.select("k", F.col("id").alias(name), F.col("ca").alias(f"ca_{end}"), F.col("f").alias(f"f_{end}"))
+    both = at("s", "src").join(at("t", "dst"), "k").where("dst > src")
+    o = both.select("src", "dst", V.edge_orientation(F.col("ca_s"), F.col("ca_t"), F.col("f_s"), F.col("f_t")).alias("o"))
     return o.select("src", "dst", *[F.col("o")[k].alias(f"o{k}") for k in range(12)])
 
 
@@ -274,7 +274,7 @@ s AS (SELECT *, bx AS ex, by_ AS ey, bz AS ez FROM r)"""
 @query(f"""WITH {_CHAIN}, {_angle_of('phi', 's', ['lc', 'a', 'e', 'c'], 'id')}, {_angle_of('psi', 's', ['a', 'e', 'c', 'na'], 'id')}, {_angle_of('omega', 's', ['e', 'c', 'na', 'nb'], 'id')}
 SELECT phi.id, cos(radians(coalesce(phi.angle, 0))) AS d0, cos(radians(coalesce(psi.angle, 0))) AS d1, cos(radians(coalesce(omega.angle, 0))) AS d2, sin(radians(coalesce(phi.angle, 0))) AS d3, sin(radians(coalesce(psi.angle, 0))) AS d4, sin(radians(coalesce(omega.angle, 0))) AS d5
 FROM phi JOIN psi ON phi.id = psi.id JOIN omega ON phi.id = omega.id""")
-def dihedral_features(spark, d):
+def backbone_dihedrals(spark, d):
     rows = _three(spark, d).select("k", "id", F.col("a").alias("n"), F.col("b").alias("ca"), F.col("c"))
     found = ranks.backbone_dihedrals(rows, ["k"], "id")
     return found.select("id", *[F.col("dihedrals")[k].alias(f"d{k}") for k in range(6)])
@@ -287,7 +287,7 @@ FROM bonds b JOIN ends o ON o.a = b.{end} AND o.b <> b.{other} JOIN v_points p O
 @query(f"""WITH bonds AS (SELECT a.id AS src, b.id AS dst FROM v_points a JOIN v_points b ON b.id = a.id + 1), ends AS (SELECT src AS a, dst AS b FROM bonds UNION SELECT dst, src FROM bonds), ms AS ({_MEAN('src', 'dst')}), md AS ({_MEAN('dst', 'src')}),
 four AS (SELECT ms.src, ms.dst, smx, smy, smz, dmx, dmy, dmz, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM ms JOIN md ON ms.src = md.src AND ms.dst = md.dst JOIN v_points p ON p.id = ms.src JOIN v_points q ON q.id = ms.dst),
 {_angle_of('t', 'four', ['sm', 'p', 'q', 'dm'], 'src, dst')} SELECT src, dst, angle AS torsion FROM t""")
-def torsions(spark, d):
+def torsion_angles(spark, d):
     p = view(spark, d, "v_points").withColumn("k", F.lit(0))
     ends = p.select("k", F.col("id").alias("dst"))
     bonds = p.selectExpr("k", "id as src", "id + 1 as dst", "id % 2 = 0 as rotatable").join(ends, ["k", "dst"], "left_semi").select("k", "src", "dst", "rotatable")
@@ -303,7 +303,7 @@ d AS (SELECT pdb_name, residue, letter, any_value(ca) AS ca, avg(coalesce((x - c
 p AS (SELECT s.pdb_name, s.i, o.letter AS own, t.letter AS other, o.dx * (t.ca.x - o.ca.x) + o.dy * (t.ca.y - o.ca.y) + o.dz * (t.ca.z - o.ca.z) > 0 AS up FROM s JOIN d o ON o.pdb_name = s.pdb_name AND o.residue = s.i JOIN d t ON t.pdb_name = s.pdb_name AND t.residue = s.j WHERE o.dx IS NOT NULL),
 c AS (SELECT pdb_name, i, count(*) AS n, {', '.join(f"(count(*) FILTER (WHERE {'up' if up else 'NOT up'} AND other = '{x}') + CAST(any_value(own) = '{x}' AS INT)) AS {x.lower()}_{'up' if up else 'down'}" for up in (True, False) for x in 'AG')} FROM p GROUP BY ALL)
 SELECT d.pdb_name, d.residue, a_up / (1 + n) AS a_up, g_up / (1 + n) AS g_up, a_down / (1 + n) AS a_down, g_down / (1 + n) AS g_down, (a_up + g_up + a_down + g_down) / (1 + n) AS total FROM d LEFT JOIN c ON c.pdb_name = d.pdb_name AND c.i = d.residue""")
-def half_spheres(spark, d):
+def half_sphere_composition(spark, d):
     name = F.element_at(F.array(*[F.lit(x) for x in ("N", "CA", "C", "O")]), (F.floor(F.col("aid") / 3) % 4 + 1).cast("int"))
     atoms = view(spark, d, "v_atoms").withColumns({"atom_name": name, "resname": F.when(F.col("residue") % 2 == 0, "GLY").otherwise("ALA")})
     similar = spatial.residue_similarity(atoms, ["pdb_name"], "residue", sigma=0.02)
