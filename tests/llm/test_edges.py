@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from poseflow.llm import attribution, blocks, decontaminate, language, licenses, packing, preferences, similarity, tokens, urls
 from poseflow.llm.blocks import BLOCK_BYTES, Hasher, text_blocks
 
-from test_text_operators import brute_hits, docs
+from test_text_operators import docs
 
 
 def thue_morse(n, a="a", b="b"):
@@ -374,3 +374,18 @@ def test_license_scan_of_given_documents(spark):
         if name == "CC-BY-4.0":
             assert notices["CC-BY-NC-4.0"] not in texts[k] or notices["CC-BY-4.0"] in texts[k]
     assert sum(name == "CC-BY-NC-4.0" for _, name in found) > 0
+
+
+def test_repeated_rows_of_token_counts_and_languages(spark):
+    """Rows that repeat an id and text give rows each, alike; a null id stays."""
+    rows = [(1, "one\ntwo <|endoftext|>\n", "en")] * 3 + [(None, "one", "en"), (None, None, None), (1, "other\n", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id or 0, r.section, r.n_tokens) for r in attribution.section_tokens(df).collect())
+    encoder = tokens.Encoder(tokens.default_path())
+    count = lambda t: len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)
+    whole = count(rows[0][1])
+    assert len(got) == 2 * 3 + 1 + 1 and sum(n for k, _, n in got if k == 1) == 3 * whole + count("other\n")
+    assert [g for g in got if g[0] == 0] == [(0, 0, count("one"))]
+    assert attribution.section_tokens(df.where("false")).collect() == []
+    found = language.learn_and_identify(df)
+    assert found.count() == 6 and found.where("doc_id = 1 and text like 'one%'").select("lang_pred", "score").distinct().count() == 1

@@ -230,7 +230,6 @@ def test_pipeline_brute_force(spark):
 def test_sql(spark, name):
     import duckdb
 
-    from pyspark.sql.types import StringType  # noqa: F401
 
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
