@@ -70,15 +70,21 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, width: int, moved: fr
             counts += np.bincount((flat >> shift).astype(np.int64), minlength=counters).astype(np.int32)
             prints = [fingerprint(x) if len(x) else None for x in sets]
             none = pa.nulls(len(sets), pa.int32())
-            out = pa.RecordBatch.from_pydict({"id": some.column(0), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "sid": pa.array([x and number(x, moved) for x in prints], pa.int64()), "print": pa.array(prints, pa.binary()), "part": none, "counts": pa.nulls(len(sets), pa.binary())})
+            out = pa.RecordBatch.from_pydict({
+                "id": some.column(0), "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
+                "sid": pa.array([x and number(x, moved) for x in prints], pa.int64()), "print": pa.array(prints, pa.binary()),
+                "part": none, "counts": pa.nulls(len(sets), pa.binary()),
+            })
             schema = out.schema
             yield out
         if schema is not None:
             parts = np.split(np.minimum(counts, 65535).astype("<u2"), SKETCH_PARTS)
             nulls = [pa.nulls(SKETCH_PARTS, f.type) for f in list(schema)[:4]]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=schema)
+            own = [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, *own], schema=schema)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n_shingles long, sid long, print binary, part int, counts binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {id_type}, n_shingles long, sid long, print binary, part int, counts binary")
 
 
 def sketch(parts: DataFrame, partitions: int) -> np.ndarray:
@@ -101,8 +107,9 @@ def sketch(parts: DataFrame, partitions: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text_col: str, width: int, moved: frozenset[int], levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """Index rows (token, salt, sid, meta) of the rarest shingles of each set; meta packs size (30 bits: a text has fewer words), position
-    (29 bits, more is an error) and the logarithm of the number of parts of the list (5 bits). A token is 48 bits of the hash: two shingles under one token make a longer list, no wrong link.
+    """Index rows (token, salt, sid, meta) of the rarest shingles of each set; meta packs size (30 bits: a text has fewer words),
+    position (29 bits, more is an error) and the logarithm of the number of parts of the list (5 bits). A token is 48 bits of the
+    hash: two shingles under one token make a longer list, no wrong link.
     A further row per set, with salt -1, has the place of its last shingle in the order of all."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     mean = float(np.mean(2 ** (levels / 8.0) - 1)) if len(levels) else 0.0
@@ -132,9 +139,11 @@ def prefixes(docs: DataFrame, text_col: str, width: int, moved: frozenset[int],
             if token:
                 sid, parts = np.concatenate(sid), log_parts[np.concatenate(level_of)]
                 last, of, n = (np.array(x, t) for x, t in zip(zip(*ends), (np.uint64, np.int64, np.uint64)))
+                salts = np.concatenate([sid & ((1 << parts) - 1), np.full(len(of), -1)])
+                packed = np.concatenate([np.concatenate(meta) + parts.astype(np.uint64), n])
                 yield pa.RecordBatch.from_pydict({
-                    "token": np.concatenate([*token, last]).view(np.int64), "salt": np.concatenate([sid & ((1 << parts) - 1), np.full(len(of), -1)]).astype(np.int32),
-                    "sid": np.concatenate([sid, of]), "meta": np.concatenate([np.concatenate(meta) + parts.astype(np.uint64), n]).view(np.int64),
+                    "token": np.concatenate([*token, last]).view(np.int64), "salt": salts.astype(np.int32),
+                    "sid": np.concatenate([sid, of]), "meta": packed.view(np.int64),
                 })
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long, salt int, sid long, meta long")
@@ -194,7 +203,8 @@ def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     na.append(len(x)), nb.append(len(y)), inter.append(int(np.count_nonzero(twice)))
                     masks.append(np.concatenate([mask(x[once[: len(x)]]), mask(y[once[len(x) :]])]))
                 masks = np.array(masks)
-                out = {"a": some.column("a"), "b": some.column("b"), "na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64()), "inter": pa.array(inter, pa.int64())}
+                counts = {k: pa.array(v, pa.int64()) for k, v in (("na", na), ("nb", nb), ("inter", inter))}
+                out = {"a": some.column("a"), "b": some.column("b"), **counts}
                 yield pa.RecordBatch.from_pydict(out | {c: pa.array(masks[:, k]) for k, c in enumerate(MASKS)})
 
     with_b = pairs.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -427,9 +437,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. Each set is compared with one other, its pivot, and with the pivot's pivot: of each of its lists the set with the fewest shingles
        of its own, which for copies is what they were copied from, and of these the one met most often.
     4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks by how many shingles
-       follow the position; a partner's position lies within bounds, so a set skips all other blocks. A set's prefix shingles that no other
-       prefix has count against it. Of two sets with the same pivot, their intersections with it, computed in step 3, bound their own from both sides, which answers
-       many pairs without reading them. The others are compared exactly.
+       follow the position; a partner's position lies within bounds, so a set skips all other blocks. A set's prefix shingles that no
+       other prefix has count against it. Of two sets with the same pivot, their intersections with it, computed in step 3, bound
+       their own from both sides, which answers many pairs without reading them. The others are compared exactly.
     5. Connected components over the links.
 
     Sets of large groups of near copies are thus compared with a pivot, not with each other, and no pair is skipped
