@@ -164,3 +164,25 @@ def test_residue_filters(spark):
     assert got["x"].mass == pytest.approx(180.156) and (got["x"].n_atoms, got["x"].n_heavy) == (24, 12) and got["y"].mass is None
     sides = spark.createDataFrame([("a", "ligand"), ("a", "receptor"), ("b", "ligand")], "k string, side string")
     assert [r.k for r in residues.size_limit(spark.createDataFrame([("a",), ("b",)], "k string"), sides, ["k"]).collect()] == ["a"]
+
+
+def test_scratch_folders(spark):
+    """On a cluster the shared folder must be named; scratch tables go when they are released."""
+    import os
+    from types import SimpleNamespace
+
+    import pytest
+
+    from poseflow import tables
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(fake)
+    mark = tables.held(spark)
+    scratch = tables.Scratch(spark, "test")
+    assert scratch.save(spark.range(3), "a").count() == 3 and scratch.save(spark.range(2), "b").count() == 2
+    folder = scratch.root.removeprefix("file:")
+    scratch.drop("a", "absent")
+    assert os.listdir(folder) == ["b"] and tables.held(spark) == mark + 1
+    tables.release(spark, mark)
+    assert not os.path.exists(folder) and tables.held(spark) == mark
