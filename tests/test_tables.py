@@ -171,8 +171,6 @@ def test_scratch_folders(spark):
     import os
     from types import SimpleNamespace
 
-    import pytest
-
     from poseflow import tables
 
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
