@@ -179,11 +179,18 @@ def _until(p: np.ndarray, sizes: np.ndarray, mass: float, least: int) -> np.ndar
 
 
 def fitted(rows: DataFrame, dimension: int, n: int, k: int, part_rows: int, fan: int) -> Hierarchy:
-    """Partitioners for n rows (id, v): on the driver that of a sample of all rows; where more than `fan` parts are wanted, in one task
-    each that of a sample of each part's rows. A sample has SAMPLE vectors at most."""
+    """Partitioners for n rows (id, v): that of a sample of all rows; where more than `fan` parts are wanted, also that of a sample of each
+    part's rows. A sample has SAMPLE vectors at most and is fitted in one task, where Spark gives linear algebra the task's own core only."""
     wanted = max(LEAST_PARTS, -(-n // part_rows))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    top = Partitioner.fit(drawn.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dimension), k, wanted if wanted <= fan else int(np.ceil(np.sqrt(wanted))))
+    first = wanted if wanted <= fan else int(np.ceil(np.sqrt(wanted)))
+
+    def of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = np.concatenate([_matrix(x) for x in batches if x.num_rows] or [np.zeros((0, dimension))])
+        if len(vectors):
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(Partitioner.fit(vectors, k, first))], pa.binary())})
+
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").coalesce(1)
+    top = pickle.loads(drawn.mapInArrow(of_sample, "model binary").first()[0])
     if wanted <= fan:
         return Hierarchy(top)
     each = min(fan, -(-wanted // top.parts))
