@@ -9,8 +9,8 @@ import numpy as np
 
 from .blocks import Chunks, Hasher
 
-#: Words that a worker remembers, at about 60 bytes each; at this many it starts anew.
-REMEMBERED = 2_000_000
+#: Words that a worker remembers, at about 100 bytes each; at this many it forgets those that it met in one block only.
+REMEMBERED = 500_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
@@ -51,17 +51,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
+        # Of each known word, in the order of hashes: its ids' place in the pool and number, bytes, first chunk, and whether it was met again.
         self.known = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
-        self.bytes = np.zeros(0, np.int64)  # of each known word
-        self.at = np.zeros(0, np.int64)  # of each known word: its first chunk
+        self.bytes = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
         self.chunks, self.chunked = np.zeros(1 << 16, np.uint64), 0
 
+    def _forget(self) -> None:
+        """Keeps the words that were met again, and none if these alone are more than half of what may be kept."""
+        keep = np.flatnonzero(self.again) if 2 * self.again.sum() <= REMEMBERED else np.zeros(0, np.int64)
+        self.known, self.size, self.bytes = self.known[keep], self.size[keep], self.bytes[keep]
+        counts = np.maximum((self.bytes + 7) >> 3, 1)
+        self.pool, self.chunks = _taken(self.pool, self.first[keep], self.size), _taken(self.chunks, self.at[keep], counts)
+        self.filled, self.chunked = len(self.pool), len(self.chunks)
+        self.first, self.at = np.cumsum(self.size) - self.size, np.cumsum(counts) - counts
+        self.again = np.zeros(len(keep), bool)
+
     @functools.cached_property
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for: each character of a byte-level token is one byte."""
@@ -103,7 +112,7 @@ class Encoder:
         self.chunks, self.chunked, at = _kept(self.chunks, self.chunked, values, np.cumsum(counts) - counts)
         by = np.argsort(hashes)
         places = np.searchsorted(self.known, hashes[by])
-        for name, more in (("known", hashes), ("first", first), ("size", np.diff(marks)), ("bytes", ends - starts), ("at", at)):
+        for name, more in (("known", hashes), ("first", first), ("size", np.diff(marks)), ("bytes", ends - starts), ("at", at), ("again", np.zeros(len(by), bool))):
             setattr(self, name, np.insert(getattr(self, name), places, more[by]))
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +127,7 @@ class Encoder:
         hashes, example, which = np.unique(Hasher.of_chunks(chunks, ends - starts), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, hashes)
         new = np.ones(len(hashes), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != hashes
+        self.again[at[~new]] = True
         if new.any():
             some = example[new]
             self._learn(hashes[new], data, starts[some], ends[some], chunks.take(some), chunks.counts[some])

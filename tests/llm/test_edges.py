@@ -53,6 +53,22 @@ def test_words_of_equal_hash_keep_their_ids(monkeypatch):
                 assert ids[marks[k] : marks[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [0, 7, 60])
+def test_forgotten_words_keep_their_ids(monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    encoder = tokens.Encoder(tokens.default_path())
+    rng = random.Random(4)
+    common = ["the", "of", "and", "naïve", "x" * 30]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(5)]
+        for _, data, offsets in blocks_of(texts):
+            ids, marks = encoder.encode_block(data, offsets)
+            for k, t in enumerate(texts):
+                assert ids[marks[k] : marks[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(encoder.known) == len(encoder.first) == len(encoder.at) == len(encoder.again)
+    assert len(encoder.known) <= remembered + 70
+
+
 def test_patterned_words_through_operators(spark):
     df = docs(spark, PATTERNED)
     encoder = tokens.Encoder(tokens.default_path())
