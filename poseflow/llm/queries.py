@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, language, licenses, neighbours, packing, preferences, similarity, urls, warc
+from . import attribution, decontaminate, forest, language, licenses, neighbours, packing, preferences, repair, similarity, trie, urls, warc
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -141,6 +141,104 @@ SELECT page_id, CAST(fetched AS VARCHAR) AS fetched, host, matched_entry IS NOT
 """
 
 
+#: A table of crc32 by byte, and a form of crc32 over ASCII strings; for SQL, which has none.
+_CRC_TABLE = """crc(tbl) AS MATERIALIZED (SELECT list(t ORDER BY b) FROM (SELECT b,
+  list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t FROM range(256) r(b)))"""
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.repair(repair.damaged(turns), keys=turns)
+
+
+def _op11_sql() -> str:
+    """The lattice backwards, row by row: the best (cost, audit, lines) from each state on; a conversation's last state is that after no row."""
+    blank = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    add = lambda cost, initial, role, text, tail: f"{{'c': {tail}.c + {cost}, 'a': '{initial}' || {tail}.a, 'l': {role} || ':' || {text} || chr(10) || {tail}.l}}"
+    insert = lambda role, tail: add(5, "I", f"'{role}'", "''", tail)
+    never = "{'c': 1000000000, 'a': '', 'l': ''}"
+
+    def base(state: str, nexts: str, role: str) -> str:
+        drop = f"{{'c': {state}.c + 2, 'a': 'D' || {state}.a, 'l': {state}.l}}"
+        keep = f"CASE WHEN NOT must AND ini = '{role[0]}' THEN {add('extra', 'K', 'role', 'text', nexts)} ELSE {never} END"
+        rerole = f"CASE WHEN NOT must THEN {add('1 + extra', 'R', f"'{role}'", 'text', nexts)} ELSE {never} END"
+        system = f", CASE WHEN NOT must AND ini = 's' THEN {add('extra', 'K', 'role', 'text', 's1')} ELSE {never} END" if state == "s0" else ""
+        return f"list_min([{drop}, {keep}, {rerole}{system}])"
+
+    closed = f"""k, list_min([b2, {insert('assistant', 'b3')}]) AS s2, list_min([b3, {insert('user', 'b2')}]) AS s3, b0, b1"""
+    last = "SELECT least(b0, {0}) AS s0, least(b1, {0}) AS s1, s2, s3".format(insert("user", "s2"))
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS draw FROM conversations, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+  CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM drawn)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS k, rtrim(text, {blank}) AS bare, left(role, 1) AS ini FROM hurt),
+marked AS (SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM placed),
+faults AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+  CASE WHEN NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM marked),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again) AS duplicate,
+  count_if(cut) AS truncated, count_if(before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS k, {{'c': 0, 'a': '', 'l': ''}} AS s0, {insert('user', insert('assistant', "{'c': 0, 'a': '', 'l': ''}").join(['(', ')']))} AS s1,
+    {insert('assistant', "{'c': 0, 'a': '', 'l': ''}")} AS s2, {{'c': 0, 'a': '', 'l': ''}} AS s3 FROM stats
+  UNION ALL
+  SELECT conv_id, k - 1, list_min([b0, {insert('user', 's2')}]), list_min([b1, {insert('user', 's2')}]), s2, s3 FROM (
+    SELECT conv_id, k, b0, b1, list_min([b2, {insert('assistant', 'b3')}]) AS s2, list_min([b3, {insert('user', 'b2')}]) AS s3 FROM (
+      SELECT w.conv_id, w.k, {base('s0', 's2', 'user')} AS b0, {base('s1', 's2', 'user')} AS b1, {base('s2', 's3', 'assistant')} AS b2, {base('s3', 's2', 'user')} AS b3
+      FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(CASE WHEN s0.l IS NULL OR s0.l = '' THEN '' ELSE left(s0.l, length(s0.l) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM walk WHERE k = 0) w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP12_SQL = rf"""
+WITH {_CRC_TABLE},
+c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM c, crc),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1 : h], h.l[h + 1 :]) AS l FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d, md5(CAST(l[1 : d] AS VARCHAR)) AS node, l[d].t AS text, d = len(l) AS ends, CASE WHEN d > 0 THEN md5(CAST(l[1 : d - 1] AS VARCHAR)) END AS parent, l
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM r)),
+n AS (SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent,
+  coalesce(sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256,
+  (count(*) - 1) * any_value(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS saved FROM m GROUP BY d, node),
+k AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.parent = n.node) AS n_children FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.node = n.parent),
+above AS (SELECT DISTINCT a.d AS ad, a.node AS anode, b.d, b.node FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT ad, anode, sum(saved) AS saved, count_if(n_children = 0) AS leaves FROM above JOIN k USING (d, node) GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM k JOIN sums ON ad = d AND anode = node
+"""
+
+
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, which the forest finds with a probability near one.
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, component_id IS NOT DISTINCT FROM e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = e.vec_id
+LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -152,6 +250,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_format": op8_preference_format,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_url_filter": op10_url_filter,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_projection_forest": op13_projection_forest,
 }
 
 #: The others have no SQL form; tests/llm holds them against brute force or held-out accuracy.
@@ -161,4 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc_revisits": OP7_SQL,
     "op8_preference_format": OP8_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_structure_repair": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_projection_forest": OP13_SQL,
 }
