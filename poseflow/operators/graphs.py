@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
-from ..tables import Scratch
+from .space import nearest_k
 from .spatial import AXES, all_pairs, grid_join
 
 
@@ -23,29 +21,9 @@ def radius_graph(nodes: DataFrame, keys: list[str], radius: float = 4.5, id_col:
     return _edges(grid_join(points, points, radius, keys), keys, id_col)
 
 
-def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id", doublings: int = 3) -> DataFrame:
-    """The k nearest others of each node, ties to the smaller id.
-
-    Each structure gets a radius within which its mean density puts about 2 k nodes. A grid join by that radius answers the nodes that have k others
-    within it; the rest try twice the radius, and so on; those that `doublings` leave meet their whole structure.
-    """
-    points = nodes.select(*keys, id_col, *AXES)
-    near = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
-    first = lambda edges: edges.withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= k).drop("__k")
-    span = lambda c: F.greatest(F.max(c) - F.min(c), F.lit(1e-12))
-    volume = span("x") * span("y") * span("z")
-    radius = points.groupBy(*keys).agg(F.pow(volume * (2 * k) / (F.count("*") * 4.19), F.lit(1 / 3)).alias("__r"))
-    sized = points.join(radius, keys)
-    scratch = Scratch(nodes.sparkSession, "knn")
-    found, left = [], scratch.save(sized, "left")
-    for n in range(doublings + 1):
-        wide = lambda df: df.withColumn("__r", F.col("__r") * (1 << n))  # noqa: B023, E731
-        close = first(_edges(grid_join(wide(left), wide(sized), "__r", keys), keys, id_col))
-        full = scratch.save(close.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "src"))).where(F.col("__n") == k).drop("__n"), f"found{n}")
-        found.append(full)
-        left = scratch.save(left.join(full.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti"), f"left{n}")
-    rest = first(_edges(all_pairs(left.select(*points.columns), points, keys), keys, id_col))
-    return functools.reduce(DataFrame.unionByName, [*found, rest])
+def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id") -> DataFrame:
+    """(keys, src, dst, dist): the k nearest others of each node, ties to the smaller id, by the partition of `space`."""
+    return nearest_k(nodes, nodes, keys, k, id_col, exclude_same=True).drop("rank")
 
 
 def radius_knn_graph(nodes: DataFrame, keys: list[str], radius: float, max_neighbours: int, id_col: str = "id") -> DataFrame:
@@ -55,8 +33,7 @@ def radius_knn_graph(nodes: DataFrame, keys: list[str], radius: float, max_neigh
     edges = radius_graph(nodes, keys, radius, id_col).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= max_neighbours).drop("__k")
     points = nodes.select(*keys, id_col, *AXES)
     alone = points.join(edges.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti")
-    rest = _edges(all_pairs(alone, points, keys), keys, id_col).withColumn("__k", F.row_number().over(near)).where("__k = 1").drop("__k")
-    return edges.unionByName(rest)
+    return edges.unionByName(nearest_k(alone, points, keys, 1, id_col, exclude_same=True).drop("rank"))
 
 
 def limited_edges(nodes: DataFrame, keys: list[str], cutoff: float, limit: int, id_col: str = "id") -> DataFrame:

@@ -37,13 +37,22 @@ def global_position(df: DataFrame, *order: str) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], lower: dict[str, float] | None = None) -> DataFrame:
     """One row with a column per quantile of the values that are not null: interpolated between the two nearest ones (shares), or the
-    smallest value that so large a share of the rows does not exceed (lower)."""
-    rows = global_position(df.select(F.col(value).alias("__x")).where("__x is not null"), "__x")
-    n = rows.agg(F.count("*").alias("__n"))
+    smallest value that so large a share of the rows does not exceed (lower).
+
+    Equal values are counted first, within tasks and then together, and each value gets the number of rows before it; so a value that most rows
+    share is one row."""
+    counted = df.select(F.col(value).alias("__x")).where("__x is not null").groupBy("__x").agg(F.count("*").alias("__c"))
+    rows = sums_before(counted, [], ["__x"], "__c", "__first").withColumn("__last", F.col("__first") + F.col("__c") - 1)
+    n = rows.agg(F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"))
     at = {name: F.lit(q) * (F.col("__n") - 1) for name, q in shares.items()}
-    places = n.select(*[F.floor(c).alias(f"{k}_a") for k, c in at.items()], *[F.ceil(c).alias(f"{k}_b") for k, c in at.items()], *[(c - F.floor(c)).alias(f"{k}_w") for k, c in at.items()], *[F.greatest(F.ceil(F.lit(q) * F.col("__n")) - 1, F.lit(0)).alias(f"{k}_a") for k, q in (lower or {}).items()])
+    floors = [F.floor(c).alias(f"{k}_a") for k, c in at.items()]
+    ceilings = [F.ceil(c).alias(f"{k}_b") for k, c in at.items()]
+    weights = [(c - F.floor(c)).alias(f"{k}_w") for k, c in at.items()]
+    firsts = [F.greatest(F.ceil(F.lit(q) * F.col("__n")) - 1, F.lit(0)).alias(f"{k}_a") for k, q in (lower or {}).items()]
+    places = n.select(*floors, *ceilings, *weights, *firsts)
     # places is one row.
-    near = rows.join(F.broadcast(places), functools.reduce(lambda a, b: a | b, [F.col("position") == F.col(c) for c in places.columns if not c.endswith("_w")]))
-    value_at = lambda c: F.max(F.when(F.col("position") == F.col(c), F.col("__x")))
+    inside = lambda c: F.col(c).between(F.col("__first"), F.col("__last"))
+    near = rows.join(F.broadcast(places), functools.reduce(lambda a, b: a | b, [inside(c) for c in places.columns if not c.endswith("_w")]))
+    value_at = lambda c: F.max(F.when(inside(c), F.col("__x")))
     first, weight = (lambda k: value_at(f"{k}_a")), (lambda k: F.max(f"{k}_w"))
     return near.agg(*[(first(k) + weight(k) * (value_at(f"{k}_b") - first(k))).alias(k) for k in shares], *[first(k).alias(k) for k in lower or {}])

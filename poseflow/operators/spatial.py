@@ -1,4 +1,4 @@
-"""Distance joins (C20-C23, C27-C31, C33, C42, C45-C47, I9) on one primitive, the grid join.
+"""Distance joins (C20-C23, C27-C31, C33, C42, C45-C47, I9): the grid join, and where there is no radius the partition of `space`.
 
 Points are rows with key columns (structure, complex, ...) and x, y, z. Rows with a null key or coordinate are near nothing.
 """
@@ -13,8 +13,7 @@ from pyspark.sql import Window
 
 from ..tables import Scratch
 from .components import connected_components
-
-AXES = ("x", "y", "z")
+from .space import AXES, nearest_k
 
 
 def _sided(df: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -68,17 +67,28 @@ def busiest_pair(pairs: DataFrame, structure: str = "pdb_name") -> DataFrame:
     return pairs.withColumn("__k", F.row_number().over(best)).where("__k = 1").drop("__k")
 
 
-def nearest(a: DataFrame, b: DataFrame, keys: list[str], id_col: str, radius: float) -> DataFrame:
-    """(keys, a_id, b_id, dist): for each row of a its nearest row of b with equal keys, ties to the smaller id.
+def nearest(a: DataFrame, b: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(keys, a_id, b_id, dist): for each row of a its nearest row of b with equal keys, ties to the smaller id (C27). A row whose keys b has not is
+    left out."""
+    found = nearest_k(a, b, keys, 1, id_col)
+    return found.select(*keys, F.col("src").alias(f"a_{id_col}"), F.col("dst").alias(f"b_{id_col}"), "dist")
+
+
+def _first_shell(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float, id_col: str, least: int = 4, step: float = 0.5) -> DataFrame:
+    """The pairs of `grid_join` within the first cutoff + k * step below which the structure has `least` pairs, or all of fewer.
 
-    A grid join within `radius` answers most; the rows left meet their whole structure. A row whose keys b has not is
-    left out.
+    The `least` closest pairs of a structure are among the pairs of each row of a with its `least` nearest rows of b; their largest distance gives
+    the structure's cutoff, and only pairs within it are made.
     """
-    pick = lambda pairs: pairs.groupBy(*keys, f"a_{id_col}").agg(F.min(F.struct("dist", f"b_{id_col}")).alias("m"))
-    a, b = a.select(*keys, id_col, *AXES), b.select(*keys, id_col, *AXES)
-    close = pick(grid_join(a, b, radius, keys))
-    left = a.join(close.select(*keys, F.col(f"a_{id_col}").alias(id_col)), [*keys, id_col], "left_anti")
-    return close.unionByName(pick(all_pairs(left, b, keys))).select(*keys, f"a_{id_col}", F.col(f"m.b_{id_col}").alias(f"b_{id_col}"), F.col("m.dist").alias("dist"))
+    scratch = Scratch(a.sparkSession, "shell")
+    near = scratch.save(nearest_k(a.withColumn("__a", F.struct(id_col, *AXES)), b.withColumn("__b", F.struct(id_col, *AXES)), keys, least, "__a", "__b"), "near")
+    smallest = near.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "src", "dst"))).where(F.col("__k") <= least)
+    last = smallest.groupBy(*keys).agg(F.count("*").alias("__n"), F.max("dist").alias("__d"))
+    shells = F.greatest(F.floor((F.col("__d") - cutoff) / step) + 1, F.lit(0))
+    # A structure with fewer pairs has them all within its largest distance.
+    wide = F.when(F.col("__n") == least, cutoff + step * shells).otherwise(F.col("__d") * (1 + 1e-9) + 1e-9)
+    sized = scratch.save(last.select(*keys, wide.alias("__r")), "sized")
+    return grid_join(a.join(sized, keys), b.join(sized, keys), "__r", keys)
 
 
 def pocket_points(ligand: DataFrame, receptor: DataFrame, keys: list[str], cutoff: float, mode: str, id_col: str = "id") -> DataFrame:
@@ -87,16 +97,12 @@ def pocket_points(ligand: DataFrame, receptor: DataFrame, keys: list[str], cutof
     lig_atoms: the ligand's atoms. match_atoms: mid-points to the nearest receptor atom, where it is within the cutoff.
     match_atoms_to_lig: ligand atoms with a receptor atom within the cutoff. match_terminal_atoms: as match_atoms, of atoms whose
     column degree is at most 1. radius_based: mid-points of all pairs within the first cutoff + 0.5 k below which
-    there are four pairs (all pairs, if there are fewer): that follows from the fourth smallest distance.
+    there are four pairs (all pairs, if there are fewer): that follows from the fourth smallest distance (see `_first_shell`).
     """
     if mode == "lig_atoms":
         return ligand.select(*keys, id_col, *AXES)
     if mode == "radius_based":
-        pairs = all_pairs(ligand.select(*keys, id_col, *AXES), receptor.select(*keys, id_col, *AXES), keys)
-        by = Window.partitionBy(*keys).orderBy("dist", f"a_{id_col}", f"b_{id_col}")
-        fourth = pairs.withColumn("__k", F.row_number().over(by)).where("__k = 4").select(*keys, F.col("dist").alias("d4"))
-        steps = F.greatest(F.floor((F.col("d4") - cutoff) / 0.5) + 1, F.lit(0))
-        pairs = pairs.join(fourth, keys, "left").where(F.col("d4").isNull() | (F.col("dist") < cutoff + 0.5 * steps))
+        pairs = _first_shell(ligand.select(*keys, id_col, *AXES), receptor.select(*keys, id_col, *AXES), keys, cutoff, id_col)
         return pairs.select(*keys, F.col(f"a_{id_col}").alias(id_col), *[((F.col(f"a_{c}") + F.col(f"b_{c}")) / 2).alias(c) for c in AXES])
     atoms = ligand.where("degree <= 1") if mode == "match_terminal_atoms" else ligand
     atoms = atoms.select(*keys, id_col, *AXES)
@@ -114,7 +120,8 @@ def pocket_residues(receptor: DataFrame, ligand: DataFrame, keys: list[str], res
 
 def chains_near_ligand(receptor: DataFrame, ligand: DataFrame, keys: list[str], cutoff: float, chain: str = "chain", water: str = "is_water", fallback: bool = True) -> DataFrame:
     """(keys, chain, min_dist): chains with an atom closer to the ligand than the cutoff, and where there are none the closest
-    one (ties to the smaller name), unless not `fallback`; water chains never (C30). A grid join finds the chains; only structures without any meet as a whole."""
+    one (ties to the smaller name), unless not `fallback`; water chains never (C30). A grid join finds the chains; in structures without any, each
+    ligand atom looks for its nearest one."""
     atoms = receptor.where(~F.coalesce(F.col(water), F.lit(False))).select(*keys, chain, *AXES)
     lig = ligand.select(*keys, *AXES)
     least = lambda pairs: pairs.groupBy(*keys, F.col(f"a_{chain}").alias(chain)).agg(F.min("dist").alias("min_dist"))
@@ -122,8 +129,9 @@ def chains_near_ligand(receptor: DataFrame, ligand: DataFrame, keys: list[str],
     if not fallback:
         return near
     near = Scratch(receptor.sparkSession, "chains").save(near, "near")
-    rest = least(all_pairs(atoms.join(near.select(*keys).distinct(), keys, "left_anti"), lig, keys))
-    first = rest.groupBy(*keys).agg(F.min(F.struct("min_dist", chain)).alias("m")).select(*keys, F.col(f"m.{chain}").alias(chain), F.col("m.min_dist").alias("min_dist"))
+    left = atoms.join(near.select(*keys).distinct(), keys, "left_anti")
+    rest = nearest_k(lig.withColumn("__id", F.struct(*AXES)), left, keys, 1, "__id", chain)
+    first = rest.groupBy(*keys).agg(F.min(F.struct("dist", "dst")).alias("m")).select(*keys, F.col("m.dst").alias(chain), F.col("m.dist").alias("min_dist"))
     return near.unionByName(first)
 
 
@@ -147,18 +155,51 @@ def contact_map(protein: DataFrame, ligand: DataFrame, keys: list[str], id_col:
     return pairs.select(*keys, f"a_{id_col}", f"b_{id_col}", F.least("dist", F.lit(clamp)).alias("dist"), (F.col("dist") < contact).alias("label"))
 
 
-def clash_score(ligand: DataFrame, receptor: DataFrame, keys: list[str], aggression: float = 0.0) -> DataFrame:
-    """(keys, clash): sum over pairs of exp(-0.2 d^2 max(4 d^2 - 8, 1)), times 1 + aggression."""
-    d2 = F.col("dist") * F.col("dist")
-    return all_pairs(ligand.select(*keys, *AXES), receptor.select(*keys, *AXES), keys).groupBy(*keys).agg((F.sum(F.exp(-0.2 * d2 * F.greatest(4 * d2 - 8, F.lit(1.0)))) * (1 + aggression)).alias("clash"))
+def _sized(a: DataFrame, b: DataFrame, keys: list[str], radius: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __na and __nb, their numbers of points per structure, and __r, a radius made of these. Structures of one side only go."""
+    known = lambda df: df.where(" and ".join(f"`{c}` is not null" for c in (*keys, *AXES)))
+    a, b = known(a), known(b)
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    sizes = Scratch(a.sparkSession, "sizes").save(count(a, "__na").join(count(b, "__nb"), keys).withColumn("__r", radius), "sizes")
+    return a.join(sizes, keys), b.join(sizes, keys)
+
 
+def clash_score(ligand: DataFrame, receptor: DataFrame, keys: list[str], aggression: float = 0.0, epsilon: float = 1e-12) -> DataFrame:
+    """(keys, clash): sum over pairs of exp(-0.2 d^2 max(4 d^2 - 8, 1)), times 1 + aggression.
 
-def surface_clash(ligand: DataFrame, receptor: DataFrame, keys: list[str], id_col: str = "id", sigma: float = 25.0, surface: float = 10.0) -> DataFrame:
-    """(keys, clash): means over both sides of max(surface - G, 0) with G = -sigma log(1e-3 + sum exp(-d^2 / sigma))."""
-    pairs = all_pairs(ligand.select(*keys, id_col, *AXES), receptor.select(*keys, id_col, *AXES), keys)
-    g = -sigma * F.log(1e-3 + F.sum(F.exp(-F.col("dist") * F.col("dist") / sigma)))
-    side = lambda s: pairs.groupBy(*keys, f"{s}_{id_col}").agg(g.alias("g")).groupBy(*keys).agg(F.avg(F.greatest(surface - F.col("g"), F.lit(0.0))).alias(s))
-    return side("a").join(side("b"), keys).select(*keys, (F.col("a") + F.col("b")).alias("clash"))
+    Only pairs within a radius are made, beyond which all pairs of the structure together give less than `epsilon`: with n pairs of points that is
+    where n times the kernel is epsilon, sqrt(1 + sqrt(1 + 1.25 log(n / epsilon))), about 2.9 for a million pairs. The sum is never above
+    the whole one, and short of it by less than epsilon (1 + aggression)."""
+    n = F.greatest(F.col("__na").cast("double") * F.col("__nb"), F.lit(1.0))
+    radius = F.greatest(F.sqrt(1 + F.sqrt(1 + 1.25 * F.log(n / epsilon))), F.lit(1.5))
+    a, b = _sized(ligand.select(*keys, *AXES), receptor.select(*keys, *AXES), keys, radius)
+    d2 = F.col("dist") * F.col("dist")
+    near = grid_join(a, b, "__r", keys).groupBy(*keys).agg((F.sum(F.exp(-0.2 * d2 * F.greatest(4 * d2 - 8, F.lit(1.0)))) * (1 + aggression)).alias("clash"))
+    return a.select(*keys).distinct().join(near, keys, "left").withColumn("clash", F.coalesce("clash", F.lit(0.0)))
+
+
+def surface_clash(ligand: DataFrame, receptor: DataFrame, keys: list[str], id_col: str = "id", sigma: float = 25.0, surface: float = 10.0, epsilon: float = 1e-9) -> DataFrame:
+    """(keys, clash): means over both sides of max(surface - G, 0) with G = -sigma log(1e-3 + sum exp(-d^2 / sigma)).
+
+    A point whose sum is below exp(-surface / sigma) counts nothing, and above that the term changes by at most sigma exp(surface / sigma) times
+    what the sum lacks. So pairs are made within the radius sqrt(sigma log(n sigma exp(surface / sigma) / epsilon)) alone, n being
+    the structure's points on the larger side: each side's mean is short of the whole one by less than epsilon."""
+    n = F.greatest(F.col("__na"), F.col("__nb"))
+    radius = F.sqrt(sigma * F.greatest(F.log(n * (sigma * math.exp(surface / sigma) / epsilon)), F.lit(1.0)))
+    scratch = Scratch(ligand.sparkSession, "surface")
+    a, b = _sized(ligand.select(*keys, id_col, *AXES), receptor.select(*keys, id_col, *AXES), keys, radius)
+    kernel = F.exp(-F.col("dist") * F.col("dist") / sigma).alias("e")
+    sizes = [F.col(f"a_{n}") for n in ("__na", "__nb")]
+    pairs = scratch.save(grid_join(a, b, "__r", keys).select(*keys, f"a_{id_col}", f"b_{id_col}", *sizes, kernel), "pairs")
+    g = -sigma * F.log(1e-3 + F.sum("e"))
+
+    def side(s: str) -> DataFrame:
+        points = pairs.groupBy(*keys, f"{s}_{id_col}", f"a___n{s}").agg(g.alias("g"))
+        return points.groupBy(*keys).agg((F.sum(F.greatest(surface - F.col("g"), F.lit(0.0))) / F.first(f"a___n{s}")).alias(s))
+
+    zero = F.lit(0.0)
+    both = a.select(*keys).distinct().join(side("a"), keys, "left").join(side("b"), keys, "left")
+    return both.select(*keys, (F.coalesce("a", zero) + F.coalesce("b", zero)).alias("clash"))
 
 
 def residue_similarity(atoms: DataFrame, keys: list[str], residue: str, sigma: float = 2.0, threshold: float = 1e-3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -37,28 +38,119 @@ def bfactor_filter(waters: DataFrame, cutoff: float = 1.0, query: str | None = N
     return _filtered(waters, F.try_divide(F.col("bfactor") - F.avg("bfactor").over(by), F.stddev_pop("bfactor").over(by)) >= cutoff, query)
 
 
+#: Scales, as shares of the distance, at which tight and lonely groups of waters are looked for.
+SCALES = (1.0, 0.6, 0.3)
+
+
+def _box() -> list[Column]:
+    return [f(c).alias(f"{c}_{side}") for c in AXES for side, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _box_gap(a: str, b: str) -> Column:
+    """The distance of two boxes."""
+    gaps = [F.greatest(F.col(f"{a}_{c}_lo") - F.col(f"{b}_{c}_hi"), F.col(f"{b}_{c}_lo") - F.col(f"{a}_{c}_hi"), F.lit(0.0)) for c in AXES]
+    return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
+
+
+def _diagonal() -> Column:
+    spans = [F.col(f"{c}_hi") - F.col(f"{c}_lo") for c in AXES]
+    return F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2])
+
+
+def _sided(df: DataFrame, side: str, *but: str) -> DataFrame:
+    return df.select(*but, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in but])
+
+
+def tight_groups(points: DataFrame, scale: float, scratch: Scratch, name: str) -> DataFrame:
+    """(wid, cluster) of the groups of points that lie within `scale` of each other, and farther than that from all others.
+
+    Points fall into cells of half the scale, of which the box around their points is all that is looked at. Cells are near if their boxes are within
+    the scale. If a group's diameter is at most the scale, all its cells are near each other, and if it is lonely they are near to
+    no others: so it is known by all its cells having it, and nothing else, as their near cells. The work follows cells, not pairs of points.
+    """
+    side = scale / 2
+    cell = F.struct(*[F.floor(F.col(c) / side).cast("long").alias(c) for c in AXES])
+    placed = points.withColumn("cell", cell)
+    cells = scratch.save(placed.groupBy("cell").agg(F.min("wid").alias("first"), *_box()), f"{name}-cells")
+    # Boxes of cells d steps apart on an axis are d - 1 sides apart at least.
+    reach = range(-3, 4)
+    steps = [(i, j, k) for i in reach for j in reach for k in reach if sum(max(abs(x) - 1, 0) ** 2 for x in (i, j, k)) * side * side <= scale * scale]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in steps])).alias("step")
+    around = _sided(cells, "b").select("*", step)
+    around = around.withColumn("a_cell", F.struct(*[(F.col(f"b_cell.{c}") + F.col(f"step.{c}")).alias(c) for c in AXES])).drop("step")
+    near = _sided(cells, "a").join(around, "a_cell").where(_box_gap("a", "b") <= scale)
+    known = near.groupBy("a_cell").agg(F.min("b_cell").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b_cell")).alias("print"))
+    known = scratch.save(known.withColumnRenamed("a_cell", "cell").join(cells, "cell"), f"{name}-known")
+    whole = [f(f"{c}_{x}").alias(f"{c}_{x}") for c in AXES for x, f in (("lo", F.min), ("hi", F.max))]
+    groups = known.groupBy("least").agg(
+        F.count("*").alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("print").alias("print_lo"), F.max("print").alias("print_hi"),
+        F.bit_xor(F.xxhash64("cell")).alias("own"), F.min("first").alias("cluster"), *whole,
+    )
+    sound = groups.where("n_lo = size and n_hi = size and print_lo = own and print_hi = own").where(_diagonal() <= scale).select("least", "cluster")
+    return placed.select("wid", "cell").join(known.select("cell", "least").join(sound, "least").select("cell", "cluster"), "cell").select("wid", "cluster")
+
+
+def _contracted(points: DataFrame, distance: float, scratch: Scratch) -> DataFrame:
+    """points with cluster: that of their tight group at the largest scale that has one, else themselves. Such a group is a cluster of complete and of average
+    linkage at a height of at most the scale, before anything else joins it, so that clustering may start from there."""
+    left, done = points, []
+    for k, share in enumerate(SCALES):
+        found = scratch.save(tight_groups(left, share * distance, scratch, f"tight{k}"), f"tight{k}")
+        done.append(found)
+        left = scratch.save(left.join(found.select("wid"), "wid", "left_anti"), f"loose{k}")
+    every = functools.reduce(DataFrame.union, [*done, left.select("wid", F.col("wid").alias("cluster"))])
+    return points.join(every, "wid").select("wid", "cluster", *AXES)
+
+
+def _apart(a: str, b: str) -> Column:
+    d = [F.col(f"{a}_{c}") - F.col(f"{b}_{c}") for c in AXES]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+def _cluster_pairs(members: DataFrame, distance: float, method: str, scratch: Scratch) -> DataFrame:
+    """(c, o, dist, n): clusters that may merge, with their number of pairs of members. complete: all pairs within the distance, the largest
+    being dist. average: some pair may be within it. Bounds come before the product of two clusters' members: their boxes, and under complete linkage
+    the distances of their outermost members."""
+    ends = [f(F.struct(*AXES), c).alias(f"{c}{k}") for c in AXES for k, f in enumerate((F.min_by, F.max_by))]
+    shape = scratch.save(members.groupBy("cluster").agg(F.count("*").alias("s"), *_box(), F.array(*ends).alias("ends")), "shapes")
+    cells = members.select("cluster", *[F.floor(F.col(c) / distance).cast("long").alias(c) for c in AXES]).distinct()
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in itertools.product((-1, 0, 1), repeat=3)]))
+    around = cells.withColumn("step", step).select(F.col("cluster").alias("o"), *[(F.col(c) + F.col(f"step.{c}")).alias(c) for c in AXES])
+    close = cells.withColumnRenamed("cluster", "c").join(around, list(AXES)).where("c < o").select("c", "o").distinct()
+    shaped = close.join(_sided(shape, "a").withColumnRenamed("a_cluster", "c"), "c").join(_sided(shape, "b").withColumnRenamed("b_cluster", "o"), "o")
+    shaped = shaped.where(_box_gap("a", "b") <= distance)
+    if method == "average":
+        return scratch.save(shaped.select("c", "o", (F.col("a_s") * F.col("b_s")).alias("n")), "pairs0")
+    far = lambda p, q: sum(((p[c] - q[c]) * (p[c] - q[c]) for c in AXES[1:]), (p["x"] - q["x"]) * (p["x"] - q["x"])) > distance * distance
+    shaped = shaped.where(~F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: far(p, q))))
+    both = shaped.select("c", "o", (F.col("a_s") * F.col("b_s")).alias("n"))
+    end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])
+    measured = both.join(end("c", "a"), "c").join(end("o", "b"), "o").groupBy("c", "o", "n").agg(F.max(_apart("a", "b")).alias("dist"))
+    return scratch.save(measured.where(F.col("dist") <= distance).select("c", "o", "dist", "n"), "pairs0")
+
+
 def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "complete") -> DataFrame:
     """waters with cluster, the smallest name (protein/water_id) of its members.
 
-    Clusters grow by rounds from single waters: two clusters merge when each is the other's nearest and their distance is at most `distance`. The distance is
-    the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third than the nearer of the two was, so these
-    rounds reach what merging the closest two at a time reaches; ties go to the smaller names. Pairs of clusters come from the links of the waters within the
-    distance alone: under complete linkage a pair is as far apart as its longest link if all its members are linked, and else too far for ever. single: components
-    of the links. All steps are joins and groups over the links, whatever a component's size. Rows that repeat a water, or without coordinates, are in clusters of their
-    water's name.
+    Tight groups far from all else, as the copies of a site in superposed structures are, start as clusters (see `tight_groups`), so that such copies cost
+    as much as there are of them, not their pairs. Then clusters grow by rounds: two merge when each is the other's nearest and their distance is at most `distance`,
+    which is the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third than the nearer of the two was, so
+    these rounds reach what merging the closest two at a time reaches; ties go to the smaller names. Under complete linkage two clusters stay known as a
+    pair while all their members are within the distance. Under average linkage a pair's mean is measured only if their centres are within the distance, which the
+    mean never falls below. single: components of the links. All steps are joins and groups, whatever a cluster's size. Rows that repeat a water, or
+    without coordinates, are in clusters of their water's name.
     """
     if method not in ("complete", "average", "single"):
         raise ValueError("method is complete, average or single")
     scratch = Scratch(waters.sparkSession, "waters")
     rows = scratch.save(waters.withColumn("wid", F.concat_ws("/", "protein", "water_id")), "rows")
     points = rows.where(" and ".join(f"{c} is not null" for c in AXES)).groupBy("wid").agg(*[F.min(c).alias(c) for c in AXES]).withColumn("k", F.lit(0))
-    near = grid_join(points, points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
-    links = scratch.save(near.select(F.col("a_wid").alias("c"), F.col("b_wid").alias("o"), "dist"), "links")
     if method == "single":
-        roots = connected_components(links.select(F.col("c").alias("a"), F.col("o").alias("b"))).withColumnRenamed("root", "cluster")
+        near = grid_join(points, points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
+        roots = connected_components(near.select(F.col("a_wid").alias("a"), F.col("b_wid").alias("b"))).withColumnRenamed("root", "cluster")
         return rows.join(roots.withColumnRenamed("node", "wid"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
-    members = scratch.save(points.select("wid", F.col("wid").alias("cluster"), *AXES), "members0")
-    pairs = links.withColumn("n", F.lit(1).cast("long"))
+    members = scratch.save(_contracted(scratch.save(points.select("wid", *AXES), "points"), distance, scratch), "members0")
+    pairs = _cluster_pairs(members, distance, method, scratch)
     for k in itertools.count(1):
         if method == "complete":
             size = members.groupBy("cluster").agg(F.count("*").alias("s"))
@@ -66,10 +158,12 @@ def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "comp
             pairs = scratch.save(sized.where("n = sc * so").select("c", "o", "dist", "n"), f"pairs{k}")
             measured = pairs
         else:
-            end = lambda c: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{c}{x}") for x in AXES])  # noqa: B023, E731
-            apart = F.sqrt(sum(((F.col(f"c{x}") - F.col(f"o{x}")) * (F.col(f"c{x}") - F.col(f"o{x}")) for x in AXES), F.lit(0.0)))
+            end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
+            centre = lambda c, side: members.groupBy(F.col("cluster").alias(c)).agg(*[F.avg(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
             pairs = scratch.save(pairs.select("c", "o", "n"), f"pairs{k}")
-            measured = pairs.join(end("c"), "c").join(end("o"), "o").groupBy("c", "o").agg(F.avg(apart).alias("dist")).where(F.col("dist") <= distance)
+            possible = pairs.join(centre("c", "a"), "c").join(centre("o", "b"), "o").where(_apart("a", "b") <= distance * (1 + 1e-9)).select("c", "o")
+            measured = possible.join(end("c", "a"), "c").join(end("o", "b"), "o").groupBy("c", "o").agg(F.avg(_apart("a", "b")).alias("dist"))
+            measured = measured.where(F.col("dist") <= distance)
         pair = F.struct("dist", "c", "o").alias("p")
         best = measured.select(F.col("c").alias("x"), pair).unionByName(measured.select(F.col("o").alias("x"), pair)).groupBy("x").agg(F.min("p").alias("p"))
         merged = scratch.save(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.c").alias("into"), F.col("p.o").alias("cluster")), f"merged{k}")
@@ -86,13 +180,23 @@ def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "comp
 
 def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, method: str = "complete", probability: float = 0.7) -> DataFrame:
     """(cluster, n_proteins, conservation, water_id of the query, proteins): clusters that hold the query protein and whose share of all proteins with exactly one water
-    there reaches the probability (C50). A protein with two waters in a cluster does not count for it. proteins: sorted struct<protein, water_id>,
-    NoWater for those without."""
+    there reaches the probability (C50). A protein with two waters in a cluster does not count for it. proteins: sorted struct<protein, water_id> of those with one;
+    `without_water` has the others."""
     clustered = cluster_waters(waters, distance, method)
     single = clustered.groupBy("cluster", "protein").agg(F.count("*").alias("n"), F.min("water_id").alias("water_id")).where("n = 1").drop("n")
-    n_all = waters.select("protein").distinct().agg(F.count("*").alias("__all"), F.collect_set("protein").alias("__names"))
-    share = single.groupBy("cluster").agg(F.count("*").alias("n_proteins"), F.max(F.when(F.col("protein") == query, F.col("water_id"))).alias("water_id"), F.collect_list(F.struct("protein", F.col("water_id").cast("string").alias("water_id"))).alias("own"))
+    single = Scratch(waters.sparkSession, "conserved").save(single, "single")
+    n_all = waters.select("protein").distinct().agg(F.count("*").alias("__all"))
+    share = single.groupBy("cluster").agg(F.count("*").alias("n_proteins"), F.max(F.when(F.col("protein") == query, F.col("water_id"))).alias("water_id"))
+    # n_all is one number.
     kept = share.where("water_id is not null").crossJoin(F.broadcast(n_all)).withColumn("conservation", F.col("n_proteins") / F.col("__all")).where(F.col("conservation") >= probability)
-    missing = F.transform(F.array_except("__names", F.transform("own", lambda x: x["protein"])), lambda p: F.struct(p.alias("protein"), F.lit("NoWater").alias("water_id")))
-    return kept.select("cluster", "n_proteins", "conservation", "water_id", F.sort_array(F.concat("own", missing)).alias("proteins"))
+    named = F.sort_array(F.collect_list(F.struct("protein", F.col("water_id").cast("string").alias("water_id")))).alias("proteins")
+    present = single.join(kept.select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(named)
+    return kept.join(present, "cluster").select("cluster", "n_proteins", "conservation", "water_id", "proteins")
+
 
+def without_water(conserved: DataFrame, waters: DataFrame) -> DataFrame:
+    """(cluster, protein, water_id), water_id being NoWater, of the proteins without a water of their own in each conserved cluster: with `proteins`, the whole table of
+    clusters and proteins (C50). Conserved clusters have most proteins, so that table is what they hold already, times 1 / probability at most."""
+    present = conserved.select("cluster", F.explode("proteins").alias("p")).select("cluster", "p.protein")
+    every = conserved.select("cluster").crossJoin(waters.select("protein").distinct())
+    return every.join(present, ["cluster", "protein"], "left_anti").withColumn("water_id", F.lit("NoWater"))

@@ -245,16 +245,36 @@ def training_filter(spark, d):
 _MEANS = "t AS (SELECT target, avg(score) AS v FROM v_screen GROUP BY target)"
 
 
-@query(f"""WITH {_MEANS}, h AS (SELECT CAST('0x' || substr(md5(CAST(target AS VARCHAR)), 1, 7) AS BIGINT) AS h, v FROM t), x AS (SELECT r, v, (h + 69621 * r + 40503 * 3) % 2147483647 AS x FROM h, (SELECT unnest(range(1, 10001)) AS r)),
+_REPLICATES = f"""{_MEANS}, h AS (SELECT CAST('0x' || substr(md5(CAST(target AS VARCHAR)), 1, 7) AS BIGINT) AS h, v FROM t), x AS (SELECT r, v, (h + 69621 * r + 40503 * 3) % 2147483647 AS x FROM h, (SELECT unnest(range(1, 10001)) AS r)),
 u AS (SELECT r, v, x, x * x % 2147483647 AS q FROM x), d AS (SELECT r, v, (q * q % 2147483647 * x % 2147483647) / CAST(2147483647 AS DOUBLE) AS u FROM u),
-w AS (SELECT r, v, {' + '.join(f'CAST(u >= {p!r} AS INT)' for p in scoring.POISSON)} AS w FROM d)
-SELECT r, sum(v * w) / nullif(sum(w), 0) AS m FROM w GROUP BY r""")
+w AS (SELECT r, v, {' + '.join(f'CAST(u >= {p!r} AS INT)' for p in scoring.POISSON)} AS w FROM d),
+b AS (SELECT r, sum(v * w) / nullif(sum(w), 0) AS m FROM w GROUP BY r)"""
+
+
+@query(f"WITH {_REPLICATES} SELECT r, m FROM b")
 def bootstrap_means(spark, d):
     rows = view(spark, d, "v_screen").groupBy("target").agg(F.avg("score").alias("v"))
     return scoring.bootstrap_means(rows, "v", "target", replicates=10_000, seed=3)
 
 
-@query()
+def _normal(z: str) -> str:
+    """The normal distribution's share below z, by its series around 0."""
+    term = f"sign({z}) * exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))"
+    return f"(CASE WHEN {z} = 0 THEN 0.5 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(100), lambda k: {term})) END)"
+
+
+_AT = "l[CAST(floor({q} * (len(l) - 1)) AS BIGINT) + 1] + ({q} * (len(l) - 1) - floor({q} * (len(l) - 1))) * (l[CAST(ceil({q} * (len(l) - 1)) AS BIGINT) + 1] - l[CAST(floor({q} * (len(l) - 1)) AS BIGINT) + 1])"
+
+
+@query(f"""WITH RECURSIVE {_REPLICATES},
+s AS (SELECT count(v) AS n, avg(v) AS estimate FROM t), k AS (SELECT avg(pow(v - estimate, 3)) / pow(avg(pow(v - estimate, 2)), 1.5) AS skew FROM t, s),
+c AS (SELECT avg(CASE WHEN m < estimate THEN 1.0 ELSE 0.0 END) AS share FROM b, s),
+halved AS (SELECT 0 AS step, p, CAST(-9 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi FROM (SELECT CAST(share AS DOUBLE) AS p FROM c UNION SELECT 0.05 UNION SELECT 0.95)
+  UNION ALL SELECT step + 1, p, CASE WHEN {_normal('(lo + hi) / 2')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_normal('(lo + hi) / 2')} < p THEN hi ELSE (lo + hi) / 2 END FROM halved WHERE step < 60),
+z AS (SELECT p, lo AS z FROM halved WHERE step = 60),
+e AS (SELECT z0.z AS z0, skew / (6 * sqrt(n)) AS a, z0.z + z1.z AS low, z0.z + z2.z AS high FROM s, k, c JOIN z z0 ON z0.p = CAST(c.share AS DOUBLE), z z1, z z2 WHERE z1.p = 0.05 AND z2.p = 0.95),
+f AS (SELECT z0 + low / (1 - a * low) AS low, z0 + high / (1 - a * high) AS high FROM e), q AS (SELECT {_normal('low')} AS low, {_normal('high')} AS high FROM f)
+SELECT estimate, {_AT.format(q='q.low')} AS low, {_AT.format(q='q.high')} AS high FROM s, q, (SELECT list(m ORDER BY m) AS l FROM b WHERE m IS NOT NULL)""")
 def bootstrap_interval(spark, d):
     rows = view(spark, d, "v_screen").groupBy("target").agg(F.avg("score").alias("v"))
     return scoring.bootstrap(rows, "v", "target", replicates=10_000, seed=3)

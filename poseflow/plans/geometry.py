@@ -49,7 +49,7 @@ def busiest_pair(spark, d):
 SELECT k, a_id, b_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY k, a_id ORDER BY dist, b_id) AS n FROM p) WHERE n = 1""")
 def nearest(spark, d):
     p = view(spark, d, "v_points")
-    return spatial.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["k"], "id", R)
+    return spatial.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["k"], "id")
 
 
 @query(f"SELECT a.pdb_name, a.chain, a.residue, min({_D}) AS min_dist FROM v_atoms a JOIN v_atoms b ON a.pdb_name = b.pdb_name WHERE a.aid % 5 > 0 AND b.aid % 5 = 0 AND {_D} <= {R} AND {_D} > 0 GROUP BY ALL")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, pipeline_tables, readers, structures, tables, variants, whole
+from . import evaluation, geometry, pipeline_tables, readers, structures, tables, variants
 
-_ALL = (evaluation, geometry, tables, structures, pipeline_tables, readers, variants, whole)
+_ALL = (evaluation, geometry, tables, structures, pipeline_tables, readers, variants)
 QUERIES = {name: fn for module in _ALL for name, fn in module.REGISTRY.queries.items()}
 ORACLE_SQL = {name: sql for module in _ALL for name, sql in module.REGISTRY.sql.items()}

@@ -171,13 +171,16 @@ def concat_tables(spark, d):
     return joins.concat_tables({"a": table(spark, d, "supplier").select(F.col("s_name").alias("name")), "b": table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_acctbal")})
 
 
-@query("""WITH c AS (SELECT s_name AS protein_name, avg(s_acctbal) AS x FROM supplier GROUP BY s_name), k AS (SELECT s_name AS protein_name, 'pocket_' || k AS pocket_name FROM supplier, (SELECT unnest([1, 2]) AS k))
-SELECT protein_name, p_name AS compound_name, pocket_name FROM (SELECT protein_name, 'protein_center' AS pocket_name FROM c UNION ALL SELECT * FROM k), (SELECT DISTINCT p_name FROM part)""")
+@query("""WITH c AS (SELECT s_name AS protein_name, avg(s_acctbal) AS x FROM supplier GROUP BY s_name),
+k AS (SELECT s_name AS protein_name, 'pocket_' || k AS pocket_name, CAST(s_acctbal AS DOUBLE) + k AS x FROM supplier, (SELECT unnest([1, 2]) AS k))
+SELECT protein_name, p_name AS compound_name, pocket_name, round(x, 3) AS x, round(2 * x, 3) AS y, round(-x, 3) AS z
+FROM (SELECT protein_name, 'protein_center' AS pocket_name, x FROM c UNION ALL SELECT * FROM k), (SELECT DISTINCT p_name FROM part)""")
 def candidates(spark, d):
-    s = table(spark, d, "supplier").selectExpr("s_name as protein_name", "s_acctbal as x", "s_acctbal as y", "s_acctbal as z")
-    pockets = s.withColumn("rank", F.explode(F.array(F.lit(5), F.lit(9))))
+    s = table(spark, d, "supplier").selectExpr("s_name as protein_name", "s_acctbal as x", "2 * s_acctbal as y", "-s_acctbal as z")
+    pockets = s.withColumn("rank", F.explode(F.array(F.lit(5), F.lit(9)))).withColumn("x", F.col("x") + F.when(F.col("rank") == 5, 1).otherwise(2))
+    pockets = pockets.withColumns({"y": 2 * F.col("x"), "z": -F.col("x")})
     compounds = table(spark, d, "part").selectExpr("p_name as compound_name", "p_name as smiles").distinct()
-    return joins.candidates(s, compounds, pockets).select("protein_name", "compound_name", "pocket_name")
+    return joins.candidates(s, compounds, pockets).select("protein_name", "compound_name", "pocket_name", "pocket_com.*")
 
 
 @query("SELECT id, (value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0) AS value FROM v_feat WINDOW w AS (PARTITION BY k)")
@@ -301,10 +304,35 @@ def water_conservation_single(spark, d):
     return waters.water_conservation(w, "0", 0.02, "single", probability=0.2).select("cluster", "n_proteins", "conservation", "water_id")
 
 
-@query()
+def _linked(measure: str, distance: float, probability: float) -> str:
+    """Clusters that merge while each is the other's nearest, all at once in each step, from single waters and all pairs of them."""
+    return f"""WITH RECURSIVE {_CONSERVED},
+st AS (SELECT 0 AS step, wid, wid AS c, x, y, z FROM w
+  UNION ALL (
+  WITH p AS (SELECT a.c AS l, b.c AS g, {measure}(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d
+    FROM st a JOIN st b ON a.c < b.c GROUP BY ALL HAVING d <= {distance}),
+  best AS (SELECT c, min({{{{'d': d, 'l': l, 'g': g}}}}) AS m FROM (SELECT l AS c, d, l, g FROM p UNION ALL SELECT g, d, l, g FROM p) GROUP BY c),
+  merged AS (SELECT m.l AS l, m.g AS g FROM best GROUP BY m HAVING count(*) = 2)
+  SELECT step + 1, wid, coalesce(l, c), x, y, z FROM st LEFT JOIN merged ON c = g WHERE (SELECT count(*) FROM merged) > 0)),
+g AS (SELECT wid, c AS cluster FROM st WHERE step = (SELECT max(step) FROM st)),
+o AS (SELECT cluster, protein, min(water_id) AS water_id FROM w JOIN g USING (wid) GROUP BY cluster, protein HAVING count(*) = 1),
+s AS (SELECT cluster, count(*) AS n_proteins, max(water_id) FILTER (WHERE protein = '0') AS water_id FROM o GROUP BY cluster)
+SELECT cluster, n_proteins, n_proteins / (SELECT count(DISTINCT protein) FROM w) AS conservation, water_id FROM s
+WHERE water_id IS NOT NULL AND n_proteins / (SELECT count(DISTINCT protein) FROM w) >= {probability}""".replace("{{", "{").replace("}}", "}")
+
+
+def _site_waters(spark, d):
+    return view(spark, d, "v_points").select((F.col("id") % 5).cast("string").alias("protein"), F.col("id").alias("water_id"), "x", "y", "z")
+
+
+@query(_linked("max", 0.04, 0.4))
 def water_conservation(spark, d):
-    w = view(spark, d, "v_points").select((F.col("id") % 5).cast("string").alias("protein"), F.col("id").alias("water_id"), "x", "y", "z")
-    return waters.water_conservation(w, "0", 0.04, probability=0.4).select("cluster", "n_proteins", "conservation", "water_id")
+    return waters.water_conservation(_site_waters(spark, d), "0", 0.04, probability=0.4).select("cluster", "n_proteins", "conservation", "water_id")
+
+
+@query(_linked("avg", 0.04, 0.4))
+def water_conservation_average(spark, d):
+    return waters.water_conservation(_site_waters(spark, d), "0", 0.04, "average", 0.4).select("cluster", "n_proteins", "conservation", "water_id")
 
 
 @query("SELECT c_custkey AS ligand, (1 + c_custkey % 9) * 12.011::DOUBLE + (c_custkey % 4 + 1) * 1.008::DOUBLE + 15.999::DOUBLE AS mass, CAST(1 + c_custkey % 9 + c_custkey % 4 + 1 + 1 AS BIGINT) AS n_atoms, CAST(1 + c_custkey % 9 + 1 AS BIGINT) AS n_heavy FROM customer")

@@ -41,7 +41,7 @@ def test_grid_join_edges(spark):
 def test_nearest_falls_back(spark, cloud):
     df = points(spark, cloud)
     a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
-    got = {r.a_id: r.b_id for r in spatial.nearest(a, b, ["k"], "id", 0.3).collect()}
+    got = {r.a_id: r.b_id for r in spatial.nearest(a, b, ["k"], "id").collect()}
     want = {p[1]: min((q for q in cloud if q[0] == p[0] and q[1] % 2), key=lambda q: (math.dist(p[2:], q[2:]), q[1]))[1] for p in cloud if p[1] % 2 == 0}
     assert got == want
 
@@ -133,7 +133,9 @@ def test_water_conservation(spark):
     got = waters.water_conservation(df, "q", probability=0.7).collect()
     assert [(r.water_id, r.n_proteins) for r in got] == [(2, 3)]
     got = waters.water_conservation(df, "q", probability=0.6).orderBy("water_id").collect()
-    assert [(r.water_id, r.n_proteins) for r in got] == [(1, 2), (2, 3)] and ("b", "NoWater") in [tuple(x) for x in got[0].proteins]
+    assert [(r.water_id, r.n_proteins) for r in got] == [(1, 2), (2, 3)] and [tuple(x) for x in got[0].proteins] == [("a", "1"), ("q", "1")]
+    conserved = waters.water_conservation(df, "q", probability=0.6)
+    assert [(r.cluster, r.protein, r.water_id) for r in waters.without_water(conserved, df).collect()] == [("a/1", "b", "NoWater")]
     line = spark.createDataFrame([(str(k), k, k * 1.5, 0.0, 0.0) for k in range(6)], "protein string, water_id int, x double, y double, z double")
     for method, n in (("single", 1), ("complete", 3)):
         assert waters.cluster_waters(line, 2.0, method).select("cluster").distinct().count() == n

@@ -32,12 +32,6 @@ def test_labels(spark):
     assert {(r.complex, r.i, r.j) for r in queries.QUERIES["negatives"](spark, SF).collect()} == {x[:3] for x in every if not x[3]}
 
 
-def test_second_names_are_the_same_queries():
-    for name, fn in queries.QUERIES.items():
-        if name.endswith("_whole"):
-            assert fn is queries.QUERIES[name.removesuffix("_whole")] and queries.ORACLE_SQL[name]
-
-
 def merged_greedily(points, names, distance, method):
     """Clusters by merging the closest two at a time, ties to the smaller names."""
     held = {n: [k] for k, n in enumerate(names)}
