@@ -27,33 +27,50 @@ COUNTED = 8_000_000
 FILTER_BITS = 22
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lower = LOWER[data]
-    starts, ends, marks = words(lower, offsets, ALPHANUMERIC)
-    return Hasher.spans(lower, starts, ends), marks
+@dataclass
+class Words:
+    """The words of a block of documents: their hashes, n+1 offsets of the documents into them, and where their bytes are."""
+
+    hashes: np.ndarray
+    marks: np.ndarray
+    lower: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Words:
+        lower = LOWER[data]
+        starts, ends, marks = words(lower, offsets, ALPHANUMERIC)
+        return Words(Hasher.spans(lower, starts, ends), marks, lower, starts, ends)
+
+    def text(self, at: int, n: int) -> bytes:
+        """n words from a place on, with a blank between them, which no word holds."""
+        return b" ".join(self.lower[a:b].tobytes() for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist()))
 
 
 def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words, shingles): every run of WINDOW words of an item, the whole item where it has fewer; no row for none.
+    """(item, window, words, shingles): every run of WINDOW words of an item, the whole item where it has fewer; no row for none.
 
-    words are 64-bit hashes of the words, as longs; shingles those of the runs of SHINGLE words, or of all of fewer.
+    window is the text, words are 64-bit hashes of the words, as longs; shingles those of the runs of SHINGLE words, or of all of fewer.
     """
     item_type = benchmark.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, data, offsets in text_blocks(batches, "text"):
-            hashes, marks = word_hashes(data, offsets)
-            row, out, grams = [], [], []
-            for k in range(len(marks) - 1):
-                own = hashes[marks[k] : marks[k + 1]]
+            block = Words.of(data, offsets)
+            row, texts, out, grams = [], [], [], []
+            for k in range(len(block.marks) - 1):
+                begin, own = int(block.marks[k]), block.hashes[block.marks[k] : block.marks[k + 1]]
                 runs = Hasher.runs(own, min(SHINGLE, len(own))).view(np.int64) if len(own) else own
                 for at in range(max(1, len(own) - WINDOW + 1) if len(own) else 0):
-                    row.append(k), out.append(own[at : at + WINDOW].view(np.int64)), grams.append(runs[at : at + WINDOW - SHINGLE + 1])
+                    row.append(k), texts.append(block.text(begin + at, min(WINDOW, len(own))).decode())
+                    out.append(own[at : at + WINDOW].view(np.int64)), grams.append(runs[at : at + WINDOW - SHINGLE + 1])
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"item": some.column(0).take(pa.array(row, pa.int64())), "words": lists(out), "shingles": lists(grams)})
+            of_item = some.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_pydict({"item": of_item, "window": pa.array(texts, pa.string()), "words": lists(out), "shingles": lists(grams)})
 
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"item {item_type}, words array<long>, shingles array<long>")
+    return rows.mapInArrow(run, f"item {item_type}, window string, words array<long>, shingles array<long>")
 
 
 class Lookup:
@@ -82,10 +99,10 @@ def shingle_counts(docs: DataFrame, keys: np.ndarray, text_col: str) -> DataFram
         lookup = Lookup(shared.value)
         counts = np.zeros(len(lookup.keys), np.int64)
         for _, data, offsets in text_blocks(batches, "text"):
-            hashes, marks = word_hashes(data, offsets)
+            block = Words.of(data, offsets)
             for width in range(1, SHINGLE + 1):
-                at, key = lookup.find(Hasher.runs(hashes, width))
-                inside = np.searchsorted(marks, at, "right") == np.searchsorted(marks, at + width - 1, "right")
+                at, key = lookup.find(Hasher.runs(block.hashes, width))
+                inside = np.searchsorted(block.marks, at, "right") == np.searchsorted(block.marks, at + width - 1, "right")
                 counts += np.bincount(key[inside], minlength=len(counts))
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"shingle": pa.array(lookup.keys[found].view(np.int64)), "n": pa.array(counts[found])})
@@ -94,7 +111,7 @@ def shingle_counts(docs: DataFrame, keys: np.ndarray, text_col: str) -> DataFram
 
 
 def indexed(docs: DataFrame, distinct: DataFrame, text_col: str, scratch: Scratch, counted: int = COUNTED) -> DataFrame:
-    """The distinct windows (words, shingles, items) with prefix and shift: their rarest shingle and its place in the window.
+    """The distinct windows (window, words, shingles, items) with prefix and shift: their rarest shingle and its place in the window.
 
     A shingle's rarity is its count in all documents; of equally rare ones the smaller hash is taken, and of equal ones the first place.
     Shingles are counted in one scan of the documents, or, where the benchmark has more than `counted`, in as few as hold them.
@@ -105,9 +122,9 @@ def indexed(docs: DataFrame, distinct: DataFrame, text_col: str, scratch: Scratc
     for k in range(scans):
         own = keys.where(F.pmod(F.xxhash64("shingle"), F.lit(scans)) == k).toArrow().column(0).to_numpy()
         counts.append(scratch.save(shingle_counts(docs, np.sort(own.view(np.uint64)), text_col), f"counts{k}"))
-    rows = distinct.select("words", F.posexplode("shingles").alias("shift", "shingle")).join(functools.reduce(DataFrame.union, counts), "shingle", "left")
-    rarest = rows.groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shift")).alias("k"))
-    return distinct.join(rarest, "words").select("words", "items", F.col("k.shingle").alias("prefix"), F.col("k.shift").alias("shift"))
+    rows = distinct.select("window", F.posexplode("shingles").alias("shift", "shingle")).join(functools.reduce(DataFrame.union, counts), "shingle", "left")
+    rarest = rows.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shift")).alias("k"))
+    return distinct.join(rarest, "window").select("window", "words", "items", F.col("k.shingle").alias("prefix"), F.col("k.shift").alias("shift"))
 
 
 @dataclass
@@ -119,7 +136,8 @@ class Index:
     first: np.ndarray  # n+1 offsets of the prefixes into the windows
     shift: np.ndarray  # of each window: where its prefix stands in it
     length: np.ndarray  # of each window, in words
-    words: np.ndarray  # of each window, filled up with zeros
+    words: np.ndarray  # of each window, the hashes, filled up with zeros
+    texts: pa.Array  # of each window
     items: np.ndarray  # item numbers of each window
     items_first: np.ndarray  # n+1 offsets of the windows into these
     names: pa.Array  # item ids by number
@@ -127,7 +145,7 @@ class Index:
 
     @staticmethod
     def build(table: pa.Table) -> Index:
-        """From rows (words, items, prefix, shift)."""
+        """From rows (window, words, items, prefix, shift)."""
         lists = table.column("words").combine_chunks()
         length = np.diff(lists.offsets.to_numpy())
         filled = np.zeros((len(length), WINDOW), np.uint64)
@@ -139,11 +157,13 @@ class Index:
         flat = items.flatten().dictionary_encode()
         return Index(
             Lookup(unique), np.append(first, len(order)), table.column("shift").to_numpy()[order].astype(np.int64), length[order].astype(np.int64), filled[order],
+            table.column("window").combine_chunks().cast(pa.large_binary()).take(pa.array(order)),
             np.asarray(flat.indices, np.int64), np.append(0, np.cumsum(pc.list_value_length(items).to_numpy())), flat.dictionary, sorted(set(np.minimum(length, SHINGLE).tolist())),
         )
 
-    def occurrences(self, hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts, as word places, and windows of all occurrences in a block's documents."""
+    def occurrences(self, block: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Starts, as word places, and windows of all occurrences in a block's documents: equal hashes first, then equal words."""
+        hashes, marks = block.hashes, block.marks
         begins, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for width in self.widths:
             at, prefix = self.prefixes.find(Hasher.runs(hashes, width))
@@ -159,7 +179,10 @@ class Index:
             for k in range(WINDOW):
                 inside = self.length[window] > k
                 same &= ~inside | (hashes[np.minimum(start + k, len(hashes) - 1)] == self.words[window, k])
-            begins.append(start[same]), which.append(window[same])
+            start, window = start[same], window[same]
+            texts = self.texts.take(pa.array(window)).to_pylist()
+            equal = np.array([block.text(at, n) == text for at, n, text in zip(start.tolist(), self.length[window].tolist(), texts)], bool)
+            begins.append(start[equal]), which.append(window[equal])
         return np.concatenate(begins), np.concatenate(which)
 
 
@@ -173,11 +196,12 @@ def prober(index: Broadcast, item_type: pa.DataType):
 
     def of_block(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
         table: Index = index.value
-        hashes, marks = word_hashes(data, offsets)
+        block = Words.of(data, offsets)
+        hashes, marks = block.hashes, block.marks
         n = len(marks) - 1
         spans, span_marks, items, item_marks = np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
         if len(hashes):
-            start, window = table.occurrences(hashes, marks)
+            start, window = table.occurrences(block)
             edges = np.zeros(len(hashes) + 1, np.int64)
             np.add.at(edges, start, 1)
             np.add.at(edges, start + table.length[window], -1)
@@ -243,14 +267,14 @@ def decontaminate(
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    grouped = windows(benchmark, item_col, item_text_col).groupBy("words").agg(F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
+    grouped = windows(benchmark, item_col, item_text_col).groupBy("window").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
     distinct = scratch.save(grouped, "windows")
     index = scratch.save(indexed(docs, distinct, text_col, scratch), "index")
     blocks = max(1, math.ceil(index.count() / block_windows))
     text = F.col(text_col).cast("string")
 
     def found(k: int) -> Column:
-        table = index.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toArrow()
+        table = index.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toArrow()
         arrow_item = table.schema.field("items").type.value_type
         return F.arrow_udf(prober(docs.sparkSession.sparkContext.broadcast(Index.build(table)), arrow_item), _FOUND.format(item=item_type))(text)
 
