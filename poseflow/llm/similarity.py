@@ -247,6 +247,10 @@ class Rule:
         The prefix that ends first has nothing there that the other set could hold beyond its own prefix."""
         return f"(case when {ex} <= {ey} then {x} - {ax} else {y} - {ay} end >= {self.needed(x, y)})"
 
+    def alone_at_most(self, x: str, ax: str, y: str, ay: str) -> str:
+        """What `alone` allows where it is not known which prefix ends first."""
+        return f"(greatest({x} - {ax}, {y} - {ay}) >= {self.needed(x, y)})"
+
     def linked(self, inter: str, x: str, y: str) -> str:
         return f"({inter} * {self.den} >= ({x} + {y} - {inter}) * {self.num})"
 
@@ -372,12 +376,25 @@ class Join:
         low = F.expr(f"greatest(({num} * size + {den - 1}) div {den} - pos, 1)")
         high = F.expr(f"greatest(size - pos + size * {den} div {num} - size, 1)")
         reach = F.explode(F.sequence(block(low) - 1, block(high) + 1))
-        sided = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "pos", "rank", "alone", "end", "root", *KEPT)]
-        left = open_.where("minor").withColumn("block", reach).select("token", "block", *sided("x"))
+        # Many sets of a list may agree in all that the tests read (texts made from a template do): such sets are one kind, and
+        # kinds meet before sets do. A list has few kinds, whatever its length.
+        kind = ["size", "pos", "rank", "alone"]
+        kinds = scratch.save(open_.groupBy("token", "block", *kind).agg(F.count("*").alias("n"), F.bool_or("minor").alias("minor")), "kinds")
+        of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in (*kind, "n")]
+        kind_left = kinds.where("minor").select("token", reach.alias("block"), F.col("block").alias("own_block"), *of("x"))
+        kind_met = kind_left.join(kinds.select("token", "block", *of("y")), ["token", "block"])
+        kind_met = kind_met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y"))
+        kind_met = kind_met.where(rule.ranks("size_x", "rank_x", "size_y", "rank_y"))
+        # A set is alone in its own kind.
+        own_kind = " and ".join(f"{c}_x = {c}_y" for c in kind)
+        kind_met = kind_met.where(rule.alone_at_most("size_x", "alone_x", "size_y", "alone_y")).where(f"n_x > 1 or not (own_block = block and {own_kind})")
+        kind_met = scratch.save(kind_met.select("token", "own_block", "block", *[f"{c}_{x}" for x in "xy" for c in kind]), "kinds-met")
+
+        sided = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("sid", *kind, "end", "root", *KEPT)]
+        left = open_.where("minor").select("token", F.col("block").alias("own_block"), *sided("x"))
+        left = left.join(kind_met, ["token", "own_block", *[f"{c}_x" for c in kind]]).drop("own_block")
         right = open_.select("token", "block", "minor", *sided("y"))
-        met = left.join(right, ["token", "block"]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
-        met = met.where(rule.sizes("size_x", "size_y")).where(rule.positions("size_x", "pos_x", "size_y", "pos_y"))
-        met = met.where(rule.ranks("size_x", "rank_x", "size_y", "rank_y"))
+        met = left.join(right, ["token", "block", *[f"{c}_y" for c in kind]]).where("root_x <> root_y and (not minor or sid_x < sid_y)")
         met = met.where(rule.alone("size_x", "alone_x", "end_x", "size_y", "alone_y", "end_y"))
 
         # |x & y| from |x & p| and |y & p|: inside p at most what neither lacks, outside at most what isn't seen to be one's own;
@@ -412,7 +429,7 @@ class Join:
         least = scratch.save(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
         found = scratch.save(placed.join(least, "root").select("sid", "component_id"), "found")
         scratch.drop("lists", "sets", "open", "placed", "known", "pairs", "rest", "more", "pivots", "answers", "popular", "anchors")
-        scratch.drop("main", "roots", "roots2", "classes-placed", "least")
+        scratch.drop("main", "roots", "roots2", "classes-placed", "least", "kinds", "kinds-met")
         out = rows.join(found, "sid", "left")
         return out.select(F.col("id").alias(self.id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
@@ -439,7 +456,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     4. What is left are pairs that share a list and that the links so far don't connect. Lists are cut into blocks by how many shingles
        follow the position; a partner's position lies within bounds, so a set skips all other blocks. A set's prefix shingles that no
        other prefix has count against it. Of two sets with the same pivot, their intersections with it, computed in step 3, bound
-       their own from both sides, which answers many pairs without reading them. The others are compared exactly.
+       their own from both sides, which answers many pairs without reading them. The others are compared exactly. Sets of a list with equal sizes,
+       positions and ranks are one kind; kinds meet first, and sets of two kinds only where these may be linked.
     5. Connected components over the links.
 
     Sets of large groups of near copies are thus compared with a pivot, not with each other, and no pair is skipped
