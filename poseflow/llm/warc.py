@@ -6,6 +6,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,7 +18,7 @@ from ..tables import Scratch
 #: Fixed values of the format.
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Headers of our own: the page's id, and that of the page a revisit refers to.
+#: Headers of our own: the page's id, and that of the page a revisit refers to, in the form of a URL's query.
 PAGE, REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 #: Date of records that come without one.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -68,10 +69,12 @@ def _headers_and_block() -> Column:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\x00-\x20\x7F]", "%20"), F.lit(CRLF)), F.lit(""))
+    # Ids return as they were, whatever characters they hold.
+    named = lambda name, value: line(name, F.url_encode(value.cast("string")))
     return F.concat(
         line("WARC-Type", F.col("record_type")), line("WARC-Date", F.coalesce("date", F.lit(NO_DATE))), line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("WARC-Refers-To", F.col("refers_id")),
-        line(PAGE, F.col("page_id").cast("string")), line(REFERS_TO_PAGE, F.col("refers_to").cast("string")), F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
+        named(PAGE, F.col("page_id")), named(REFERS_TO_PAGE, F.col("refers_to")), F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
         line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")), F.lit(CRLF), http, body,
     )
 
@@ -195,8 +198,9 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                 length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
             elif (found := hashlib.sha256(body).hexdigest()) != said:
                 raise ValueError(f"{head.get('warc-record-id')}: payload digest {found}, in its header {said}")
-            names = ("warc-target-uri", "warc-date", PAGE.lower(), REFERS_TO_PAGE.lower(), "warc-refers-to")
-            out.append((head.get("warc-record-id"), kind, *(head.get(x) for x in names), length, said, *([body] if payload else [])))
+            ids = [None if (x := head.get(name.lower())) is None else unquote_plus(x) for name in (PAGE, REFERS_TO_PAGE)]
+            plain = [head.get(x) for x in ("warc-target-uri", "warc-date")]
+            out.append((head.get("warc-record-id"), kind, *plain, *ids, head.get("warc-refers-to"), length, said, *([body] if payload else [])))
             size += len(body)
             if len(out) >= 2000 or payload and size > 1 << 24:
                 yield batch_of(out)
