@@ -50,15 +50,32 @@ HEADERS: list[tuple[str, str]] = [
     *((f"CC-{x}-{v}", f"This work is licensed under a Creative Commons {'-'.join(_CREATIVE[k] for k in x.split('-'))} {v} {'International' if v == '4.0' else 'Unported'} License.") for x, v in _COMMONS),
 ]
 
+#: Names by which one-line notices call a license.
+_CALLED = [
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License 2.0"), *((name, f"GNU {title}, version {v}") for name, title, v in _GNUS),
+]
+_IDENTIFIERS = "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-1.1 MPL-2.0 Unlicense CC0-1.0 Artistic-1.0".split()
+
+#: One-line notices by name and by identifier.
+LINES: list[tuple[str, str]] = [
+    *((name, f"Licensed under the {called}.") for name, called in _CALLED if name != "MIT"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _IDENTIFIERS),
+    *((name, f"SPDX-License-Identifier: {name}{which}") for name, _, _ in _GNUS for which in ("-only", "-or-later")),
+    *((f"CC-{x}-{v}", f"SPDX-License-Identifier: CC-{x}-{v}") for x, v in _COMMONS),
+]
+
 #: Licenses whose full text lies in the folder license_texts.
 FULL = "Apache-2.0 Artistic-1.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 MIT MPL-1.1 MPL-2.0 Unlicense".split()
 
 
-def production() -> list[tuple[str, str]]:
-    """(license, text) of all notices, headers and full texts. The Affero text is that of GPL-3.0 under its own name."""
+def production() -> list[tuple[str, str, str]]:
+    """(license, text, words that must match) of all notices, headers and full texts: a notice counts only with the words of the license's
+    name that it holds (such as `mit`, `nc` or a version). The Affero text is that of GPL-3.0 under its own name."""
     full = [(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in FULL]
     affero = re.sub(r"(?i)(GNU)(\s+)(General\s+Public\s+License)", r"\1 Affero\2\3", dict(full)["GPL-3.0"])
-    return [*TEMPLATES, *HEADERS, *full, ("AGPL-3.0", affero)]
+    notices = [(name, text, f"{name} affero" if name.startswith("AGPL") else name) for name, text in (*TEMPLATES, *HEADERS, *LINES)]
+    return [*notices, *((name, text, "") for name, text in (*full, ("AGPL-3.0", affero)))]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,8 +120,8 @@ def common(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 
 def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     """Matched places of two word sequences. Words that occur once in each are anchors, of which a longest increasing
-    run is kept; the gaps between these are aligned alike. A gap without anchors matches equal words from its start and from its end,
-    and a longest common subsequence of the rest.
+    run is kept; the gaps between these are aligned alike. A gap without anchors matches equal words from each end that stands at an anchor,
+    or from both where there is none, and a longest common subsequence of the rest.
     """
     out: list[tuple[int, int]] = []
     work = [(0, len(text), 0, len(template))]
@@ -120,13 +137,17 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
             own[template[k]] = -1 if template[k] in own else k
         anchors = increasing(sorted((places[w], k) for w, k in own.items() if k >= 0 and places.get(w, -1) >= 0))
         if not anchors:
-            while a < b and c < d and text[a] == template[c]:
+            ahead, behind = a > 0 or b == len(text), b < len(text) or a == 0
+            while ahead and a < b and c < d and text[a] == template[c]:
                 out.append((a, c))
                 a, c = a + 1, c + 1
-            while a < b and c < d and text[b - 1] == template[d - 1]:
+            while behind and a < b and c < d and text[b - 1] == template[d - 1]:
                 b, d = b - 1, d - 1
                 out.append((b, d))
-            out += [(a + i, c + j) for i, j in common(text[a:b], template[c:d])]
+            if not ahead:  # of equal words those nearest to the anchor
+                out += [(b - 1 - i, d - 1 - j) for i, j in common(text[a:b][::-1], template[c:d][::-1])]
+            else:
+                out += [(a + i, c + j) for i, j in common(text[a:b], template[c:d])]
             continue
         out += anchors
         for (i, j), (x, y) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
@@ -160,9 +181,62 @@ def candidates(places: list[int], text: list[int], template: list[int], least: i
     return out
 
 
+def heaviest(matched: list[tuple[int, int]], places: list[int]) -> tuple[int, int, int]:
+    """(score, first, last): the run of matched pairs that scores most: FOREIGN for each, less one for each other word between them."""
+    best, now, begin = (0, 0, -1), 0, 0
+    for k, (i, _) in enumerate(matched):
+        if k:
+            now -= places[i] - places[matched[k - 1][0]] - 1
+        if now <= 0:
+            now, begin = 0, k
+        now += FOREIGN
+        if now > best[0]:
+            best = now, begin, k
+    return best
+
+
+def anchored(places: list[int], text: list[int], template: list[int], needed: int, reach: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Disjoint spans that score `needed`, as (first place, place after the last, matched places): windows of `reach` words, beginning an eighth of the
+    template apart, are aligned with the template by patience (`align`), and the heaviest run of matched words is the window's span. The best of the
+    windows that begin before it ends is taken, and the search goes on behind it."""
+    step, whole = max(1, len(template) // 8), FOREIGN * len(template)
+    out: list[tuple[int, int, list[tuple[int, int]]]] = []
+    k, best = 0, None
+    while k < len(places) or best:
+        if best and (k >= len(places) or places[k] >= best[2] or best[0] == whole):
+            out.append(best[1:])
+            k, best = bisect.bisect_left(places, best[2]), None
+            continue
+        end = bisect.bisect_left(places, places[k] + reach)
+        matched = [(k + i, j) for i, j in align(text[k:end], template)]
+        score, first, last = heaviest(matched, places)
+        if score >= needed:
+            run = matched[first : last + 1]
+            start = places[run[0][0]]
+            if best and start >= best[2]:
+                out.append(best[1:])
+                best = None
+            if not best or score > best[0]:
+                best = score, start, places[run[-1][0]] + 1, run
+        k += step
+    return out
+
+
+def missed(places: list[int], spans: list[tuple[int, int, list[tuple[int, int]]]], least: int) -> list[tuple[int, int]]:
+    """Stretches [a, b) of the words that no span has taken, where `least` are left."""
+    out, at = [], 0
+    for start, end, _ in [*sorted(spans, key=lambda x: x[0]), (places[-1] + 1, places[-1] + 1, [])]:
+        to = bisect.bisect_left(places, start)
+        if to - at >= least:
+            out.append((at, to))
+        at = bisect.bisect_left(places, end)
+    return out
+
+
 def occurrences(places: list[int], text: list[int], template: list[int], needed: int, reach: int) -> list[tuple[int, int]]:
     """Disjoint spans [start, end) of words that score `needed` at least: FOREIGN for each matched word, less one for each other word
-    of the span. A local alignment finds the best span first met; the search goes on behind it.
+    of the span. A local alignment finds the best span first met; the search goes on behind it. It completes `anchored` where words repeat so much
+    that anchors mislead.
     """
     where: dict[int, list[int]] = {}
     for k, w in enumerate(template):
@@ -200,8 +274,15 @@ def occurrences(places: list[int], text: list[int], template: list[int], needed:
     return out
 
 
-#: Templates of at most so many words count only with the words of the license's name that they hold (such as `mit`, `nc` or a version).
-SHORT = 60
+def notices(places: list[int], text: list[int], template: list[int], needed: int, reach: int, enough: int) -> list[list[tuple[int, int]]]:
+    """Matched places of each span that scores `needed`."""
+    spans = anchored(places, text, template, needed, reach)
+    out = [matched for _, _, matched in spans]
+    for a, b in missed(places, spans, enough):
+        for start, end in occurrences(places[a:b], text[a:b], template, needed, reach):
+            x, y = bisect.bisect_left(places, start), bisect.bisect_left(places, end)
+            out.append([(x + i, j) for i, j in common(text[x:y], template)])
+    return out
 
 
 def strongest(found: list[tuple[int, int, str, list[int]]]) -> list[tuple[int, int, str, list[int]]]:
@@ -216,16 +297,16 @@ def strongest(found: list[tuple[int, int, str, list[int]]]) -> list[tuple[int, i
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, ...]] | None = None, least: float = 0.8) -> DataFrame:
     """The id, license, coverage, matched, template_words, start_word and end_word of each document and license with a template of which
     at least `least` of the template's words are matched, less one for every FOREIGN other words between them.
 
     Words are runs of letters, digits and characters from U+0080 on, A-Z counting as a-z. Windows that hold too few of the template's words
-    to reach `least` are passed over (see `candidates`); in the others every span that reaches it is found (see `occurrences`), and its words are
-    aligned with the template (see `align`). A document's coverage is that of its best span (of most matched words, the first of equal ones).
-    Of spans whose matched words
-    are mostly the same, only that which explains most of its words counts (see `strongest`), and short templates need the license's name (see SHORT).
-    `templates` are (license, text) pairs, several of a license if need be; without any, those of `production`.
+    to reach `least` are passed over (see `candidates`). In the others, patience alignment finds the spans (see `anchored` and `align`): words that a window and the
+    template hold once each are anchors, and gaps are aligned alike. What it leaves, where enough words are left, is searched by local alignment (see
+    `occurrences`), so that no span is lost where no word is unique. A document's coverage is that of its best span (of most matched words, the first of
+    equal ones). Of spans whose matched words are mostly the same, only that which explains most of its words counts (see `strongest`).
+    `templates` are (license, text) or (license, text, words that must match), several of a license if need be; without any, those of `production`.
 
     Null and empty texts match nothing, nor do templates without words. Repeated rows give rows each. Other columns
     are not read.
@@ -241,8 +322,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         return np.split(Hasher.spans(data, starts, ends), marks[1:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, names = (hashed([x[k] for x in given]) for k in (1, 0))
-        own = [(name, x, np.intersect1d(x, of_name) if len(x) <= SHORT else x[:0]) for (name, _), x, of_name in zip(given, texts, names) if len(x)]
+        texts, names = hashed([x[1] for x in given]), hashed([x[2] if len(x) > 2 else "" for x in given])
+        own = [(one[0], x, np.intersect1d(x, must)) for one, x, must in zip(given, texts, names) if len(x)]
         vocabulary = np.unique(np.concatenate([x for _, x, _ in own])) if own else np.zeros(0, np.uint64)
         own = [(name, np.searchsorted(vocabulary, x).tolist(), np.isin(vocabulary, x), set(np.searchsorted(vocabulary, y).tolist())) for name, x, y in own]
         for some, data, offsets in text_blocks(batches, "text"):
@@ -268,13 +349,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                         continue
                     places, text = at.tolist(), word[lo:hi].tolist()
                     for a, b in candidates(places, text, template, enough, reach):
-                        for start, end in occurrences(places[a:b], text[a:b], template, max(needed, 1), reach):
-                            x, y = bisect.bisect_left(places, start), bisect.bisect_left(places, end)
-                            matched = align(text[x:y], template)
-                            if FOREIGN * len(matched) - (end - start - len(matched)) < needed:
-                                matched = common(text[x:y], template)
+                        for matched in notices(places[a:b], text[a:b], template, max(needed, 1), reach, enough):
                             if named <= {template[j] for _, j in matched}:
-                                at_words = [places[x + i] for i, _ in matched]
+                                at_words = [places[a + i] for i, _ in matched]
                                 score = (FOREIGN + 1) * len(matched) - (at_words[-1] + 1 - at_words[0])
                                 spans.setdefault(k, []).append((score, len(template), name, at_words))
             out: list[tuple] = []
