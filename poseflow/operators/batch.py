@@ -6,8 +6,11 @@ import traceback
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .ranks import best_row
 
@@ -27,6 +30,42 @@ def map_complexes(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], p
     return df.groupBy(*keys).applyInPandas(run, f"{schema}, error string")
 
 
+def stream_complexes(df: DataFrame, keys: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn on the rows of each key as Arrow batches, one after the other, with an error column: for keys of any size, of which a task holds a batch
+    (J1, J2, J5). schema must begin with the keys. If fn fails, the batches that it gave before stay, and a row with the keys and the error
+    follows; `settled` takes the former away."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        error = None
+        try:
+            for out in fn(batches):
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), pa.nulls(out.num_rows, pa.string())], names=[*names, "error"])
+        except Exception:
+            error = traceback.format_exc(limit=-1)
+        if error is not None:
+            for _ in batches:  # what fn has not read
+                pass
+            given = dict(zip(keys, key))
+            row = [pa.array([given[c].as_py() if c in given else None], kinds[c]) for c in names]
+            yield pa.RecordBatch.from_arrays([*row, pa.array([error])], names=[*names, "error"])
+
+    kinds = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
+    return df.groupBy(*keys).applyInArrow(run, f"{schema}, error string")
+
+
+def settled(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys without an error, and the errors: what `stream_complexes` gave of a failed key goes too."""
+    failed = df.where("error is not null")
+    return df.where("error is null").drop("error").join(failed.select(*keys).distinct(), keys, "left_anti"), failed
+
+
+def observed(df: DataFrame, name: str = "complexes") -> tuple[DataFrame, Observation]:
+    """df, and what an action on it will have counted on its way: rows and failures, without a second pass."""
+    observation = Observation(name)
+    return df.observe(observation, F.count("*").alias("rows"), F.count_if(F.col("error").isNotNull()).alias("failures")), observation
+
+
 def compose(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Applies pluggable steps in turn."""
     for step in steps:

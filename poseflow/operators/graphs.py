@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import vectors as V
 from .space import nearest_k
-from .spatial import AXES, all_pairs, grid_join
+from .spatial import AXES, all_pairs, grid_self_join
 
 
 def _edges(pairs: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _edges(pairs: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 def radius_graph(nodes: DataFrame, keys: list[str], radius: float = 4.5, id_col: str = "id") -> DataFrame:
     """(keys, src, dst, dist): all pairs of other nodes below the radius, both ways."""
     points = nodes.select(*keys, id_col, *AXES)
-    return _edges(grid_join(points, points, radius, keys), keys, id_col)
+    return _edges(grid_self_join(points, radius, keys), keys, id_col)
 
 
 def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id") -> DataFrame:
@@ -40,7 +40,7 @@ def limited_edges(nodes: DataFrame, keys: list[str], cutoff: float, limit: int,
     """(keys, src, dst, dist) up to the cutoff, a node with itself included; where a structure has more than `limit` edges, those up to its
     limit-th smallest distance, with all ties (C37, F4)."""
     points = nodes.select(*keys, id_col, *AXES)
-    pairs = grid_join(points, points, cutoff, keys, inclusive=True).select(*keys, F.col(f"a_{id_col}").alias("src"), F.col(f"b_{id_col}").alias("dst"), "dist")
+    pairs = grid_self_join(points, cutoff, keys, inclusive=True).select(*keys, F.col(f"a_{id_col}").alias("src"), F.col(f"b_{id_col}").alias("dst"), "dist")
     return pairs.withColumn("__k", F.rank().over(Window.partitionBy(*keys).orderBy("dist"))).where(F.col("__k") <= limit).drop("__k")
 
 

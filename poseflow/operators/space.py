@@ -65,6 +65,8 @@ def _full_levels(asked: DataFrame, points: DataFrame, need: int, scratch: Scratc
         done = settled if done is None else done.unionByName(settled)
         live = joined.where(F.col("level") == last)
         held = scratch.save(at_last(held).join(full, ["s", "deep", "cell"], "left_semi").drop("deep", "cell"), f"held{k}")
+        if held.isEmpty():
+            break
     return live if done is None else done.unionByName(live)
 
 

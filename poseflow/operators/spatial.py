@@ -5,6 +5,7 @@ Points are rows with key columns (structure, complex, ...) and x, y, z. Rows wit
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,34 @@ def grid_join(a: DataFrame, b: DataFrame, cutoff: float | str, keys: list[str],
     return left.join(right, [*keys, "__cell"]).where(near).withColumn("dist", F.sqrt(_squared())).drop("__cell")
 
 
+#: The cell itself and half of the 26 around it: of two neighbouring cells one is the other's.
+HALF_SHELL = [s for s in itertools.product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+
+
+def _half_shell(points: DataFrame, cutoff: float, keys: list[str]) -> DataFrame:
+    """Rows a and b of equal keys in one cell, both ways and with themselves, and rows of neighbouring cells, one way; ahead: are they of two cells?"""
+    left = _sided(points, keys, "a").withColumn("__cell", F.struct(*[F.floor(F.col(f"a_{c}") / cutoff).cast("long").alias(c) for c in AXES]))
+    steps = F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in HALF_SHELL])
+    right = _sided(points, keys, "b").withColumn("__step", F.explode(steps))
+    right = right.withColumn("__cell", F.struct(*[(F.floor(F.col(f"b_{c}") / cutoff).cast("long") + F.col(f"__step.{c}")).alias(c) for c in AXES]))
+    ahead = F.lit(False)
+    for c in AXES:
+        ahead = ahead | (F.col(f"__step.{c}") != 0)
+    return left.join(right.withColumn("__ahead", ahead).drop("__step"), [*keys, "__cell"]).drop("__cell")
+
+
+def grid_self_join(points: DataFrame, cutoff: float, keys: list[str], inclusive: bool = False) -> DataFrame:
+    """`grid_join` of a table with itself: each row with itself, and each pair both ways. Points go to 14 cells instead of 27, a pair of two cells meets
+    once, and its mirror image is made after the distance test."""
+    near = _squared() <= cutoff * cutoff if inclusive else _squared() < cutoff * cutoff
+    met = _half_shell(points, cutoff, keys).where(near).withColumn("dist", F.sqrt(_squared()))
+    names = [c for c in points.columns if c not in keys]
+    as_is = F.struct(*[F.col(f"{side}_{c}").alias(f"{side}_{c}") for side in "ab" for c in names])
+    mirrored = F.struct(*[F.col(f"{other}_{c}").alias(f"{side}_{c}") for side, other in ("ab", "ba") for c in names])
+    both = F.explode(F.when(F.col("__ahead"), F.array(as_is, mirrored)).otherwise(F.array(as_is)))
+    return met.select(*keys, both.alias("p"), "dist").select(*keys, "p.*", "dist")
+
+
 def all_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Every pair within equal keys with its dist: the whole product is the answer, one structure at a time."""
     return _sided(a, keys, "a").join(_sided(b, keys, "b"), keys).withColumn("dist", F.sqrt(_squared()))
@@ -50,13 +79,15 @@ def all_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def near_atoms(a: DataFrame, b: DataFrame, cutoff: float, keys: list[str], columns: list[str]) -> DataFrame:
     """Distinct pairs of the given columns of points closer than the cutoff. With residue columns and heavy atoms it is
     C20, with atom columns C21, on CA atoms C22 and C23."""
-    return grid_join(a.select(*keys, *columns, *[c for c in AXES if c not in columns]), b.select(*keys, *columns, *[c for c in AXES if c not in columns]), cutoff, keys).select(*keys, *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns]).distinct()
+    narrow = lambda df: df.select(*keys, *columns, *[c for c in AXES if c not in columns])
+    near = grid_self_join(narrow(a), cutoff, keys) if a is b else grid_join(narrow(a), narrow(b), cutoff, keys)
+    return near.select(*keys, *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns]).distinct()
 
 
 def chain_pairs(atoms: DataFrame, cutoff: float, structure: str = "pdb_name", chain: str = "chain") -> DataFrame:
     """(structure, chain_0, chain_1, n_contacts, pair_id): ordered pairs of chains with points closer than the cutoff,
     numbered from 0 within the structure (C24)."""
-    near = grid_join(atoms.select(structure, chain, *AXES), atoms.select(structure, chain, *AXES), cutoff, [structure]).where(F.col(f"a_{chain}") < F.col(f"b_{chain}"))
+    near = grid_self_join(atoms.select(structure, chain, *AXES), cutoff, [structure]).where(F.col(f"a_{chain}") < F.col(f"b_{chain}"))
     found = near.groupBy(structure, F.col(f"a_{chain}").alias("chain_0"), F.col(f"b_{chain}").alias("chain_1")).agg(F.count("*").alias("n_contacts"))
     return found.withColumn("pair_id", F.row_number().over(Window.partitionBy(structure).orderBy("chain_0", "chain_1")) - 1)
 
@@ -207,7 +238,7 @@ def residue_similarity(atoms: DataFrame, keys: list[str], residue: str, sigma: f
     and each with itself, where it exceeds the threshold, which makes the radius finite (C46). Count by a_residue
     for the coordination number (D24)."""
     radius = sigma * math.sqrt(-2 * math.log(threshold))
-    near = grid_join(atoms.select(*keys, residue, *AXES), atoms.select(*keys, residue, *AXES), radius, keys)
+    near = grid_self_join(atoms.select(*keys, residue, *AXES), radius, keys)
     d = near.groupBy(*keys, f"a_{residue}", f"b_{residue}").agg(F.min("dist").alias("d"))
     return d.select(*keys, f"a_{residue}", f"b_{residue}", F.exp(-F.col("d") * F.col("d") / (2 * sigma * sigma)).alias("similarity"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..tables import Scratch
 from .components import connected_components
-from .spatial import AXES, grid_join
+from .spatial import AXES, grid_self_join
 
 
 def _filtered(waters: DataFrame, bad: Column, query: str | None) -> DataFrame:
@@ -146,7 +146,7 @@ def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "comp
     rows = scratch.save(waters.withColumn("wid", F.concat_ws("/", "protein", "water_id")), "rows")
     points = rows.where(" and ".join(f"{c} is not null" for c in AXES)).groupBy("wid").agg(*[F.min(c).alias(c) for c in AXES]).withColumn("k", F.lit(0))
     if method == "single":
-        near = grid_join(points, points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
+        near = grid_self_join(points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
         roots = connected_components(near.select(F.col("a_wid").alias("a"), F.col("b_wid").alias("b"))).withColumnRenamed("root", "cluster")
         return rows.join(roots.withColumnRenamed("node", "wid"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
     members = scratch.save(_contracted(scratch.save(points.select("wid", *AXES), "points"), distance, scratch), "members0")

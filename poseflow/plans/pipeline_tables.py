@@ -39,6 +39,28 @@ def stored_pairs(spark, d):
     return files.load_pairs(spark, path, pairs.select("code")).select(F.col("code").cast("string").alias("code"), "o_orderkey")
 
 
+@query("SELECT o_custkey, count(*) AS n, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def bucketed_pairs(spark, d):
+    """Two tables in buckets by order: their join has no exchange."""
+    scratch = Scratch(spark, "buckets")
+    names = [f"poseflow_{x}_{scratch.root[-12:]}" for x in ("orders", "lines")]
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_quantity")
+    for name, df in zip(names, (keys, lines)):
+        files.write_bucketed(df, name, ["key"], 16, scratch.path(name))
+    return spark.table(names[0]).join(spark.table(names[1]), "key").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT CAST(o_custkey % 20 AS VARCHAR) AS part, count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY ALL")
+def resumed_parts(spark, d):
+    """A first run that ends half way, and a second one that writes the rest."""
+    path = Scratch(spark, "resumed").path("table")
+    orders = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("part"), "o_orderkey")
+    files.write_resumable(orders.where("part < 9"), path, "part")
+    files.write_resumable(orders, path, "part")
+    return spark.read.schema("o_orderkey long, part string").parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("SELECT lower(c_name) AS id FROM customer UNION ALL SELECT lower(c_mktsegment) FROM customer")
 def id_lists(spark, d):
     path = Scratch(spark, "ids").path("list")

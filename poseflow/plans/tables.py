@@ -383,3 +383,20 @@ def mapped_complexes(spark, d):
 
     fn = lambda f: pd.DataFrame([{"k": f["k"].iloc[0], "n": len(f), "width": f["x"].max() - f["x"].min()}])
     return batch.map_complexes(view(spark, d, "v_points"), ["k"], fn, "k int, n long, width double").select("k", "n", "width")
+
+
+@query("SELECT k, count(*) AS n, max(x) - min(x) AS width FROM v_points GROUP BY k")
+def streamed_complexes(spark, d):
+    """A batch at a time; the k of a complex comes with its rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def widths(batches):
+        k, n, low, high = None, 0, float("inf"), float("-inf")
+        for b in batches:
+            k, n = b.column("k")[0].as_py(), n + b.num_rows
+            low, high = min(low, pc.min(b.column("x")).as_py()), max(high, pc.max(b.column("x")).as_py())
+        yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "width": [high - low]})
+
+    found = batch.stream_complexes(view(spark, d, "v_points"), ["k"], widths, "k int, n long, width double")
+    return batch.settled(found, ["k"])[0]

@@ -85,6 +85,44 @@ def load_pairs(spark: SparkSession, path: str, ids: DataFrame | None = None, cod
     return df.join(keys, ["grp", code], "left_semi")
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int = 64, path: str | None = None) -> None:
+    """A table of the catalog in buckets by keys, each sorted by them: joins and groups by these keys of tables with as many buckets need no
+    exchange (A17, C13). path: where its files go, else Spark's warehouse."""
+    dealt = df.repartition(buckets, *keys)  # a file per bucket, not one per bucket and task
+    writer = dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}/_finished"  # Spark's readers pass over names with an underscore
+
+
+def finished_parts(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """(part): the parts that `write_resumable` has finished under the path."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_manifest(path))
+    schema = f"{part} string"
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema).select(part)
+    return spark.read.schema(schema).json(_manifest(path)).select(part).distinct()
+
+
+def write_resumable(df: DataFrame, path: str, part: str, at_once: int = 16) -> int:
+    """Writes df as Parquet under a folder per value of `part`, `at_once` values at a time, and notes each that is done; values noted by an earlier run
+    are not computed again, and what an aborted one has left of others is replaced (A17, C13). Gives the number of values written.
+
+    Values are few, such as groups of codes: their names come to the driver. A part's rows are dealt to as many tasks as they need."""
+    spark = df.sparkSession
+    named = df.withColumn(part, F.coalesce(F.col(part).cast("string"), F.lit("null")))
+    left = named.select(part).distinct().join(finished_parts(spark, path, part), part, "left_anti")
+    names = sorted(r[0] for r in left.collect())
+    for at in range(0, len(names), at_once):
+        some = names[at : at + at_once]
+        rows = named.where(F.col(part).isin(some))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        spark.createDataFrame([(x,) for x in some], f"{part} string").coalesce(1).write.mode("append").json(_manifest(path))
+    return len(names)
+
+
 def fasta(sequences: DataFrame) -> DataFrame:
     """(value): records >name-model-chain of sequences name, model, chain, sequence."""
     return sequences.select(F.format_string(">%s-%s-%s\n%s", "name", F.col("model").cast("string"), "chain", "sequence").alias("value"))

@@ -30,6 +30,21 @@ def test_grid_join_is_cross_join(spark, cloud, cutoff):
     assert got == {(p[0], p[1], q[1]) for p in cloud for q in cloud if p[0] == q[0] and math.dist(p[2:], q[2:]) < cutoff}
 
 
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_half_shell_is_the_whole_join_in_half_the_rows(spark, cloud, inclusive):
+    df = points(spark, [*cloud, ("a", 500, 1, 1, 1), ("a", 501, 1, 1, 1), ("a", 502, 1, 1, 2.5)])
+    show = lambda rows: sorted((r.k, r.a_id, r.b_id, r.a_x, r.b_z, r.dist) for r in rows.collect())
+    assert show(spatial.grid_self_join(df, 1.5, ["k"], inclusive)) == show(spatial.grid_join(df, df, 1.5, ["k"], inclusive))
+    met = spatial._half_shell(df, 1.5, ["k"])
+    own, ahead = (met.where(w).count() for w in ("not __ahead", "__ahead"))
+    cells = {}
+    for r in df.collect():
+        c = (r.k, *(math.floor(v / 1.5) for v in (r.x, r.y, r.z)))
+        cells[c] = cells.get(c, 0) + 1
+    whole = sum(n * cells.get((k, x + i, y + j, z + m), 0) for (k, x, y, z), n in cells.items() for i, j, m in itertools.product((-1, 0, 1), repeat=3))
+    assert own == sum(n * n for n in cells.values()) and own + 2 * ahead == whole
+
+
 def test_grid_join_edges(spark):
     df = points(spark, [("a", 1, 0, 0, 0), ("a", 2, 1, 0, 0), ("b", 3, 0, 0, 0)])
     bad = spark.createDataFrame([("a", 4, None, 0.0, 0.0), (None, 5, 0.0, 0.0, 0.0)], df.schema)

@@ -184,3 +184,68 @@ def test_scratch_folders(spark):
     assert os.listdir(folder) == ["b"] and tables.held(spark) == mark + 1
     tables.release(spark, mark)
     assert not os.path.exists(folder) and tables.held(spark) == mark
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 700 as code", "id as a")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("left_pairs", "right_pairs"):
+            files.write_bucketed(rows, name, ["code"], 8, str(tmp_path / name))
+        joined = spark.table("left_pairs").join(spark.table("right_pairs").withColumnRenamed("a", "b"), "code").groupBy("code").count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and joined.count() == 700
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("left_pairs", "right_pairs"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_aborted_write_is_resumed(spark, tmp_path):
+    path, seen = str(tmp_path / "parts"), tmp_path / "seen"
+    df = spark.range(100).selectExpr("id % 5 as part", "id")
+
+    def fails(rows):
+        from pyspark.sql.functions import udf
+
+        def check(part):
+            with seen.open("a") as f:
+                f.write(f"{part}\n")
+            if part == 3 and not (tmp_path / "mended").exists():
+                raise ValueError("part 3")
+            return part
+
+        return rows.withColumn("part", udf(check, "long")("part"))
+
+    with pytest.raises(Exception, match="part 3"):
+        files.write_resumable(fails(df), path, "part", at_once=1)
+    (tmp_path / "mended").write_text("")
+    done = {r.part for r in files.finished_parts(spark, path, "part").collect()}
+    assert done < set("01234")
+    before = seen.read_text()
+    assert files.write_resumable(df, path, "part", at_once=2) == 5 - len(done) and seen.read_text() == before
+    assert files.write_resumable(df, path, "part") == 0
+    back = spark.read.parquet(path)
+    assert sorted(r.id for r in back.collect()) == list(range(100)) and back.where("part = 3").count() == 20
+
+
+def test_complexes_of_any_size_stream_by_batches(spark):
+    import pyarrow as pa
+
+    from poseflow.operators import batch
+
+    def widest(batches):
+        sizes = []
+        for b in batches:
+            sizes.append(b.num_rows)
+            if b.column("k")[0].as_py() == "bad" and len(sizes) == 2:
+                raise ValueError("no")
+            yield pa.RecordBatch.from_pydict({"k": b.column("k").slice(0, 1), "rows": pa.array([b.num_rows], pa.int64())})
+
+    df = spark.range(120_000).selectExpr("case when id % 4 = 0 then 'bad' when id % 1000 = 1 then 'few' else 'large' end as k", "id")
+    found, counts = batch.observed(batch.stream_complexes(df, ["k"], widest, "k string, rows long"))
+    rows = found.collect()
+    assert max(r.rows for r in rows if r.rows) <= 10_000 and counts.get == {"rows": len(rows), "failures": 1}
+    good, failed = batch.settled(spark.createDataFrame(rows, found.schema), ["k"])
+    assert {r.k: r["sum(rows)"] for r in good.groupBy("k").sum("rows").collect()} == {"few": 120, "large": 89_880}
+    assert [(r.k, r.rows) for r in failed.collect()] == [("bad", None)] and "no" in failed.first().error
