@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -23,8 +24,8 @@ SPILL = 0.4
 #: Quantiles of a node among which a split is placed, from LOW to HIGH, where the fewest vectors fall into the overlap; a split that would
 #: copy more than MOST of the node is not made.
 STEPS, LOW, HIGH, MOST = 32, 10, 22, 0.3
-#: Pairs whose leaves are compared at once.
-PAIRS = 200_000
+#: Pairs whose leaves are compared at once, and pairs of blocks that a task holds at once.
+PAIRS, BATCH = 100_000, 8
 
 
 def unit_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -148,6 +149,18 @@ def _labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, Spark hands so many rows at a time to Python: rows that are blocks are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def compare(pairs: DataFrame, least: float) -> DataFrame:
     """(rid, links, mate) of pairs of blocks (dim, leaf, a, b; b null for a block with itself): of each vector with a link, the weights of the
     vectors linked, and one vector of the same component. A pair counts in the first of all leaves that both its vectors are in, so
@@ -208,7 +221,8 @@ def near_duplicates(
     large = held.where("parts > 1")
     side = lambda x: large.select("dim", "leaf", F.col("deal").alias(f"deal_{x}"), F.col("rows").alias(x))
     across = side("a").join(side("b"), ["dim", "leaf"]).where("deal_a < deal_b").select("dim", "leaf", "a", "b")
-    found = scratch.save(compare(alone.union(across), cosine), "found")
+    with rows_per_batch(vectors.sparkSession, BATCH):
+        found = scratch.save(compare(alone.union(across), cosine), "found")
 
     roots = connected_components(found.select(F.col("rid").alias("a"), F.col("mate").alias("b")))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -56,7 +56,7 @@ def test_auction_finds_the_least_cost_and_audit(seed):
 def test_auction_of_a_long_conversation_takes_few_steps():
     codes = bytes(repair.INITIALS[c] for c in "s" + "ua" * 20_000 + "uuu")
     cost, audit = repair.auction(codes)
-    assert cost == 5 and len(audit) == 40_004 and sorted(set(audit)) == ["D", "K", "R"]
+    assert cost == 3 and audit == "K" * 40_001 + "DKR"
 
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]")
@@ -177,7 +177,7 @@ def common_turns(seed, convs, texts=4, length=6):
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("seed, texts, length", [(1, 1, 9), (2, 2, 7), (3, 3, 5)])
+@pytest.mark.parametrize("seed, texts, length", [(1, 1, 9), (2, 2, 6)])
 def test_trie_brute_force(spark, seed, texts, length):
     rows = common_turns(seed, [*range(0, 50), 115, 1001, -7, -21], texts, length) + [(None, 0, "user", "no key"), (3, None, None, None), (4, 0, "user", "twice"), (4, 0, "user", "twice"), (60, 1, "a", "  two  words\n")]
     df = spark.createDataFrame([(*r, 1, "y") for r in rows], f"{SCHEMA}, depth int, key string")
@@ -201,7 +201,8 @@ def test_colliding_fingerprints_are_found_and_taken_back(spark, monkeypatch):
     rows = common_turns(5, range(30), 6, 7)
     df = spark.createDataFrame(rows, SCHEMA)
     with monkeypatch.context() as m:
-        m.setattr(trie, "PRIMES", (3, 5, 7))
+        for name, value in (("PRIMES", (3, 5, 7)), ("BASES", (2, 2, 2)), ("TRIES", 1)):
+            m.setattr(trie, name, value)
         with pytest.raises(RuntimeError):
             trie.prefix_trie(df).collect()
     real, tries = trie._sound, []
