@@ -156,7 +156,9 @@ def bootstrap(df: DataFrame, value: str, id_col: str, replicates: int = 1000, co
     rows = df.where(F.col(value).isNotNull())
     means = Scratch(df.sparkSession, "bootstrap").save(bootstrap_means(df, value, id_col, replicates, seed), "means")
     stats = rows.agg(F.count("*").alias("n"), F.avg(value).alias("estimate"), F.skewness(value).alias("skew")).first()
-    shifted = means.agg(F.avg((F.col("m") < stats["estimate"]).cast("double")).alias("share")).first()["share"] if stats["n"] else None
+    # A mean that differs from the estimate by rounding alone is not below it.
+    below = (F.lit(stats["estimate"]) - F.col("m") > abs(stats["estimate"] or 0.0) * 1e-12).cast("double")
+    shifted = means.agg(F.avg(below).alias("share")).first()["share"] if stats["n"] else None
     z0 = 0.0 if share_out(shifted) else NormalDist().inv_cdf(shifted)
     a = (stats["skew"] or 0.0) / (6 * stats["n"] ** 0.5) if stats["n"] else 0.0
     ends = []

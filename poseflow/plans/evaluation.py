@@ -268,7 +268,7 @@ _AT = "l[CAST(floor({q} * (len(l) - 1)) AS BIGINT) + 1] + ({q} * (len(l) - 1) -
 
 @query(f"""WITH RECURSIVE {_REPLICATES},
 s AS (SELECT count(v) AS n, avg(v) AS estimate FROM t), k AS (SELECT avg(pow(v - estimate, 3)) / pow(avg(pow(v - estimate, 2)), 1.5) AS skew FROM t, s),
-c AS (SELECT avg(CASE WHEN m < estimate THEN 1.0 ELSE 0.0 END) AS share FROM b, s),
+c AS (SELECT avg(CASE WHEN estimate - m > abs(estimate) * 1e-12 THEN 1.0 ELSE 0.0 END) AS share FROM b, s WHERE m IS NOT NULL),
 halved AS (SELECT 0 AS step, p, CAST(-9 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi FROM (SELECT CAST(share AS DOUBLE) AS p FROM c UNION SELECT 0.05 UNION SELECT 0.95)
   UNION ALL SELECT step + 1, p, CASE WHEN {_normal('(lo + hi) / 2')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_normal('(lo + hi) / 2')} < p THEN hi ELSE (lo + hi) / 2 END FROM halved WHERE step < 60),
 z AS (SELECT p, lo AS z FROM halved WHERE step = 60),

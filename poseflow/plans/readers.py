@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import batch, joins
-from ..sources import files, text
+from ..sources import files, formats, text
 from ..tables import Scratch
 from .registry import Registry
 from .views import table
@@ -47,10 +47,20 @@ def _pdb_line(record: str, chain) -> F.Column:
 @query(f"""WITH {_ATOMS}, r AS (SELECT grp AS pdb_name, CAST(model AS VARCHAR) AS model, CASE c WHEN 0 THEN 'Q' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS chain, CAST(residue AS VARCHAR) AS residue, resname, x, y, z, element, atom_name, CAST(aid AS VARCHAR) AS aid FROM a WHERE element <> 'H')
 SELECT pdb_name, model, chain, residue, resname, x, y, z, element, atom_name, aid FROM (SELECT *, bool_or(atom_name = 'CA') OVER (PARTITION BY pdb_name, model, chain, residue) AS ca FROM r) WHERE ca""")
 def pdb_atoms(spark, d):
+    return text.read_pdb_atoms(spark, _pdb(spark, d), GROUP)
+
+
+def _pdb(spark, d) -> str:
     atoms = _atoms(spark, d)
     lines = atoms.select("grp", "model", "vec_id", _pdb_line("ATOM", F.get(F.array(*[F.lit(x) for x in (" ", "A", "B", "C")]), F.col("c").cast("int"))).alias("value"))
     heads = atoms.select("grp", "model").distinct().select("grp", "model", F.lit(-1).cast("long").alias("vec_id"), F.format_string("MODEL     %4d", "model").alias("value"))
-    return text.read_pdb_atoms(spark, _grouped_files(spark, lines.unionByName(heads), "pdb", ["model", "vec_id"]), GROUP)
+    return _grouped_files(spark, lines.unionByName(heads), "pdb", ["model", "vec_id"])
+
+
+@query(REGISTRY.sql["pdb_atoms"])
+def pdb_atoms_by_source(spark, d):
+    """The same files in ranges of 4 kB that begin at MODEL lines."""
+    return formats.load_pdb_atoms(spark, _pdb(spark, d), GROUP, 4096)
 
 
 @query(f"""WITH {_ATOMS} SELECT grp AS pdb_name, '0' AS model, x, y, z, element, atom_name, CAST(aid AS VARCHAR) AS aid, CASE WHEN x IS NULL THEN 'bad coordinates' END AS error
@@ -59,6 +69,12 @@ def mol2_atoms(spark, d):
     return text.read_mol2_atoms(spark, _mol2(spark, d), GROUP)
 
 
+@query(REGISTRY.sql["mol2_atoms"])
+def mol2_atoms_by_source(spark, d):
+    formats.register(spark)
+    return spark.read.format("mol2").option("name", GROUP).load(_mol2(spark, d)).drop("molecule")
+
+
 def _mol2(spark, d) -> str:
     atoms = _atoms(spark, d)
     x = F.when(F.col("vec_id") % 17 > 0, F.format_string("%.3f", "x")).otherwise("?")

@@ -71,6 +71,11 @@ def read_pdb_atoms(spark: SparkSession, path: str, name: str = FILE_NAME) -> Dat
     chain = F.coalesce(F.nullif(_cut(22, 22), F.lit("")), F.upper(F.substring(name, 5, 1)))
     number = lambda a, b: _cut(a, b).try_cast("double")
     atoms = rows.select(name.alias("pdb_name"), "model", chain.alias("chain"), _cut(23, 27).alias("residue"), _cut(18, 20).alias("resname"), number(31, 38).alias("x"), number(39, 46).alias("y"), number(47, 54).alias("z"), F.coalesce(F.nullif(_cut(77, 78), F.lit("")), F.regexp_extract(_cut(13, 16), "[A-Z]", 0)).alias("element"), _cut(13, 16).alias("atom_name"), _cut(7, 11).alias("aid"))
+    return with_ca(atoms)
+
+
+def with_ca(atoms: DataFrame) -> DataFrame:
+    """Atoms with coordinates, of residues with a CA."""
     ca = F.bool_or(F.col("atom_name") == "CA").over(Window.partitionBy("pdb_name", "model", "chain", "residue"))
     return atoms.withColumn("__ca", ca).where("__ca and x is not null and y is not null and z is not null").drop("__ca")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from poseflow.functions import scalars
 from poseflow.operators import joins, keys, residues
-from poseflow.sources import files, text
+from poseflow.sources import files, formats, text
 
 ATOM = "ATOM  {:>5} {:<4} {:<3} {:1}{:>4}    {:8.3f}{:8.3f}{:8.3f}  1.00 20.00          {:>2}"
 
@@ -249,3 +249,48 @@ def test_complexes_of_any_size_stream_by_batches(spark):
     good, failed = batch.settled(spark.createDataFrame(rows, found.schema), ["k"])
     assert {r.k: r["sum(rows)"] for r in good.groupBy("k").sum("rows").collect()} == {"few": 120, "large": 89_880}
     assert [(r.k, r.rows) for r in failed.collect()] == [("bad", None)] and "no" in failed.first().error
+
+
+def _models(n):
+    head = [f"MODEL     {k:>4}" for k in range(1, n + 1)]
+    body = [line for line in pdb_lines() if line.startswith(("ATOM", "TER"))]
+    return "\n".join(["HEADER    MANY"] + [x for h in head for x in (h, *body, "ENDMDL")] + ["END"]) + "\n"
+
+
+@pytest.mark.parametrize("split", [1111, 1 << 20])
+def test_pdb_source_splits_at_models(spark, tmp_path, split):
+    (tmp_path / "1many.pdb").write_text(_models(12))
+    (tmp_path / "2onex.pdb").write_text("\r\n".join(pdb_lines()))
+    with gzip.open(tmp_path / "3zipx.pdb.gz", "wt") as f:
+        f.write(_models(3))
+    (tmp_path / "_hidden.pdb").write_text(_models(1))
+    show = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    got = formats.load_pdb_atoms(spark, f"{tmp_path}/*.pdb*", split_bytes=split)
+    want = text.read_pdb_atoms(spark, f"{tmp_path}/[0-9]*.pdb*")
+    assert show(got) == show(want) and got.where("pdb_name = '1many.pdb'").select("model").distinct().count() == 12
+    ranges = formats.PdbReader({"path": f"file://{tmp_path}/*", "splitbytes": str(split)})
+    assert len(ranges.partitions()) > 4 or split > 10_000
+    assert list(ranges.pushFilters([formats.EqualTo(("pdb_name",), "2onex.pdb"), formats.EqualTo(("model",), "1")])) == [formats.EqualTo(("model",), "1")]
+    assert {p.path.rsplit("/", 1)[1] for p in ranges.partitions()} == {"2onex.pdb"}
+    one = spark.read.format("pdb").load(str(tmp_path)).where("pdb_name = '3zipx.pdb' and atom_name = 'CA'")
+    assert one.where("pdb_name = 'none'").count() == 0 and one.count() == 6 and {r.model for r in one.collect()} == {"1", "2", "3"}
+
+
+def test_mol2_and_hhm_sources(spark, tmp_path):
+    one = "@<TRIPOS>MOLECULE\nm{0}\n 2 1\n@<TRIPOS>ATOM\n 1 C1 {0}.5 2.0 3.0 C.3 1 LIG\n 2 O1 x 2.0 3.0 O.2 1 LIG\n@<TRIPOS>BOND\n 1 1 2 1\n"
+    (tmp_path / "a.mol2").write_text("".join(one.format(k) for k in range(30)) + "@<TRIPOS>MOLECULE\nempty\n@<TRIPOS>BOND\n")
+    (tmp_path / "b.mol2").write_text(one.format(7))
+    formats.register(spark)
+    rows = spark.read.format("mol2").option("splitBytes", 200).option("name", r"([^/]+)$").load(f"{tmp_path}/*.mol2").collect()
+    assert len(rows) == 63 and {r.molecule for r in rows if r.pdb_name == "a.mol2"} == {"empty", *(f"m{k}" for k in range(30))}
+    assert [r.error for r in rows if r.molecule == "empty"] == ["no ATOM block"]
+    plain = lambda rs: sorted(str((r.pdb_name, r.model, r.x, r.element, r.atom_name, r.aid, r.error)) for r in rs)
+    assert plain(r for r in rows if r.pdb_name == "b.mol2") == plain(text.read_mol2_atoms(spark, f"{tmp_path}/b.mol2").collect())
+    hmm = ["HHsearch", "# a", "NULL x", "HMM x", "x", "x", "x"]
+    for k in range(4):
+        hmm += [" ".join(["A", str(k)] + [str(100 * j + k) if j % 3 else "*" for j in range(21)]), " ".join(str(k * j) for j in range(10)), ""]
+    (tmp_path / "p.hhm").write_text("\n".join([*hmm, "//", "end"]))
+    got = spark.read.format("hhm").load(f"{tmp_path}/p.hhm").drop("path").orderBy("position").collect()
+    want = text.read_profile_hmm(spark, f"{tmp_path}/p.hhm").drop("path").orderBy("position").collect()
+    near = lambda r: (*tuple(r)[:2], pytest.approx(r.emissions), pytest.approx(r.transitions))
+    assert [tuple(r) for r in got] == [near(r) for r in want] and len(got) == 4
