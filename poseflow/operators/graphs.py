@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import vectors as V
+from ..tables import Scratch
 from .space import nearest_k
 from .spatial import AXES, all_pairs, grid_self_join
 
@@ -32,7 +33,9 @@ def radius_knn_graph(nodes: DataFrame, keys: list[str], radius: float, max_neigh
     near = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
     edges = radius_graph(nodes, keys, radius, id_col).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= max_neighbours).drop("__k")
     points = nodes.select(*keys, id_col, *AXES)
-    alone = points.join(edges.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti")
+    scratch = Scratch(nodes.sparkSession, "radius-knn")
+    edges = scratch.save(edges, "edges")
+    alone = scratch.save(points.join(edges.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti"), "alone")
     return edges.unionByName(nearest_k(alone, points, keys, 1, id_col, exclude_same=True).drop("rank"))
 
 

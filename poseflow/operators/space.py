@@ -52,11 +52,8 @@ def _full_levels(asked: DataFrame, points: DataFrame, need: int, scratch: Scratc
         last = first + ROUND - 1
         levels = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("deep")
         cells = held.select("s", *[f"i_{c}" for c in AXES], levels).groupBy("s", "deep", _cell(F.col("deep")).alias("cell")).agg(F.count("*").alias("n"))
-        full = scratch.save(cells.where(F.col("n") >= need).select("s", "deep", "cell"), f"full{k}")
-        if full.isEmpty():
-            break
-        at_last = lambda df: df.withColumns({"deep": F.lit(last), "cell": _cell(F.lit(last))})  # noqa: B023, E731
-        deeper = live.select("id", "s", "x", "y", "z", *[f"i_{c}" for c in AXES], levels).withColumn("cell", _cell(F.col("deep")))
+        full = cells.where(F.col("n") >= need).select("s", "deep", "cell")
+        deeper = live.select("id", "s", *AXES, *[f"i_{c}" for c in AXES], levels).withColumn("cell", _cell(F.col("deep")))
         reached = deeper.join(full, ["s", "deep", "cell"]).groupBy("id", "s", *AXES).agg(F.max("deep").alias("reached"))
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "s", *AXES)]
         joined = live.alias("l").join(reached.alias("r"), same, "left").select("l.*", "reached")
@@ -64,19 +61,19 @@ def _full_levels(asked: DataFrame, points: DataFrame, need: int, scratch: Scratc
         settled = joined.where(F.col("level") < last)
         done = settled if done is None else done.unionByName(settled)
         live = joined.where(F.col("level") == last)
-        held = scratch.save(at_last(held).join(full, ["s", "deep", "cell"], "left_semi").drop("deep", "cell"), f"held{k}")
-        if held.isEmpty():
+        if live.isEmpty():
             break
-    return live if done is None else done.unionByName(live)
+        # Points of cells that are still asked for.
+        at_last = lambda df: df.withColumn("cell", _cell(F.lit(last)))  # noqa: B023, E731
+        held = scratch.save(at_last(held).join(at_last(live).select("s", "cell").distinct(), ["s", "cell"], "left_semi").drop("cell"), f"held{k}")
+    return done.unionByName(live)
 
 
 def _compared(asked: DataFrame, points: DataFrame, exclude_same: bool) -> DataFrame:
     """(s, src, dst, dist) of rows asked (with their cells `at`, an array of cells of one level) and the points in these cells. Points go to
-    the levels that their structure is asked at, and there to asked cells only."""
+    the levels that their structure is asked at, which are few."""
     wanted = asked.select("s", "level", "id", *AXES, F.explode("at").alias("cell"))
-    used = wanted.select("s", "level").distinct()
-    cells = wanted.select("s", "level", "cell").distinct()
-    placed = points.join(used, "s").withColumn("cell", _cell(F.col("level"))).join(cells, ["s", "level", "cell"], "left_semi")
+    placed = points.join(asked.select("s", "level").distinct(), "s").withColumn("cell", _cell(F.col("level")))
     other = placed.select("s", "level", "cell", F.col("id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in AXES])
     apart = lambda c: (F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}"))
     pairs = wanted.join(other, ["s", "level", "cell"]).select("s", F.col("id").alias("src"), "dst", *AXES, F.sqrt(apart("x") + apart("y") + apart("z")).alias("dist"))
@@ -88,6 +85,13 @@ def _first(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _nothing(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+    """`nearest_k` of no rows."""
+    named = [F.lit(None).cast(a.schema[k].dataType).alias(k) for k in keys]
+    ends = [F.lit(None).cast(x.schema[c].dataType).alias(n) for x, c, n in ((a, a_id, "src"), (b, b_id, "dst"))]
+    return a.sparkSession.range(0).select(*named, *ends, F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("rank"))
+
+
 def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "id", b_id: str | None = None, exclude_same: bool = False) -> DataFrame:
     """(keys, src, dst, dist, rank): for each row of a its k nearest rows of b with equal keys, ties to the smaller id; without those of its own id,
     if `exclude_same`. Fewer where a structure has fewer; a row whose keys b does not have gives none.
@@ -102,6 +106,8 @@ def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "
     Of points at one place only the k (or k + 1) with the smallest ids can be among anyone's nearest, so that many copies of a site stay
     linear. Rows of a may repeat ids; a row is known by its id and place.
     """
+    if a.isEmpty():
+        return _nothing(a, b, keys, a_id, b_id or a_id)
     scratch = Scratch(a.sparkSession, "nearest")
     need = k + 1 if exclude_same else k
     points = _named(b, keys, b_id or a_id).where("id is not null")
@@ -110,7 +116,8 @@ def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "
     cubes = scratch.save(_cubes(points), "cubes")
     fitted = lambda df: df.join(cubes, "s").withColumns({f"i_{c}": _place(c) for c in AXES})
     points = scratch.save(fitted(points).select("s", "id", *AXES, *[f"i_{c}" for c in AXES]), "points")
-    asked = scratch.save(fitted(_named(a, keys, a_id).distinct()).select("s", "id", *AXES, *[f"i_{c}" for c in AXES]), "asked")
+    asked = fitted(_named(a, keys, a_id).distinct()).select("s", "id", *AXES, *[f"i_{c}" for c in AXES], *[f"{c}0" for c in AXES], "span")
+    asked = scratch.save(asked, "asked")
 
     levels = _full_levels(asked, points, need, scratch)
     near = _first(_compared(levels.withColumn("at", F.array(_cell(F.col("level")))), points, exclude_same), k)
@@ -121,7 +128,7 @@ def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "
     # Where ids repeat, a full cell may lack k others: such a row meets its whole structure.
     few = F.coalesce(F.col("found") < k, F.lit(True)) & (F.col("level") > 0)
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "s", *AXES)]
-    rows = levels.alias("l").join(reach.withColumnRenamed("src", "id").alias("r"), same, "left").select("l.*", "far", "found").join(cubes, "s")
+    rows = levels.alias("l").join(reach.withColumnRenamed("src", "id").alias("r"), same, "left").select("l.*", "far", "found")
     rows = rows.withColumn("far", F.when(few, F.lit(float("inf"))).otherwise(far))
     rim = {f"{side}_{c}": _place(c, F.col(c) + sign * F.col("far")) for c in AXES for side, sign in (("lo", -1), ("hi", 1))}
     rows = rows.withColumns(rim)
