@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from ..functions import vectors as V
 from ..tables import Scratch
 from .space import nearest_k
-from .spatial import AXES, all_pairs, grid_self_join
+from .spatial import AXES, all_pairs, grid_join, grid_self_join
 
 
 def _edges(pairs: DataFrame, keys: list[str], id_col: str) -> DataFrame:
@@ -29,14 +29,19 @@ def knn_graph(nodes: DataFrame, keys: list[str], k: int = 30, id_col: str = "id"
 
 def radius_knn_graph(nodes: DataFrame, keys: list[str], radius: float, max_neighbours: int, id_col: str = "id") -> DataFrame:
     """Edges to the nearest `max_neighbours` others below the radius, ties to the smaller id; a node without any gets its
-    nearest other node (C34). A node alone in its structure has no edge."""
+    nearest other node (C34). A node alone in its structure has no edge. Nodes without any look within four times the radius first; those that have
+    none there either search the partition of `space`."""
     near = Window.partitionBy(*keys, "src").orderBy("dist", "dst")
     edges = radius_graph(nodes, keys, radius, id_col).withColumn("__k", F.row_number().over(near)).where(F.col("__k") <= max_neighbours).drop("__k")
     points = nodes.select(*keys, id_col, *AXES)
     scratch = Scratch(nodes.sparkSession, "radius-knn")
     edges = scratch.save(edges, "edges")
     alone = scratch.save(points.join(edges.select(*keys, F.col("src").alias(id_col)).distinct(), [*keys, id_col], "left_anti"), "alone")
-    return edges.unionByName(nearest_k(alone, points, keys, 1, id_col, exclude_same=True).drop("rank"))
+    wider = _edges(grid_join(alone, points, 4 * radius, keys), keys, id_col)
+    first = wider.groupBy(*keys, "src").agg(F.min(F.struct("dist", "dst")).alias("m"))
+    close = scratch.save(first.select(*keys, "src", F.col("m.dst").alias("dst"), F.col("m.dist").alias("dist")), "close")
+    far = scratch.save(alone.join(close.select(*keys, F.col("src").alias(id_col)), [*keys, id_col], "left_anti"), "far")
+    return edges.unionByName(close).unionByName(nearest_k(far, points, keys, 1, id_col, exclude_same=True).drop("rank"))
 
 
 def limited_edges(nodes: DataFrame, keys: list[str], cutoff: float, limit: int, id_col: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ Points are rows with key columns (structure, complex, ...) and x, y, z. Rows wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -57,11 +57,13 @@ def _full_levels(asked: DataFrame, points: DataFrame, need: int, scratch: Scratc
         reached = deeper.join(full, ["s", "deep", "cell"]).groupBy("id", "s", *AXES).agg(F.max("deep").alias("reached"))
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "s", *AXES)]
         joined = live.alias("l").join(reached.alias("r"), same, "left").select("l.*", "reached")
-        joined = scratch.save(joined.withColumn("level", F.coalesce("reached", "level")).drop("reached"), f"level{k}")
+        going = Observation(f"going{k}")
+        joined = joined.withColumn("level", F.coalesce("reached", "level")).drop("reached").observe(going, F.count_if(F.col("level") == last).alias("n"))
+        joined = scratch.save(joined, f"level{k}")
         settled = joined.where(F.col("level") < last)
         done = settled if done is None else done.unionByName(settled)
         live = joined.where(F.col("level") == last)
-        if live.isEmpty():
+        if not going.get["n"]:
             break
         # Points of cells that are still asked for.
         at_last = lambda df: df.withColumn("cell", _cell(F.lit(last)))  # noqa: B023, E731
@@ -70,13 +72,13 @@ def _full_levels(asked: DataFrame, points: DataFrame, need: int, scratch: Scratc
 
 
 def _compared(asked: DataFrame, points: DataFrame, exclude_same: bool) -> DataFrame:
-    """(s, src, dst, dist) of rows asked (with their cells `at`, an array of cells of one level) and the points in these cells. Points go to
+    """(s, src, x, y, z, far, dst, dist) of rows asked (with their cells `at`, an array of cells of one level) and the points in these cells. Points go to
     the levels that their structure is asked at, which are few."""
-    wanted = asked.select("s", "level", "id", *AXES, F.explode("at").alias("cell"))
+    wanted = asked.select("s", "level", "id", *AXES, "far", F.explode("at").alias("cell"))
     placed = points.join(asked.select("s", "level").distinct(), "s").withColumn("cell", _cell(F.col("level")))
     other = placed.select("s", "level", "cell", F.col("id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in AXES])
     apart = lambda c: (F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}"))
-    pairs = wanted.join(other, ["s", "level", "cell"]).select("s", F.col("id").alias("src"), "dst", *AXES, F.sqrt(apart("x") + apart("y") + apart("z")).alias("dist"))
+    pairs = wanted.join(other, ["s", "level", "cell"]).select("s", F.col("id").alias("src"), "dst", *AXES, "far", F.sqrt(apart("x") + apart("y") + apart("z")).alias("dist"))
     return pairs.where("src <> dst") if exclude_same else pairs
 
 
@@ -98,9 +100,8 @@ def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "
 
     Each structure's cube is halved along all axes again and again, a cell's parts being looked at only where the cell is full: sparse and dense
     regions, planes, lines and distant clusters get cells of about equally many points. A row first meets the deepest cell around it that
-    holds k others, at most eight times k where points don't coincide; the k-th nearest there bounds the ball in which its true neighbours lie. If the
-    ball stays inside the cell, that is the answer. The others meet the cells that their ball touches, at the level whose cells are as wide as its
-    radius: 27 at most. Joins are on structure, level and cell, so a large structure spreads over its cells, and the work
+    holds k others, at most eight times k where points don't coincide; the k-th nearest there bounds the ball in which its true neighbours lie.
+    Then it meets the cells that the ball touches, at the level whose cells are as wide as its radius: 27 at most. Joins are on structure, level and cell, so a large structure spreads over its cells, and the work
     follows rows times k whatever the shape.
 
     Of points at one place only the k (or k + 1) with the smallest ids can be among anyone's nearest, so that many copies of a site stay
@@ -117,36 +118,24 @@ def nearest_k(a: DataFrame, b: DataFrame, keys: list[str], k: int, a_id: str = "
     fitted = lambda df: df.join(cubes, "s").withColumns({f"i_{c}": _place(c) for c in AXES})
     points = scratch.save(fitted(points).select("s", "id", *AXES, *[f"i_{c}" for c in AXES]), "points")
     asked = fitted(_named(a, keys, a_id).distinct()).select("s", "id", *AXES, *[f"i_{c}" for c in AXES], *[f"{c}0" for c in AXES], "span")
-    asked = scratch.save(asked, "asked")
-
     levels = _full_levels(asked, points, need, scratch)
-    near = _first(_compared(levels.withColumn("at", F.array(_cell(F.col("level")))), points, exclude_same), k)
-    near = scratch.save(near, "near")
-    reach = near.groupBy("s", "src", *AXES).agg(F.max("dist").alias("far"), F.count("*").alias("found"))
-    # A ball slightly larger than the bound, so that rounding loses nothing.
-    far = F.col("far") * (1 + 1e-9) + F.greatest(*[F.abs(c) for c in AXES]) * 1e-12
-    # Where ids repeat, a full cell may lack k others: such a row meets its whole structure.
-    few = F.coalesce(F.col("found") < k, F.lit(True)) & (F.col("level") > 0)
+
+    own_cell = levels.withColumns({"at": F.array(_cell(F.col("level"))), "far": F.lit(0.0)})
+    near = _first(_compared(own_cell, points, exclude_same), k)
+    reach = near.groupBy("s", F.col("src").alias("id"), *AXES).agg(F.max("dist").alias("far"), F.count("*").alias("found"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("id", "s", *AXES)]
-    rows = levels.alias("l").join(reach.withColumnRenamed("src", "id").alias("r"), same, "left").select("l.*", "far", "found")
+    rows = levels.alias("l").join(reach.alias("r"), same, "left").select("l.*", "far", "found")
+    # A ball slightly larger than the bound, so that rounding loses nothing. Where ids repeat, a full cell may lack k others: such a row
+    # meets its whole structure, as those do whose structure has fewer.
+    few = (F.coalesce(F.col("found") < k, F.lit(True))) | (F.col("level") == 0)
+    far = F.col("far") * (1 + 1e-9) + F.greatest(*[F.abs(c) for c in AXES]) * 1e-12
     rows = rows.withColumn("far", F.when(few, F.lit(float("inf"))).otherwise(far))
-    rim = {f"{side}_{c}": _place(c, F.col(c) + sign * F.col("far")) for c in AXES for side, sign in (("lo", -1), ("hi", 1))}
-    rows = rows.withColumns(rim)
-    at = lambda name, level: F.call_function("shiftright", F.col(name), (F.lit(DEEPEST) - F.col(level)).cast("int"))
-    own = F.lit(True)
-    for c in AXES:
-        own = own & (at(f"lo_{c}", "level") == at(f"i_{c}", "level")) & (at(f"hi_{c}", "level") == at(f"i_{c}", "level"))
-    # Structures with fewer than k others have met as a whole.
-    rows = scratch.save(rows.withColumn("settled", (F.col("level") == 0) | (own & ~few)), "rows")
     wide = F.when(F.col("far") <= 0, DEEPEST).when(F.col("far") >= F.col("span"), 0).otherwise(F.floor(F.log2(F.col("span") / F.col("far"))))
-    fit = F.greatest(F.lit(0), F.least(F.lit(DEEPEST), wide)).cast("int")
-    open_ = rows.where("not settled").drop("level").withColumn("level", fit)
-    steps = {c: F.sequence(at(f"lo_{c}", "level"), at(f"hi_{c}", "level")) for c in AXES}
-    boxes = F.transform(steps["x"], lambda x: F.transform(steps["y"], lambda y: F.transform(steps["z"], lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))
-    open_ = open_.withColumn("at", F.flatten(F.flatten(boxes)))
-    again = _compared(open_.select("s", "level", "id", *AXES, "at", "far"), points, exclude_same)
-    bound = open_.select("s", F.col("id").alias("src"), *AXES, "far")
-    settled = near.join(rows.where("settled").select("s", F.col("id").alias("src"), *AXES), ["s", "src", *AXES], "left_semi")
-    found = _first(again.join(bound, ["s", "src", *AXES]).where("dist <= far").drop("far"), k)
-    out = settled.select("s", "src", "dst", "dist", "rank").unionByName(found.select("s", "src", "dst", "dist", "rank"))
+    rows = rows.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(DEEPEST), wide)).cast("int"))
+    down = lambda c: F.call_function("shiftright", c, (F.lit(DEEPEST) - F.col("level")).cast("int"))
+    rows = rows.withColumns({f"steps_{c}": F.sequence(*[down(_place(c, F.col(c) + sign * F.col("far"))) for sign in (-1, 1)]) for c in AXES})
+    cell = lambda x, y, z: F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+    boxes = F.transform("steps_x", lambda x: F.transform("steps_y", lambda y: F.transform("steps_z", lambda z: cell(x, y, z))))
+    rows = rows.withColumn("at", F.flatten(F.flatten(boxes))).select("s", "level", "id", *AXES, "far", "at")
+    out = _first(_compared(rows, points, exclude_same).where("dist <= far"), k)
     return out.select(*[F.col(f"s.{c}").alias(c) for c in keys], "src", "dst", "dist", "rank")
