@@ -65,13 +65,14 @@ def join_conservation(atoms: DataFrame, profiles: DataFrame) -> DataFrame:
 def bound_to_unbound(pairs: DataFrame, names: DataFrame, unbound: DataFrame) -> DataFrame:
     """Residue pairs renamed from bound to unbound, without those of which either side is not among the unbound atoms.
 
-    pairs: pdb_name_0, model_0, chain_0, residue_0, and the same with _1; names: bound, unbound.
+    pairs: pdb_name_0, model_0, chain_0, residue_0, and the same with _1; names: bound, unbound. Names and atoms grow with the structures, and the size
+    that Spark expects of atoms made by explode is that before it, so both are merged and never broadcast.
     """
     for k in (0, 1):
         key = [f"{c}_{k}" for c in ("pdb_name", "model", "chain", "residue")]
-        pairs = pairs.join(names.select(F.col("bound").alias(key[0]), F.col("unbound").alias("__u")), key[0]).withColumn(key[0], F.col("__u")).drop("__u")
+        pairs = pairs.join(names.select(F.col("bound").alias(key[0]), F.col("unbound").alias("__u")).hint("merge"), key[0]).withColumn(key[0], F.col("__u")).drop("__u")
         atoms = unbound.select(*[F.col(c[:-2]).alias(c) for c in key]).distinct()
-        pairs = pairs.join(atoms, key, "left_semi")
+        pairs = pairs.join(atoms.hint("merge"), key, "left_semi")
     return pairs
 
 
