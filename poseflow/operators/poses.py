@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, orientation
+from ..tables import Scratch
 from .ordered import quantiles, sums_before
 from .ranks import avg_rank, best_row, place
 
@@ -163,6 +164,30 @@ def hits(candidates: DataFrame, threshold: float = 7.0) -> DataFrame:
     return best_row(candidates, ["protein_name", "smiles"], "affinity", "pocket_name").where(F.col("affinity") > threshold)
 
 
+def hits_of_sums(proteins: DataFrame, compounds: DataFrame, threshold: float = 7.0) -> DataFrame:
+    """`hits` of all pairs of a protein's and a compound's pocket, (protein_name, smiles, pocket_name, affinity), where the affinity is the sum of their shares and
+    the pocket's name compound_id-protein_id.
+
+    proteins: protein_name, protein_id, protein_share; compounds: smiles, compound_id, compound_share; ids are integers. Whatever the protein, the best row of
+    a compound has its largest share, or one that rounds to the same sum: sums of two doubles that agree have shares closer than 2^-50 of the largest
+    sum. Of equal shares the first name wins, which does not depend on the protein as no id goes on with `-`. Only these rows of a compound, mostly
+    one, meet the proteins, so that the work follows proteins and compounds and the rows of the answer.
+    """
+    compounds = compounds.where("compound_share is not null")
+    largest = proteins.agg(F.coalesce(F.max(F.abs("protein_share")), F.lit(0.0)).alias("__s"))
+    top = compounds.groupBy("smiles").agg(F.max("compound_share").alias("__m"))
+    # largest is one row.
+    least = top.crossJoin(F.broadcast(largest)).select("smiles", (F.col("__m") - (F.col("__s") + F.abs("__m")) * 2.0**-50).alias("__least"))
+    distinct = compounds.groupBy("smiles", "compound_share").agg(F.min_by("compound_id", F.concat(F.col("compound_id").cast("string"), F.lit("-"))).alias("compound_id"))
+    able = distinct.alias("d").join(least.alias("l"), F.col("d.smiles").eqNullSafe(F.col("l.smiles"))).where("compound_share >= __least").select("d.*")
+    able = Scratch(proteins.sparkSession, "hits").save(able, "able")
+    # Dealt by number, as the few bytes of the proteins would be one task otherwise, however many rows they make.
+    dealt = proteins.repartition(int(proteins.sparkSession.conf.get("spark.sql.shuffle.partitions")), "protein_name", "protein_id")
+    pocket = F.concat(F.col("compound_id").cast("string"), F.lit("-"), F.col("protein_id").cast("string")).alias("pocket_name")
+    rows = dealt.crossJoin(able).select("protein_name", "smiles", pocket, (F.col("protein_share") + F.col("compound_share")).alias("affinity"))
+    return hits(rows.where(F.col("affinity") > threshold), threshold)
+
+
 def native_equivalent(contacts: Column, native_contacts: Column, centre_distance: Column) -> Column:
     """Does a pocket cover the native one: 0.9 of its contacts, or, where unknown, a centre within 8."""
     return F.coalesce(F.try_divide(contacts.cast("double"), native_contacts) >= 0.9, centre_distance < 8)

@@ -1,6 +1,6 @@
 """Plans that must not grow faster than their input."""
 
-from poseflow.operators import joins
+from poseflow.operators import joins, poses
 
 
 def plan(df) -> str:
@@ -15,3 +15,19 @@ def test_bound_to_unbound_broadcasts_nothing(spark):
     found = joins.bound_to_unbound(pairs, names, atoms)
     assert "Broadcast" not in plan(found)
     assert sorted(r.pdb_name_0 for r in found.collect()) == list(range(100, 115))
+
+
+def test_hits_of_sums_make_no_product(spark):
+    """Equal to the best rows of all pairs, with shares that round to one sum, nulls and repeated names; only the best rows of a compound meet proteins."""
+    proteins = spark.createDataFrame([("P", 1, 8.0), ("P", 2, 8.0), ("Q", 3, 0.1), (None, 4, 9.0), ("N", 5, None)], "protein_name string, protein_id long, protein_share double")
+    shares = [(0, 1.0), (12, 1.0 + 2**-52), (123, 1.0 + 2**-52), (7, None)]
+    compounds = spark.createDataFrame([(s, i, x) for s in ("a", "b", None) for i, x in shares] + [("b", k, 0.5) for k in range(20, 60)], "smiles string, compound_id long, compound_share double")
+    pocket = "concat(compound_id, '-', protein_id)"
+    pairs = proteins.crossJoin(compounds).selectExpr("protein_name", "smiles", f"{pocket} pocket_name", "protein_share + compound_share affinity")
+    found = poses.hits_of_sums(proteins, compounds)
+    columns = ["protein_name", "smiles", "pocket_name", "affinity"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, poses.hits(pairs).select(columns).collect()))
+    assert {r.pocket_name for r in found.where("protein_name = 'P'").collect()} == {"0-1"}
+    from poseflow.plans import queries
+
+    assert "compound_share" in plan(queries.QUERIES["screening_hits"](spark, "/root/testdata/sf0.001")) and "part.parquet" not in plan(queries.QUERIES["screening_hits"](spark, "/root/testdata/sf0.001"))
