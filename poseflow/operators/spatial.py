@@ -31,7 +31,8 @@ def grid_join(a: DataFrame, b: DataFrame, cutoff: float | str, keys: list[str],
 
     Returns the keys, the other columns as a_* and b_*, and dist. Both sides get a cell of side `cutoff`; b goes to its own and the 26 cells
     around, an equi join on keys and cell brings each pair together once, and the distance decides. The work follows
-    the number of close pairs, and a large structure is spread over tasks by its cells.
+    the number of close pairs, and a large structure is spread over tasks by its cells. Points sent around are merged, never broadcast: Spark expects
+    of them the size before.
     """
     wide = lambda side: F.col(f"{side}_{cutoff}") if isinstance(cutoff, str) else F.lit(cutoff)
     cell = lambda side, c: F.floor(F.col(f"{side}_{c}") / wide(side)).cast("long")
@@ -40,7 +41,7 @@ def grid_join(a: DataFrame, b: DataFrame, cutoff: float | str, keys: list[str],
     right = _sided(b, keys, "b").withColumn("__step", F.explode(steps))
     right = right.withColumn("__cell", F.struct(*[(cell("b", c) + F.col(f"__step.{c}")).alias(c) for c in AXES])).drop("__step")
     near = _squared() <= wide("a") * wide("a") if inclusive else _squared() < wide("a") * wide("a")
-    return left.join(right, [*keys, "__cell"]).where(near).withColumn("dist", F.sqrt(_squared())).drop("__cell")
+    return left.join(right.hint("merge"), [*keys, "__cell"]).where(near).withColumn("dist", F.sqrt(_squared())).drop("__cell")
 
 
 #: The cell itself and half of the 26 around it: of two neighbouring cells one is the other's.
@@ -56,7 +57,7 @@ def _half_shell(points: DataFrame, cutoff: float, keys: list[str]) -> DataFrame:
     ahead = F.lit(False)
     for c in AXES:
         ahead = ahead | (F.col(f"__step.{c}") != 0)
-    return left.join(right.withColumn("__ahead", ahead).drop("__step"), [*keys, "__cell"]).drop("__cell")
+    return left.join(right.withColumn("__ahead", ahead).drop("__step").hint("merge"), [*keys, "__cell"]).drop("__cell")
 
 
 def grid_self_join(points: DataFrame, cutoff: float, keys: list[str], inclusive: bool = False) -> DataFrame:

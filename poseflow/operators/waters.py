@@ -66,7 +66,8 @@ def tight_groups(points: DataFrame, scale: float, scratch: Scratch, name: str) -
 
     Points fall into cells of half the scale, of which the box around their points is all that is looked at. Cells are near if their boxes are within
     the scale. If a group's diameter is at most the scale, all its cells are near each other, and if it is lonely they are near to
-    no others: so it is known by all its cells having it, and nothing else, as their near cells. The work follows cells, not pairs of points.
+    no others: so it is known by all its cells having it, and nothing else, as their near cells. The work follows cells, not pairs of points. Cells sent
+    around are merged: Spark expects of them the size before, and would broadcast them.
     """
     side = scale / 2
     cell = F.struct(*[F.floor(F.col(c) / side).cast("long").alias(c) for c in AXES])
@@ -78,7 +79,7 @@ def tight_groups(points: DataFrame, scale: float, scratch: Scratch, name: str) -
     step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in steps])).alias("step")
     around = _sided(cells, "b").select("*", step)
     around = around.withColumn("a_cell", F.struct(*[(F.col(f"b_cell.{c}") + F.col(f"step.{c}")).alias(c) for c in AXES])).drop("step")
-    near = _sided(cells, "a").join(around, "a_cell").where(_box_gap("a", "b") <= scale)
+    near = _sided(cells, "a").join(around.hint("merge"), "a_cell").where(_box_gap("a", "b") <= scale)
     known = near.groupBy("a_cell").agg(F.min("b_cell").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b_cell")).alias("print"))
     known = scratch.save(known.withColumnRenamed("a_cell", "cell").join(cells, "cell"), f"{name}-known")
     whole = [f(f"{c}_{x}").alias(f"{c}_{x}") for c in AXES for x, f in (("lo", F.min), ("hi", F.max))]
@@ -116,7 +117,7 @@ def _cluster_pairs(members: DataFrame, distance: float, method: str, scratch: Sc
     cells = members.select("cluster", *[F.floor(F.col(c) / distance).cast("long").alias(c) for c in AXES]).distinct()
     step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in itertools.product((-1, 0, 1), repeat=3)]))
     around = cells.withColumn("step", step).select(F.col("cluster").alias("o"), *[(F.col(c) + F.col(f"step.{c}")).alias(c) for c in AXES])
-    close = cells.withColumnRenamed("cluster", "c").join(around, list(AXES)).where("c < o").select("c", "o").distinct()
+    close = cells.withColumnRenamed("cluster", "c").join(around.hint("merge"), list(AXES)).where("c < o").select("c", "o").distinct()
     shaped = close.join(_sided(shape, "a").withColumnRenamed("a_cluster", "c"), "c").join(_sided(shape, "b").withColumnRenamed("b_cluster", "o"), "o")
     shaped = shaped.where(_box_gap("a", "b") <= distance)
     if method == "average":

@@ -1,12 +1,25 @@
 """Plans that must not grow faster than their input."""
 
-from poseflow.operators import joins, poses
+import re
+
+from poseflow.operators import joins, poses, spatial, waters
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcast_explodes(text: str) -> bool:
+    """Does a broadcast hold an explode, whose rows Spark expects to be as few as those before it?"""
+    lines = [(re.search(r"[A-Za-z*]", x).start(), x) for x in text.splitlines() if re.search(r"[A-Za-z*]", x)]
+    for k, (depth, line) in enumerate(lines):
+        below = lines[k + 1 :]
+        end = next((i for i, (d, _) in enumerate(below) if d <= depth), len(below))
+        if "BroadcastExchange" in line and any("Generate explode" in x for _, x in below[:end]):
+            return True
+    return False
+
+
 def test_bound_to_unbound_broadcasts_nothing(spark):
     """Atoms made by explode look small to Spark, so their broadcast outgrew the driver."""
     pairs = spark.sql("SELECT id pdb_name_0, 0 model_0, 'A' chain_0, 1 residue_0, id pdb_name_1, 0 model_1, 'B' chain_1, 2 residue_1 FROM range(20)")
@@ -31,3 +44,13 @@ def test_hits_of_sums_make_no_product(spark):
     from poseflow.plans import queries
 
     assert "compound_share" in plan(queries.QUERIES["screening_hits"](spark, "/root/testdata/sf0.001")) and "part.parquet" not in plan(queries.QUERIES["screening_hits"](spark, "/root/testdata/sf0.001"))
+
+
+def test_points_sent_around_are_not_broadcast(spark, monkeypatch):
+    points = spark.range(50).selectExpr("concat('0/', id) wid", "'0' protein", "id water_id", "'s' k", "id % 7 / 50 x", "id % 5 / 50 y", "id / 500 z")
+    assert not broadcast_explodes(plan(spatial.grid_join(points, points, 0.1, ["k"]))) and not broadcast_explodes(plan(spatial.grid_self_join(points, 0.1, ["k"])))
+    plans, save = [], waters.Scratch.save
+    monkeypatch.setattr(waters.Scratch, "save", lambda self, df, name: plans.append(plan(df)) or save(self, df, name))
+    for method in ("complete",):
+        waters.cluster_waters(points.select("protein", "water_id", "x", "y", "z"), 0.04, method)
+    assert sum("Generate explode" in p for p in plans) >= 4 and not any(map(broadcast_explodes, plans))
