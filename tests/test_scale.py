@@ -2,7 +2,7 @@
 
 import re
 
-from poseflow.operators import joins, poses, spatial, waters
+from poseflow.operators import joins, poses, spatial, splits, waters
 
 
 def plan(df) -> str:
@@ -54,3 +54,26 @@ def test_points_sent_around_are_not_broadcast(spark, monkeypatch):
     for method in ("complete",):
         waters.cluster_waters(points.select("protein", "water_id", "x", "y", "z"), 0.04, method)
     assert sum("Generate explode" in p for p in plans) >= 4 and not any(map(broadcast_explodes, plans))
+
+
+def test_equal_fingerprints_meet_as_classes(spark, monkeypatch):
+    """Pairs of copies come from blocks of members; no pair of rows is made before, and a split makes none."""
+    monkeypatch.setattr(splits, "BLOCK", 7)
+    words = [[0b1111, 0], [0b1111, 1], [0b11110000, 0], [0, 0], [0, 0b111]]
+    held = {k: words[k % 5] for k in range(100)} | {200: [0b11111, 0], 201: None}
+    df = spark.createDataFrame(list(held.items()), "id long, words array<long>")
+    bits = {k: {(i, b) for i, w in enumerate(x or []) for b in range(64) if w >> b & 1} for k, x in held.items()}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in bits.items() for b, y in bits.items() if a < b and x | y and len(x & y) >= 0.8 * len(x | y)}
+    made, save = [], splits.Scratch.save
+
+    def count(self, df, name):
+        out = save(self, df, name)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(splits.Scratch, "save", count)
+    got = splits.similar_pairs(df, "id", "words", 0.8).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 1000
+    assert max(made) <= 102
+    split = {r.id: r.component for r in splits.similarity_split(df, "id", "words", 0.8).collect()}
+    assert max(made) <= 102 and len(split) == 102 and all(split[a] == split[b] for a, b in want) and split[3] == 3 and split[8] == 8 and split[201] == 201
