@@ -42,10 +42,17 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) ->
 def pose_spearman(poses: DataFrame, favorable: str = "positive", limits: tuple[int, ...] = tuple(range(2, 11)), least: int = 5) -> DataFrame:
     """(s, n_complexes, spearman): the mean over complexes of the rank correlation of rmsd and score of the poses with rmsd at most s,
     where there are `least`; the sign makes a good score positive (D2)."""
-    # Complexes with too few poses leave before the rows multiply; all that follows keeps the partitioning by complex.
+    # Poses within a limit are the first by rmsd, so their ranks by rmsd are those among all. Their ranks by score are counted for all limits in one pass, and no row
+    # is made for a limit: at most `le` of them have a score up to the row's, `eq` the same one.
     enough = poses.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("complex"))).where(F.col("__n") >= least)
-    near = enough.drop("__n").withColumn("s", F.explode(F.array(*[F.lit(s) for s in limits]))).where(F.col("rmsd") <= F.col("s"))
-    each = spearman(near, ["s", "complex"], "rmsd", "score", least).where("spearman is not null")
+    near = enough.where(F.col("rmsd") <= max(limits)).select("complex", "rmsd", "score")
+    upto = Window.partitionBy("complex").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = lambda s: F.when(F.col("rmsd") <= s, 1)
+    among = {s: F.coalesce(F.sum(inside(s)).over(upto), F.lit(0)) - (F.coalesce(F.sum(inside(s)).over(Window.partitionBy("complex", "score")), F.lit(0)) - 1) / 2 for s in limits}
+    ranked = near.withColumn("rx", avg_rank(["complex"], "rmsd")).select("complex", "rmsd", "rx", *[F.when(F.col("rmsd") <= s, r).alias(f"ry{k}") for k, (s, r) in enumerate(among.items())])
+    both = lambda k, s: correlation(F.when(F.col("rmsd") <= s, F.col("rx")), F.col(f"ry{k}"))
+    wide = ranked.groupBy("complex").agg(*[F.when(F.count(f"ry{k}") >= least, both(k, s)).alias(f"r{k}") for k, s in enumerate(limits)])
+    each = wide.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"r{k}").alias("spearman")) for k, s in enumerate(limits)])).alias("e")).select("e.*").where("spearman is not null")
     return each.groupBy("s").agg(F.count("*").alias("n_complexes"), (F.avg("spearman") * -orientation(favorable)).alias("spearman"))
 
 

@@ -77,3 +77,16 @@ def test_equal_fingerprints_meet_as_classes(spark, monkeypatch):
     assert max(made) <= 102
     split = {r.id: r.component for r in splits.similarity_split(df, "id", "words", 0.8).collect()}
     assert max(made) <= 102 and len(split) == 102 and all(split[a] == split[b] for a, b in want) and split[3] == 3 and split[8] == 8 and split[201] == 201
+
+
+def test_pose_spearman_makes_no_row_for_a_limit(spark):
+    """Nulls and ties as by ranks within each limit; what is sorted are the poses alone."""
+    rows = [("c", r, s) for r, s in ((1.0, 5.0), (1.5, 5.0), (2.0, 1.0), (2.0, 7.0), (2.5, None), (3.0, 2.0), (None, 3.0), (4.0, 2.0))]
+    df = spark.createDataFrame(rows, "complex string, rmsd double, score double")
+    found = poses.pose_spearman(df, limits=(2, 3, 10), least=4)
+    text = plan(found)
+    assert text.rindex("Generate") < text.index("Window")
+    got = {r.s: r.spearman for r in found.collect()}
+    for s in (2, 3, 10):
+        want = poses.spearman(df.where(f"rmsd <= {s}"), ["complex"], "rmsd", "score", 4).first().spearman
+        assert abs(got[s] + want) < 1e-9
