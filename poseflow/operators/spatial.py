@@ -72,9 +72,25 @@ def grid_self_join(points: DataFrame, cutoff: float, keys: list[str], inclusive:
     return met.select(*keys, both.alias("p"), "dist").select(*keys, "p.*", "dist")
 
 
+#: Rows of the left side that a task multiplies at a time in `product`.
+BLOCK = 1000
+
+
+def product(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a join b on the keys, where most pairs are the answer: a key's rows of a are dealt into blocks of about BLOCK, and its rows of b go to each block, so that a
+    large key is many groups of one block times its rows of b."""
+    sizes = a.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("__n"))
+    left = a.join(sizes, keys).withColumn("__block", F.pmod(F.xxhash64(*[c for c in a.columns if c not in keys]), F.col("__n"))).drop("__n")
+    right = b.join(sizes, keys).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    # Dealt by number: by their few bytes these sides would be few tasks, however many pairs they make.
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(n, *keys, "__block")
+    return dealt(left).join(dealt(right).hint("merge"), [*keys, "__block"]).drop("__block")
+
+
 def all_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Every pair within equal keys with its dist: the whole product is the answer, one structure at a time."""
-    return _sided(a, keys, "a").join(_sided(b, keys, "b"), keys).withColumn("dist", F.sqrt(_squared()))
+    """Every pair within equal keys with its dist: the whole product is the answer, spread over blocks of each structure."""
+    return product(_sided(a, keys, "a"), _sided(b, keys, "b"), keys).withColumn("dist", F.sqrt(_squared()))
 
 
 def near_atoms(a: DataFrame, b: DataFrame, cutoff: float, keys: list[str], columns: list[str]) -> DataFrame:

@@ -90,3 +90,14 @@ def test_pose_spearman_makes_no_row_for_a_limit(spark):
     for s in (2, 3, 10):
         want = poses.spearman(df.where(f"rmsd <= {s}"), ["complex"], "rmsd", "score", 4).first().spearman
         assert abs(got[s] + want) < 1e-9
+
+
+def test_product_spreads_a_key(spark, monkeypatch):
+    """One structure's pairs are many tasks' work."""
+    monkeypatch.setattr(spatial, "BLOCK", 10)
+    a, b = (spark.range(n).selectExpr("id div 1000 k", "id", "id / 10 x", "0D y", "0D z") for n in (200, 30))
+    pairs = spatial.contact_map(a, b, ["k"], contact=1.0)
+    assert pairs.select("a_id", "b_id").distinct().count() == pairs.count() == 6000
+    assert pairs.where("label <> (abs(a_id / 10 - b_id / 10) < 1)").count() == 0
+    tasks = spatial.all_pairs(a, b, ["k"]).selectExpr("spark_partition_id() p").groupBy("p").count()
+    assert tasks.count() > 1
