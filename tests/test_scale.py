@@ -101,3 +101,9 @@ def test_product_spreads_a_key(spark, monkeypatch):
     assert pairs.where("label <> (abs(a_id / 10 - b_id / 10) < 1)").count() == 0
     tasks = spatial.all_pairs(a, b, ["k"]).selectExpr("spark_partition_id() p").groupBy("p").count()
     assert tasks.count() > 1
+
+
+def test_edge_frames_are_dealt_by_blocks(spark):
+    from poseflow.plans import queries
+
+    assert "__block" in plan(queries.QUERIES["edge_frames"](spark, "/root/testdata/sf0.001"))
