@@ -57,6 +57,11 @@ def _diagonal() -> Column:
     return F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2])
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    """df for a join by sorting: tables of waters, cells and clusters grow with the structures, so none of them may pass whole through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def _sided(df: DataFrame, side: str, *but: str) -> DataFrame:
     return df.select(*but, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in but])
 
@@ -79,16 +84,16 @@ def tight_groups(points: DataFrame, scale: float, scratch: Scratch, name: str) -
     step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in steps])).alias("step")
     around = _sided(cells, "b").select("*", step)
     around = around.withColumn("a_cell", F.struct(*[(F.col(f"b_cell.{c}") + F.col(f"step.{c}")).alias(c) for c in AXES])).drop("step")
-    near = _sided(cells, "a").join(around.hint("merge"), "a_cell").where(_box_gap("a", "b") <= scale)
+    near = _sided(cells, "a").join(_merge(around), "a_cell").where(_box_gap("a", "b") <= scale)
     known = near.groupBy("a_cell").agg(F.min("b_cell").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b_cell")).alias("print"))
-    known = scratch.save(known.withColumnRenamed("a_cell", "cell").join(cells, "cell"), f"{name}-known")
+    known = scratch.save(known.withColumnRenamed("a_cell", "cell").join(_merge(cells), "cell"), f"{name}-known")
     whole = [f(f"{c}_{x}").alias(f"{c}_{x}") for c in AXES for x, f in (("lo", F.min), ("hi", F.max))]
     groups = known.groupBy("least").agg(
         F.count("*").alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("print").alias("print_lo"), F.max("print").alias("print_hi"),
         F.bit_xor(F.xxhash64("cell")).alias("own"), F.min("first").alias("cluster"), *whole,
     )
     sound = groups.where("n_lo = size and n_hi = size and print_lo = own and print_hi = own").where(_diagonal() <= scale).select("least", "cluster")
-    return placed.select("wid", "cell").join(known.select("cell", "least").join(sound, "least").select("cell", "cluster"), "cell").select("wid", "cluster")
+    return placed.select("wid", "cell").join(_merge(known.select("cell", "least").join(_merge(sound), "least").select("cell", "cluster")), "cell").select("wid", "cluster")
 
 
 def _contracted(points: DataFrame, distance: float, scratch: Scratch) -> DataFrame:
@@ -98,9 +103,9 @@ def _contracted(points: DataFrame, distance: float, scratch: Scratch) -> DataFra
     for k, share in enumerate(SCALES):
         found = scratch.save(tight_groups(left, share * distance, scratch, f"tight{k}"), f"tight{k}")
         done.append(found)
-        left = scratch.save(left.join(found.select("wid"), "wid", "left_anti"), f"loose{k}")
+        left = scratch.save(left.join(_merge(found.select("wid")), "wid", "left_anti"), f"loose{k}")
     every = functools.reduce(DataFrame.union, [*done, left.select("wid", F.col("wid").alias("cluster"))])
-    return points.join(every, "wid").select("wid", "cluster", *AXES)
+    return points.join(_merge(every), "wid").select("wid", "cluster", *AXES)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -110,23 +115,23 @@ def _apart(a: str, b: str) -> Column:
 
 def _cluster_pairs(members: DataFrame, distance: float, method: str, scratch: Scratch) -> DataFrame:
     """(c, o, dist, n): clusters that may merge, with their number of pairs of members. complete: all pairs within the distance, the largest
-    being dist. average: some pair may be within it. Bounds come before the product of two clusters' members: their boxes, and under complete linkage
+    being dist. average: some pair may be within it, and dist, the mean, is null until it is measured. Bounds come before the product of two clusters' members: their boxes, and under complete linkage
     the distances of their outermost members."""
     ends = [f(F.struct(*AXES), c).alias(f"{c}{k}") for c in AXES for k, f in enumerate((F.min_by, F.max_by))]
     shape = scratch.save(members.groupBy("cluster").agg(F.count("*").alias("s"), *_box(), F.array(*ends).alias("ends")), "shapes")
     cells = members.select("cluster", *[F.floor(F.col(c) / distance).cast("long").alias(c) for c in AXES]).distinct()
     step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in itertools.product((-1, 0, 1), repeat=3)]))
     around = cells.withColumn("step", step).select(F.col("cluster").alias("o"), *[(F.col(c) + F.col(f"step.{c}")).alias(c) for c in AXES])
-    close = cells.withColumnRenamed("cluster", "c").join(around.hint("merge"), list(AXES)).where("c < o").select("c", "o").distinct()
-    shaped = close.join(_sided(shape, "a").withColumnRenamed("a_cluster", "c"), "c").join(_sided(shape, "b").withColumnRenamed("b_cluster", "o"), "o")
+    close = cells.withColumnRenamed("cluster", "c").join(_merge(around), list(AXES)).where("c < o").select("c", "o").distinct()
+    shaped = close.join(_merge(_sided(shape, "a").withColumnRenamed("a_cluster", "c")), "c").join(_merge(_sided(shape, "b").withColumnRenamed("b_cluster", "o")), "o")
     shaped = shaped.where(_box_gap("a", "b") <= distance)
     if method == "average":
-        return scratch.save(shaped.select("c", "o", (F.col("a_s") * F.col("b_s")).alias("n")), "pairs0")
+        return scratch.save(shaped.select("c", "o", F.lit(None).cast("double").alias("dist"), (F.col("a_s") * F.col("b_s")).alias("n")), "pairs0")
     far = lambda p, q: sum(((p[c] - q[c]) * (p[c] - q[c]) for c in AXES[1:]), (p["x"] - q["x"]) * (p["x"] - q["x"])) > distance * distance
     shaped = shaped.where(~F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: far(p, q))))
     both = shaped.select("c", "o", (F.col("a_s") * F.col("b_s")).alias("n"))
     end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])
-    measured = both.join(end("c", "a"), "c").join(end("o", "b"), "o").groupBy("c", "o", "n").agg(F.max(_apart("a", "b")).alias("dist"))
+    measured = both.join(_merge(end("c", "a")), "c").join(_merge(end("o", "b")), "o").groupBy("c", "o", "n").agg(F.max(_apart("a", "b")).alias("dist"))
     return scratch.save(measured.where(F.col("dist") <= distance).select("c", "o", "dist", "n"), "pairs0")
 
 
@@ -138,7 +143,7 @@ def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "comp
     which is the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third than the nearer of the two was, so
     these rounds reach what merging the closest two at a time reaches; ties go to the smaller names. Under complete linkage two clusters stay known as a
     pair while all their members are within the distance. Under average linkage a pair's mean is measured only if their centres are within the distance, which the
-    mean never falls below. single: components of the links. All steps are joins and groups, whatever a cluster's size. Rows that repeat a water, or
+    mean never falls below, and again only when one of the two has merged. single: components of the links. All steps are joins and groups, whatever a cluster's size. Rows that repeat a water, or
     without coordinates, are in clusters of their water's name.
     """
     if method not in ("complete", "average", "single"):
@@ -149,34 +154,43 @@ def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "comp
     if method == "single":
         near = grid_self_join(points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
         roots = connected_components(near.select(F.col("a_wid").alias("a"), F.col("b_wid").alias("b"))).withColumnRenamed("root", "cluster")
-        return rows.join(roots.withColumnRenamed("node", "wid"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
+        return rows.join(_merge(roots.withColumnRenamed("node", "wid")), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
     members = scratch.save(_contracted(scratch.save(points.select("wid", *AXES), "points"), distance, scratch), "members0")
     pairs = _cluster_pairs(members, distance, method, scratch)
     for k in itertools.count(1):
         if method == "complete":
             size = members.groupBy("cluster").agg(F.count("*").alias("s"))
-            sized = pairs.join(size.select(F.col("cluster").alias("c"), F.col("s").alias("sc")), "c").join(size.select(F.col("cluster").alias("o"), F.col("s").alias("so")), "o")
+            sized = pairs.join(_merge(size.select(F.col("cluster").alias("c"), F.col("s").alias("sc"))), "c").join(_merge(size.select(F.col("cluster").alias("o"), F.col("s").alias("so"))), "o")
             pairs = scratch.save(sized.where("n = sc * so").select("c", "o", "dist", "n"), f"pairs{k}")
             measured = pairs
         else:
             end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
             centre = lambda c, side: members.groupBy(F.col("cluster").alias(c)).agg(*[F.avg(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
-            pairs = scratch.save(pairs.select("c", "o", "n"), f"pairs{k}")
-            possible = pairs.join(centre("c", "a"), "c").join(centre("o", "b"), "o").where(_apart("a", "b") <= distance * (1 + 1e-9)).select("c", "o")
-            measured = possible.join(end("c", "a"), "c").join(end("o", "b"), "o").groupBy("c", "o").agg(F.avg(_apart("a", "b")).alias("dist"))
-            measured = measured.where(F.col("dist") <= distance)
+            pairs = scratch.save(pairs, f"open{k}")
+            new = pairs.where("dist is null")
+            possible = new.join(_merge(centre("c", "a")), "c").join(_merge(centre("o", "b")), "o").where(_apart("a", "b") <= distance * (1 + 1e-9)).select("c", "o")
+            means = possible.join(_merge(end("c", "a")), "c").join(_merge(end("o", "b")), "o").groupBy("c", "o").agg(F.avg(_apart("a", "b")).alias("mean"))
+            # Centres farther apart than the distance: as far as can be.
+            known = new.drop("dist").join(_merge(means), ["c", "o"], "left").select("c", "o", F.coalesce("mean", F.lit(float("inf"))).alias("dist"), "n")
+            pairs = scratch.save(pairs.where("dist is not null").unionByName(known), f"pairs{k}")
+            scratch.drop(f"open{k}")
+            measured = pairs.where(F.col("dist") <= distance)
         pair = F.struct("dist", "c", "o").alias("p")
         best = measured.select(F.col("c").alias("x"), pair).unionByName(measured.select(F.col("o").alias("x"), pair)).groupBy("x").agg(F.min("p").alias("p"))
         merged = scratch.save(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.c").alias("into"), F.col("p.o").alias("cluster")), f"merged{k}")
         if merged.isEmpty():
             break
-        renamed = members.join(merged, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).select("wid", "cluster", *AXES)
+        renamed = members.join(_merge(merged), "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).select("wid", "cluster", *AXES)
         members = scratch.save(renamed, f"members{k}")
-        now = lambda c: merged.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into"))  # noqa: B023, E731
-        moved = pairs.join(now("c"), "c", "left").join(now("o"), "o", "left").withColumns({"c": F.coalesce("c_into", "c"), "o": F.coalesce("o_into", "o")}).where("c <> o")
+        touched = merged.unionByName(merged.select("into", F.col("into").alias("cluster")))
+        now = lambda c: _merge(touched.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into")))  # noqa: B023, E731
+        moved = pairs.join(now("c"), "c", "left").join(now("o"), "o", "left")
+        if method == "average":
+            moved = moved.withColumn("dist", F.when(F.col("c_into").isNull() & F.col("o_into").isNull(), F.col("dist")))
+        moved = moved.withColumns({"c": F.coalesce("c_into", "c"), "o": F.coalesce("o_into", "o")}).where("c <> o")
         ends = moved.withColumns({"l": F.least("c", "o"), "g": F.greatest("c", "o")})
-        pairs = ends.groupBy(F.col("l").alias("c"), F.col("g").alias("o")).agg(F.sum("n").alias("n"), *([F.max("dist").alias("dist")] if method == "complete" else []))
-    return rows.join(members.select("wid", "cluster"), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
+        pairs = ends.groupBy(F.col("l").alias("c"), F.col("g").alias("o")).agg(F.max("dist").alias("dist"), F.sum("n").alias("n"))
+    return rows.join(_merge(members.select("wid", "cluster")), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
 
 
 def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, method: str = "complete", probability: float = 0.7) -> DataFrame:
@@ -191,8 +205,8 @@ def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, met
     # n_all is one number.
     kept = share.where("water_id is not null").crossJoin(F.broadcast(n_all)).withColumn("conservation", F.col("n_proteins") / F.col("__all")).where(F.col("conservation") >= probability)
     named = F.sort_array(F.collect_list(F.struct("protein", F.col("water_id").cast("string").alias("water_id")))).alias("proteins")
-    present = single.join(kept.select("cluster"), "cluster", "left_semi").groupBy("cluster").agg(named)
-    return kept.join(present, "cluster").select("cluster", "n_proteins", "conservation", "water_id", "proteins")
+    present = single.join(_merge(kept.select("cluster")), "cluster", "left_semi").groupBy("cluster").agg(named)
+    return kept.join(_merge(present), "cluster").select("cluster", "n_proteins", "conservation", "water_id", "proteins")
 
 
 def without_water(conserved: DataFrame, waters: DataFrame) -> DataFrame:

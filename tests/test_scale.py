@@ -1,5 +1,8 @@
 """Plans that must not grow faster than their input."""
 
+import itertools
+import math
+import random
 import re
 
 from poseflow.operators import joins, poses, spatial, splits, waters
@@ -107,3 +110,23 @@ def test_edge_frames_are_dealt_by_blocks(spark):
     from poseflow.plans import queries
 
     assert "__block" in plan(queries.QUERIES["edge_frames"](spark, "/root/testdata/sf0.001"))
+
+
+def test_average_linkage_broadcasts_no_table(spark, monkeypatch):
+    """Centres and members of all clusters were broadcast in each round, and each mean measured anew; now a pair is measured again only after a merge of its own."""
+    rng = random.Random(5)
+    rows = [(f"{k % 3}", k, rng.random(), rng.random(), rng.random()) for k in range(90)]
+    df = spark.createDataFrame(rows, "protein string, water_id long, x double, y double, z double")
+    plans, save = [], waters.Scratch.save
+    monkeypatch.setattr(waters.Scratch, "save", lambda self, df, name: plans.append(plan(df)) or save(self, df, name))
+    got = {r.water_id: r.cluster for r in waters.cluster_waters(df, 0.35, "average").collect()}
+    assert not any("BroadcastExchange" in p for p in plans)
+    at = {f"{p}/{k}": (x, y, z) for p, k, x, y, z in rows}
+    held = {w: [w] for w in at}
+    while True:
+        mean = lambda a, b: sum(math.dist(at[i], at[j]) for i in held[a] for j in held[b]) / len(held[a]) / len(held[b])
+        d, a, b = min((mean(a, b), a, b) for a, b in itertools.combinations(sorted(held), 2))
+        if d > 0.35:
+            break
+        held[a] += held.pop(b)
+    assert got == {int(w.split("/")[1]): c for c, members in held.items() for w in members} and max(map(len, held.values())) > 3
