@@ -130,3 +130,10 @@ def test_average_linkage_broadcasts_no_table(spark, monkeypatch):
             break
         held[a] += held.pop(b)
     assert got == {int(w.split("/")[1]): c for c, members in held.items() for w in members} and max(map(len, held.values())) > 3
+
+
+def test_score_files_are_listed_without_a_glob(spark):
+    """The driver listed folder by folder for the glob, and the plan named each folder."""
+    from poseflow.plans import queries
+
+    assert "InMemoryFileIndex(1 paths)" in queries.QUERIES["score_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
