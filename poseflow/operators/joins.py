@@ -132,10 +132,20 @@ def pending(requested: DataFrame, produced: DataFrame, keys: list[str]) -> DataF
     return requested.join(produced.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Rows that a task makes distinct in `missing_sources`.
+PART = 500_000
+
+
 def missing_sources(pairs: DataFrame, files: DataFrame, columns: list[str]) -> DataFrame:
-    """(complex, path) of the sources of pairs for which there is no file (C14)."""
-    paths = pairs.select("complex", F.explode(F.array(*columns)).alias("path")).where("path is not null").distinct()
-    return paths.join(files.select("path").distinct(), "path", "left_anti").select("complex", "path")
+    """(complex, path) of the sources of pairs for which there is no file (C14).
+
+    Most sources are distinct, so they are counted and dealt into parts of about PART rows before repeats go: a task's memory does not grow with the table. The files'
+    paths are hashed and the sources stream past them unsorted.
+    """
+    paths = pairs.select("complex", F.explode(F.array(*columns)).alias("path")).where("path is not null")
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() * len(columns) // PART))
+    known = files.select("path").distinct().hint("shuffle_hash")
+    return paths.repartition(parts, "complex", "path").distinct().join(known, "path", "left_anti").select("complex", "path")
 
 
 def expect_files(keys: DataFrame, files: DataFrame, rule: str = "one", key: str = "key") -> DataFrame:

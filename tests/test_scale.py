@@ -137,3 +137,15 @@ def test_score_files_are_listed_without_a_glob(spark):
     from poseflow.plans import queries
 
     assert "InMemoryFileIndex(1 paths)" in queries.QUERIES["score_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_missing_sources_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's sources did not get fewer with more tasks than the shuffle has parts; and they were sorted."""
+    monkeypatch.setattr(joins, "PART", 10, raising=False)
+    pairs = spark.range(200).selectExpr("id % 50 complex", "cast(id % 20 as string) a", "if(id % 3 = 0, null, cast(id % 7 as string)) b")
+    files = spark.range(5).selectExpr("cast(id as string) path").union(spark.sql("SELECT cast(null as string) path"))
+    found = joins.missing_sources(pairs, files, ["a", "b"])
+    want = {(k % 50, p) for k in range(200) for p in (str(k % 20), None if k % 3 == 0 else str(k % 7)) if p is not None and int(p) >= 5}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "REPARTITION_BY_NUM" in plan(found) and ", 40)" in plan(found) and "SortMergeJoin" not in plan(found) and "BroadcastHashJoin" not in plan(found)
