@@ -13,15 +13,14 @@ from .views import table
 
 REGISTRY = query = Registry()
 
-#: Files of a group lie in the folder grp=<name>.
-GROUP = r"/grp=([^/]+)/"
+#: A group's file is grp=<name>.txt.
+GROUP = r"/grp=([^/]+)\.txt$"
 
 
-def _grouped_files(spark, rows: DataFrame, name: str, order: list[str]) -> str:
-    """Writes a text file per grp, its lines (value) in order; the folder's path. Each task puts its own files in place (the committer's version 2), where
-    else the driver would move all of them one after the other."""
+def _grouped_files(spark, rows: DataFrame, name: str, order: list[str], ending: str = ".txt") -> str:
+    """Writes a text file per grp, its lines (value) in order; the folder's path."""
     path = Scratch(spark, "files").path(name)
-    rows.repartition("grp").sortWithinPartitions("grp", *order).select("grp", "value").write.partitionBy("grp").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    files.write_named(rows, path, "grp", order, ending=ending)
     return path
 
 
@@ -104,8 +103,8 @@ def score_files(spark, d):
     code = F.concat_ws("%20", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("grp"), "l_orderkey", F.concat_ws("\t", code, F.col("l_quantity").cast("string")).alias("value"))
     heads = rows.select("grp").distinct().select("grp", F.lit(-1).cast("long").alias("l_orderkey"), F.lit("#code score").alias("value"))
-    path = _grouped_files(spark, rows.unionByName(heads), "scores", ["l_orderkey"])
-    return text.read_score_dir(spark, path, "score", "score", "**", GROUP)
+    path = _grouped_files(spark, rows.unionByName(heads), "scores", ["l_orderkey"], "_score.dat")
+    return text.read_score_dir(spark, path, "score", "score", name=r"/grp=([^/]+)_score\.dat$")
 
 
 @query("""SELECT target, CAST(k AS INT) AS rank, ligand FROM (SELECT 't' || l_suppkey AS target, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k, CAST(l_partkey AS VARCHAR) AS ligand FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE k <= 10""")
@@ -246,7 +245,7 @@ def middle_lines(spark, d):
 @query("SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS grp FROM supplier")
 def discovered_files(spark, d):
     path = _grouped_files(spark, _profile_rows(spark, d, F.col("s_name")), "lines", ["k"])
-    return files.discover(spark, path, r"part-[^/]*\.txt$").where("length > 0 and modified is not null").select(_group())
+    return files.discover(spark, path, r"/grp=[^/]*\.txt$").where("length > 0 and modified is not null").select(_group())
 
 
 @query("SELECT '>' || c_name || '-0-A' AS value FROM customer UNION ALL SELECT upper(c_mktsegment) FROM customer")

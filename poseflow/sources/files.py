@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import batched, groupby
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compact_date
+from .formats import _local
 
 #: Affinity types, and the units of the first form.
 AFFINITY_TYPES = ("Ki", "Kd", "IC50", "EC50", "&Delta;G", "&Delta;H", "-T&Delta;S", "Ka")
@@ -132,6 +140,43 @@ def write_fasta(sequences: DataFrame, path: str) -> None:
     fasta(sequences).write.mode("overwrite").text(path)
 
 
+def write_named(df: DataFrame, path: str, name: str, order: list[str], value: str = "value", ending: str = ".txt") -> int:
+    """A text file <name>=<its value><ending> in the folder for each value of name, with its lines in order (A2); how many. A name of null is that of Spark's writers.
+
+    Tasks write them through pyarrow's file systems, line by line: partitionBy makes a folder for each file and, on local file systems, starts a chmod for each
+    folder, file and checksum. A file is written under a hidden name and put in place whole, so a task may run again or twice.
+    """
+    local = _local(path)
+    system, root = (None, local) if local is not None else fs.FileSystem.from_uri(path)
+    os.makedirs(root, exist_ok=True) if system is None else system.create_dir(root, recursive=True)
+
+    def place(hidden: str, final: str) -> None:
+        if system is None:
+            os.replace(hidden, final)
+        elif system.get_file_info(final).type == fs.FileType.NotFound:
+            system.move(hidden, final)
+        else:
+            system.delete_file(hidden)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, attempt = 0, TaskContext.get().taskAttemptId()
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for key, group in groupby(rows, lambda row: row[0]):
+            key = "__HIVE_DEFAULT_PARTITION__" if key is None else key
+            if "/" in key:
+                raise ValueError(f"not a file's name: {key}")
+            hidden, final = f"{root}/_{attempt}-{key}{ending}", f"{root}/{name}={key}{ending}"
+            with open(hidden, "wb") if system is None else system.open_output_stream(hidden) as out:
+                for some in batched(group, 10000):
+                    out.write("".join([f"{'' if line is None else line}\n" for _, line in some]).encode())
+            place(hidden, final)
+            made += 1
+        yield pa.record_batch({"n": pa.array([made], pa.int64())})
+
+    sorted_lines = df.repartition(name).sortWithinPartitions(name, *order).select(F.col(name).cast("string"), value)
+    return sorted_lines.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def combine_files(spark: SparkSession, paths: list[str], path: str, skip: int = 0, single: bool = False) -> None:
     """Lines of all files, in one folder, or one file on request (A19). skip: lines of each file's head to drop."""
     from .text import whole_lines

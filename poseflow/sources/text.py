@@ -22,23 +22,27 @@ def fields(value: Column, separators: str = r"[,\t ]+") -> Column:
     return F.split(F.trim(value), separators)
 
 
-def read_delimited(spark: SparkSession, path: str, columns: dict[str, str], skip: int = 0, separators: str = r"[,\t ]+", nested: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, columns: dict[str, str], skip: int = 0, separators: str = r"[,\t ]+", nested: bool = False, names: str = "*") -> DataFrame:
     """Columns by position with the given types, and path; lines that start with # and blank ones are headers (A1). With skip,
-    the first so many lines of each file go. nested: the files of all folders below too, which tasks list side by side."""
+    the first so many lines of each file go. nested: the files of all folders below too, which tasks list side by side. names: a glob
+    of the names of the folder's files to read, which lists the folder once."""
     if skip:
         lines = whole_lines(spark, path, skip)
     else:
-        lines = spark.read.option("recursiveFileLookup", nested).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+        lines = spark.read.option("recursiveFileLookup", nested).option("pathGlobFilter", names).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = lines.where("trim(value) <> '' and not startswith(value, '#')")
     parts = fields(F.col("value"), separators)
     return lines.select(*[F.get(parts, k).try_cast(t).alias(c) for k, (c, t) in enumerate(columns.items())], "path")
 
 
 def read_score_dir(spark: SparkSession, path: str, suffix: str, value: str, files: str | None = None, name: str | None = None) -> DataFrame:
-    """(complex, code, value) of a directory of <complex>_<suffix>.dat files (A2), or of those that the glob `files` gives, whose complex is the
-    first group of `name` in the path. files **: all files of the folder and of those below, without a glob, for which the driver would list folder by folder."""
+    """(complex, code, value) of a directory of <complex>_<suffix>.dat files (A2), or of those that the glob `files` gives; the complex is the first
+    group of `name` in the path, if given. files **: all files of the folder and of those below. Other globs are listed path by path by the driver."""
     columns, root = {"code": "string", value: "double"}, path.rstrip("/")
-    df = read_delimited(spark, root, columns, nested=True) if files == "**" else read_delimited(spark, f"{root}/{files or f'*_{suffix}.dat'}", columns)
+    if files in (None, "**"):
+        df = read_delimited(spark, root, columns, nested=files == "**", names="*" if files else f"*_{suffix}.dat")
+    else:
+        df = read_delimited(spark, f"{root}/{files}", columns)
     return df.select(F.regexp_extract("path", name or rf"([^/]+)_{suffix}\.dat$", 1).alias("complex"), F.regexp_replace("code", "%20", " ").alias("code"), value)
 
 

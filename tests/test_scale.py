@@ -139,6 +139,34 @@ def test_score_files_are_listed_without_a_glob(spark):
     assert "InMemoryFileIndex(1 paths)" in queries.QUERIES["score_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
 
 
+def test_score_files_need_no_folder_each(spark, monkeypatch):
+    """Each file had its own folder, which Spark's writer made and the reader listed; on local file systems a process was started for each."""
+    import os
+
+    from poseflow.plans import queries, readers
+
+    folders, read = [], readers.text.read_score_dir
+    monkeypatch.setattr(readers.text, "read_score_dir", lambda spark, path, *a, **b: folders.append(path) or read(spark, path, *a, **b))
+    found = queries.QUERIES["score_files"](spark, "/root/testdata/sf0.001")
+    complexes = {r[0] for r in found.select("complex").distinct().collect()}
+    assert sorted(os.listdir(folders[0].removeprefix("file://"))) == sorted(f"grp={c}_score.dat" for c in complexes) and len(complexes) > 1
+
+
+def test_named_files_hold_their_lines_in_order(spark, tmp_path):
+    from poseflow.sources import files, text
+
+    df = spark.range(30000).selectExpr("if(id % 3 = 0, null, concat('c ', id % 3)) c", "30000 - id k", "if(id = 4, null, concat(id, ' ', id % 7)) value")
+    want = {c: [(i, None if i == 4 else f"{i} {i % 7}") for i in reversed(range(30000)) if i % 3 == m] for m, c in enumerate(["__HIVE_DEFAULT_PARTITION__", "c 1", "c 2"])}
+    for _ in range(2):  # again over what lies there
+        assert files.write_named(df, f"file://{tmp_path}/a", "c", ["k"], ending="_score.dat") == 3
+    assert {p.name: p.read_text() for p in (tmp_path / "a").iterdir()} == {f"c={c}_score.dat": "".join(f"{line or ''}\n" for _, line in lines) for c, lines in want.items()}
+    (tmp_path / "a" / "other.txt").write_text("x 1\n")
+    scores = text.read_score_dir(spark, str(tmp_path / "a"), "score", "score")
+    assert scores.count() == 29999 and scores.where("score <> code % 7").count() == 0
+    assert "InMemoryFileIndex(1 paths)" in scores._jdf.queryExecution().toString()
+    assert files.write_named(df.where("k < 0"), str(tmp_path / "none"), "c", ["k"]) == 0 and text.read_score_dir(spark, str(tmp_path / "none"), "score", "score").count() == 0
+
+
 def test_missing_sources_are_dealt_by_their_number(spark, monkeypatch):
     """A task's sources did not get fewer with more tasks than the shuffle has parts; and they were sorted."""
     monkeypatch.setattr(joins, "PART", 10, raising=False)
