@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..tables import Scratch
 from .components import connected_components
-from .spatial import AXES, grid_self_join
+from .spatial import AXES, _half_shell, grid_self_join
 
 
 def _filtered(waters: DataFrame, bad: Column, query: str | None) -> DataFrame:
@@ -69,24 +69,24 @@ def _sided(df: DataFrame, side: str, *but: str) -> DataFrame:
 def tight_groups(points: DataFrame, scale: float, scratch: Scratch, name: str) -> DataFrame:
     """(wid, cluster) of the groups of points that lie within `scale` of each other, and farther than that from all others.
 
-    Points fall into cells of half the scale, of which the box around their points is all that is looked at. Cells are near if their boxes are within
+    Points fall into cells of the scale, of which the box around their points is all that is looked at. Cells are near if their boxes are within
     the scale. If a group's diameter is at most the scale, all its cells are near each other, and if it is lonely they are near to
-    no others: so it is known by all its cells having it, and nothing else, as their near cells. The work follows cells, not pairs of points. Cells sent
-    around are merged: Spark expects of them the size before, and would broadcast them.
+    no others: so it is known by all its cells having it, and nothing else, as their near cells. The work follows cells, not pairs of points; of two cells
+    one is sent around, to 40 of the 80 places that can be near. Cells sent around are merged: Spark expects of them the size before, and would broadcast them.
     """
-    side = scale / 2
-    cell = F.struct(*[F.floor(F.col(c) / side).cast("long").alias(c) for c in AXES])
+    cell = F.struct(*[F.floor(F.col(c) / scale).cast("long").alias(c) for c in AXES])
     placed = points.withColumn("cell", cell)
     cells = scratch.save(placed.groupBy("cell").agg(F.min("wid").alias("first"), *_box()), f"{name}-cells")
     # Boxes of cells d steps apart on an axis are d - 1 sides apart at least.
-    reach = range(-3, 4)
-    steps = [(i, j, k) for i in reach for j in reach for k in reach if sum(max(abs(x) - 1, 0) ** 2 for x in (i, j, k)) * side * side <= scale * scale]
+    steps = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0) and sum(max(abs(x) - 1, 0) for x in s) <= 1]
     step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in steps])).alias("step")
-    around = _sided(cells, "b").select("*", step)
+    around = _sided(cells.drop("first"), "b").select("*", step)
     around = around.withColumn("a_cell", F.struct(*[(F.col(f"b_cell.{c}") + F.col(f"step.{c}")).alias(c) for c in AXES])).drop("step")
-    near = _sided(cells, "a").join(_merge(around), "a_cell").where(_box_gap("a", "b") <= scale)
-    known = near.groupBy("a_cell").agg(F.min("b_cell").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b_cell")).alias("print"))
-    known = scratch.save(known.withColumnRenamed("a_cell", "cell").join(_merge(cells), "cell"), f"{name}-known")
+    near = _sided(cells.drop("first"), "a").join(_merge(around), "a_cell").where(_box_gap("a", "b") <= scale)
+    both = F.explode(F.array(F.struct(F.col("a_cell").alias("cell"), F.col("b_cell").alias("other")), F.struct(F.col("b_cell").alias("cell"), F.col("a_cell").alias("other"))))
+    linked = near.select(both.alias("p")).select("p.*").unionByName(cells.select("cell", F.col("cell").alias("other")))
+    known = linked.groupBy("cell").agg(F.min("other").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("other")).alias("print"))
+    known = scratch.save(known.join(_merge(cells), "cell"), f"{name}-known")
     whole = [f(f"{c}_{x}").alias(f"{c}_{x}") for c in AXES for x, f in (("lo", F.min), ("hi", F.max))]
     groups = known.groupBy("least").agg(
         F.count("*").alias("size"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("print").alias("print_lo"), F.max("print").alias("print_hi"),
@@ -105,7 +105,7 @@ def _contracted(points: DataFrame, distance: float, scratch: Scratch) -> DataFra
         done.append(found)
         left = scratch.save(left.join(_merge(found.select("wid")), "wid", "left_anti"), f"loose{k}")
     every = functools.reduce(DataFrame.union, [*done, left.select("wid", F.col("wid").alias("cluster"))])
-    return points.join(_merge(every), "wid").select("wid", "cluster", *AXES)
+    return points.join(_merge(every), "wid").select("wid", "cluster", "w", *AXES)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -113,84 +113,161 @@ def _apart(a: str, b: str) -> Column:
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def _cluster_pairs(members: DataFrame, distance: float, method: str, scratch: Scratch) -> DataFrame:
-    """(c, o, dist, n): clusters that may merge, with their number of pairs of members. complete: all pairs within the distance, the largest
-    being dist. average: some pair may be within it, and dist, the mean, is null until it is measured. Bounds come before the product of two clusters' members: their boxes, and under complete linkage
-    the distances of their outermost members."""
-    ends = [f(F.struct(*AXES), c).alias(f"{c}{k}") for c in AXES for k, f in enumerate((F.min_by, F.max_by))]
-    shape = scratch.save(members.groupBy("cluster").agg(F.count("*").alias("s"), *_box(), F.array(*ends).alias("ends")), "shapes")
-    cells = members.select("cluster", *[F.floor(F.col(c) / distance).cast("long").alias(c) for c in AXES]).distinct()
-    step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(AXES, s)]) for s in itertools.product((-1, 0, 1), repeat=3)]))
-    around = cells.withColumn("step", step).select(F.col("cluster").alias("o"), *[(F.col(c) + F.col(f"step.{c}")).alias(c) for c in AXES])
-    close = cells.withColumnRenamed("cluster", "c").join(_merge(around), list(AXES)).where("c < o").select("c", "o").distinct()
-    shaped = close.join(_merge(_sided(shape, "a").withColumnRenamed("a_cluster", "c")), "c").join(_merge(_sided(shape, "b").withColumnRenamed("b_cluster", "o")), "o")
-    shaped = shaped.where(_box_gap("a", "b") <= distance)
+#: A level's radius is so many times that of the level before, and at the first one cells of that side hold so many other clusters for a cluster, on average.
+GROWTH, CROWD = 1.6, 2.0
+#: What a distance is widened by where rounding must not lose a pair that is tested exactly later.
+SLACK = 1 + 1e-6
+
+
+def _levels(shapes: DataFrame, distance: float) -> list[float]:
+    """Radii that grow up to the distance, the first so small that the clusters within it of each other are few."""
+    radii = [distance]
+    # Points that are not apart by 1e-9 of the distance stay crowded.
+    while radii[0] > 1e-9 * distance:
+        held = shapes.groupBy(*[F.floor(F.col(c) / radii[0]).alias(c) for c in AXES]).agg(F.count("*").cast("double").alias("n"))
+        n, others = held.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+        if not n or others <= CROWD * n:
+            break
+        radii.insert(0, radii[0] / GROWTH)
+    return radii
+
+
+def _shapes(members: DataFrame, method: str) -> DataFrame:
+    """(cluster, s, w, x, y, z, ...): its places and waters, and its centre (average); or its box, the low corner of it, and its outermost places (complete)."""
+    grouped, size = members.groupBy("cluster"), [F.count("*").alias("s"), F.sum("w").alias("w")]
+    if method == "average":
+        return grouped.agg(*size, *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in AXES])
+    ends = [f(F.struct(*AXES), c) for c in AXES for f in (F.min_by, F.max_by)]
+    return grouped.agg(*size, F.array(*ends).alias("ends"), *_box()).select("*", *[F.col(f"{c}_lo").alias(c) for c in AXES])
+
+
+def _ends(members: DataFrame, c: str, side: str) -> DataFrame:
+    return members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in ("w", *AXES)])
+
+
+def _summed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs with v, the sum of the distances of the two clusters' waters, and n, the number of these."""
+    both = pairs.select("c", "o", "wc", "wo").join(_merge(_ends(members, "c", "a")), "c").join(_merge(_ends(members, "o", "b")), "o")
+    summed = both.groupBy("c", "o", "wc", "wo").agg(F.sum(_apart("a", "b") * F.col("a_w") * F.col("b_w")).alias("v"))
+    return summed.select(*PAIR[:4], (F.col("wc") * F.col("wo")).alias("n"), "v")
+
+
+def _farthest(close: DataFrame, members: DataFrame) -> DataFrame:
+    """close with v, the largest distance of the two clusters' places, from v of their outermost ones. Only places that may be farther than that from
+    some place in the other cluster's box are compared."""
+
+    def outer(c: str, side: str, other: str) -> DataFrame:
+        spans = [F.greatest(F.abs(F.col(f"{side}_{x}") - F.col(f"{other}_{x}_lo")), F.abs(F.col(f"{side}_{x}") - F.col(f"{other}_{x}_hi"))) for x in AXES]
+        bounded = close.select("c", "o", "v", *[f"{other}_{x}_{end}" for x in AXES for end in ("lo", "hi")]).join(_merge(_ends(members, c, side)), c)
+        far = bounded.where(F.sqrt(spans[0] * spans[0] + spans[1] * spans[1] + spans[2] * spans[2]) > F.col("v"))
+        return far.select("c", "o", *[f"{side}_{x}" for x in AXES])
+
+    inner = outer("c", "a", "b").join(_merge(outer("o", "b", "a")), ["c", "o"]).groupBy("c", "o").agg(F.max(_apart("a", "b")).alias("far"))
+    return close.join(_merge(inner), ["c", "o"], "left").withColumn("v", F.greatest("v", F.coalesce("far", "v")))
+
+
+#: Two clusters, c before o, and their waters; over n pairs of these, v is the largest distance (complete) or the sum of distances (average).
+PAIR = ["c", "o", "wc", "wo", "n", "v"]
+
+
+def _cluster_pairs(members: DataFrame, shapes: DataFrame, radius: float, method: str, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs of clusters that may merge within the radius. They meet by their centres, which the mean never falls below (average), or by their boxes, which one of the radius
+    holds (complete); bounds come before the product of two clusters' places."""
+    box = [] if method == "average" else [f"{c}_{x}" for c in AXES for x in ("lo", "hi")]
+    met = _half_shell(shapes.select("cluster", "s", "w", *AXES, *box), radius * SLACK, []).where(F.col("__ahead") | (F.col("a_cluster") < F.col("b_cluster")))
+    met = met.withColumn("v", _apart("a", "b"))
     if method == "average":
-        return scratch.save(shaped.select("c", "o", F.lit(None).cast("double").alias("dist"), (F.col("a_s") * F.col("b_s")).alias("n")), "pairs0")
-    far = lambda p, q: sum(((p[c] - q[c]) * (p[c] - q[c]) for c in AXES[1:]), (p["x"] - q["x"]) * (p["x"] - q["x"])) > distance * distance
-    shaped = shaped.where(~F.exists("a_ends", lambda p: F.exists("b_ends", lambda q: far(p, q))))
-    both = shaped.select("c", "o", (F.col("a_s") * F.col("b_s")).alias("n"))
-    end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])
-    measured = both.join(_merge(end("c", "a")), "c").join(_merge(end("o", "b")), "o").groupBy("c", "o", "n").agg(F.max(_apart("a", "b")).alias("dist"))
-    return scratch.save(measured.where(F.col("dist") <= distance).select("c", "o", "dist", "n"), "pairs0")
+        met = met.where(F.col("v") <= radius * SLACK)
+    else:
+        met = met.where(F.greatest(*[F.greatest(f"a_{c}_hi", f"b_{c}_hi") - F.least(f"a_{c}_lo", f"b_{c}_lo") for c in AXES]) <= radius)
+    first = F.col("a_cluster") < F.col("b_cluster")
+    sides = [F.when(first, F.col(f"{p}_{x}")).otherwise(F.col(f"{q}_{x}")).alias(y) for y, x, p, q in (("c", "cluster", "a", "b"), ("o", "cluster", "b", "a"), ("wc", "w", "a", "b"), ("wo", "w", "b", "a"))]
+    near = scratch.save(met.select(*sides, (F.col("a_w") * F.col("b_w")).alias("n"), "v", ((F.col("a_s") == 1) & (F.col("b_s") == 1)).alias("points")), f"near{name}")
+    points, rest = near.where("points"), near.where("not points")
+    if method == "average":
+        return points.withColumn("v", F.col("v") * F.col("n")).select(PAIR).unionByName(_summed(rest, members))
+    outline = shapes.select("cluster", "ends", *box)
+    close = rest.join(_merge(_sided(outline, "a").withColumnRenamed("a_cluster", "c")), "c").join(_merge(_sided(outline, "b").withColumnRenamed("b_cluster", "o")), "o")
+    apart = lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]) + (p["z"] - q["z"]) * (p["z"] - q["z"]))
+    outermost = F.array_max(F.transform("a_ends", lambda p: F.array_max(F.transform("b_ends", lambda q: apart(p, q)))))
+    close = scratch.save(close.withColumn("v", outermost).where(F.col("v") <= radius).drop("a_ends", "b_ends", "points"), f"close{name}")
+    return points.select(PAIR).unionByName(_farthest(close, members).select(PAIR)).where(F.col("v") <= radius)
 
 
 def cluster_waters(waters: DataFrame, distance: float = 2.0, method: str = "complete") -> DataFrame:
     """waters with cluster, the smallest name (protein/water_id) of its members.
 
-    Tight groups far from all else, as the copies of a site in superposed structures are, start as clusters (see `tight_groups`), so that such copies cost
-    as much as there are of them, not their pairs. Then clusters grow by rounds: two merge when each is the other's nearest and their distance is at most `distance`,
-    which is the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third than the nearer of the two was, so
-    these rounds reach what merging the closest two at a time reaches; ties go to the smaller names. Under complete linkage two clusters stay known as a
-    pair while all their members are within the distance. Under average linkage a pair's mean is measured only if their centres are within the distance, which the
-    mean never falls below, and again only when one of the two has merged. single: components of the links. All steps are joins and groups, whatever a cluster's size. Rows that repeat a water, or
-    without coordinates, are in clusters of their water's name.
+    Waters at one place are one point from the start. Tight groups far from all else, as the copies of a site in superposed structures are, start as clusters (see
+    `tight_groups`), so that such copies cost as much as there are of them, not their pairs. Then clusters grow by rounds: two merge when each is the other's nearest and
+    their distance is at most `distance`, which is the largest (complete) or the mean one (average) of their members. A merge never brings a cluster nearer to a third
+    than the nearer of the two was, so these rounds reach what merging the closest two at a time reaches; ties go to the smaller names.
+
+    For the same reason all merges within a smaller radius may come first. So rounds go by levels of growing radius (see `_levels`): at the first few points are near each other,
+    and at each next one the clusters that the level before left are so wide that few can be near each other. Pairs are made within a level's radius alone, and
+    their number follows the points, however densely they lie. Under complete linkage two clusters stay known as a pair while all their members are within the radius.
+    Under average linkage the sum of a pair's distances is added up over merges, and measured again if a part of it is not known, and the centres are within the radius, which the mean never
+    falls below. single: components of the links. All steps are joins and groups, whatever a cluster's size. Rows that repeat a water, or
+    without finite coordinates, are in clusters of their water's name.
     """
     if method not in ("complete", "average", "single"):
         raise ValueError("method is complete, average or single")
     scratch = Scratch(waters.sparkSession, "waters")
     rows = scratch.save(waters.withColumn("wid", F.concat_ws("/", "protein", "water_id")), "rows")
-    points = rows.where(" and ".join(f"{c} is not null" for c in AXES)).groupBy("wid").agg(*[F.min(c).alias(c) for c in AXES]).withColumn("k", F.lit(0))
+    points = rows.where(" and ".join(f"{c} is not null" for c in AXES)).groupBy("wid").agg(*[F.min(c).alias(c) for c in AXES])
     if method == "single":
-        near = grid_self_join(points, distance, ["k"], inclusive=True).where("a_wid < b_wid")
+        near = grid_self_join(points.withColumn("k", F.lit(0)), distance, ["k"], inclusive=True).where("a_wid < b_wid")
         roots = connected_components(near.select(F.col("a_wid").alias("a"), F.col("b_wid").alias("b"))).withColumnRenamed("root", "cluster")
         return rows.join(_merge(roots.withColumnRenamed("node", "wid")), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
-    members = scratch.save(_contracted(scratch.save(points.select("wid", *AXES), "points"), distance, scratch), "members0")
-    pairs = _cluster_pairs(members, distance, method, scratch)
-    for k in itertools.count(1):
-        if method == "complete":
-            size = members.groupBy("cluster").agg(F.count("*").alias("s"))
-            sized = pairs.join(_merge(size.select(F.col("cluster").alias("c"), F.col("s").alias("sc"))), "c").join(_merge(size.select(F.col("cluster").alias("o"), F.col("s").alias("so"))), "o")
-            pairs = scratch.save(sized.where("n = sc * so").select("c", "o", "dist", "n"), f"pairs{k}")
-            measured = pairs
-        else:
-            end = lambda c, side: members.select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
-            centre = lambda c, side: members.groupBy(F.col("cluster").alias(c)).agg(*[F.avg(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
-            pairs = scratch.save(pairs, f"open{k}")
-            new = pairs.where("dist is null")
-            possible = new.join(_merge(centre("c", "a")), "c").join(_merge(centre("o", "b")), "o").where(_apart("a", "b") <= distance * (1 + 1e-9)).select("c", "o")
-            means = possible.join(_merge(end("c", "a")), "c").join(_merge(end("o", "b")), "o").groupBy("c", "o").agg(F.avg(_apart("a", "b")).alias("mean"))
-            # Centres farther apart than the distance: as far as can be.
-            known = new.drop("dist").join(_merge(means), ["c", "o"], "left").select("c", "o", F.coalesce("mean", F.lit(float("inf"))).alias("dist"), "n")
-            pairs = scratch.save(pairs.where("dist is not null").unionByName(known), f"pairs{k}")
-            scratch.drop(f"open{k}")
-            measured = pairs.where(F.col("dist") <= distance)
-        pair = F.struct("dist", "c", "o").alias("p")
-        best = measured.select(F.col("c").alias("x"), pair).unionByName(measured.select(F.col("o").alias("x"), pair)).groupBy("x").agg(F.min("p").alias("p"))
-        merged = scratch.save(best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.c").alias("into"), F.col("p.o").alias("cluster")), f"merged{k}")
-        if merged.isEmpty():
-            break
-        renamed = members.join(_merge(merged), "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).select("wid", "cluster", *AXES)
-        members = scratch.save(renamed, f"members{k}")
-        touched = merged.unionByName(merged.select("into", F.col("into").alias("cluster")))
-        now = lambda c: _merge(touched.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into")))  # noqa: B023, E731
-        moved = pairs.join(now("c"), "c", "left").join(now("o"), "o", "left")
-        if method == "average":
-            moved = moved.withColumn("dist", F.when(F.col("c_into").isNull() & F.col("o_into").isNull(), F.col("dist")))
-        moved = moved.withColumns({"c": F.coalesce("c_into", "c"), "o": F.coalesce("o_into", "o")}).where("c <> o")
-        ends = moved.withColumns({"l": F.least("c", "o"), "g": F.greatest("c", "o")})
-        pairs = ends.groupBy(F.col("l").alias("c"), F.col("g").alias("o")).agg(F.max("dist").alias("dist"), F.sum("n").alias("n"))
-    return rows.join(_merge(members.select("wid", "cluster")), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
+    points = scratch.save(points.where(" and ".join(f"abs({c}) < double('infinity')" for c in AXES)), "points")
+    places = scratch.save(points.groupBy(*AXES).agg(F.min("wid").alias("wid"), F.count("*").alias("w")), "places")
+    members = scratch.save(_contracted(places, distance, scratch), "members")
+    # held: tables that the next step is made of, and that go after it.
+    shapes, held = scratch.save(_shapes(members, method), "shapes"), ["members", "shapes"]
+    for level, radius in enumerate(_levels(shapes, distance)):
+        if level:
+            shapes = scratch.save(_shapes(members, method), f"shapes{level}")
+            held.append(f"shapes{level}")
+        pairs = _cluster_pairs(members, shapes, radius, method, scratch, f"{level}")
+        held += [f"near{level}", *([f"close{level}"] if method == "complete" else [])]
+        for k in itertools.count():
+            name = f"{level}-{k}"
+            if method == "average" and k:
+                pairs = scratch.save(pairs, f"open{name}")
+                part = pairs.where("n < wc * wo")
+                centres = lambda c, side: _shapes(members, method).select(F.col("cluster").alias(c), *[F.col(x).alias(f"{side}_{x}") for x in AXES])  # noqa: B023, E731
+                possible = part.join(_merge(centres("c", "a")), "c").join(_merge(centres("o", "b")), "o").where(_apart("a", "b") <= radius * SLACK)
+                # Where the centres are farther apart than the radius, so is the mean, and the pair is left out.
+                pairs = pairs.where("n = wc * wo").unionByName(_summed(possible, members))
+            pairs = scratch.save(pairs, f"pairs{name}")
+            dist = F.col("v") / F.col("n") if method == "average" else F.col("v")
+            within = pairs.withColumn("dist", dist).where(F.col("dist") <= radius)
+            pair = F.struct("dist", "c", "o", (F.col("wc") + F.col("wo")).alias("w")).alias("p")
+            best = within.select(F.explode(F.array("c", "o")).alias("x"), pair).groupBy("x").agg(F.min("p").alias("p"))
+            merged = best.groupBy("p").agg(F.count("*").alias("n")).where("n = 2").select(F.col("p.c").alias("into"), F.col("p.o").alias("cluster"), F.col("p.w").alias("w"))
+            merged = scratch.save(merged, f"merged{name}")
+            now = [f"pairs{name}", f"merged{name}"]
+            done = merged.isEmpty()
+            if not done:
+                renamed = members.join(_merge(merged.select("into", "cluster")), "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster"))
+                members = scratch.save(renamed.select("wid", "cluster", "w", *AXES), f"members{name}")
+                now.append(f"members{name}")
+                touched = merged.unionByName(merged.select("into", F.col("into").alias("cluster"), "w"))
+                to = lambda c: _merge(touched.select(F.col("cluster").alias(c), F.col("into").alias(f"{c}_into"), F.col("w").alias(f"{c}_w")))  # noqa: B023, E731
+                moved = pairs.join(to("c"), "c", "left").join(to("o"), "o", "left")
+                moved = moved.withColumns({"c": F.coalesce("c_into", "c"), "o": F.coalesce("o_into", "o"), "wc": F.coalesce("c_w", "wc"), "wo": F.coalesce("o_w", "wo")}).where("c <> o")
+                first = F.col("c") < F.col("o")
+                moved = moved.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o"), F.when(first, F.col("wc")).otherwise(F.col("wo")).alias("wc"), F.when(first, F.col("wo")).otherwise(F.col("wc")).alias("wo"), "n", "v")
+                pairs = moved.groupBy("c", "o", "wc", "wo").agg(F.sum("n").alias("n"), (F.sum if method == "average" else F.max)("v").alias("v"))
+                if method == "complete":
+                    pairs = pairs.where("n = wc * wo")
+            stay = [x for x in held if x.startswith("members")] if done else []
+            scratch.drop(*[x for x in held if x not in stay], *([f"open{name}"] if method == "average" and k else []), *(now[:2] if done else []))
+            held = stay if done else now
+            if done:
+                break
+    placed = points.join(_merge(places.select(F.col("wid").alias("place"), *AXES)), list(AXES)).select("wid", "place")
+    placed = placed.join(_merge(members.select(F.col("wid").alias("place"), "cluster")), "place").select("wid", "cluster")
+    return rows.join(_merge(placed), "wid", "left").withColumn("cluster", F.coalesce("cluster", "wid")).drop("wid")
 
 
 def water_conservation(waters: DataFrame, query: str, distance: float = 2.0, method: str = "complete", probability: float = 0.7) -> DataFrame:

@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import pytest
+
 from poseflow.operators import joins, poses, spatial, splits, waters
 
 
@@ -132,6 +134,42 @@ def test_average_linkage_broadcasts_no_table(spark, monkeypatch):
     assert got == {int(w.split("/")[1]): c for c, members in held.items() for w in members} and max(map(len, held.values())) > 3
 
 
+def merged_by_hand(at, distance, method):
+    """Name by name, clusters by merging the closest two at a time."""
+    held = {w: [w] for w in at}
+    apart = {(a, b): math.dist(at[a], at[b]) for a in at for b in at}
+    for_all = {"complete": max, "average": lambda x: sum(x) / len(x)}[method]
+    known = {(a, b): apart[a, b] for a, b in itertools.combinations(sorted(held), 2)}
+    while known and min(known.values()) <= distance:
+        _, a, b = min((d, a, b) for (a, b), d in known.items())
+        held[a] += held.pop(b)
+        known = {p: d for p, d in known.items() if a not in p and b not in p}
+        known |= {tuple(sorted((a, c))): for_all([apart[i, j] for i in held[a] for j in held[c]]) for c in held if c != a}
+    return {w: c for c, own in held.items() for w in own}
+
+
+@pytest.mark.parametrize("method", ["complete"])
+def test_crowded_waters_make_few_pairs(spark, monkeypatch, method):
+    """Pairs followed the square of how densely waters lie; copies at one place are one point; waters without a finite place stay alone."""
+    rng, made, save = random.Random(7), {}, waters.Scratch.save
+
+    def count(self, df, name):
+        out = save(self, df, name)
+        if name.startswith(("near", "close", "pairs")):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(waters.Scratch, "save", count)
+    rows = [(f"{k % 5}", k, rng.random(), rng.random(), rng.random()) for k in range(250)]
+    rows += [(f"{k % 5}", 1000 + k, *rows[k % 7][2:]) for k in range(40)]
+    lost = [("n", 1, math.nan, 0.0, 0.0), ("n", 2, math.nan, 0.0, 0.0), ("i", 1, math.inf, 0.0, 0.0), ("i", 2, math.inf, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + lost, "protein string, water_id long, x double, y double, z double")
+    got = {f"{r.protein}/{r.water_id}": r.cluster for r in waters.cluster_waters(df, 0.6, method).collect()}
+    want = merged_by_hand({f"{p}/{k}": (x, y, z) for p, k, x, y, z in rows}, 0.6, method)
+    assert got == want | {f"{p}/{k}": f"{p}/{k}" for p, k, *_ in lost} and len(set(want.values())) < 40
+    assert max(made.values()) <= 16 * 250
+
+
 def test_score_files_are_listed_without_a_glob(spark):
     """The driver listed folder by folder for the glob, and the plan named each folder."""
     from poseflow.plans import queries
